@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so later jobs and lost executors don't recompute it.
+    """Write df as a table in the shared folder and read it again.
 
-    The cluster names that folder in spark.checkpoint.dir; a local folder is set only where it names none, as in tests.
+    Later jobs and lost executors don't recompute it. A written table rather than checkpoint(): a plan over it
+    starts afresh, where a checkpoint carries the constraints of its origin along, which grow from round to round.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/boxwright-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc32_text(col: Column) -> Column:

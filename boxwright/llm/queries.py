@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, tokens
+from . import chat, exact, mixing, near, packing, tokens
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -61,4 +65,4 @@ SQL = {
     """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op4_token_counts, op6_exact_dedup, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op6_exact_dedup, op8_best_fit_packing)}
