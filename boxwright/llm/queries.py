@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, near, packing, tokens
+from . import chat, classify, exact, language, mixing, near, packing, rules, tokens
 from .common import table
 
 
@@ -48,14 +48,29 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify.score_quality(docs, *classify.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
@@ -65,4 +80,4 @@ SQL = {
     """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op6_exact_dedup, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_quality_rules)}
