@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, exact, language, mixing, near, packing, rules, tokens
+from . import chat, classify, exact, language, mixing, near, packing, rules, suffixes, tokens
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
@@ -80,4 +84,4 @@ SQL = {
     """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_quality_rules, op10_suffix_array_dedup)}
