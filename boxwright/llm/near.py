@@ -33,9 +33,11 @@ from .rolling import Prefix, U, lower_ascii, mix, runs_within, splitmix, words
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE = 1.1, 20.0
-ODDS = 18.0
+ODDS = 10.0
 WIDTH = 5
 PIVOT_ROUNDS = 1
+#: Larger buckets are compared in blocks of BLOCK members, and only pairs that may be links leave the task.
+SMALL, BLOCK = 48, 400
 
 _A = splitmix(101, REGISTERS) | U(1)
 _B = splitmix(202, REGISTERS)
@@ -151,6 +153,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.expr(f"100L * common >= {percent}L * (size(a) + size(b) - common)")).select("u", "v")
 
 
+def _block_pairs(entries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components in large buckets (key, node, comp, _size) that may reach the threshold.
+
+    Members fall into blocks by hash; each pair of blocks is one group, so no task holds more than two blocks.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+    blocks = F.ceil(F.col("_size") / BLOCK)
+    rows = entries.join(nodes.select("node", "n", "sketch"), "node").withColumn("_b", F.pmod(F.xxhash64("node"), blocks))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("key", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), "_b", "node", "comp", "n", "sketch")
+
+    def run(key, t):
+        node, comp, n, b = (t.column(c).to_numpy() for c in ("node", "comp", "n", "_b"))
+        out_u, out_v = [], []
+        if len(node) > 1 and comp.min() != comp.max():
+            regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            for i in range(len(node)):
+                j = np.flatnonzero((comp != comp[i]) & (node < node[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & ((b != b[i]) | (key[1].as_py() == key[2].as_py())))
+                if len(j):
+                    j = j[may_reach(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float), threshold)]
+                    out_u.append(np.full(len(j), node[i]))
+                    out_v.append(node[j])
+        u = np.concatenate(out_u) if out_u else node[:0]
+        v = np.concatenate(out_v) if out_v else node[:0]
+        return pa.table({"u": u, "v": v})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, f"u {kind}, v {kind}")
+
+
 def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
@@ -160,8 +190,9 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     nodes = cut(classes.filter("node is not null"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    entries = cut(bands.join(shared.select("key"), "key", "left_semi"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+    sized = cut(bands.join(shared.select("key", "size"), "key"))
+    entries = cut(sized.join(sized.groupBy("node").agg(F.sum("size").alias("degree")), "node").select("node", "key", "degree"))
     members = entries.select("node").distinct()
     texts = docs.select(F.col(id_col).alias("node"), as_text(F.col(text)).alias("text")).join(members, "node", "left_semi")
     # a repeated id comes with its text more than once: one set of each node is enough
@@ -171,19 +202,25 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
     def labelled(entries: DataFrame) -> DataFrame:
         if roots is None:
-            return entries.withColumn("comp", F.col("node"))
+            return entries.withColumn("comp", F.col("node"))  # with degree
         r = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        return entries.join(r, F.col("node") == F.col("_n"), "left").select("node", "key", F.coalesce("_r", "node").alias("comp"))
+        return entries.join(r, F.col("node") == F.col("_n"), "left").select("node", "key", "degree", F.coalesce("_r", "node").alias("comp"))
 
     for turn in range(PIVOT_ROUNDS + 2):
         now = labelled(entries)
-        open_ = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("node"))).alias("pivot")).filter("_low < _high")
+        if turn == 0:  # the hub of the bucket: who shares the most buckets with others
+            choice = F.struct("degree", -F.col("node"))
+        else:  # another one in every bucket
+            choice = F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node"))
+        open_ = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"), F.max_by(F.struct("node", "comp"), choice).alias("pivot")).filter("_low < _high")
         if turn <= PIVOT_ROUNDS:
             pairs = now.join(open_.select("key", "pivot"), "key").filter("comp <> pivot.comp").select(F.greatest("node", "pivot.node").alias("u"), F.least("node", "pivot.node").alias("v"))
         else:  # whatever two components still share a bucket
-            left = now.join(open_.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("node").alias("v"), F.col("comp").alias("vc"))
-            pairs = left.join(right, "key").filter("comp <> vc and node > v").select(F.col("node").alias("u"), "v")
+            left = now.join(open_.select("key", "_size"), "key")
+            few = left.filter(F.col("_size") <= SMALL)
+            right = few.select("key", F.col("node").alias("v"), F.col("comp").alias("vc"))
+            pairs = few.join(right, "key").filter("comp <> vc and node > v").select(F.col("node").alias("u"), "v")
+            pairs = pairs.unionByName(_block_pairs(left.filter(F.col("_size") > SMALL), nodes, percent / 100))
         pairs = cut(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
         n = pairs.count()
         if n:
