@@ -162,9 +162,39 @@ def _cut_out(length: int):
     return run
 
 
-def _sort_group(length: int):
+def may_share(parts: list[bytes], keys: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Stretches that another of their key may share a window with.
+
+    Equal windows hold the smallest gram at one place, so their stretches agree in length - gram bytes around it and
+    in half of those on one side at least. Hashes of the gram with either half show which do.
+    """
+    half = (length - gram + 1) // 2
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    prefix = Prefix(buf)
+    owner = np.repeat(np.arange(len(parts)), sizes)[: max(len(buf) - gram + 1, 0)]
+    at = np.flatnonzero(mix(prefix.windows(gram)) == keys[owner])
+    at = at[at + gram <= ends[owner[at]]]
+    who, first = np.unique(owner[at], return_index=True)
+    place = at[first]
+    out = np.zeros(len(parts), bool)
+    for lo, hi in ((place - half, place + gram), (place, place + gram + half)):
+        ok = (lo >= starts[who]) & (hi <= ends[who])
+        h = mix(prefix.of(lo[ok], hi[ok]) ^ mix(keys[who[ok]]))
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        out[who[ok][n[back] > 1]] = True
+    return out
+
+
+def _sort_group(length: int, gram: int):
     def run(key, table):
+        keys = table.column("key").to_numpy().view(U)
+        table = table.filter(pa.array(may_share(table.column("part").to_pylist(), keys, length, gram)))
         parts = table.column("part").to_pylist()
+        if not parts:
+            return pa.table({"key": table.column("key"), "h": table.column("h"), "ranges": pa.array([], pa.list_(pa.int32()))})
         found = [_ranges(f) for f in repeated_windows(parts, length)]
         out = pa.table({"key": table.column("key"), "h": table.column("h"), "ranges": pa.array(found, pa.list_(pa.int32()))})
         return out.filter(pa.array([bool(f) for f in found]))
@@ -203,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     size = parts.agg(F.sum(F.length("part"))).first()[0] or 0
     groups = max(1, int(size // (4 << 20)) + 1)
     cold = parts.filter("not hot").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    sorted_ = cold.groupBy("g").applyInArrow(_sort_group(length), "key long, h long, ranges array<int>")
+    sorted_ = cold.groupBy("g").applyInArrow(_sort_group(length, gram), "key long, h long, ranges array<int>")
     single = parts.filter("hot").select("key", "h", "part").mapInArrow(_window_hashes(length), "key long, h long, i int, w1 long, w2 long")
     twice = single.groupBy("key", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "w1", "w2")
     hot_found = single.join(twice, ["key", "w1", "w2"], "left_semi").groupBy("key", "h").agg(F.flatten(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.array(i, i + 1))).alias("ranges"))
