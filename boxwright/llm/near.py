@@ -12,7 +12,9 @@ equal a little more often than minima).
 
 Documents with equal sets are one node from the start. All pairs of a band's bucket are never emitted: members
 are first compared with one pivot of the bucket, in a few rounds with other pivots for buckets whose members are
-not yet one component, and only pairs across components that still share a bucket are compared exhaustively.
+not yet one component. A component that still holds much of a bucket is then compared with all outsiders of such
+buckets at once, in blocks of full sets, whatever number of buckets they share; a task returns one link for each
+outside component at most. Pairs across the other components that still share a bucket are compared exhaustively.
 Links inside a component cannot change it, so no component is lost. Links and components stay distributed.
 
 Defined results: without words (null, empty, blanks only) n_shingles is 0 and a row is a component of its own;
@@ -38,6 +40,10 @@ WIDTH = 5
 PIVOT_ROUNDS = 1
 #: Larger buckets are compared in blocks of BLOCK members, and only pairs that may be links leave the task.
 SMALL, BLOCK = 48, 400
+#: A component leads a bucket if LEAD members and one in LEADERS are its own: a bucket has LEADERS leaders at most.
+LEAD, LEADERS = 24, 8
+#: A block of full sets: so many sets, and about so many shingles in all.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
 
 _A = splitmix(101, REGISTERS) | U(1)
 _B = splitmix(202, REGISTERS)
@@ -181,6 +187,68 @@ def _block_pairs(entries: DataFrame, nodes: DataFrame, threshold: float) -> Data
     return rows.groupBy("key", "lo", "hi").applyInArrow(run, f"u {kind}, v {kind}")
 
 
+def common_sizes(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Intersection sizes of every set of a with every set of b, by products of membership matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    cells = []
+    for sets, values in zip((a, b), flat, strict=True):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        hit = np.isin(values, both)
+        at = np.searchsorted(both, values[hit])
+        order = np.argsort(at, kind="stable")
+        cells.append((owner[hit][order], at[order]))
+    for lo in range(0, len(both), step):
+        part = []
+        for sets, (owner, at) in zip((a, b), cells, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + step])
+            m = np.zeros((len(sets), min(step, len(both) - lo)), np.float32)
+            m[owner[i:j], at[i:j] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _leaders(open_entries: DataFrame) -> DataFrame:
+    """(key, leader) of entries (key, node, comp, _size): components that hold much of a bucket."""
+    held = open_entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("_size").alias("_size"))
+    return held.filter(f"m >= {LEAD} and m * {LEADERS} >= _size").select("key", F.col("comp").alias("leader"))
+
+
+def _leader_links(open_entries: DataFrame, leaders: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of leaders with outsiders of their buckets, on full sets: enough to join their components.
+
+    Of two leaders of a bucket the smaller one has the other as its outsider. Both sides fall into blocks by hash,
+    and each pair of an inner and an outer block is one group.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+    also = leaders.select("key", F.col("leader").alias("comp"), F.lit(True).alias("leads"))
+    rows = open_entries.join(also, ["key", "comp"], "left").join(leaders, "key")
+    rows = rows.filter("comp = leader or leads is null or comp > leader").select("leader", "node", "comp").distinct()
+    rows = rows.join(nodes.select("node", "n"), "node").withColumn("inner", F.col("comp") == F.col("leader"))
+    blocks = lambda side: F.greatest(F.ceil(F.sum(side.cast("long")) / BLOCK_SETS), F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))
+    sizes = rows.groupBy("leader").agg(blocks(F.col("inner")).alias("_in"), blocks(~F.col("inner")).alias("_out")).filter("_in > 0 and _out > 0")
+    rows = rows.join(sizes, "leader")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("_in")).otherwise(F.col("_out")))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("_out")).otherwise(F.col("_in")) - 1)))
+    rows = rows.select("leader", F.when(F.col("inner"), F.col("_own")).otherwise(F.col("_other")).alias("bi"), F.when(F.col("inner"), F.col("_other")).otherwise(F.col("_own")).alias("bo"), "node", "comp", "inner")
+
+    def run(t):
+        inside = t.column("inner").to_numpy()
+        a, b = t.filter(pa.array(inside)), t.filter(pa.array(~inside))
+        shingles = [[x.values.to_numpy() for x in side.column("shingles").combine_chunks()] if len(side) else [] for side in (a, b)]
+        common = common_sizes(*shingles)
+        na, nb = (np.array([len(x) for x in side], np.float32) for side in shingles)
+        linked = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+        out = np.flatnonzero(linked.any(axis=0))
+        comps = b.column("comp").take(pa.array(out)).to_numpy()
+        out = out[np.unique(comps, return_index=True)[1]]
+        return pa.table({"u": b.column("node").take(pa.array(out)), "v": a.column("node").take(pa.array(linked[:, out].argmax(axis=0)))})
+
+    return rows.join(sets, "node").groupBy("leader", "bi", "bo").applyInArrow(run, f"u {kind}, v {kind}")
+
+
 def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
@@ -206,13 +274,25 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         r = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return entries.join(r, F.col("node") == F.col("_n"), "left").select("node", "key", "degree", F.coalesce("_r", "node").alias("comp"))
 
-    for turn in range(PIVOT_ROUNDS + 2):
+    for turn in range(PIVOT_ROUNDS + 3):
         now = labelled(entries)
         if turn == 0:  # the hub of the bucket: who shares the most buckets with others
             choice = F.struct("degree", -F.col("node"))
         else:  # another one in every bucket
             choice = F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node"))
         open_ = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"), F.max_by(F.struct("node", "comp"), choice).alias("pivot")).filter("_low < _high")
+        if turn == PIVOT_ROUNDS + 1:  # leading components against all outsiders
+            left = cut(now.join(open_.select("key", "_size"), "key"))
+            leaders = cut(_leaders(left))
+            if leaders.isEmpty():
+                continue
+            found = cut(_leader_links(left, leaders, nodes, sets, percent))
+            # what a leader holds of its bucket is compared with all others there
+            entries = cut(left.join(leaders.withColumnRenamed("leader", "comp"), ["key", "comp"], "left_anti").select("node", "key", "degree"))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                roots = components(links)
+            continue
         if turn <= PIVOT_ROUNDS:
             pairs = now.join(open_.select("key", "pivot"), "key").filter("comp <> pivot.comp").select(F.greatest("node", "pivot.node").alias("u"), F.least("node", "pivot.node").alias("v"))
         else:  # whatever two components still share a bucket
@@ -229,7 +309,7 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
             links = links.unionByName(found)
             if found.count():
                 roots = components(links)
-        elif turn > PIVOT_ROUNDS or now.join(open_.select("key"), "key", "left_semi").isEmpty():
+        elif turn < PIVOT_ROUNDS and open_.isEmpty():
             break
     of_class = classes.select(F.col("n").alias("_n"), F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), "node")
     out = rows.join(of_class, (F.col("n") == F.col("_n")) & (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")), "left")

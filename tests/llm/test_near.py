@@ -88,3 +88,30 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 24)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(2, 25)} | {k: 1000 for k in range(1001, 1100)}
+
+
+def test_leading_components_in_blocks_equal_brute_force(spark, monkeypatch):
+    """Two large families that are close but mostly no links, with small blocks and low bounds of leadership."""
+    monkeypatch.setattr(near, "LEAD", 3)
+    monkeypatch.setattr(near, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(near, "BLOCK_SETS", 7)
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(160)]
+    far = base[:120] + [f"f{k}" for k in range(40)]
+    rows = []
+    for k in range(90):
+        t = list(base if k % 2 else far)
+        for _ in range(rnd.randint(0, 6)):
+            t[rnd.randrange(len(t))] = f"n{rnd.randrange(900)}"
+        rows.append((k, " ".join(t)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_groups(d).collect()}
+    assert got == brute(rows)
+
+
+def test_common_sizes_equal_set_intersections():
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, 300, n)) for n in sizes] for sizes in ((0, 40, 200, 7), (90, 0, 250)))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert near.common_sizes(a, b, step=16).tolist() == want
+    assert near.common_sizes([], b).shape == (0, 3)
