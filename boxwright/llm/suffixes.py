@@ -81,30 +81,32 @@ def suffix_ranks(text: np.ndarray, cover: int) -> np.ndarray:
     n = len(text)
     s = np.concatenate((text.astype(np.int64), [0, 0, 0]))
     i12 = np.flatnonzero(np.arange(n + 1) % 3 != 0)
-    i12 = np.concatenate((i12[i12 % 3 == 1], i12[i12 % 3 == 2]))
-    # names of triples, by their order
-    pair = np.unique(s[:-1] * (s.max() + 1) + s[1:], return_inverse=True)[1]
-    name = np.unique(pair[i12] * (s.max() + 1) + s[i12 + 2], return_inverse=True)[1] + 1
+    one, two = i12[i12 % 3 == 1], i12[i12 % 3 == 2]
+    i12 = np.concatenate((one, two))
+    # names of triples, by their order; pairs are numbers as they stand while a triple of them fits 62 bits
+    base = int(s.max()) + 1
+    pair = s[:-1] * base + s[1:]
+    if base**2 * max(base, n + 2) >= 1 << 62:
+        pair = np.unique(pair, return_inverse=True)[1]
+    name = np.unique(pair[i12] * base + s[i12 + 2], return_inverse=True)[1] + 1
     if cover > 3 and len(name) and name.max() < len(name):
-        ones = int((i12 % 3 == 1).sum())
-        inner = suffix_ranks(np.concatenate((name[:ones], [0], name[ones:])), -(-cover // 3))
-        name = np.unique(np.concatenate((inner[:ones], inner[ones + 1 :])), return_inverse=True)[1] + 1
+        inner = suffix_ranks(np.concatenate((name[: len(one)], [0], name[len(one) :])), -(-cover // 3))
+        name = np.unique(np.concatenate((inner[: len(one)], inner[len(one) + 1 :])), return_inverse=True)[1] + 1
     rank12 = np.zeros(n + 4, np.int64)
     rank12[i12] = name
     i0 = np.arange(0, n, 3)
     top = int(name.max()) + 1 if len(name) else 1
     # a suffix at 0 mod 3 against one at 1 mod 3: first symbol, then the rank one on; against 2 mod 3: two symbols
-    one, two = i12[i12 % 3 == 1], i12[i12 % 3 == 2]
-    k0, k1 = s[i0] * top + rank12[i0 + 1], np.sort(s[one] * top + rank12[one + 1])
-    q0, q2 = pair[i0] * top + rank12[i0 + 2], np.sort(pair[two[two <= n]] * top + rank12[two[two <= n] + 2])
+    k0, k1 = s[i0] * top + rank12[i0 + 1], s[one] * top + rank12[one + 1]
+    q0, q2 = pair[i0] * top + rank12[i0 + 2], pair[two] * top + rank12[two + 2]
+    o0, o1, o2 = np.argsort(k0), np.argsort(k1), np.argsort(q2)
+    i0, k0, q0, one, k1, two, q2 = i0[o0], k0[o0], q0[o0], one[o1], k1[o1], two[o2], q2[o2]
     # merged places: a suffix's place is the number of suffixes before it, ties sharing the lower place
-    own0 = np.searchsorted(np.sort(k0), k0)
     place = np.zeros(n + 4, np.int64)
-    place[i0] = own0 + np.searchsorted(k1, k0) + np.searchsorted(q2, q0)
-    by_name = np.sort(name)
-    place[i12] = np.searchsorted(by_name, name)
-    place[one] += np.searchsorted(np.sort(k0), s[one] * top + rank12[one + 1])
-    place[two] += np.searchsorted(np.sort(q0), pair[np.minimum(two, len(pair) - 1)] * top + rank12[two + 2])
+    place[i0] = np.searchsorted(k0, k0) + np.searchsorted(k1, k0) + np.searchsorted(q2, q0)
+    place[i12] = np.cumsum(np.bincount(name, minlength=1))[name - 1]
+    place[one] += np.searchsorted(k0, k1)
+    place[two] += np.searchsorted(np.sort(q0), q2)
     return place[:n]
 
 
