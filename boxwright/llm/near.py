@@ -39,11 +39,13 @@ ODDS = 10.0
 WIDTH = 5
 PIVOT_ROUNDS = 1
 #: Larger buckets are compared in blocks of BLOCK members, and only pairs that may be links leave the task.
-SMALL, BLOCK = 48, 400
+SMALL, BLOCK = 8, 400
 #: A component leads a bucket if LEAD members and one in LEADERS are its own: a bucket has LEADERS leaders at most.
 LEAD, LEADERS = 24, 8
 #: A block of full sets: so many sets, and about so many shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
+#: At most so many ids are broadcast to pick full sets before they are shuffled.
+NEED = 500_000
 
 _A = splitmix(101, REGISTERS) | U(1)
 _B = splitmix(202, REGISTERS)
@@ -152,9 +154,18 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _only(sets: DataFrame, need: DataFrame) -> DataFrame:
+    """The sets of the nodes in need (a written table): picked before any shuffle where need has few rows.
+
+    NEED bounds what is broadcast; beyond it the join that follows picks them, with the same result.
+    """
+    return sets.join(F.broadcast(need), "node", "left_semi") if need.limit(NEED + 1).count() <= NEED else sets
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    """The pairs (a written table) whose full sets have 100 * intersection >= percent * union."""
+    sides = [_only(sets, pairs.select(F.col(x).alias("node"))) for x in ("u", "v")]
+    a, b = sides[0].select(F.col("node").alias("u"), F.col("shingles").alias("a")), sides[1].select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("a", "b")))
     return both.filter(F.expr(f"100L * common >= {percent}L * (size(a) + size(b) - common)")).select("u", "v")
 
@@ -246,7 +257,8 @@ def _leader_links(open_entries: DataFrame, leaders: DataFrame, nodes: DataFrame,
         out = out[np.unique(comps, return_index=True)[1]]
         return pa.table({"u": b.column("node").take(pa.array(out)), "v": a.column("node").take(pa.array(linked[:, out].argmax(axis=0)))})
 
-    return rows.join(sets, "node").groupBy("leader", "bi", "bo").applyInArrow(run, f"u {kind}, v {kind}")
+    rows = cut(rows)
+    return rows.join(_only(sets, rows.select("node")), "node").groupBy("leader", "bi", "bo").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,12 +312,16 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
             few = left.filter(F.col("_size") <= SMALL)
             right = few.select("key", F.col("node").alias("v"), F.col("comp").alias("vc"))
             pairs = few.join(right, "key").filter("comp <> vc and node > v").select(F.col("node").alias("u"), "v")
-            pairs = pairs.unionByName(_block_pairs(left.filter(F.col("_size") > SMALL), nodes, percent / 100))
+            blocks = _block_pairs(left.filter(F.col("_size") > SMALL), nodes, percent / 100)
         pairs = cut(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
-        n = pairs.count()
+        close = _estimated(pairs, nodes, percent / 100)
+        if turn > PIVOT_ROUNDS:  # blocks have estimated theirs
+            close = close.unionByName(blocks.distinct().join(tested, ["u", "v"], "left_anti"))
+        close = cut(close)
+        tested = tested.unionByName(pairs)
+        n = close.count()
         if n:
-            found = cut(_verified(_estimated(pairs, nodes, percent / 100), sets, percent))
-            tested = tested.unionByName(pairs)
+            found = cut(_verified(close, sets, percent))
             links = links.unionByName(found)
             if found.count():
                 roots = components(links)
