@@ -328,8 +328,11 @@ def _merged_sql(gap: int, name: str = "mg", source: str = "io") -> str:
     return f"""{name} AS (SELECT lane, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM (SELECT *, sum(CASE WHEN start_frame - before - 1 <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY lane ORDER BY start_frame, end_frame ROWS UNBOUNDED PRECEDING) AS grp FROM {source}) GROUP BY lane, grp)"""
 
 
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = faces(spark, sf_dir).filter((F.col("start_frame") < TOTAL_FRAMES) & (F.col("track_id") % 7 == 0))
+def _intervals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    d = faces(spark, sf_dir)
+    if whole:
+        return d.select(F.when(F.col("tier") == "low_conf", "low").otherwise("main").alias("lane"), "start_frame", "end_frame")
+    d = d.filter((F.col("start_frame") < TOTAL_FRAMES) & (F.col("track_id") % 7 == 0))
     return d.select(F.when(F.col("tier") == "low_conf", "low").otherwise("main").alias("lane"), "start_frame", F.least(F.col("end_frame"), F.lit(TOTAL_FRAMES - 1)).alias("end_frame"))
 
 
@@ -400,14 +403,16 @@ cand AS (SELECT p.track_id AS from_track, p.seg AS from_seg, n.track_id AS to_tr
     FROM ev p JOIN ev n ON n.t0 BETWEEN p.t1 - 0.05 AND p.t1 + {MATCH_GAP} AND (p.track_id <> n.track_id OR p.seg <> n.seg))"""
 
 
-def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate links between segments: the next starts at most MATCH_GAP behind the end (bucketed range join)."""
-    e = presence(spark, sf_dir).filter(F.col("track_id") % 4 == 0)
+def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: float = MATCH_GAP) -> DataFrame:
+    """Candidate links between segments: the next starts at most max_gap behind the end (bucketed range join)."""
+    e = presence(spark, sf_dir)
+    if not whole:
+        e = e.filter(F.col("track_id") % 4 == 0)
     key, box = F.struct("frame", "event_id"), F.struct(*BOX)
     e = e.groupBy("track_id", "seg").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(box, key).alias("a"), F.max_by(box, key).alias("z"))
     p = e.select(F.col("track_id").alias("from_track"), F.col("seg").alias("from_seg"), F.col("t1").alias("p1"), *[F.col(f"z.{c}").alias(f"z{c}") for c in BOX])
     n = e.select(F.col("track_id").alias("to_track"), F.col("seg").alias("to_seg"), F.col("t0").alias("n0"), *[F.col(f"a.{c}").alias(f"a{c}") for c in BOX])
-    j = rangejoin.range_join(p, n, F.col("p1") - 0.05, F.col("p1") + MATCH_GAP, "n0", MATCH_GAP)
+    j = rangejoin.range_join(p, n, F.col("p1") - 0.05, F.col("p1") + max_gap, "n0", max_gap)
     j = j.filter((F.col("from_track") != F.col("to_track")) | (F.col("from_seg") != F.col("to_seg"))).withColumn("gap", F.col("n0") - F.col("p1"))
     near = F.greatest(F.lit(0.0), 1 - g.center_ratio(g.box("z"), g.box("a")) / 4)
     return j.select("from_track", "from_seg", "to_track", "to_seg", "gap", (0.6 * s.temporal_score(F.greatest(F.lit(0.0), F.col("gap")), 3.0) + 0.4 * near).alias("score"))
@@ -415,7 +420,11 @@ def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SUCCESSOR_SQL} SELECT from_track, from_seg, count(*) AS candidates, round(max(score), 4) AS best, round(min(gap), 3) AS least_gap FROM cand GROUP BY 1, 2")
 def successor_candidates(spark, sf_dir):
-    return successors(spark, sf_dir).groupBy("from_track", "from_seg").agg(F.count(F.lit(1)).alias("candidates"), r4(F.max("score")).alias("best"), r4(F.min("gap"), 3).alias("least_gap"))
+    return _candidate_counts(successors(spark, sf_dir))
+
+
+def _candidate_counts(links):
+    return links.groupBy("from_track", "from_seg").agg(F.count(F.lit(1)).alias("candidates"), r4(F.max("score")).alias("best"), r4(F.min("gap"), 3).alias("least_gap"))
 
 
 _RANK = "round(score, 9) DESC, to_track, to_seg"
@@ -424,17 +433,25 @@ _RANK = "round(score, 9) DESC, to_track, to_seg"
 @query(f"{SUCCESSOR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY from_track, from_seg ORDER BY {_RANK}) AS rank FROM cand) SELECT from_track, from_seg, to_track, to_seg, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM k WHERE rank <= {TOP}")
 def top_successors(spark, sf_dir):
     """The best candidates of each segment; Spark keeps each task's top ranks before the shuffle."""
+    return _top(successors(spark, sf_dir), TOP)
+
+
+def _top(links, top):
     w = Window.partitionBy("from_track", "from_seg").orderBy(F.desc(F.round("score", 9)), "to_track", "to_seg")
-    d = successors(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP)
+    d = links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return d.select("from_track", "from_seg", "to_track", "to_seg", "rank", r4(F.col("score")).alias("score"))
 
 
 @query(f"""{SUCCESSOR_SQL}, s1 AS (SELECT *, row_number() OVER (PARTITION BY from_track, from_seg ORDER BY {_RANK}) AS r, row_number() OVER (PARTITION BY to_track, to_seg ORDER BY round(score, 9) DESC, from_track, from_seg) AS q FROM cand)
 SELECT from_track, from_seg, to_track, to_seg, round(score, 4) AS score FROM s1 WHERE r = 1 AND q = 1 AND score >= 0.5""")
 def mutual_best_links(spark, sf_dir):
+    return _mutual_best(successors(spark, sf_dir))
+
+
+def _mutual_best(links):
     r = Window.partitionBy("from_track", "from_seg").orderBy(F.desc(F.round("score", 9)), "to_track", "to_seg")
     q = Window.partitionBy("to_track", "to_seg").orderBy(F.desc(F.round("score", 9)), "from_track", "from_seg")
-    d = successors(spark, sf_dir).withColumn("r", F.row_number().over(r)).withColumn("q", F.row_number().over(q)).filter("r = 1 AND q = 1 AND score >= 0.5")
+    d = links.withColumn("r", F.row_number().over(r)).withColumn("q", F.row_number().over(q)).filter("r = 1 AND q = 1 AND score >= 0.5")
     return d.select("from_track", "from_seg", "to_track", "to_seg", r4(F.col("score")).alias("score"))
 
 
@@ -450,8 +467,10 @@ def _clips(spark):
     return spark.range(30).select(F.col("id").alias("clip_id"), (F.col("id") * CLIP).alias("c0"), ((F.col("id") + 1) * CLIP).alias("c1"))
 
 
-def _gt_pred(spark, sf_dir):
-    f = faces(spark, sf_dir).filter((F.col("t0") < 600) & (F.col("track_id") % 3 == 0))
+def _gt_pred(spark, sf_dir, whole=False):
+    f = faces(spark, sf_dir)
+    if not whole:
+        f = f.filter((F.col("t0") < 600) & (F.col("track_id") % 3 == 0))
     gt = f.filter("seg = 0").select(F.col("track_id").alias("gt_id"), F.col("t0").alias("g0"), (F.col("t1") + 0.5).alias("g1"))
     pred = f.filter("tier <> 'low_conf'").select((F.col("track_id") * 1000 + F.col("seg")).alias("pred_id"), "track_id", F.col("t0").alias("p0"), (F.col("t1") + 0.2).alias("p1"))
     return gt, pred
@@ -461,14 +480,21 @@ def _gt_pred(spark, sf_dir):
 def clip_overlap(spark, sf_dir):
     """Events of each clip: every event names the clips that it touches, so this is an equi-join."""
     gt, _ = _gt_pred(spark, sf_dir)
-    d = gt.withColumn("clip_id", F.explode(F.sequence(F.floor(F.col("g0") / CLIP), F.floor(F.col("g1") / CLIP)))).join(_clips(spark), "clip_id").filter("g0 < c1 AND g1 > c0")
+    return _clip_overlap(gt, _clips(spark))
+
+
+def _clip_overlap(gt, clips):
+    d = gt.withColumn("clip_id", F.explode(F.sequence(F.floor(F.col("g0") / CLIP), F.floor(F.col("g1") / CLIP)))).join(clips, "clip_id").filter("g0 < c1 AND g1 > c0")
     return d.groupBy("clip_id").agg(F.count(F.lit(1)).alias("gt_events"), r4(F.sum(F.least("g1", "c1") - F.greatest("g0", "c0")), 3).alias("overlap_sec"))
 
 
 @query(f"""{GT_SQL}, ov AS (SELECT gt_id, pred_id, least(g1, p1) - greatest(g0, p0) AS o, g1 - g0 AS len FROM gt JOIN pred ON track_id = gt_id AND p1 > g0 AND p0 < g1),
 big AS (SELECT * FROM ov WHERE o / len >= 0.25) SELECT 'over_split' AS kind, gt_id AS id, count(*) AS n FROM big GROUP BY gt_id HAVING count(*) >= 1 UNION ALL SELECT 'over_merge', pred_id, count(*) FROM big GROUP BY pred_id HAVING count(*) >= 1""")
 def merge_split_errors(spark, sf_dir):
-    gt, pred = _gt_pred(spark, sf_dir)
+    return _merge_split(*_gt_pred(spark, sf_dir))
+
+
+def _merge_split(gt, pred):
     o = gt.join(pred, (F.col("track_id") == F.col("gt_id")) & (F.col("p1") > F.col("g0")) & (F.col("p0") < F.col("g1")))
     big = o.filter((F.least("g1", "p1") - F.greatest("g0", "p0")) / (F.col("g1") - F.col("g0")) >= 0.25)
     a = big.groupBy(F.col("gt_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("over_split").alias("kind"), "id", "n")
@@ -483,9 +509,12 @@ SELECT clip_id, count(gm.step) AS gt_steps, count(pm.step) AS pred_steps, count(
 FROM grid LEFT JOIN gm USING (step) LEFT JOIN pm USING (step) GROUP BY clip_id""")
 def mask_errors(spark, sf_dir):
     """Covered tenths of a second of ground truth and prediction in each clip."""
-    gt, pred = _gt_pred(spark, sf_dir)
+    return _mask_errors(*_gt_pred(spark, sf_dir), _clips(spark))
+
+
+def _mask_errors(gt, pred, clips):
     steps = lambda d, a, b, name: d.select(F.explode(F.sequence(F.ceil(F.round(F.col(a) * 10, 6)), F.floor(F.round(F.col(b) * 10, 6)))).alias("step")).distinct().withColumn(name, F.lit(1))
-    grid = _clips(spark).select("clip_id", F.explode(F.sequence((F.col("c0") * 10).cast("long"), (F.col("c1") * 10 - 1).cast("long"))).alias("step"))
+    grid = clips.select("clip_id", F.explode(F.sequence((F.col("c0") * 10).cast("long"), (F.col("c1") * 10 - 1).cast("long"))).alias("step"))
     d = grid.join(steps(gt, "g0", "g1", "g"), "step", "left").join(steps(pred, "p0", "p1", "p"), "step", "left")
     both = F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull())
     return d.groupBy("clip_id").agg(F.count("g").alias("gt_steps"), F.count("p").alias("pred_steps"), F.count_if(F.col("p").isNotNull() & F.col("g").isNull()).alias("false_steps"), F.count_if(F.col("g").isNotNull() & F.col("p").isNull()).alias("miss_steps"), r4(F.try_divide(both, F.count("g") + F.count("p") - both)).alias("mask_iou"))
@@ -495,8 +524,8 @@ def mask_errors(spark, sf_dir):
 
 @query()
 def greedy_matches(spark, sf_dir):
-    """Ground truth and predictions of a track by falling interval IoU, each once."""
-    gt, pred = _gt_pred(spark, sf_dir)
+    """Ground truth and predictions of a track by falling interval IoU, each once; all tracks."""
+    gt, pred = _gt_pred(spark, sf_dir, whole=True)
     o = gt.join(pred, F.col("track_id") == F.col("gt_id")).withColumn("iou", F.greatest(F.lit(0.0), F.least("g1", "p1") - F.greatest("g0", "p0")) / (F.greatest("g1", "p1") - F.least("g0", "p0"))).filter("iou >= 0.3")
     return matching.greedy_pairs(o.select("track_id", "gt_id", "pred_id", r4(F.col("iou")).alias("iou")), "track_id", "gt_id", "pred_id", "iou")
 
@@ -526,3 +555,83 @@ def singleton_rescue(spark, sf_dir):
     d = isl.islands(tracked(spark, sf_dir), ["track_id"], ORDER, lambda d: d["t"] - d["prev_t"] >= 1.0, ["t"], "chunk")
     c = d.groupBy("track_id", "chunk").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"))
     return matching.rescue_singletons(c, "track_id", 1.5)
+
+
+# ---------------------------------------------------------------- whole tables, no SQL
+# The queries of the same names without "whole_" and their SQL run over some tracks and the first frames only.
+
+
+def _whole_merged(spark, sf_dir):
+    """Merged intervals of all events, with the number of frames of the video as total."""
+    d = _intervals(spark, sf_dir, whole=True)
+    total = d.agg((F.max("end_frame") + 1).alias("total"))
+    return isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", 31, SPREAD).crossJoin(F.broadcast(total))
+
+
+def _whole_clips(gt, pred):
+    """As many clips as the last event needs."""
+    last = gt.agg(F.max("g1").alias("e")).unionByName(pred.agg(F.max("p1").alias("e"))).agg(F.max("e").alias("e")).filter("e IS NOT NULL")
+    clips = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("e") / CLIP))).alias("clip_id"))
+    return clips.select("clip_id", (F.col("clip_id") * CLIP).alias("c0"), ((F.col("clip_id") + 1) * CLIP).alias("c1"))
+
+
+#: Frames of a bucket of coalesce_spread.
+SPREAD = 600
+
+
+@query()
+def whole_merged_intervals(spark, sf_dir):
+    return _whole_merged(spark, sf_dir).drop("total")
+
+
+@query()
+def whole_segment_plan(spark, sf_dir):
+    return isl.complement(_whole_merged(spark, sf_dir), ["lane"], F.col("total"))
+
+
+@query()
+def whole_keyframe_snap(spark, sf_dir):
+    ceil = F.ceil((F.col("end_frame") + 1) / 60) * 60
+    return _whole_merged(spark, sf_dir).select("lane", "start_frame", "end_frame", (F.floor(F.col("start_frame") / 60) * 60).alias("key_floor"), (F.least(ceil, F.col("total")) - 1).alias("key_ceil"))
+
+
+@query()
+def whole_coverage_sweep(spark, sf_dir):
+    d = _intervals(spark, sf_dir, whole=True)
+    m = None
+    for k in SWEEP:
+        one = isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", k + 1, SPREAD).withColumn("gap", F.lit(k).cast("long"))
+        m = one if m is None else m.unionByName(one)
+    return m.groupBy("lane", "gap").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
+
+
+@query()
+def whole_successor_candidates(spark, sf_dir):
+    return _candidate_counts(successors(spark, sf_dir, whole=True))
+
+
+@query()
+def whole_top_successors(spark, sf_dir):
+    return _top(successors(spark, sf_dir, whole=True), TOP)
+
+
+@query()
+def whole_mutual_best_links(spark, sf_dir):
+    return _mutual_best(successors(spark, sf_dir, whole=True))
+
+
+@query()
+def whole_clip_overlap(spark, sf_dir):
+    gt, pred = _gt_pred(spark, sf_dir, whole=True)
+    return _clip_overlap(gt, _whole_clips(gt, pred))
+
+
+@query()
+def whole_merge_split_errors(spark, sf_dir):
+    return _merge_split(*_gt_pred(spark, sf_dir, whole=True))
+
+
+@query()
+def whole_mask_errors(spark, sf_dir):
+    gt, pred = _gt_pred(spark, sf_dir, whole=True)
+    return _mask_errors(gt, pred, _whole_clips(gt, pred))
