@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_folder  # noqa: F401
+
 #: Text bytes that a Python worker handles at once (a longer document is a chunk of its own).
 CHUNK_BYTES = 2 << 20
 
@@ -19,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    Later jobs and lost executors don't recompute it. A written table rather than checkpoint(): a plan over it
-    starts afresh, where a checkpoint carries the constraints of its origin along, which grow from round to round.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/boxwright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_text(col: Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

@@ -5,6 +5,8 @@ Each runs on one bounded group (a clip, a frame, a component, a cluster, a track
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,17 +79,66 @@ def assign(weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def assign_edges(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which edges (rows ascending, weights >= 0) a maximum-weight matching takes: as assign, over the edges alone.
+
+    Any row may stay free, which weighs 0. Prices keep gain[i] >= weight - price on every edge; each row is matched
+    along the cheapest path (Dijkstra over columns) to a free column or to a row that gives up its own.
+    """
+    n, m = int(rows.max(initial=-1)) + 1, int(cols.max(initial=-1)) + 1
+    ends = np.searchsorted(rows, np.arange(n + 1)).tolist()
+    col, weight = cols.tolist(), weights.tolist()
+    price, gain = [0.0] * m, [0.0] * n
+    owner, taken = [-1] * m, [-1] * n  # row of a column, edge of a row
+    for start in range(n):
+        gain[start] = max(0.0, max(weight[e] - price[col[e]] for e in range(ends[start], ends[start + 1])))
+        dist, via, heap, done, reached = {}, {}, [], {}, [(start, 0.0)]
+        row, at, leave, leaver = start, 0.0, float("inf"), start
+        while True:
+            if at + gain[row] < leave:
+                leave, leaver = at + gain[row], row
+            for e in range(ends[row], ends[row + 1]):
+                j = col[e]
+                if j not in done:
+                    d = at + max(0.0, gain[row] - weight[e] + price[j])
+                    if d < dist.get(j, float("inf")):
+                        dist[j], via[j] = d, (e, row)
+                        heapq.heappush(heap, (d, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or leave <= heap[0][0]:
+                total, row = leave, leaver
+                end = col[taken[row]] if row != start else -1
+                taken[row] = -1
+                break
+            at, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                total, end = at, j
+                break
+            done[j], row = at, owner[j]
+            reached.append((row, at))
+        for j, d in done.items():
+            price[j] += total - d
+        for i, d in reached:
+            gain[i] -= total - d
+        while end >= 0:  # the columns of the path move on to the rows that reached them
+            e, i = via[end]
+            before = taken[i]
+            owner[end], taken[i] = i, e
+            end = col[before] if i != start else -1
+    chosen = np.zeros(len(col), bool)
+    chosen[[e for e in taken if e >= 0]] = True
+    return chosen
+
+
 def assignment(edges: DataFrame, group: str) -> DataFrame:
     """The chosen edges (from_id, to_id, score) of each group: maximum total score, each end once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["from_id", "to_id"], kind="stable").reset_index(drop=True)
-        rows, r = np.unique(pdf["from_id"], return_inverse=True)
-        cols, c = np.unique(pdf["to_id"], return_inverse=True)
-        n = max(len(rows), len(cols))
-        w = np.zeros((n, n))
-        w[r, c] = pdf["score"]
-        return pdf[assign(w)[r] == c]
+        r = np.unique(pdf["from_id"], return_inverse=True)[1]
+        c = np.unique(pdf["to_id"], return_inverse=True)[1]
+        return pdf[assign_edges(r, c, pdf["score"].to_numpy(float))]
 
     return edges.groupBy(group).applyInPandas(run, edges.schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import islands as isl
 from ..operators import matching, rangejoin
+from ..operators.components import components
+from ..sources.shared import cut
 from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, WIDTH, decisions, table, tracked
 
 QUERIES: dict = {}
@@ -397,14 +401,16 @@ def track_profiles(spark, sf_dir):
 
 
 MATCH_GAP, TOP = 6.0, 5
+#: The reference's gap (colour histograms) and number of successors; the best score beyond MATCH_GAP.
+FULL_GAP, FULL_TOP, FAR_SCORE = 90.0, 25, 0.6 * math.exp(-MATCH_GAP / 3.0) + 0.4
 SUCCESSOR_SQL = f"""{SEGMENTS_SQL}, ev AS (SELECT track_id, seg, min(t) AS t0, max(t) AS t1, {", ".join(f"arg_min({c}, (frame, event_id)) AS a{c}, arg_max({c}, (frame, event_id)) AS z{c}" for c in BOX)} FROM seg WHERE track_id % 4 = 0 GROUP BY 1, 2),
 cand AS (SELECT p.track_id AS from_track, p.seg AS from_seg, n.track_id AS to_track, n.seg AS to_seg, n.t0 - p.t1 AS gap,
     0.6 * exp(-greatest(0.0, n.t0 - p.t1) / 3.0) + 0.4 * greatest(0.0, 1 - {g.center_ratio_sql("p.z", "n.a")} / 4) AS score
     FROM ev p JOIN ev n ON n.t0 BETWEEN p.t1 - 0.05 AND p.t1 + {MATCH_GAP} AND (p.track_id <> n.track_id OR p.seg <> n.seg))"""
 
 
-def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: float = MATCH_GAP) -> DataFrame:
-    """Candidate links between segments: the next starts at most max_gap behind the end (bucketed range join)."""
+def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: float = MATCH_GAP, skip: DataFrame | None = None) -> DataFrame:
+    """Candidate links between segments, but those from skip: the next starts at most max_gap behind the end (bucketed range join)."""
     e = presence(spark, sf_dir)
     if not whole:
         e = e.filter(F.col("track_id") % 4 == 0)
@@ -412,6 +418,8 @@ def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: f
     e = e.groupBy("track_id", "seg").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(box, key).alias("a"), F.max_by(box, key).alias("z"))
     p = e.select(F.col("track_id").alias("from_track"), F.col("seg").alias("from_seg"), F.col("t1").alias("p1"), *[F.col(f"z.{c}").alias(f"z{c}") for c in BOX])
     n = e.select(F.col("track_id").alias("to_track"), F.col("seg").alias("to_seg"), F.col("t0").alias("n0"), *[F.col(f"a.{c}").alias(f"a{c}") for c in BOX])
+    if skip is not None:
+        p = p.join(skip, ["from_track", "from_seg"], "left_anti")
     j = rangejoin.range_join(p, n, F.col("p1") - 0.05, F.col("p1") + max_gap, "n0", max_gap)
     j = j.filter((F.col("from_track") != F.col("to_track")) | (F.col("from_seg") != F.col("to_seg"))).withColumn("gap", F.col("n0") - F.col("p1"))
     near = F.greatest(F.lit(0.0), 1 - g.center_ratio(g.box("z"), g.box("a")) / 4)
@@ -537,11 +545,18 @@ def frame_nms(spark, sf_dir):
 
 @query()
 def assigned_links(spark, sf_dir):
-    """Maximum-weight links among each ten-minute window's candidates."""
-    d = successors(spark, sf_dir).filter("score >= 0.5").select(F.floor(F.col("from_track") / 64).alias("part"), (F.col("from_track") * 1000 + F.col("from_seg")).alias("from_id"), (F.col("to_track") * 1000 + F.col("to_seg")).alias("to_id"), r4(F.col("score")).alias("score"))
+    """Maximum-weight links of all segments, each end once, over the FULL_TOP best candidates of score 0.5 at least.
+
+    A candidate more than MATCH_GAP behind scores FAR_SCORE at most, so none of FULL_GAP is lost. Connected components
+    of the candidates share no end: solved apart, they give the optimum of the whole.
+    """
+    d = successors(spark, sf_dir, whole=True).filter("score >= 0.5").select((F.col("from_track") * 1000 + F.col("from_seg")).alias("from_id"), (F.col("to_track") * 1000 + F.col("to_seg")).alias("to_id"), r4(F.col("score")).alias("score"))
     w = Window.partitionBy("from_id").orderBy(F.desc("score"), "to_id")
-    d = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TOP).drop("r")
-    return matching.assignment(d, "part")
+    d = cut(d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= FULL_TOP).drop("r"))
+    u, v = F.col("from_id") * 2, F.col("to_id") * 2 + 1  # a segment's end and its start are two nodes
+    roots = components(d.select(u.alias("u"), v.alias("v")))
+    d = d.withColumn("node", v).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    return matching.assignment(d.select("part", "from_id", "to_id", "score"), "part")
 
 
 @query()
@@ -607,16 +622,21 @@ def whole_coverage_sweep(spark, sf_dir):
 
 @query()
 def whole_successor_candidates(spark, sf_dir):
-    return _candidate_counts(successors(spark, sf_dir, whole=True))
+    return _candidate_counts(successors(spark, sf_dir, whole=True, max_gap=FULL_GAP))
 
 
 @query()
 def whole_top_successors(spark, sf_dir):
-    return _top(successors(spark, sf_dir, whole=True), TOP)
+    """A segment with FULL_TOP candidates above FAR_SCORE within MATCH_GAP has them all; only the others look on to FULL_GAP."""
+    near = _top(successors(spark, sf_dir, whole=True), FULL_TOP)
+    done = near.filter((F.col("rank") == FULL_TOP) & (F.col("score") > FAR_SCORE + 0.001)).select("from_track", "from_seg")  # scores have 4 digits
+    rest = _top(successors(spark, sf_dir, whole=True, max_gap=FULL_GAP, skip=done), FULL_TOP)
+    return near.join(done, ["from_track", "from_seg"], "left_semi").unionByName(rest)
 
 
 @query()
 def whole_mutual_best_links(spark, sf_dir):
+    """MATCH_GAP is enough: a link that scores 0.5 is above FAR_SCORE, as all that outrank it."""
     return _mutual_best(successors(spark, sf_dir, whole=True))
 
 

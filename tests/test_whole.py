@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxwright.operators import islands
+from boxwright.operators import islands, matching
 from boxwright.plans import queries as q
 
 LANE = "lane string, start_frame long, end_frame long"
@@ -88,3 +88,67 @@ def test_evaluation_queries_take_every_track_and_second(spark, events):
     g, p = steps(gt.values()), steps(x[1:] for x in pred.values())
     m = q.whole_mask_errors(spark, events).agg(F.sum("gt_steps"), F.sum("pred_steps"), F.sum("false_steps"), F.sum("miss_steps")).first()
     assert tuple(m) == (len(g), len(p), len(p - g), len(g - p)) and max(p) > 6000
+
+
+def links(spark, events):
+    """All candidate links by a nested loop: ((track, seg), (track, seg)) -> (gap, score)."""
+    e = defaultdict(list)
+    for r in q.presence(spark, events).select("track_id", "seg", "frame", "event_id", "t", *q.BOX).collect():
+        e[r.track_id, r.seg].append((r.frame, r.event_id, r.t, *(r[c] for c in q.BOX)))
+    one = {k: (min(x[2] for x in v), max(x[2] for x in v), min(v)[3:], max(v)[3:]) for k, v in e.items()}
+    out = {}
+    for a, (_, t1, _, z) in one.items():
+        for b, (t0, _, y, _) in one.items():
+            if a != b and -0.05 <= t0 - t1 <= 90:
+                dist = np.hypot((z[0] + z[2] - y[0] - y[2]) / 2, (z[1] + z[3] - y[1] - y[3]) / 2)
+                ratio = spark_ratio(z, y, dist)
+                out[a, b] = (t0 - t1, 0.6 * np.exp(-max(0.0, t0 - t1) / 3) + 0.4 * max(0.0, 1 - ratio / 4))
+    return out
+
+
+def spark_ratio(z, y, dist):
+    size = lambda b: max(b[2] - b[0], b[3] - b[1])
+    return dist / max(size(z), size(y), 1.0)
+
+
+def test_successors_reach_as_far_as_the_reference(spark, events):
+    want = links(spark, events)
+    of = defaultdict(list)
+    for (a, b), (gap, score) in want.items():
+        of[a].append((-round(score, 9), b, gap))
+    got = {(r.from_track, r.from_seg): (r.candidates, r.best, r.least_gap) for r in q.whole_successor_candidates(spark, events).collect()}
+    assert got == {a: (len(v), pytest.approx(-min(v)[0], abs=1e-4), pytest.approx(min(x[2] for x in v), abs=1e-3)) for a, v in of.items()}
+    top = defaultdict(dict)
+    for r in q.whole_top_successors(spark, events).collect():
+        top[r.from_track, r.from_seg][r.rank] = (r.to_track, r.to_seg)
+    assert top == {a: dict(enumerate((x[1] for x in sorted(v)[:25]), 1)) for a, v in of.items()}
+    assert max(map(len, top.values())) == 25 and max(x[2] for v in of.values() for x in v) > 6
+
+
+def test_assigned_links_are_a_global_optimum(spark, events):
+    edges = {(a[0] * 1000 + a[1], b[0] * 1000 + b[1]): round(s, 4) for (a, b), (_, s) in links(spark, events).items() if s >= 0.5}
+    rows, cols = ({x: i for i, x in enumerate(sorted({e[k] for e in edges}))} for k in (0, 1))
+    w = np.zeros((max(len(rows), len(cols)),) * 2)
+    for (a, b), s in edges.items():
+        w[rows[a], cols[b]] = s
+    got = q.assigned_links(spark, events).collect()
+    assert len({r.from_id for r in got}) == len({r.to_id for r in got}) == len(got) and all((r.from_id, r.to_id) in edges for r in got)
+    assert sum(r.score for r in got) == pytest.approx(w[np.arange(len(w)), matching.assign(w)].sum(), abs=1e-3)
+
+
+def test_links_over_track_ranges_share_no_end(spark):
+    """Ends that tracks of two ranges of 64 want: the parts are components, not ranges."""
+    d = spark.createDataFrame([(1, 1, 9, 0.9), (1, 70, 9, 0.8), (1, 1, 8, 0.85)], "part long, from_id long, to_id long, score double")
+    assert sorted((r.from_id, r.to_id) for r in matching.assignment(d, "part").collect()) == [(1, 8), (70, 9)]
+
+
+def test_sparse_assignment_equals_dense():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        w = np.where(rng.random((n := int(rng.integers(1, 14)), n)) < 0.4, rng.integers(0, 12, (n, n)) / 10, 0)
+        r, c = np.nonzero(w)
+        if len(r):
+            r2 = np.unique(r, return_inverse=True)[1]
+            x = matching.assign_edges(r2, c, w[r, c])
+            assert len(set(r[x])) == len(set(c[x])) == x.sum()
+            assert w[r, c][x].sum() == pytest.approx(w[np.arange(n), matching.assign(w)].sum())
