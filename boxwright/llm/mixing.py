@@ -5,13 +5,13 @@ floor((i - 1) / w) and is due by slot ceil(i / w); in each slot the released blo
 runs (ties: source order). With weights that sum to 1 every deadline is met, so after any number of slots each
 source is within one block of its target share.
 
-Weights are kept as whole shares of RESOLUTION slots, so the schedule repeats every RESOLUTION slots. One such
-period is computed once, as a DataFrame expression, and broadcast (RESOLUTION rows at most); block b of a source
-with s shares runs in period b div s, in the slot of its (b mod s)-th turn. Numbering the documents of a source
-takes salted buckets and a prefix sum over their counts, so a hot source is spread over BUCKETS tasks.
+Weights are taken as given, never rounded to shares. Until some source runs dry the schedule is computed slot by
+slot, as one DataFrame expression over the few sources (PLANNED slots to a step, so one task that grows with the
+number of blocks, not documents), and broadcast as one array of slots for each source. Numbering the documents of a
+source takes salted buckets and a prefix sum over their counts, so a hot source is spread over BUCKETS tasks.
 
-Every document is placed. When a source is used up its slots stay empty, and the others go on in their order;
-up to that slot the mix is on target, as on_target says. Order by (slot, place) to read the mix.
+Every document is placed. Up to the slot in which a source runs dry the mix is on target, as on_target says; the
+blocks behind it follow in the order of (i - 1/2) / w, each slot filled. Order by (slot, place) to read the mix.
 
 Defined results: a null source counts as source ''; a source without a weight gets none and is left out (its
 decision is the caller's); rows are shuffled within a source by a hash of their id; rows that agree in id keep
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text, cut
 
-RESOLUTION = 1000
+RESOLUTION = PLANNED = 1000
 BUCKETS = 512
 BLOCK_DOCS = 8
 
@@ -54,58 +54,79 @@ def shares(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     return w.select("source_name", idx.alias("idx"), share.cast("long").alias("share"))
 
 
-def period(share_table: DataFrame) -> DataFrame:
-    """(source_name, turn, slot_in_period, share, period_slots): earliest deadline first over one period."""
-    one = share_table.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "source_name", "share"))), lambda x: F.struct(x["source_name"], x["share"])).alias("s"))
-    one = one.filter(F.size("s") > 0).withColumn("w", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["share"]))
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<struct<k:int,turn:bigint>>").alias("picks"))
-
-    def slot(acc, t):
-        # of the blocks that are released by now: (deadline, source)
-        ready = F.transform(
-            F.filter(
-                F.transform(F.arrays_zip(F.col("s"), acc["done"].alias("done")), lambda x, k: F.struct(x["s"]["share"].alias("share"), x["done"].alias("done"), k.alias("k"))),
-                lambda x: (x["done"] < x["share"]) & (F.floor(x["done"] * F.col("w") / x["share"]) <= t),
-            ),
-            lambda x: F.struct(F.ceil((x["done"] + 1) * F.col("w") / x["share"]).alias("due"), x["k"].alias("k"), x["done"].alias("done")),
+def schedule(sources: DataFrame, step: int = PLANNED) -> DataFrame:
+    """One row (s, done, picks) of sources (source_name, weight > 0, blocks): earliest deadline first until one is dry.
+
+    s is the array of sources by name, done the blocks that each ran, picks the arrays of their numbers by slot.
+    """
+    one = sources.agg(F.array_sort(F.collect_list(F.struct("source_name", "weight", "blocks"))).alias("s")).filter(F.size("s") > 0)
+    one = one.withColumn("w", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["weight"]))
+    one = one.withColumn("s", F.transform("s", lambda x: F.struct(x["source_name"].alias("source_name"), x["weight"].alias("weight"), x["blocks"].alias("blocks"), (F.col("w") / x["weight"]).alias("every"))))
+    # a source is dry at the latest when its block behind the last is due
+    last = F.array_min(F.transform("s", lambda x: F.ceil((x["blocks"] + 1) * x["every"]))).cast("long")
+    one = one.withColumn("last", last)
+    empty = F.array().cast("array<int>")
+    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.lit(False).alias("dry"), F.lit(0).cast("long").alias("t"), empty.alias("now"))
+
+    def slot(acc, _):
+        # all blocks that come next: (not released by now, deadline, source); near-whole quotients count as whole
+        ahead = F.transform(
+            F.arrays_zip(F.col("s"), acc["done"].alias("done")),
+            lambda x, k: F.struct((F.floor(x["done"] * F.col("w") / x["s"]["weight"] * (1 + 1e-12)) > acc["t"]).alias("early"), F.ceil((x["done"] + 1) * F.col("w") / x["s"]["weight"] * (1 - 1e-12)).alias("due"), k.alias("k"), (x["done"] >= x["s"]["blocks"]).alias("dry")),
         )
-        best = F.array_min(ready)
-        return F.struct(
+        best = F.array_min(ahead)
+        ran = F.struct(
             F.transform(acc["done"], lambda d, k: d + F.when(k == best["k"], 1).otherwise(0)).alias("done"),
-            F.array_append(acc["picks"], F.struct(best["k"].alias("k"), best["done"].alias("turn"))).alias("picks"),
+            F.lit(False).alias("dry"),
+            (acc["t"] + 1).alias("t"),
+            F.array_append(acc["now"], best["k"]).alias("now"),
         )
+        stop = F.struct(acc["done"].alias("done"), F.lit(True).alias("dry"), acc["t"].alias("t"), acc["now"].alias("now"))
+        return F.when(acc["dry"], acc).when(best["dry"], stop).otherwise(ran)
+
+    def chunk(acc, _):
+        begun = F.struct(acc["x"]["done"].alias("done"), acc["x"]["dry"].alias("dry"), acc["x"]["t"].alias("t"), empty.alias("now"))
+        x = F.aggregate(F.sequence(F.lit(1), F.lit(step)), begun, slot)
+        # x is used twice: an array of one holds it
+        return F.transform(F.array(x), lambda y: F.struct(y.alias("x"), F.array_append(acc["picks"], y["now"]).alias("picks")))[0]
 
-    ran = one.select("s", "w", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("w") - 1), start, slot).alias("run"))
-    rows = ran.select("s", "w", F.posexplode("run.picks").alias("slot_in_period", "pick"))
-    source = F.element_at("s", F.col("pick.k") + 1)
-    return rows.select(source["source_name"].alias("source_name"), F.col("pick.turn").alias("turn"), F.col("slot_in_period").cast("long").alias("slot_in_period"), source["share"].alias("share"), F.col("w").alias("period_slots"))
+    begin = F.struct(start.alias("x"), F.array().cast("array<array<int>>").alias("picks"))
+    steps = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step).cast("long"))
+    return one.select("s", F.aggregate(steps, begin, chunk).alias("run")).select("s", F.col("run.x.done").alias("done"), F.col("run.picks").alias("picks"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, id_col: str = "doc_id") -> DataFrame:
-    """docs with source_name, block, slot, place (in the block) and on_target."""
-    # one period: as many rows as the resolution, computed once
-    plan = F.broadcast(cut(period(shares(weights if weights is not None else tempered_weights(docs), resolution))))
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = PLANNED, id_col: str = "doc_id") -> DataFrame:
+    """docs with source_name, block, slot, place (in the block) and on_target; resolution: slots planned to a step."""
     key = F.xxhash64(F.col(id_col))
     rows = docs.withColumn("source_name", as_text(F.col("source"))).withColumn("_hash", key).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)))
     counts = rows.groupBy("source_name", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source_name").orderBy("_bucket")
-    starts = counts.select(F.col("source_name").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(before) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy("source_name")).alias("_total"))
+    starts = counts.select(F.col("source_name").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
     inner = Window.partitionBy("source_name", "_bucket").orderBy("_hash", id_col)
     numbered = rows.withColumn("_i", F.row_number().over(inner)).join(starts, (F.col("source_name") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     numbered = numbered.withColumn("_rank", F.col("_start") + F.col("_i") - 1).withColumn("block", F.floor(F.col("_rank") / block_docs)).withColumn("place", F.col("_rank") % block_docs)
-    # the first slot that some source can no longer fill, from the counts alone
-    sizes = starts.groupBy("_s").agg(F.max("_total").alias("_total"))
-    facts = plan.groupBy("source_name").agg(F.max("share").alias("share"), F.max("period_slots").alias("w"))
-    blocks = F.ceil(F.coalesce(F.col("_total"), F.lit(0)) / block_docs)
-    runs_dry = facts.join(sizes, F.col("source_name") == F.col("_s"), "left").select("source_name", blocks.alias("nb"), "share", "w")
-    dry = runs_dry.alias("f").join(plan.alias("p"), (F.col("f.source_name") == F.col("p.source_name")) & (F.expr("f.nb % f.share") == F.col("p.turn")))
-    horizon = dry.agg(F.min(F.expr("floor(f.nb / f.share) * f.w + p.slot_in_period")).alias("_horizon"))
-    p = plan.select(F.col("source_name").alias("_ps"), "turn", "slot_in_period", F.col("share").alias("_share"), F.col("period_slots").alias("_w"))
-    only = facts.select(F.col("source_name").alias("_fs"), F.col("share").alias("_fshare"))
-    placed = numbered.join(F.broadcast(only), F.col("source_name") == F.col("_fs")).withColumn("_turn", F.col("block") % F.col("_fshare"))
-    placed = placed.join(p, (F.col("source_name") == F.col("_ps")) & (F.col("_turn") == F.col("turn")))
-    placed = placed.withColumn("slot", F.floor(F.col("block") / F.col("_share")) * F.col("_w") + F.col("slot_in_period"))
-    placed = placed.crossJoin(F.broadcast(horizon)).withColumn("on_target", F.col("slot") < F.col("_horizon"))
+    sizes = counts.groupBy(F.col("source_name").alias("_s")).agg(F.sum("_n").alias("_total"))
+    given = (weights if weights is not None else tempered_weights(docs)).filter("weight > 0").select("source_name", F.col("weight").cast("double").alias("weight"))
+    given = given.join(sizes, F.col("source_name") == F.col("_s"), "left").select("source_name", "weight", F.ceil(F.coalesce("_total", F.lit(0)) / block_docs).cast("long").alias("blocks"))
+    plan = cut(schedule(given, resolution))
+    # a source's slots in order, one row for each source
+    runs = plan.select(F.posexplode(F.flatten("picks")).alias("_slot", "_k")).groupBy("_k").agg(F.array_sort(F.collect_list(F.col("_slot").cast("long"))).alias("_slots"))
+    each = plan.select(F.posexplode("s").alias("_k", "_source")).select("_k", F.col("_source.source_name").alias("_name"), F.col("_source.every").alias("_every"))
+    each = each.join(runs, "_k", "left").select("_k", "_name", "_every", F.coalesce("_slots", F.array().cast("array<bigint>")).alias("_slots"))
+    rest = plan.select(F.arrays_zip("s", "done").alias("_rest"), F.aggregate("done", F.lit(0).cast("long"), lambda a, x: a + x).alias("_horizon"))
+    placed = numbered.join(F.broadcast(each), F.col("source_name") == F.col("_name")).withColumn("_planned", F.get("_slots", F.col("block").cast("int"))).drop("_slots")
+    # behind the horizon: how many blocks of all sources that are left come before, by (block + 1/2) * every, source
+    at = (F.col("block") + 0.5) * F.col("_every")
+
+    def before(x, j):
+        guess = F.floor(at / x["s"]["every"] - 0.5).cast("long")
+        comes = lambda b: F.when(((b + 0.5) * x["s"]["every"] < at) | (((b + 0.5) * x["s"]["every"] == at) & (j < F.col("_k"))), 1).otherwise(0)
+        n = guess - 1 + comes(guess - 1) + comes(guess) + comes(guess + 1)
+        n = F.when(j == F.col("_k"), F.col("block")).otherwise(n)
+        return F.greatest(F.least(n, x["s"]["blocks"]) - x["done"], F.lit(0))
+
+    later = F.col("_horizon") + F.aggregate(F.transform("_rest", before), F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = placed.crossJoin(F.broadcast(rest)).withColumn("slot", F.coalesce("_planned", later)).withColumn("on_target", F.col("slot") < F.col("_horizon"))
     return placed.select(*[c for c in docs.columns if c not in ("source_name", "block", "slot", "place", "on_target")], "source_name", "block", "slot", "place", "on_target")
 
 
