@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
     return placed.select(*[c for c in docs.columns if c not in ("source_name", "block", "slot", "place", "on_target")], "source_name", "block", "slot", "place", "on_target")
 
 
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in mixed order: files hold ascending ranges of slots, each sorted."""
+def mixed_order(docs: DataFrame, with_slot: bool = False, **options) -> DataFrame:
+    """The rows of docs in mixed order: files hold ascending ranges of slots, each sorted; with their slot, if wanted."""
     placed = mix_sources(docs, **options)
-    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns, *(["slot"] if with_slot else []))

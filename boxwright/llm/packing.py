@@ -9,6 +9,8 @@ Pieces are dealt by hash into pools of about POOL pieces that are packed apart,
 proportion to the input, and a pool leaves about one sequence partly filled. The sequences that are filled less
 than REPACK of the tokens are then opened again and their pieces packed in pools of their own.
 
+With a column slot, as the mix gives it, pools are consecutive ranges of slots and sequence_id follows them.
+
 Defined results: a null or empty text is one piece that holds the end id; ties in length go by id, then piece;
 rows that repeat are packed each; an empty table gives an empty table; other columns are ignored.
 """
@@ -75,8 +77,12 @@ def _pack_pool(tokens: int, documents: int, cost: float, id_col: str):
     return run
 
 
-def _pools(pieces: DataFrame, n: int, pool: int, first: int, id_col: str) -> DataFrame:
+def _pools(pieces: DataFrame, n: int, pool: int, first: int, id_col: str, slots: int | None = None, among: int = 0) -> DataFrame:
     count = max(1, -(-n // pool))
+    if slots is not None:
+        # consecutive slots; the second round's pools get the odd numbers beside the first round's of the same slots
+        k = F.floor(F.col("slot") * count / slots).cast("long")
+        return pieces.withColumn("pool", F.floor(k * among / count).cast("long") * 2 + 1 if among else k * 2)
     return pieces.withColumn("pool", F.pmod(F.xxhash64(id_col, "piece", F.lit(first)), F.lit(count)) + F.lit(first))
 
 
@@ -84,17 +90,24 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: flo
     """pieces (id, piece, start, length, ids_crc32) with sequence_id and offset."""
     cost = float(cost or tokens**2)
     cols = [c for c in (id_col, "piece", "start", "length", "ids_crc32") if c in pieces.columns]
-    kept = cut(pieces.select(*cols))
+    inner = [*cols, "slot"] if "slot" in pieces.columns else cols
+    kept = cut(pieces.select(*inner))
+    slots = (kept.agg(F.max("slot")).first()[0] or 0) + 1 if "slot" in inner else None
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     schema = f"{fields}, pool long, sequence_id long, offset long, filled long"
     n = kept.count()
-    once = cut(_pools(kept, n, pool, 0, id_col).groupBy("pool").applyInPandas(_pack_pool(tokens, documents, cost, id_col), schema))
+    once = cut(_pools(kept, n, pool, 0, id_col, slots).groupBy("pool").applyInPandas(_pack_pool(tokens, documents, cost, id_col), schema))
     good = F.col("filled") >= REPACK * tokens
-    rest = once.filter(~good).select(*cols)
+    rest = once.filter(~good).select(*inner)
     first = max(1, -(-n // pool))
-    again = _pools(rest, rest.count(), pool, first, id_col).groupBy("pool").applyInPandas(_pack_pool(tokens, documents, cost, id_col), schema)
+    again = _pools(rest, rest.count(), pool, first, id_col, slots, first).groupBy("pool").applyInPandas(_pack_pool(tokens, documents, cost, id_col), schema)
     return once.filter(good).unionByName(again).select(*cols, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, **options) -> DataFrame:
-    return pack(token_pieces(docs, path, tokens), tokens, **options)
+    if "slot" not in docs.columns:
+        return pack(token_pieces(docs, path, tokens), tokens, **options)
+    # the slot travels with the id, so that ids that repeat keep their own
+    both = docs.withColumn("_id", F.struct("doc_id", "slot"))
+    pieces = token_pieces(both, path, tokens, id_col="_id")
+    return pack(pieces.select("_id.*", "piece", "start", "length", "ids_crc32"), tokens, **options)

@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each reads what its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, the mix their slot too.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that keeps every source within one block of its target weight.
+    """All documents with their slot, in the order that keeps every source within one block of its target weight.
 
-    The decision is the order: files hold ascending ranges of slots, each sorted.
+    The decision is the slot: packing fills its sequences from consecutive slots.
     """
-    return mixing.mixed_order(docs)
+    return mixing.mixed_order(docs, with_slot=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
