@@ -1,7 +1,10 @@
 """Vectorised hashing of words and byte windows over many texts at once (numpy, inside tasks).
 
-The hash of bytes b[s:e] is a polynomial in an odd base over the integers modulo 2**64, with every byte first
-replaced by a random 64-bit number. One prefix sum over a chunk gives the hash of any substring in O(1).
+Bytes b[s:e] are hashed in blocks of BLOCK bytes from s on. A block's value is a polynomial in an odd base modulo
+2**64 over random numbers for the bytes; one prefix sum over a chunk gives that of any block. Each block's value is
+mixed into the state before the next comes, and the length takes part: a polynomial over the whole string would be
+linear, and strings built for it (such as a Thue-Morse word and its complement, from 1024 characters on) would
+collide in any odd base.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE, _MASK = 0x9E3779B97F4A7C13, (1 << 64) - 1
+_MASK = (1 << 64) - 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -28,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n (at least)."""
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
@@ -37,12 +40,16 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _tables[base] = have
     return have
 
 
-_BYTES = {seed: splitmix(seed, 256) for seed in (11, 23)}
+#: Each seed has its own base and its own numbers for the bytes.
+_BASES = {11: 0x9E3779B97F4A7C15, 23: 0xC2B2AE3D27D4EB4F}
+_BYTES = {seed: splitmix(seed, 256) for seed in _BASES}
+_LENGTH, _CHAIN = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+BLOCK = 32
 
 
 class Prefix:
@@ -50,21 +57,41 @@ class Prefix:
 
     def __init__(self, buf: np.ndarray, seed: int = 11):
         n = len(buf)
-        up, self.down = powers(n + 1)
+        up, self.down = powers(n + 1, _BASES[seed])
         self.sums = np.zeros(n + 1, U)
         np.cumsum(_BYTES[seed][buf] * up[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Mixed hash of buf[start:end] for each pair; the length takes part."""
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
+    def _block(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of buf[i:i+width] for every i that has one (not for lengths that differ)."""
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of buf[start:end] for each pair; the length takes part."""
+        size = ends - starts
+        out = mix(self._block(starts, np.minimum(ends, starts + BLOCK)) ^ (size.astype(U) * _LENGTH))
+        more = np.flatnonzero(size > BLOCK)
+        at, stop = starts[more] + BLOCK, ends[more]
+        while len(more):
+            out[more] = mix(out[more] * _CHAIN + self._block(at, np.minimum(stop, at + BLOCK)))
+            at = at + BLOCK
+            on = at < stop
+            if not on.all():
+                more, at, stop = more[on], at[on], stop[on]
+        return out
+
+    def windows(self, width: int, block: int = BLOCK) -> np.ndarray:
+        """Hash of buf[i:i+width] for every i that has one (not for lengths that differ).
+
+        block = width is quicker, for uses in which a collision costs work only.
+        """
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, U)
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+        out = None
+        for at in range(0, width, block):
+            step = min(block, width - at)
+            part = (self.sums[at + step : at + step + n] - self.sums[at : at + n]) * self.down[at : at + n]
+            out = mix(part if out is None else out * _CHAIN + part)
+        return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -80,13 +107,11 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of every text: byte starts, byte ends, text number of each word."""
     n = len(buf)
-    edge = np.zeros(n + 1, np.int8)
     inside = ~_SPACE[buf]
     first, last = inside.copy(), np.zeros(n + 1, bool)
     first[1:] &= ~inside[:-1]
     last[1:] = inside
     last[1:n] &= ~inside[1:]
-    del edge
     # a word ends where its text ends, and the next text's first byte starts another
     some = starts[starts < ends]
     first[some] |= inside[some]

@@ -39,9 +39,9 @@ STRETCH = 4096
 _MIX = U(0xA24BAED4963EE407)
 
 
-def window_keys(buf: np.ndarray, prefix: Prefix, length: int, gram: int) -> np.ndarray:
+def window_keys(grams: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The smallest gram hash of every window of length bytes (windows across texts are not sorted out here)."""
-    least = prefix.windows(gram)
+    least = grams
     span = length - gram + 1
     if len(least) < span:
         return np.zeros(0, U)
@@ -56,7 +56,8 @@ def window_keys(buf: np.ndarray, prefix: Prefix, length: int, gram: int) -> np.n
 def stretches(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of windows with one key: key, hash of the bytes, first byte in the buffer, windows, text number."""
     prefix = Prefix(t.buf)
-    keys = window_keys(t.buf, prefix, length, gram)
+    grams = prefix.windows(gram, gram)
+    keys = window_keys(grams, length, gram)
     sizes = np.maximum(t.ends - t.starts - length + 1, 0)
     doc = np.repeat(np.arange(t.n), sizes)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + t.starts[doc]
@@ -64,7 +65,7 @@ def stretches(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         return np.zeros(0, U), np.zeros(0, U), at, at, doc
     k = keys[at]
     # the leftmost smallest gram leaves the window: what follows is another stretch, so none repeats inside itself
-    leaves = prefix.windows(gram)[at] == k
+    leaves = grams[at] == k
     new = np.ones(len(at), bool)
     new[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | leaves[:-1]
     first = np.flatnonzero(new)
@@ -177,7 +178,7 @@ def may_share(parts: list[bytes], keys: np.ndarray, length: int, gram: int) -> n
     buf = np.frombuffer(b"".join(parts), np.uint8)
     prefix = Prefix(buf)
     owner = np.repeat(np.arange(len(parts)), sizes)[: max(len(buf) - gram + 1, 0)]
-    at = np.flatnonzero(mix(prefix.windows(gram)) == keys[owner])
+    at = np.flatnonzero(mix(prefix.windows(gram, gram)) == keys[owner])
     at = at[at + gram <= ends[owner[at]]]
     who, first = np.unique(owner[at], return_index=True)
     place = at[first]
