@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut, shared_folder  # noqa: F401
 
 #: Text bytes that a Python worker handles at once (a longer document is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

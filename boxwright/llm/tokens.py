@@ -30,6 +30,8 @@ from .rolling import U, Prefix
 L, N, O, S, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens that a worker remembers before it starts afresh.
 MEMORY = 400_000
+#: Text bytes at once: more than elsewhere, since the table of words is merged with new ones once a chunk.
+CHUNK = 1 << 20
 #: The pre-token pattern for which the array form below is written (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Character ranges whose classes are proven against the library by a test over all of them.
@@ -222,7 +224,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     def run(batches):
         v = vocabulary(path)
-        for batch, t in text_chunks(batches, "text"):
+        for batch, t in text_chunks(batches, "text", CHUNK):
             n, _ = v.encode(t, False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t.ends - t.starts), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -239,7 +241,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wit
 
     def run(batches):
         v = vocabulary(path)
-        for batch, t in text_chunks(batches, "text"):
+        for batch, t in text_chunks(batches, "text", CHUNK):
             counts, all_ids = v.encode(t, True)
             total = counts + 1
             pieces = -(-total // capacity)
