@@ -23,6 +23,29 @@ def crc32_text(col: Column) -> Column:
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
 
 
+#: Rows of an Arrow batch that goes to a Python worker, where the session doesn't say: whole texts are held at once.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema), in batches of BATCH_ROWS unless the session sets a size of its own."""
+    if rows.sparkSession.conf.get(_ROWS_CONF) == "10000":  # Spark's default
+        rows.sparkSession.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
+def wrapped(docs: DataFrame, **own: Column) -> DataFrame:
+    """docs with each row as one struct _row beside an operator's own columns: no name of the caller's can clash."""
+    return docs.select(F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in own.items()])
+
+
+def unwrapped(rows: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The caller's columns of wrapped rows, but those that own replaces, and own."""
+    kept = [F.col("_row").getField(c).alias(c) for c in columns if c not in own]
+    return rows.select(*kept, *[v.alias(k) for k, v in own.items()])
+
+
 def as_text(col: Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(col, F.lit(""))
