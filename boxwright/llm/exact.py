@@ -4,24 +4,34 @@ Pass 1 hashes every normalised text and fills a counting Bloom filter: which bit
 Pass 2 tests each row against it. Rows with a bit that nobody else hit are surely unique and pass straight
 through, without a shuffle; only the possibly repeated ones are grouped by their SHA-256.
 
-The filter has FILTER_BITS bits at every size, so its broadcast is bounded: at most FILTER_BITS / 64 rows of two
-longs. A fuller filter lets more unique rows into the shuffle; the grouping is exact in any case.
+The filter grows with the rows, BITS_PER_ROW for each, and is cut into ranges of the digest: a range has RANGE_BITS
+bits, at most RANGE_BITS / 64 words of eight bytes in arrays of ROW_WORDS, and each range's filter is broadcast to a
+pass of its own over the digests of that range. So no broadcast grows with the input. At most RANGES ranges are
+made (about 270 million rows); with more rows the filter gets fuller and lets more unique rows into the shuffle. The
+grouping is exact in any case.
+
+A text that a third of the rows hold is no hot key: its ids are aggregated in SALTS parts, and what is found goes
+back to the parts.
 
 Defined results: null text counts as empty and empty texts equal each other; rows that agree in text and id are
 one document written twice, one of them stays; a null id sorts after all others; an empty table gives an empty
-table; other columns of the input pass through untouched (in exact_dedup's result, columns of the names
-keep_id, group_size, kept and text_sha256 are replaced).
+table; other columns of the input pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, cut, unwrapped, wrapped
 
-FILTER_BITS = 1 << 24
+BITS_PER_ROW = 16
+RANGE_BITS, RANGES = 1 << 26, 64
+ROW_WORDS = 512
 HASHES = 2
+SALTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -29,56 +39,94 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(as_text(text), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def _part(digest: Column, first: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, first, digits), 16, 10).cast("long")
+
+
 def _slots(digest: Column, bits: int) -> list[Column]:
-    """Bit numbers of a digest (hex): 40 of its bits for each hash function."""
-    return [F.pmod(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 10).cast("long"), F.lit(bits)) for i in range(HASHES)]
+    """Bit numbers of a digest (hex) in its range: 40 of its bits for each hash function."""
+    return [F.pmod(_part(digest, 1 + 10 * i, 10), F.lit(bits)) for i in range(HASHES)]
+
 
+def _range(digest: Column, ranges: int) -> Column:
+    return F.pmod(_part(digest, 41, 10), F.lit(ranges)) if ranges > 1 else F.lit(0).cast("long")
 
-def twice_hit(digests: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The filter as rows (word, mask): the bits that two or more of the digests hit, 64 in a word."""
-    hit = digests.select(F.explode(F.array_distinct(F.array(*_slots(F.col("text_sha256"), bits)))).alias("slot"))
-    twice = hit.groupBy("slot").count().filter("count > 1")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
 
+def twice_hit(digests: DataFrame, bits: int, ranges: int = 1) -> DataFrame:
+    """The filter as rows (range, page, words): the bits that two or more of the digests hit, 64 in a word."""
+    slots = F.explode(F.array_distinct(F.array(*_slots(F.col("sha"), bits)))).alias("slot")
+    twice = digests.select(_range(F.col("sha"), ranges).alias("range"), slots).groupBy("range", "slot").count().filter("count > 1")
+    words = twice.groupBy("range", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+    pages = words.groupBy("range", F.floor(F.col("word") / ROW_WORDS).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % ROW_WORDS, "mask"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(ROW_WORDS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return pages.select("range", "page", every.alias("words"))
 
-def flagged(docs: DataFrame, text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+
+def _plan(rows: int) -> tuple[int, int]:
+    """Bits of a range and number of ranges for so many rows."""
+    want = max(rows * BITS_PER_ROW, 1 << 16)
+    ranges = min(RANGES, max(1, -(-want // RANGE_BITS)))
+    return min(RANGE_BITS, 1 << (want - 1).bit_length()) if ranges == 1 else RANGE_BITS, ranges
+
+
+def flagged(docs: DataFrame, text: str = "text", bits: int | None = None, ranges: int | None = None) -> DataFrame:
     """docs with text_sha256 and maybe_repeated (false: no other row has this text)."""
-    hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col(text)), 256))
-    words = F.broadcast(twice_hit(hashed, bits))
-    out, tests = hashed, []
-    for i, slot in enumerate(_slots(F.col("text_sha256"), bits)):
-        side = words.select(F.col("word").alias(f"_word{i}"), F.col("mask").alias(f"_mask{i}"))
-        out = out.withColumn(f"_slot{i}", slot)
-        out = out.join(side, F.shiftright(f"_slot{i}", 6) == F.col(f"_word{i}"), "left")
-        tests.append(F.expr(f"coalesce((shiftright(_mask{i}, cast(_slot{i} & 63 as int)) & 1) = 1, false)"))
-    maybe = tests[0]
-    for t in tests[1:]:
-        maybe = maybe & t
-    return out.withColumn("maybe_repeated", maybe).drop(*[f"_{k}{i}" for i in range(HASHES) for k in ("word", "mask", "slot")])
-
-
-def _groups(repeated: DataFrame, id_col: str) -> DataFrame:
-    """One row for each text: the id that stays and the size (pre-aggregated before the shuffle)."""
-    return repeated.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    sha = F.sha2(normalised(F.col(text)), 256)
+    out = _tested(wrapped(docs, sha=sha), cut(docs.select(sha.alias("sha"))), bits, ranges)
+    return unwrapped(out, docs.columns, text_sha256=F.col("sha"), maybe_repeated=F.col("maybe_repeated"))
+
+
+def _tested(rows: DataFrame, digests: DataFrame, bits: int | None, ranges: int | None) -> DataFrame:
+    """rows (with sha) and maybe_repeated (false: no other row of digests, a written table, has this sha)."""
+    sized = _plan(digests.count())
+    bits, ranges = bits or sized[0], ranges or sized[1]
+    pages = cut(twice_hit(digests, bits, ranges))
+
+    def one(number: int) -> DataFrame:
+        out = rows.filter(_range(F.col("sha"), ranges) == number) if ranges > 1 else rows
+        mine, maybe = pages.filter(F.col("range") == number), F.lit(True)
+        for i, slot in enumerate(_slots(F.col("sha"), bits)):
+            side = F.broadcast(mine.select(F.col("page").alias(f"_page{i}"), F.col("words").alias(f"_words{i}")))
+            out = out.join(side, F.floor(F.shiftright(slot, 6) / ROW_WORDS) == F.col(f"_page{i}"), "left")
+            word = F.try_element_at(f"_words{i}", (F.shiftright(slot, 6) % ROW_WORDS + 1).cast("int"))
+            maybe = maybe & F.coalesce(F.getbit(word, (slot % 64).cast("int")) == 1, F.lit(False))
+        return out.select(*rows.columns, maybe.alias("maybe_repeated"))
+
+    return reduce(DataFrame.unionByName, [one(k) for k in range(ranges)])
+
+
+def _digests(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, sha) of every row, written once: texts are hashed once for the filter and the groups."""
+    return cut(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text)), 256).alias("sha")))
+
+
+def _groups(repeated: DataFrame) -> DataFrame:
+    """(sha, id, n, keep_id, group_size) of rows (id, sha): rows that agree in both are counted as n."""
+    again = repeated.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = again.groupBy("sha", "salt").agg(F.min("id").alias("low"), F.sum("n").alias("size"))
+    whole = parts.groupBy("sha").agg(F.min("low").alias("keep_id"), F.sum("size").alias("group_size"))
+    back = parts.select("sha", "salt").join(whole, "sha")
+    return again.join(back, ["sha", "salt"]).select("sha", "id", "n", "keep_id", "group_size")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, ranges: int | None = None) -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256."""
-    marked = flagged(docs.select(id_col, text), text).drop(text)
-    alone = marked.filter("not maybe_repeated").select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    # rows that agree in text and id are counted, then written out again: one of them stays
-    again = marked.filter("maybe_repeated").groupBy("text_sha256", id_col).agg(F.count(F.lit(1)).alias("_n"))
-    groups = again.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min(id_col).alias("keep_id"), F.sum("_n").alias("group_size"))
-    spread = again.join(groups, F.col("text_sha256") == F.col("_sha")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    rest = spread.select(id_col, "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256")
-    return alone.unionByName(rest)
+    digests = _digests(docs, id_col, text)
+    marked = cut(_tested(digests, digests, bits, ranges))
+    alone = marked.filter("not maybe_repeated").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    groups = _groups(marked.filter("maybe_repeated").select("id", "sha"))
+    # rows that agree in text and id were counted; they are written out again, and one of them stays
+    spread = groups.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rest = spread.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "sha")
+    return alone.unionByName(rest).withColumnsRenamed({"id": id_col, "sha": "text_sha256"})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, ranges: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: the smallest id of each group of equal texts."""
-    columns = docs.columns
-    marked = flagged(docs, text)
+    rows = wrapped(docs, sha=F.sha2(normalised(F.col(text)), 256), id=F.col(id_col))
+    marked = _tested(rows, _digests(docs, id_col, text), bits, ranges)
     repeated = marked.filter("maybe_repeated")
-    kept = repeated.join(_groups(repeated, id_col), (F.col("text_sha256") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
-    one = kept.dropDuplicates(["text_sha256", id_col])
-    return marked.filter("not maybe_repeated").select(*columns).unionByName(one.select(*columns))
+    least = repeated.select("sha", "id").groupBy("sha").agg(F.min("id").alias("keep_id")).withColumnRenamed("sha", "_sha")
+    kept = repeated.join(least, (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    one = kept.dropDuplicates(["sha", "id"])
+    return unwrapped(marked.filter("not maybe_repeated").unionByName(one), docs.columns)
