@@ -1,34 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling (operator 2), DataFrame functions only.
 
-Documents of a source form blocks of block_docs. With a target weight w, block i of a source is released at slot
-floor((i - 1) / w) and is due by slot ceil(i / w); in each slot the released block with the earliest deadline
-runs (ties: source order). With weights that sum to 1 every deadline is met, so after any number of slots each
-source is within one block of its target share.
+Documents of a source form blocks of block_docs. With a target weight w (a share of 1), block i of a source, from 0,
+is released at slot floor(i / w) and is due by slot ceil((i + 1) / w); in each slot the released block with the
+earliest deadline runs (ties: source order). Weights that sum to 1 leave no deadline unmet, so after any number of
+slots each source is within one block of its target share. Weights are taken as given, never rounded to shares.
 
-Weights are taken as given, never rounded to shares. Until some source runs dry the schedule is computed slot by
-slot, as one DataFrame expression over the few sources (PLANNED slots to a step, so one task that grows with the
-number of blocks, not documents), and broadcast as one array of slots for each source. Numbering the documents of a
-source takes salted buckets and a prefix sum over their counts, so a hot source is spread over BUCKETS tasks.
+The schedule is one sequence, but it is planned in stretches of STRETCH slots side by side. A stretch begins WARM
+slots early, in a state that every schedule could have there (all blocks that are due, then those due next), and
+soon runs as the one schedule does. Stretches that don't begin where their predecessor ended are planned again from
+there until all agree, so the result is that of one run from slot 0, in tasks of bounded size.
 
 Every document is placed. Up to the slot in which a source runs dry the mix is on target, as on_target says; the
-blocks behind it follow in the order of (i - 1/2) / w, each slot filled. Order by (slot, place) to read the mix.
+blocks behind it follow in the order of (i + 1/2) / w, each slot filled. Order by (slot, place) to read the mix.
+Numbering the documents of a source takes salted buckets and a prefix sum over their counts, so a hot source is
+spread over BUCKETS tasks; a bucket holds rows of one source by a hash of their id.
 
 Defined results: a null source counts as source ''; a source without a weight gets none and is left out (its
 decision is the caller's); rows are shuffled within a source by a hash of their id; rows that agree in id keep
-any order; an empty table gives an empty table; columns named source_name, block, slot, place and on_target are
-replaced.
+any order; a null or repeated id is placed like others; an empty table gives an empty table; columns named
+source_name, block, slot, place and on_target are replaced, all other names pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, cut
+from .common import as_text, cut, unwrapped, wrapped
 
-RESOLUTION = PLANNED = 1000
+STRETCH, WARM = 1000, 256
+RESOLUTION = 1000
 BUCKETS = 512
 BLOCK_DOCS = 8
+#: Slots of the plan that are broadcast as arrays (8 bytes each); a longer plan is joined by shuffle.
+PLAN_BROADCAST = 1_000_000
 
 
 def tempered_weights(docs: DataFrame, power: float = 0.7) -> DataFrame:
@@ -37,100 +42,153 @@ def tempered_weights(docs: DataFrame, power: float = 0.7) -> DataFrame:
 
 
 def shares(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(source_name, idx, share): whole shares by largest remainder, one at least for a positive weight.
-
-    A table of sources, not of documents; more sources than resolution allows raise the resolution to their number.
-    """
+    """(source_name, share): whole shares of resolution by largest remainder, to report a mix; the schedule has no use for it."""
     every = Window.partitionBy()
-    total = F.sum("weight").over(every)
-    n = F.count(F.lit(1)).over(every)
-    w = weights.filter("weight > 0").select("source_name", "weight", total.alias("total"), n.alias("n"))
-    spare = F.greatest(F.lit(resolution), F.col("n")) - F.col("n")  # after one share each
-    w = w.withColumn("exact", F.col("weight") / F.col("total") * spare).withColumn("base", F.floor("exact").cast("long"))
-    order = Window.partitionBy().orderBy(F.desc(F.col("exact") - F.col("base")), "source_name")
-    w = w.withColumn("left", spare - F.sum("base").over(every)).withColumn("rank", F.row_number().over(order))
-    share = 1 + F.col("base") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)
-    idx = F.row_number().over(Window.partitionBy().orderBy("source_name")) - 1
-    return w.select("source_name", idx.alias("idx"), share.cast("long").alias("share"))
-
-
-def schedule(sources: DataFrame, step: int = PLANNED) -> DataFrame:
-    """One row (s, done, picks) of sources (source_name, weight > 0, blocks): earliest deadline first until one is dry.
-
-    s is the array of sources by name, done the blocks that each ran, picks the arrays of their numbers by slot.
+    w = weights.filter("weight > 0").withColumn("exact", F.col("weight") / F.sum("weight").over(every) * resolution)
+    w = w.withColumn("base", F.floor("exact")).withColumn("left", resolution - F.sum("base").over(every))
+    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("exact") - F.col("base")), "source_name"))
+    return w.select("source_name", (F.col("base") + F.when(rank <= F.col("left"), 1).otherwise(0)).cast("long").alias("share"))
+
+
+def _release(done: Column, every: Column) -> Column:
+    return F.floor(done * every * (1 + 1e-12)).cast("long")  # near-whole quotients count as whole
+
+
+def _due(done: Column, every: Column) -> Column:
+    return F.ceil((done + 1) * every * (1 - 1e-12)).cast("long")
+
+
+def _state(done: Column, every: Column, k: Column, n: Column) -> Column:
+    """A source between slots: when its next block is released, its deadline and source as one number, blocks done."""
+    return F.struct(_release(done, every).alias("free"), (_due(done, every) * n + k).alias("code"), done.alias("done"))
+
+
+def _begin(t: Column) -> Column:
+    """A state at slot t: all blocks due by t have run and, of those released before, the ones due next."""
+    n = F.size("s").cast("long")
+
+    def counted(x):
+        guess = F.floor(t / x["every"]).cast("long")
+        return guess + F.when(_due(guess, x["every"]) <= t, 1).when((guess > 0) & (_due(guess - 1, x["every"]) > t), -1).otherwise(0)
+
+    must = F.transform("s", lambda x, k: F.struct(counted(x).alias("done"), x["every"].alias("every"), k.cast("long").alias("k")))
+
+    def chosen(m):
+        more = (t - F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x["done"])).cast("int")
+        ahead = F.filter(m, lambda x: _release(x["done"], x["every"]) < t)
+        codes = F.slice(F.array_sort(F.transform(ahead, lambda x: _due(x["done"], x["every"]) * n + x["k"])), F.lit(1), F.greatest(more, F.lit(0)))
+        return F.transform(m, lambda x: _state(x["done"] + F.when(F.array_contains(codes, _due(x["done"], x["every"]) * n + x["k"]), 1).otherwise(0).cast("long"), x["every"], x["k"], n))
+
+    return F.flatten(F.transform(F.array(must), chosen))  # must is used more than once: an array of one holds it
+
+
+def _run(state: Column, t: Column, slots: Column) -> Column:
+    """(state, picks) after so many slots from t on; picks are (source, block) by slot."""
+    n = F.size("s").cast("long")
+    begun = F.struct(state.alias("state"), F.array().cast("array<struct<k:int,block:bigint>>").alias("picks"))
+
+    def slot(acc, i):
+        best = F.array_min(F.transform(acc["state"], lambda x: F.when(x["free"] <= t + i, x["code"])))
+
+        def ran(code):
+            k = (code % n).cast("int")
+            mine = F.get(acc["state"], k)
+            nxt = F.transform(acc["state"], lambda x: F.when(x["code"] == code, _state(x["done"] + 1, F.get("s", k)["every"], k.cast("long"), n)).otherwise(x))
+            return F.struct(nxt.alias("state"), F.array_append(acc["picks"], F.struct(k.alias("k"), mine["done"].alias("block"))).alias("picks"))
+
+        return F.transform(F.array(best), ran)[0]
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), slots - 1), begun, slot)
+
+
+def schedule(sources: DataFrame, stretch: int = STRETCH, warm: int = WARM) -> tuple[DataFrame, DataFrame]:
+    """(s, last): one row with the array of sources (source_name, weight > 0, blocks) by name; and (k, block, slot).
+
+    Slots go on until the one in which a source would be dry, and that one is left out.
     """
     one = sources.agg(F.array_sort(F.collect_list(F.struct("source_name", "weight", "blocks"))).alias("s")).filter(F.size("s") > 0)
     one = one.withColumn("w", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["weight"]))
     one = one.withColumn("s", F.transform("s", lambda x: F.struct(x["source_name"].alias("source_name"), x["weight"].alias("weight"), x["blocks"].alias("blocks"), (F.col("w") / x["weight"]).alias("every"))))
     # a source is dry at the latest when its block behind the last is due
-    last = F.array_min(F.transform("s", lambda x: F.ceil((x["blocks"] + 1) * x["every"]))).cast("long")
-    one = one.withColumn("last", last)
-    empty = F.array().cast("array<int>")
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.lit(False).alias("dry"), F.lit(0).cast("long").alias("t"), empty.alias("now"))
-
-    def slot(acc, _):
-        # all blocks that come next: (not released by now, deadline, source); near-whole quotients count as whole
-        ahead = F.transform(
-            F.arrays_zip(F.col("s"), acc["done"].alias("done")),
-            lambda x, k: F.struct((F.floor(x["done"] * F.col("w") / x["s"]["weight"] * (1 + 1e-12)) > acc["t"]).alias("early"), F.ceil((x["done"] + 1) * F.col("w") / x["s"]["weight"] * (1 - 1e-12)).alias("due"), k.alias("k"), (x["done"] >= x["s"]["blocks"]).alias("dry")),
-        )
-        best = F.array_min(ahead)
-        ran = F.struct(
-            F.transform(acc["done"], lambda d, k: d + F.when(k == best["k"], 1).otherwise(0)).alias("done"),
-            F.lit(False).alias("dry"),
-            (acc["t"] + 1).alias("t"),
-            F.array_append(acc["now"], best["k"]).alias("now"),
-        )
-        stop = F.struct(acc["done"].alias("done"), F.lit(True).alias("dry"), acc["t"].alias("t"), acc["now"].alias("now"))
-        return F.when(acc["dry"], acc).when(best["dry"], stop).otherwise(ran)
-
-    def chunk(acc, _):
-        begun = F.struct(acc["x"]["done"].alias("done"), acc["x"]["dry"].alias("dry"), acc["x"]["t"].alias("t"), empty.alias("now"))
-        x = F.aggregate(F.sequence(F.lit(1), F.lit(step)), begun, slot)
-        # x is used twice: an array of one holds it
-        return F.transform(F.array(x), lambda y: F.struct(y.alias("x"), F.array_append(acc["picks"], y["now"]).alias("picks")))[0]
-
-    begin = F.struct(start.alias("x"), F.array().cast("array<array<int>>").alias("picks"))
-    steps = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step).cast("long"))
-    return one.select("s", F.aggregate(steps, begin, chunk).alias("run")).select("s", F.col("run.x.done").alias("done"), F.col("run.picks").alias("picks"))
-
-
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = PLANNED, id_col: str = "doc_id") -> DataFrame:
-    """docs with source_name, block, slot, place (in the block) and on_target; resolution: slots planned to a step."""
-    key = F.xxhash64(F.col(id_col))
-    rows = docs.withColumn("source_name", as_text(F.col("source"))).withColumn("_hash", key).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)))
-    counts = rows.groupBy("source_name", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source_name").orderBy("_bucket")
-    starts = counts.select(F.col("source_name").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
-    inner = Window.partitionBy("source_name", "_bucket").orderBy("_hash", id_col)
-    numbered = rows.withColumn("_i", F.row_number().over(inner)).join(starts, (F.col("source_name") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    numbered = numbered.withColumn("_rank", F.col("_start") + F.col("_i") - 1).withColumn("block", F.floor(F.col("_rank") / block_docs)).withColumn("place", F.col("_rank") % block_docs)
-    sizes = counts.groupBy(F.col("source_name").alias("_s")).agg(F.sum("_n").alias("_total"))
-    given = (weights if weights is not None else tempered_weights(docs)).filter("weight > 0").select("source_name", F.col("weight").cast("double").alias("weight"))
-    given = given.join(sizes, F.col("source_name") == F.col("_s"), "left").select("source_name", "weight", F.ceil(F.coalesce("_total", F.lit(0)) / block_docs).cast("long").alias("blocks"))
-    plan = cut(schedule(given, resolution))
-    # a source's slots in order, one row for each source
-    runs = plan.select(F.posexplode(F.flatten("picks")).alias("_slot", "_k")).groupBy("_k").agg(F.array_sort(F.collect_list(F.col("_slot").cast("long"))).alias("_slots"))
-    each = plan.select(F.posexplode("s").alias("_k", "_source")).select("_k", F.col("_source.source_name").alias("_name"), F.col("_source.every").alias("_every"))
-    each = each.join(runs, "_k", "left").select("_k", "_name", "_every", F.coalesce("_slots", F.array().cast("array<bigint>")).alias("_slots"))
-    rest = plan.select(F.arrays_zip("s", "done").alias("_rest"), F.aggregate("done", F.lit(0).cast("long"), lambda a, x: a + x).alias("_horizon"))
-    placed = numbered.join(F.broadcast(each), F.col("source_name") == F.col("_name")).withColumn("_planned", F.get("_slots", F.col("block").cast("int"))).drop("_slots")
+    one = cut(one.select("s", F.array_min(F.transform("s", lambda x: _due(x["blocks"], x["every"]))).alias("last")))
+    parts = one.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / stretch).cast("long"))).alias("m"))
+    parts = parts.withColumn("t", F.col("m") * stretch).withColumn("from", F.greatest(F.col("t") - warm, F.lit(0).cast("long")))
+    tasks = max(1, parts.count() // 4)
+    parts = parts.repartition(min(tasks, 10_000), "m")
+    ready = parts.withColumn("begin", F.when(F.col("t") == F.col("from"), _begin(F.col("from"))).otherwise(_run(_begin(F.col("from")), F.col("from"), F.col("t") - F.col("from"))["state"]))
+
+    def planned(rows: DataFrame) -> DataFrame:
+        ran = rows.select("s", "m", "t", F.explode(F.array("begin")).alias("begin"))  # once, not in each use
+        ran = ran.select("m", "t", "begin", F.explode(F.array(_run(F.col("begin"), F.col("t"), F.lit(stretch).cast("long")))).alias("ran"))
+        return cut(ran.select("m", "t", F.transform("begin", lambda x: x["done"]).alias("begin"), F.col("ran.state").alias("end"), F.col("ran.picks").alias("picks")))
+
+    plan = planned(ready)
+    while True:
+        ends = plan.select((F.col("m") + 1).alias("m"), F.col("end").alias("before"))
+        off = cut(plan.join(ends, "m").filter(F.col("begin") != F.transform("before", lambda x: x["done"])).select("m", "t", "before"))
+        if off.isEmpty():
+            break
+        again = planned(off.crossJoin(F.broadcast(one.select("s"))).withColumnRenamed("before", "begin"))
+        plan = plan.join(off.select("m"), "m", "left_anti").unionByName(again)
+    picks = plan.select("t", F.posexplode("picks").alias("i", "p")).select((F.col("t") + F.col("i")).alias("slot"), "p.k", "p.block")
+    blocks = one.select(F.posexplode("s").alias("k", "x")).select("k", F.col("x.blocks").alias("_blocks"))
+    dry = picks.join(F.broadcast(blocks), "k").filter("block >= _blocks").agg(F.min("slot").alias("h")).first()
+    return one, picks.filter(F.col("slot") < (dry["h"] if dry and dry["h"] is not None else 0))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = STRETCH, id_col: str = "doc_id", broadcast: int = PLAN_BROADCAST) -> DataFrame:
+    """docs with source_name, block, slot, place (in the block) and on_target; resolution: slots of a stretch."""
+    rows = wrapped(docs, source_name=as_text(F.col("source")), hash=F.xxhash64(F.col(id_col)), id=F.col(id_col))
+    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
+    counts = docs.groupBy(as_text(F.col("source")).alias("source_name"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts)
+    sizes = counts.groupBy("source_name").agg(F.sum("n").alias("total"))
+    if weights is None:
+        weights = sizes.select("source_name", F.pow("total", F.lit(0.7)).alias("weight"))
+    given = weights.filter("weight > 0").select("source_name", F.col("weight").cast("double").alias("weight"))
+    given = given.join(sizes, "source_name", "left").select("source_name", "weight", F.ceil(F.coalesce("total", F.lit(0)) / block_docs).cast("long").alias("blocks"))
+    one, picks = schedule(given, resolution)
+    picks = cut(picks)
+    horizon = picks.count()
+    every = one.select(F.posexplode("s").alias("k", "x")).select("k", F.col("x.source_name").alias("source_name"), F.col("x.every").alias("every"), F.col("x.blocks").alias("blocks"))
+    done = picks.groupBy("k").agg(F.count(F.lit(1)).alias("done"))
+    each = cut(every.join(done, "k", "left").fillna(0, ["done"]))
+    before = Window.partitionBy("source_name").orderBy("bucket")
+    starts = counts.join(F.broadcast(each), "source_name").select("source_name", "bucket", "k", "every", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    inner = Window.partitionBy("source_name", "bucket").orderBy("hash", "id")
+    numbered = rows.withColumn("i", F.row_number().over(inner)).join(starts, ["source_name", "bucket"])
+    numbered = numbered.withColumn("rank", F.col("start") + F.col("i") - 1).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", F.col("rank") % block_docs)
+    if horizon <= broadcast:
+        slots = picks.groupBy("k").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+        placed = numbered.join(F.broadcast(slots), "k", "left").withColumn("planned", F.get("slots", F.col("block").cast("int"))).drop("slots")
+    else:
+        placed = numbered.join(picks.withColumnRenamed("slot", "planned"), ["k", "block"], "left")
     # behind the horizon: how many blocks of all sources that are left come before, by (block + 1/2) * every, source
-    at = (F.col("block") + 0.5) * F.col("_every")
+    rest = each.agg(F.array_sort(F.collect_list(F.struct("k", "every", "blocks", "done"))).alias("rest"))
+    at = (F.col("block") + 0.5) * F.col("every")
 
-    def before(x, j):
-        guess = F.floor(at / x["s"]["every"] - 0.5).cast("long")
-        comes = lambda b: F.when(((b + 0.5) * x["s"]["every"] < at) | (((b + 0.5) * x["s"]["every"] == at) & (j < F.col("_k"))), 1).otherwise(0)
+    def earlier(x):
+        guess = F.floor(at / x["every"] - 0.5).cast("long")
+        comes = lambda b: F.when(((b + 0.5) * x["every"] < at) | (((b + 0.5) * x["every"] == at) & (x["k"] < F.col("k"))), 1).otherwise(0)
         n = guess - 1 + comes(guess - 1) + comes(guess) + comes(guess + 1)
-        n = F.when(j == F.col("_k"), F.col("block")).otherwise(n)
-        return F.greatest(F.least(n, x["s"]["blocks"]) - x["done"], F.lit(0))
+        n = F.when(x["k"] == F.col("k"), F.col("block")).otherwise(n)
+        return F.greatest(F.least(n, x["blocks"]) - x["done"], F.lit(0))
+
+    later = horizon + F.aggregate(F.transform("rest", earlier), F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = placed.crossJoin(F.broadcast(rest)).withColumn("slot", F.coalesce("planned", later))
+    return unwrapped(placed, docs.columns, source_name=F.col("source_name"), block=F.col("block"), slot=F.col("slot"), place=F.col("place"), on_target=F.col("slot") < horizon)
 
-    later = F.col("_horizon") + F.aggregate(F.transform("_rest", before), F.lit(0).cast("long"), lambda a, x: a + x)
-    placed = placed.crossJoin(F.broadcast(rest)).withColumn("slot", F.coalesce("_planned", later)).withColumn("on_target", F.col("slot") < F.col("_horizon"))
-    return placed.select(*[c for c in docs.columns if c not in ("source_name", "block", "slot", "place", "on_target")], "source_name", "block", "slot", "place", "on_target")
 
+def mixed_order(docs: DataFrame, with_slot: bool = False, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs in mixed order: files hold ascending ranges of slots, each sorted; with their slot, if wanted.
 
-def mixed_order(docs: DataFrame, with_slot: bool = False, **options) -> DataFrame:
-    """The rows of docs in mixed order: files hold ascending ranges of slots, each sorted; with their slot, if wanted."""
-    placed = mix_sources(docs, **options)
-    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns, *(["slot"] if with_slot else []))
+    Ranges are cut by slot number, so no sampling pass is needed.
+    """
+    placed = mix_sources(wrapped(docs, source=F.col("source"), **{id_col: F.col(id_col)}), id_col=id_col, **options)
+    block = options.get("block_docs", BLOCK_DOCS)
+    # at most so many slots: as many blocks as there are, each source's last one perhaps not full
+    sizes = docs.groupBy(as_text(F.col("source"))).count().agg(F.sum(F.ceil(F.col("count") / block))).first()[0] or 1
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor(F.col("slot") * files / F.lit(int(sizes))), F.lit(files - 1)).cast("int")
+    sorted_ = placed.repartitionById(files, part).sortWithinPartitions("slot", "place")
+    return unwrapped(sorted_, docs.columns, **({"slot": F.col("slot")} if with_slot else {}))
