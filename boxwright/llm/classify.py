@@ -1,16 +1,19 @@
 """Quality classifier (operator 7): random-indexing vectors, pooled, and a two-layer network.
 
 Every term has a sparse random index vector (NONZERO entries of +-1 among DIM, from its hash). Terms are the words
-and their shapes (letters, capitals, digits and marks, runs collapsed). The vector of a shape is the sum of the
-index vectors of the shapes around it in the training texts (random indexing); a word's is its own index vector.
-A document pools its words' vectors and its shapes' vectors, by mean, with the norm of the former (large if words
-repeat) and the logarithm of its length. A network with one hidden layer, in numpy, gives the logit of label 1;
-a temperature fitted on a held-back part of the training rows calibrates it.
+and their shapes (letters, capitals, digits and marks, runs collapsed). A term's vector is the sum of the index
+vectors of the terms of its kind within NEAR places of it in the training texts (random indexing), brought to length
+1, with its own index vector added; a term that isn't among the TERMS commonest of its kind there has the latter
+alone. A document pools the vectors of its words and those of its shapes, by mean, with the norms of the mean index
+vectors (large if words repeat) and the logarithm of its length. A network with one hidden layer, in numpy, gives the
+logit of label 1; a temperature fitted on a held-back part of the training rows calibrates it.
 
 Training takes at most TRAIN_ROWS labelled rows whose crc32(doc_id) mod 3 is not 1 (smallest hash of the id first).
+TERMS bounds the model, not what is scored.
 
 Defined results: empty and null texts have a zero vector and get the score of that; without labels of both kinds
-every score is 0.5; rows that repeat are scored each; an empty table gives an empty table.
+every score is 0.5; rows that repeat are scored each; a null id counts as not held out and never trains; other columns
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_text, crc32_text, cut, text_chunks
+from .common import Texts, as_text, crc32_text, cut, mapped, text_chunks
 from .rolling import Prefix, U, lower_ascii, mix, words
 
 TRAIN_ROWS = 6000
-DIM, NONZERO, SHAPES, HIDDEN = 128, 4, 3000, 32
-NEAR = 2
+DIM, NONZERO, HIDDEN = 128, 4, 32
+TERMS, NEAR = 4000, 2
 
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[97:123] = ord("a")
@@ -68,53 +71,57 @@ def index_matrix(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_sums(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shapes of a chunk: hash, count, and summed index vectors of the shapes around."""
-    _, shape, doc = terms(t)
-    kinds, row = np.unique(shape, return_inverse=True)
-    pairs = np.zeros((len(kinds), len(kinds)), np.float32) if len(kinds) <= SHAPES else None
-    if pairs is None:  # keep the commonest of the chunk
-        top = np.argsort(-np.bincount(row), kind="stable")[:SHAPES]
-        number = np.full(len(kinds), -1)
-        number[top] = np.arange(len(top))
-        kinds, row = kinds[top], number[row]
-        pairs = np.zeros((len(kinds), len(kinds)), np.float32)
+def context_sums(term: np.ndarray, doc: np.ndarray, known: np.ndarray, out: np.ndarray) -> None:
+    """Add to out, for each known term (ascending hashes), the index vectors of the terms around it in its text."""
+    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+    row = np.where(known[at] == term, at, -1)
+    cols, signs = index_pairs(term)
     for k in range(1, NEAR + 1):
-        a, b = row[:-k], row[k:]
-        ok = (doc[:-k] == doc[k:]) & (a >= 0) & (b >= 0)
-        np.add.at(pairs, (a[ok], b[ok]), 1)
-        np.add.at(pairs, (b[ok], a[ok]), 1)
-    return kinds, np.bincount(row[row >= 0], minlength=len(kinds)), pairs @ index_matrix(kinds)
+        near = doc[:-k] == doc[k:]
+        for here, there in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
+            ok = near & (row[here] >= 0)
+            np.add.at(out, (row[here][ok][:, None], cols[there][ok]), signs[there][ok])
 
 
 class Pool:
-    """Vectors of the known shapes; makes one vector of each text."""
+    """Vectors of the known words and shapes; makes one vector of each text."""
 
-    def __init__(self, shapes: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(shapes)
-        self.shapes, self.vectors = shapes[order], vectors[order]
+    def __init__(self, known: list[np.ndarray], sums: list[np.ndarray]):
+        self.known, self.vectors = known, []
+        for h, v in zip(known, sums, strict=True):
+            unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            self.vectors.append((unit + index_matrix(h) / np.sqrt(NONZERO)).astype(np.float32))
 
     def __call__(self, t: Texts) -> np.ndarray:
-        w, shape, doc = terms(t)
+        word, shape, doc = terms(t)
         n = np.bincount(doc, minlength=t.n)
         size = np.maximum(n, 1)[:, None]
-        cols, signs = index_pairs(w)
-        own = np.bincount((doc[:, None] * DIM + cols).ravel(), weights=signs.ravel(), minlength=t.n * DIM).reshape(t.n, DIM) / size
-        kinds, row = np.unique(shape, return_inverse=True)
-        known = np.zeros((len(kinds), DIM), np.float32)
-        if len(self.shapes) and len(kinds):
-            at = np.minimum(np.searchsorted(self.shapes, kinds), len(self.shapes) - 1)
-            hit = self.shapes[at] == kinds
-            known[hit] = self.vectors[at[hit]]
-            known[~hit] = index_matrix(kinds[~hit]) / np.sqrt(NONZERO)
-        pair, count = np.unique(doc * max(len(kinds), 1) + row, return_counts=True)
-        around = np.zeros((t.n, DIM))
-        if len(pair):
-            who, which = pair // len(kinds), pair % len(kinds)
-            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            around[who[first]] = np.add.reduceat(known[which] * count[:, None], first, axis=0)
-        around /= size
-        return np.concatenate((own, around, np.linalg.norm(own, axis=1, keepdims=True), np.log1p(n)[:, None] / 5), axis=1).astype(np.float32)
+        out = []
+        for term, known, vectors in zip((word, shape), self.known, self.vectors, strict=True):
+            cols, signs = index_pairs(term)
+            own = np.bincount((doc[:, None] * DIM + cols).ravel(), weights=signs.ravel(), minlength=t.n * DIM).reshape(t.n, DIM) / size
+            around = own / np.sqrt(NONZERO)
+            if len(known) and len(term):
+                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                hit = np.flatnonzero(known[at] == term)
+                pair, count = np.unique(doc[hit] * len(known) + at[hit], return_counts=True)
+                if len(pair):
+                    who, which = pair // len(known), pair % len(known)
+                    first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+                    more = vectors[which] - index_matrix(known[which]) / np.sqrt(NONZERO)
+                    around[who[first]] += np.add.reduceat(more * count[:, None], first, axis=0) / size[who[first]]
+            out += [around, np.linalg.norm(own, axis=1, keepdims=True)]
+        return np.concatenate((*out, np.log1p(n)[:, None] / 5), axis=1).astype(np.float32)
+
+
+def loss_and_gradient(p: list[np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Weighted cross-entropy of a network's logits (with a small ridge), and its gradient in every parameter."""
+    h = np.tanh(x @ p[0] + p[1])
+    logit = h @ p[2] + p[3]
+    d = weight * (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y)
+    dh = d[:, None] * p[2] * (1 - h * h)
+    loss = float(weight @ np.logaddexp(0, np.where(y == 1, -logit, logit))) + 5e-4 * (float((p[0] ** 2).sum()) + float((p[2] ** 2).sum()))
+    return loss, [x.T @ dh + 1e-3 * p[0], dh.sum(axis=0), h.T @ d + 1e-3 * p[2], d.sum(keepdims=True)]
 
 
 class Network:
@@ -131,10 +138,7 @@ class Network:
         p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v = [np.zeros_like(k) for k in p], [np.zeros_like(k) for k in p]
         for step in range(1, steps + 1):
-            h = np.tanh(a @ p[0] + p[1])
-            d = weight * (1 / (1 + np.exp(-(h @ p[2] + p[3]))) - ya)
-            dh = d[:, None] * p[2] * (1 - h * h)
-            grads = [a.T @ dh + 1e-3 * p[0], dh.sum(axis=0), h.T @ d + 1e-3 * p[2], d.sum(keepdims=True)]
+            grads = loss_and_gradient(p, a, ya, weight)[1]
             for i, g in enumerate(grads):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -151,35 +155,51 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -50, 50)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> tuple[Pool, Network | None]:
+def common_terms(picked: DataFrame, limit: int) -> list[np.ndarray]:
+    """Hashes of the commonest words and shapes of the texts, counted by Spark; at most limit of each reach the driver."""
+
+    def run(batches):
+        for _, t in text_chunks(batches):
+            for kind, h in enumerate(terms(t)[:2]):
+                kinds, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(kinds.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
+
+    counts = cut(mapped(picked, run, "kind long, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    top = [counts.filter(F.col("kind") == k).orderBy(F.desc("n"), "h").limit(limit).select("h").toPandas() for k in range(2)]
+    return [np.sort(x.h.to_numpy(np.int64).view(U)) for x in top]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", limit: int = TERMS) -> tuple[Pool, Network | None]:
     sample = cut(labels.filter(F.col("quality").isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), "quality").orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    picked = cut(docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.col("quality").cast("long").alias("quality"), as_text(docs["text"]).alias("text")))
+    found = docs.select(F.col(id_col).alias("_doc"), as_text(F.col("text")).alias("text"))
+    picked = cut(found.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select(F.col("quality").cast("long").alias("quality"), "text"))
+    known = common_terms(picked, limit)
 
     def contexts(batches):
+        sums = [np.zeros((len(h), DIM), np.float32) for h in known]
         for _, t in text_chunks(batches):
-            h, n, v = context_sums(t)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(list(v), pa.list_(pa.float32()))], ["h", "n", "v"])
-
-    # bounded by the sample: at most SHAPES rows for each chunk of its texts
-    got = picked.mapInArrow(contexts, "h long, n long, v array<float>").toPandas()
-    kinds, row = np.unique(got.h.to_numpy(np.int64), return_inverse=True)
-    total, count = np.zeros((len(kinds), DIM), np.float64), np.zeros(len(kinds))
-    if len(got):
-        np.add.at(total, row, np.stack(got.v.to_numpy()))
-        np.add.at(count, row, got.n.to_numpy())
-    top = np.argsort(-count, kind="stable")[:SHAPES]
-    unit = total[top] / np.maximum(np.linalg.norm(total[top], axis=1, keepdims=True), 1e-9)
-    pool = Pool(kinds[top].view(U), (unit + index_matrix(kinds[top].view(U)) / np.sqrt(NONZERO)).astype(np.float32))
+            word, shape, doc = terms(t)
+            for h, term, out in zip(known, (word, shape), sums, strict=True):
+                if len(h) and len(term):
+                    context_sums(term, doc, h, out)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in sums], pa.binary())], ["v"])
+
+    # a few rows of a bounded size each: sums of whole numbers, the same in any order
+    sums = [np.zeros((len(h), DIM), np.float32) for h in known]
+    for row in mapped(picked.coalesce(4), contexts, "v binary").toPandas().v.to_numpy().reshape(-1, 2):
+        for total, v in zip(sums, row, strict=True):
+            total += np.frombuffer(v, np.float32).reshape(-1, DIM)
+    pool = Pool(known, sums)
 
     def pooled(batches):
         for batch, t in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(pool(t)), pa.list_(pa.float32()))], ["y", "x"])
 
-    data = picked.mapInArrow(pooled, "y long, x array<float>").toPandas()
+    data = mapped(picked, pooled, "y long, x array<float>").toPandas()
     if data.y.nunique() < 2:
         return pool, None
     x, y = np.stack(data.x.to_numpy()).astype(np.float64), (data.y > 0).to_numpy().astype(np.float64)
-    order = np.lexsort((x[:, 0], x[:, -2], x[:, -1], y))  # the same order whatever the tasks' order
+    order = np.lexsort((x[:, 0], x[:, DIM], x[:, -1], y))  # the same order whatever the tasks' order
     return pool, Network(x[order], y[order])
 
 
@@ -195,4 +215,4 @@ def score_quality(docs: DataFrame, pool: Pool, network: Network | None, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), as_text(F.col(text)).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return mapped(rows, run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
