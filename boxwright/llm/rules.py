@@ -1,14 +1,17 @@
 """Quality rules (operator 9): base rules on words, then a line labeller whose content share decides.
 
 A linear-chain conditional random field labels each line content or boilerplate. A line's features are shares of
-its characters and words (see FEATURES); weights and transitions are trained by the likelihood of the labels of at
-most TRAIN_DOCS labelled documents (lines of good documents count as content, those of bad ones as boilerplate;
-long documents in runs of RUN lines). Viterbi decoding gives the best labelling of each text, and a document is
-kept if lines of content hold at least SHARE of its words.
+its characters and words (see FEATURES). It is trained on the lines of at most TRAIN_DOCS labelled documents, at most
+DOC_LINES lines of each, in runs of RUN lines. Only documents are labelled, so the lines' labels are found first:
+lines of good documents are content; a bad document holds one line of boilerplate at least, and its other lines are
+what a classifier of single lines takes them for, which is fitted and applied in turns (LABEL_TURNS). So sequences
+with both labels teach the transitions. Weights and transitions maximise the likelihood of these labels. Viterbi
+decoding gives the best labelling of each text, and a document is kept if lines of content hold at least SHARE of its
+words.
 
 Defined results: null and empty texts have no words and fail the base rules; without labels the line labeller
-keeps everything; ties in the labelling go to content; rows that repeat are judged each; an empty table gives an
-empty table; other columns are ignored.
+keeps everything; ties in the labelling go to content; rows that repeat are judged each; ids may be of any type and
+null; an empty table gives an empty table; other columns are ignored (keep_good keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_text, cut, text_chunks
+from .common import Texts, as_text, cut, mapped, text_chunks
 from .rolling import Prefix, U, mix, runs_within, splitmix, words
 
-TRAIN_DOCS = 3000
-RUN = 48
+TRAIN_DOCS, DOC_LINES = 2000, 96
+RUN = 24
+LABEL_TURNS = 3
 SHARE = 0.5
 WINDOW = 8
 FEATURES = ("bias", "few words", "symbols a word", "pipes a word", "upper case", "digits", "exclamation", "repeated line", "repeated words", "long words", "ends a sentence", "alike words")
@@ -146,59 +150,115 @@ class Crf:
         return labels
 
 
-def fit(x: np.ndarray, group: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.08) -> Crf:
-    """Conditional likelihood by forward-backward and Adam, each class of texts weighing the same."""
+def line_labels(x: np.ndarray, group: np.ndarray, good: np.ndarray, turns: int = LABEL_TURNS) -> np.ndarray:
+    """Labels of lines (1 content) from those of their documents (group is sorted): see the module's text."""
+    y = good.astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for _ in range(turns):
+        p = x @ _logistic(x, y)
+        y = np.where(good | (p > 0), 1, 0)
+        low = np.minimum.reduceat(p, starts)
+        least = np.flatnonzero(p == np.repeat(low, np.diff(np.concatenate((starts, [len(p)])))))
+        y[least[~good[least]]] = 0
+    return y
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression, both classes weighing the same (Newton steps)."""
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, grad)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def runs(x: np.ndarray, group: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines as padded runs of RUN: features, labels, and which places hold a line."""
     place = np.arange(len(group)) - np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
-    run_id = np.unique(np.stack((group, place // RUN)), axis=1, return_inverse=True)[1].ravel()
-    n_runs, col = int(run_id.max()) + 1, place % RUN
-    d = x.shape[1]
-    X, Y, M = np.zeros((n_runs, RUN, d)), np.zeros((n_runs, RUN), np.int64), np.zeros((n_runs, RUN))
+    run_id = np.cumsum((place % RUN == 0)) - 1
+    n, col = int(run_id[-1]) + 1, place % RUN
+    X, Y, M = np.zeros((n, RUN, x.shape[1])), np.zeros((n, RUN), np.int64), np.zeros((n, RUN))
     X[run_id, col], Y[run_id, col], M[run_id, col] = x, label, 1.0
-    share = max(float((Y[:, 0] == 0).mean()), 1e-6)
-    w_run = np.where(Y[:, 0] == 0, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / n_runs
-    theta = np.zeros(d * 2 + 4)
+    return X, Y, M
+
+
+def likelihood(theta: np.ndarray, X: np.ndarray, Y: np.ndarray, M: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log-likelihood of the runs' labels and its gradient, by forward and backward sums."""
+    d, width = X.shape[2], X.shape[1]
+    W, T = theta[: 2 * d].reshape(d, 2), theta[2 * d :].reshape(2, 2)
+    S = X @ W
+    a, b = np.zeros_like(S), np.zeros_like(S)
+    a[:, 0] = S[:, 0]
+    for k in range(1, width):
+        nxt = np.logaddexp(a[:, k - 1, 0, None] + T[0], a[:, k - 1, 1, None] + T[1]) + S[:, k]
+        a[:, k] = np.where(M[:, k, None] > 0, nxt, a[:, k - 1])
+    for k in range(width - 2, -1, -1):
+        into = S[:, k + 1] + b[:, k + 1]
+        prv = np.logaddexp(T[:, 0][None] + into[:, 0, None], T[:, 1][None] + into[:, 1, None])
+        b[:, k] = np.where(M[:, k + 1, None] > 0, prv, 0)
+    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+    p = np.exp(a + b - z[:, None, None]) * M[..., None]
+    q = np.exp(a[:, :-1, :, None] + T + (S[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * M[:, 1:, None, None]
+    own = np.eye(2)[Y] * M[..., None]
+    pairs = (own[:, :-1, :, None] * own[:, 1:, None, :]).sum(axis=1)
+    value = float(weight @ ((own * S).sum(axis=(1, 2)) + (pairs * T).sum(axis=(1, 2)) - z))
+    grad = np.concatenate((np.einsum("n,nkd,nkl->dl", weight, X, own - p).ravel(), np.einsum("n,nij->ij", weight, pairs - q.sum(axis=1)).ravel()))
+    return value, grad
+
+
+def fit(x: np.ndarray, group: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.08) -> Crf:
+    """The field of the greatest likelihood (Adam), runs with and without boilerplate weighing the same."""
+    X, Y, M = runs(x, group, label)
+    poor = (Y * M).sum(axis=1) < M.sum(axis=1)
+    share = float(np.clip(poor.mean(), 1e-6, 1 - 1e-6))
+    weight = np.where(poor, 0.5 / share, 0.5 / (1 - share)) / len(poor)
+    theta = np.zeros(x.shape[1] * 2 + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    Y1 = np.eye(2)[Y] * M[..., None]
-    pairs = (Y1[:, :-1, :, None] * Y1[:, 1:, None, :]).sum(axis=1)
     for step in range(1, steps + 1):
-        W, T = theta[: 2 * d].reshape(d, 2), theta[2 * d :].reshape(2, 2)
-        S = X @ W
-        a, b = np.zeros_like(S), np.zeros_like(S)
-        a[:, 0] = S[:, 0]
-        for k in range(1, RUN):
-            nxt = np.logaddexp(a[:, k - 1, 0, None] + T[0], a[:, k - 1, 1, None] + T[1]) + S[:, k]
-            a[:, k] = np.where(M[:, k, None] > 0, nxt, a[:, k - 1])
-        for k in range(RUN - 2, -1, -1):
-            into = S[:, k + 1] + b[:, k + 1]
-            prv = np.logaddexp(T[:, 0][None] + into[:, 0, None], T[:, 1][None] + into[:, 1, None])
-            b[:, k] = np.where(M[:, k + 1, None] > 0, prv, 0)
-        z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-        p = np.exp(a + b - z[:, None, None]) * M[..., None]
-        q = np.exp(a[:, :-1, :, None] + T + (S[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * M[:, 1:, None, None]
-        g = np.concatenate((np.einsum("n,nkd,nkl->dl", w_run, X, Y1 - p).ravel(), np.einsum("n,nij->ij", w_run, pairs - q.sum(axis=1)).ravel()))
-        g -= 1e-3 * theta
+        g = likelihood(theta, X, Y, M, weight)[1] - 1e-3 * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta = theta + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    d = x.shape[1]
     return Crf(theta[: 2 * d].reshape(d, 2), theta[2 * d :].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id") -> Crf | None:
-    """A field fitted on a bounded sample: the rows labelled documents with the smallest hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id", text: str = "text") -> Crf | None:
+    """A field fitted on a bounded sample: the rows labelled documents with the smallest hash of their id.
+
+    Of a document with more than DOC_LINES lines, runs at even distances. At most rows * DOC_LINES lines reach the driver.
+    """
     sample = cut(labels.filter("quality is not null").select(F.col(id_col).alias("_id"), "quality").orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    picked = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.col("_id").alias("id"), F.col("quality").cast("long").alias("quality"), as_text(docs["text"]).alias("text"))
+    found = docs.select(F.col(id_col).alias("_doc"), as_text(F.col(text)).alias("text"))
+    picked = found.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select(F.xxhash64("_id").alias("id"), F.col("quality").cast("long").alias("quality"), "text")
 
     def run(batches):
         for batch, t in text_chunks(batches):
             a = analyse(t)
-            q = batch.column("quality").to_numpy(zero_copy_only=False)[a["line_doc"]]
-            ids = batch.column("id").take(pa.array(a["line_doc"]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(q), pa.array(list(a["x"]), pa.list_(pa.float64()))], ["id", "q", "x"])
+            bounds = np.searchsorted(a["line_doc"], np.arange(t.n + 1))
+            x = []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                at = np.arange(lo, hi)
+                if hi - lo > DOC_LINES:
+                    first = np.linspace(0, hi - lo - RUN, DOC_LINES // RUN).astype(np.int64)
+                    at = lo + np.unique(first[:, None] + np.arange(RUN))
+                x.append(a["x"][at].astype(np.float32).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array(x, pa.list_(pa.float32()))], ["id", "q", "x"])
 
-    found = picked.mapInArrow(run, "id long, q long, x array<double>").toPandas()
+    found = mapped(picked, run, "id long, q long, x array<float>").toPandas()
+    found = found[found.x.map(len) > 0].sort_values("id", kind="stable")
     if found.q.nunique() < 2:
         return None
-    found = found.sort_values("id", kind="stable")  # the lines of a text stay in order
-    return fit(np.stack(found.x.to_numpy()), found.id.to_numpy(), (found.q > 0).to_numpy().astype(np.int64))
+    lines = [np.asarray(v, np.float64).reshape(-1, len(FEATURES)) for v in found.x]
+    group = np.repeat(np.arange(len(lines)), [len(v) for v in lines])
+    x, good = np.concatenate(lines), (found.q.to_numpy() > 0)[group]
+    return fit(x, group, line_labels(x, group, good))
 
 
 def judge(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,7 +276,7 @@ def judge(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text: str =
 
     rows = docs.select(F.col(id_col).alias("id"), as_text(F.col(text)).alias("text"))
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, content_share double, kept boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return mapped(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def verdict(t: Texts, crf: Crf | None) -> tuple[dict, np.ndarray]:
@@ -237,4 +297,4 @@ def keep_good(docs: DataFrame, crf: Crf | None, text: str = "text") -> DataFrame
             failed = (a["n_words"] < 20) | (100 * a["n_repeat_words"] > 30 * a["n_words"])
             yield batch.filter(pa.array(~failed & (share >= SHARE)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
