@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_text, cut, text_chunks
+from .common import Texts, as_text, cut, mapped, text_chunks
 from .rolling import Prefix, U, mix
 
 LENGTH, GRAM = 200, 64
 HOT = 20_000
+#: Stretches of which more than OFTEN are equal are joined by broadcast, if they are NEED kinds at most.
+OFTEN, NEED = 500, 100_000
 #: More than the windows of any stretch; places are packed with it.
 STRETCH = 4096
 _MIX = U(0xA24BAED4963EE407)
@@ -149,7 +151,7 @@ def _stretch_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["key", "h", "uid", "place"])
 
     # place holds the first byte and the number of windows
-    return docs.mapInArrow(run, "key long, h long, uid long, place long")
+    return mapped(docs, run, "key long, h long, uid long, place long")
 
 
 def _cut_out(length: int):
@@ -224,14 +226,13 @@ def _window_hashes(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(uid, place, ranges): repeated windows of each text's stretches, from rows (uid, text)."""
     rows = cut(_stretch_rows(docs, length, gram))
-    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    cand = rows.join(again, "key", "left_semi")
-    kinds = cut(cand.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")))
+    # equal stretches are one before anything meets by key, so copies make no key hot
+    kinds = cut(rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")))
     many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     mixed = kinds.join(many, "key").withColumn("hot", F.col("kinds") > hot)
     # texts of the stretches that share a key with others
     wanted = mixed.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(F.struct("key", "h", F.col("one.place").alias("place"), "hot")).alias("wanted"))
-    parts = cut(docs.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(_cut_out(length), "key long, h long, part binary, hot boolean"))
+    parts = cut(mapped(docs.select("uid", "text").join(wanted, "uid").select("text", "wanted"), _cut_out(length), "key long, h long, part binary, hot boolean"))
     # groups of about 4 MB of text, by key
     size = parts.agg(F.sum(F.length("part"))).first()[0] or 0
     groups = max(1, int(size // (4 << 20)) + 1)
@@ -243,7 +244,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     part_found = sorted_.unionByName(hot_found)
     whole = kinds.filter("n > 1").select("key", "h", F.array().cast("array<int>").alias("ranges"))  # empty: all windows
     found = cut(whole.unionByName(part_found.join(whole.select("key", "h"), ["key", "h"], "left_anti")))
-    return rows.join(found, ["key", "h"]).select("uid", "place", "ranges")
+    # stretches of which many are equal: few kinds, so their rows stay where they are; NEED bounds the broadcast
+    often = found.join(kinds.filter(F.col("n") > OFTEN).select("key", "h"), ["key", "h"], "left_semi")
+    often = cut(often)
+    if often.limit(NEED + 1).count() > NEED:
+        return rows.join(found, ["key", "h"]).select("uid", "place", "ranges")
+    rare = found.join(often.select("key", "h"), ["key", "h"], "left_anti")
+    marked = rows.join(F.broadcast(often), ["key", "h"], "left")
+    loose = rows.join(F.broadcast(often.select("key", "h")), ["key", "h"], "left_anti").join(rare, ["key", "h"])
+    return marked.filter("ranges is not null").select("uid", "place", "ranges").unionByName(loose.select("uid", "place", "ranges"))
 
 
 def _apply(length: int):
@@ -273,9 +282,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.select(F.col(id_col).alias("id"), as_text(F.col(text)).alias("text"))
     if named.filter("id is null").isEmpty() and named.groupBy("id").count().filter("count > 1").isEmpty():
-        rows = named.withColumn("uid", F.col("id").cast("long"))
+        rows = named.withColumn("uid", F.col("id").cast("long")) if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else cut(named.withColumn("uid", F.monotonically_increasing_id()))
     else:  # ids that don't tell rows apart: number the rows, once
         rows = cut(named.withColumn("uid", F.monotonically_increasing_id()))
     spans = repeated_spans(rows.select("uid", "text"), length, gram, hot).groupBy("uid").agg(F.collect_list(F.struct("place", "ranges")).alias("spans"))
     both = rows.join(spans, "uid", "left").select("id", "text", "spans")
-    return both.mapInArrow(_apply(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(both, _apply(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
