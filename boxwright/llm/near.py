@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, cut, text_chunks
+from .common import as_text, cut, mapped, text_chunks
 from .components import components
 from .rolling import Prefix, U, lower_ascii, mix, runs_within, splitmix, words
 
@@ -44,6 +44,7 @@ SMALL, BLOCK = 8, 400
 LEAD, LEADERS = 24, 8
 #: A block of full sets: so many sets, and about so many shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
+SALTS = 64
 #: At most so many ids are broadcast to pick full sets before they are shuffled.
 NEED = 500_000
 
@@ -102,7 +103,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "fp1", "fp2", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), as_text(F.col(text)).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, fp1 long, fp2 long, sketch binary")
+    return mapped(rows, run, f"id {kind}, n long, fp1 long, fp2 long, sketch binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, f"node {kind}, shingles array<long>")
+    return mapped(docs, run, f"node {kind}, shingles array<long>")
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -266,7 +267,10 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(sketches(docs, id_col, text))
-    classes = rows.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("node"), F.min("sketch").alias("sketch"))
+    # a set that many rows have is aggregated in parts by a hash of their id, and its node goes back to the parts
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = cut(salted.filter("n > 0").groupBy("n", "fp1", "fp2", "salt").agg(F.min("id").alias("low"), F.min("sketch").alias("sketch")))
+    classes = parts.groupBy("n", "fp1", "fp2").agg(F.min("low").alias("node"), F.min("sketch").alias("sketch"))
     nodes = cut(classes.filter("node is not null"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
@@ -289,7 +293,7 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     for turn in range(PIVOT_ROUNDS + 3):
         now = labelled(entries)
         if turn == 0:  # the hub of the bucket: who shares the most buckets with others
-            choice = F.struct("degree", -F.col("node"))
+            choice = F.struct("degree", F.xxhash64("node"), F.col("node"))
         else:  # another one in every bucket
             choice = F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node"))
         open_ = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"), F.max_by(F.struct("node", "comp"), choice).alias("pivot")).filter("_low < _high")
@@ -327,12 +331,12 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
                 roots = components(links)
         elif turn < PIVOT_ROUNDS and open_.isEmpty():
             break
-    of_class = classes.select(F.col("n").alias("_n"), F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), "node")
-    out = rows.join(of_class, (F.col("n") == F.col("_n")) & (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")), "left")
-    comp = F.coalesce("node", "id")
+    of_class = nodes.select("n", "fp1", "fp2", "node")
     if roots is not None:
-        out = out.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
-        comp = F.coalesce("root", "node", "id")
+        of_class = of_class.join(roots, "node", "left").select("n", "fp1", "fp2", F.coalesce("root", "node").alias("node"))
+    of_part = parts.select("n", "fp1", "fp2", "salt").join(of_class, ["n", "fp1", "fp2"])
+    out = salted.join(of_part, ["n", "fp1", "fp2", "salt"], "left")
+    comp = F.coalesce("node", "id")
     kept = F.coalesce(F.col("id") == comp, comp.isNull())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
 
