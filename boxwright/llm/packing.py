@@ -9,10 +9,12 @@ Pieces are dealt by hash into pools of about POOL pieces that are packed apart,
 proportion to the input, and a pool leaves about one sequence partly filled. The sequences that are filled less
 than REPACK of the tokens are then opened again and their pieces packed in pools of their own.
 
-With a column slot, as the mix gives it, pools are consecutive ranges of slots and sequence_id follows them.
+With a column slot of whole numbers, as the mix gives it, pools are consecutive ranges of slots and sequence_id
+follows them; a column of this name and another type is ignored, like all other columns.
 
 Defined results: a null or empty text is one piece that holds the end id; ties in length go by id, then piece;
-rows that repeat are packed each; an empty table gives an empty table; other columns are ignored.
+rows that repeat, also with null ids, are packed each and spread over the pools; very long texts are cut into pieces;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -83,7 +85,8 @@ def _pools(pieces: DataFrame, n: int, pool: int, first: int, id_col: str, slots:
         # consecutive slots; the second round's pools get the odd numbers beside the first round's of the same slots
         k = F.floor(F.col("slot") * count / slots).cast("long")
         return pieces.withColumn("pool", F.floor(k * among / count).cast("long") * 2 + 1 if among else k * 2)
-    return pieces.withColumn("pool", F.pmod(F.xxhash64(id_col, "piece", F.lit(first)), F.lit(count)) + F.lit(first))
+    # pieces come from a written table, so their numbers stay; ids that repeat don't meet in one pool
+    return pieces.withColumn("pool", F.pmod(F.xxhash64(id_col, "piece", F.lit(first), F.monotonically_increasing_id()), F.lit(count)) + F.lit(first))
 
 
 def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: float | None = None, pool: int = POOL, id_col: str = "doc_id") -> DataFrame:
@@ -105,9 +108,9 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, cost: flo
 
 
 def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, **options) -> DataFrame:
-    if "slot" not in docs.columns:
+    if "slot" not in docs.columns or docs.schema["slot"].dataType.typeName() not in ("integer", "long"):
         return pack(token_pieces(docs, path, tokens), tokens, **options)
     # the slot travels with the id, so that ids that repeat keep their own
-    both = docs.withColumn("_id", F.struct("doc_id", "slot"))
+    both = docs.select(F.struct("doc_id", "slot").alias("_id"), "text")
     pieces = token_pieces(both, path, tokens, id_col="_id")
     return pack(pieces.select("_id.*", "piece", "start", "length", "ids_crc32"), tokens, **options)

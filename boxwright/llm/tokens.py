@@ -1,10 +1,10 @@
 """Token counts and token ids by a byte-level BPE vocabulary (operator 4; feeds operator 8).
 
 Whole-token shortcut: a merge never crosses a pre-token, so a pre-token that the library encodes alone as one
-token is that token wherever it stands. Loading a vocabulary proves which of its strings are such (each is
-encoded alone, once per worker). Texts are cut into pre-tokens by array operations on their characters' classes,
-pre-tokens are counted by hash, the proven ones are looked up, and only the distinct rest goes through the
-library's merges; a bounded table remembers them.
+token is that token wherever it stands. Which strings of the vocabulary are such is proven once, on the driver before
+the job (each is encoded alone), and the proven table goes to the workers with the plan. Texts are cut into
+pre-tokens by array operations on their characters' classes, pre-tokens are counted by hash, the proven ones are
+looked up, and only the distinct rest goes through the library's merges; a bounded table remembers them.
 
 A text goes to the library whole if it holds a special token's string or a character outside the ranges for
 which the class table is proven (see CLASSES), and for vocabularies of another kind all texts do.
@@ -15,6 +15,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_text, text_chunks
+from .common import Texts, as_text, mapped, text_chunks
 from .rolling import U, Prefix
 
 L, N, O, S, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Text bytes at once: more than elsewhere, since the table of words is merged with new ones once a chunk.
 CHUNK = 1 << 20
 #: The pre-token pattern for which the array form below is written (fixed value of the vocabulary).
@@ -103,7 +104,7 @@ def pretoken_starts(at: np.ndarray, code: np.ndarray, t: Texts) -> tuple[np.ndar
 class Vocabulary:
     """A tokenizer file with its proven whole tokens and a bounded memory of other pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: tuple[np.ndarray, np.ndarray] | None = None):
         self.path = path
         if path.endswith(".model"):
             import sentencepiece
@@ -112,6 +113,7 @@ class Vocabulary:
             self.whole: Callable = lambda texts: [np.asarray(x, np.uint32) for x in p.encode(texts, num_threads=1)]
             self.shortcut = False
             return
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -121,19 +123,20 @@ class Vocabulary:
         self.shortcut = kind == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.lib.normalizer is None
         if self.shortcut:
             self.special = [s.content.encode() for s in self.lib.get_added_tokens_decoder().values()]
-            self._prove()
+            self.table = keys, ids = proven or self._prove()
+            self.proven = len(keys)
+            self.first = (keys, np.ones(len(keys), np.int64), np.arange(len(keys)), ids)
+            self._set(*self.first)
 
-    def _prove(self) -> None:
-        """Which vocabulary strings encode alone as one token?"""
+    def _prove(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (ascending) and ids of the vocabulary's strings that encode alone as one token."""
         strings = [self.lib.decoder.decode([piece]) for piece in self.lib.get_vocab(with_added_tokens=False)]
         strings = sorted({s for s in strings if s and "�" not in s and not any(x.decode() in s for x in self.special)})
         ids = [e.ids for e in self.lib.encode_batch(strings, add_special_tokens=False)]
         good = [(s.encode(), i[0]) for s, i in zip(strings, ids, strict=True) if len(i) == 1]
-        self.proven = len(good)
         keys = hashes([s for s, _ in good])
         order = np.argsort(keys)
-        self.first = (keys[order], np.ones(len(good), np.int64), np.arange(len(good)), np.asarray([i for _, i in good], np.uint32)[order])
-        self._set(*self.first)
+        return keys[order], np.asarray([i for _, i in good], np.uint32)[order]
 
     def _set(self, keys, sizes, offsets, ids) -> None:
         self.keys, self.sizes, self.offsets, self.ids = keys, sizes, offsets, ids
@@ -212,24 +215,31 @@ def hashes(words: list[bytes]) -> np.ndarray:
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, proven: tuple[np.ndarray, np.ndarray] | None = None) -> Vocabulary:
+    """The vocabulary of this process; a worker takes the driver's proof."""
     if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
+        _loaded[path] = Vocabulary(path, proven)
     return _loaded[path]
 
 
+def proof(path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    v = vocabulary(path)
+    return v.table if v.shortcut else None
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
+    proven = proof(path)
 
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(path, proven)
         for batch, t in text_chunks(batches, "text", CHUNK):
             n, _ = v.encode(t, False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t.ends - t.starts), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).alias("id"), as_text(F.col(text)).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return mapped(rows, run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,9 +248,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wit
     id, piece, start, length, ids_crc32 and, if wanted, ids.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    proven = proof(path)
 
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(path, proven)
         for batch, t in text_chunks(batches, "text", CHUNK):
             counts, all_ids = v.encode(t, True)
             total = counts + 1
@@ -266,4 +277,4 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wit
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     rows = docs.select(F.col(id_col).alias("id"), as_text(F.col(text)).alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return mapped(rows, run, schema).withColumnRenamed("id", id_col)
