@@ -46,6 +46,12 @@ def bhattacharyya(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), total)
 
 
+def bhattacharyya_roots(a: Column, b: Column) -> Column:
+    """The same over the roots of both histograms, taken before the join."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return F.least(F.lit(1.0), total)
+
+
 def cosine(a: Column, b: Column) -> Column:
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))

@@ -9,7 +9,8 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
@@ -45,7 +46,11 @@ def suppress(boxes: DataFrame, group: str, limit: float = 0.7) -> DataFrame:
                 alive[i + 1 :] &= w * h / np.maximum(area[i] + area[i + 1 :] - w * h, 1e-6) <= limit
         return pdf[alive]
 
-    return boxes.groupBy(group).applyInPandas(run, boxes.schema)
+    # a box alone in its group needs no comparison
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+    counted = boxes.withColumn("_n", n)
+    more = counted.filter("_n > 1").drop("_n").groupBy(group).applyInPandas(run, boxes.schema)
+    return counted.filter("_n = 1").drop("_n").unionByName(more)
 
 
 def assign(weights: np.ndarray) -> np.ndarray:

@@ -13,32 +13,10 @@ from ..operators import islands as isl
 from ..operators import matching, rangejoin
 from ..operators.components import components
 from ..sources.shared import cut
-from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, WIDTH, decisions, table, tracked
+from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, VIDEO_FRAMES, WIDTH, decisions, table, tracked
+from .registry import BOX, ORDER, QUERIES, SQL, mean_conf, query, r4  # noqa: F401
 
-QUERIES: dict = {}
-SQL: dict = {}
 PRESENCE_GAP, BEHAVIOR_GAP, MERGE_GAP = 3.0, 8.0, 3.0
-TOTAL_FRAMES = 20_000
-ORDER = ["frame", "event_id"]
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r4(c, n: int = 4):
-    return F.round(c, n)
-
-
-def mean_conf():
-    """Mean of whole millionths: the same whatever the order of the rows."""
-    return F.sum(F.round(F.col("conf") * 1_000_000).cast("long")) / F.lit(1_000_000.0) / F.count(F.lit(1))
 
 
 # ---------------------------------------------------------------- segmentation
@@ -178,7 +156,6 @@ def histogram_ratios(spark, sf_dir):
 BEHAVIOR_SQL = f"""WITH {TRACKED_SQL}, l AS (SELECT *, lag(t) OVER w AS pt, {", ".join(f"lag({c}) OVER w AS p{c}" for c in ("x1", "y1", "x2", "y2", "conf", "frame"))} FROM tracked WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)),
 edges AS (SELECT *, t - pt AS gap, {g.continuous_sql("p", "")} AS joined FROM l),
 b AS (SELECT *, CAST(sum(CASE WHEN gap > {BEHAVIOR_GAP} OR NOT joined THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame, event_id) AS BIGINT) AS chunk FROM edges)"""
-BOX = ["x1", "y1", "x2", "y2"]
 
 
 def _continuity(d: DataFrame):
@@ -204,17 +181,6 @@ def edge_decisions(spark, sf_dir):
     return d.filter(gap.isNotNull()).groupBy(bucket.alias("gap_bucket"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{FACE_SQL}, e AS (SELECT *, t0 - lag(t1) OVER w AS gap FROM tiered WINDOW w AS (PARTITION BY track_id ORDER BY seg)),
-m AS (SELECT *, CAST(sum(CASE WHEN gap > 5.0 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seg) AS BIGINT) AS merged FROM e)
-SELECT track_id, merged, count(*) AS source_event_count, round(min(t0), 3) AS start_time, round(max(t1), 3) AS end_time, CAST(sum(n) AS BIGINT) AS detection_count, CASE max(CASE tier WHEN 'auto' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) WHEN 0 THEN 'auto' WHEN 1 THEN 'review' ELSE 'low_conf' END AS tier FROM m GROUP BY 1, 2""")
-def merge_presence_events(spark, sf_dir):
-    """Consecutive events of a track at most 5 s apart become one; the worst tier wins."""
-    d = isl.islands(faces(spark, sf_dir), ["track_id"], ["seg"], lambda d: d["t0"] - d["prev_t1"] > 5.0, ["t1"], "merged")
-    rank = F.max(F.when(F.col("tier") == "auto", 0).when(F.col("tier") == "review", 1).otherwise(2))
-    d = d.groupBy("track_id", "merged").agg(F.count(F.lit(1)).alias("source_event_count"), r4(F.min("t0"), 3).alias("start_time"), r4(F.max("t1"), 3).alias("end_time"), F.sum("n").alias("detection_count"), rank.alias("r"))
-    return d.select("*", F.element_at(F.array(F.lit("auto"), F.lit("review"), F.lit("low_conf")), F.col("r") + 1).alias("tier")).drop("r")
-
-
 # ---------------------------------------------------------------- timeline
 
 SPLIT_FRAMES, FILL = 4 * INTERVAL, 3 * INTERVAL
@@ -324,7 +290,7 @@ def low_conf_promotion(spark, sf_dir):
 
 # ---------------------------------------------------------------- interval algebra
 
-RUNS_SQL = f"""{FACE_SQL}, iv AS (SELECT CASE WHEN tier = 'low_conf' THEN 'low' ELSE 'main' END AS lane, start_frame, least(end_frame, {TOTAL_FRAMES - 1}) AS end_frame FROM tiered WHERE start_frame < {TOTAL_FRAMES} AND track_id % 7 = 0),
+RUNS_SQL = f"""{FACE_SQL}, iv AS (SELECT CASE WHEN tier = 'low_conf' THEN 'low' ELSE 'main' END AS lane, start_frame, end_frame FROM tiered), tot AS (SELECT max(end_frame) + 1 AS total FROM iv),
 io AS (SELECT *, max(end_frame) OVER (PARTITION BY lane ORDER BY start_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv)"""
 
 
@@ -332,12 +298,8 @@ def _merged_sql(gap: int, name: str = "mg", source: str = "io") -> str:
     return f"""{name} AS (SELECT lane, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM (SELECT *, sum(CASE WHEN start_frame - before - 1 <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY lane ORDER BY start_frame, end_frame ROWS UNBOUNDED PRECEDING) AS grp FROM {source}) GROUP BY lane, grp)"""
 
 
-def _intervals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d = faces(spark, sf_dir)
-    if whole:
-        return d.select(F.when(F.col("tier") == "low_conf", "low").otherwise("main").alias("lane"), "start_frame", "end_frame")
-    d = d.filter((F.col("start_frame") < TOTAL_FRAMES) & (F.col("track_id") % 7 == 0))
-    return d.select(F.when(F.col("tier") == "low_conf", "low").otherwise("main").alias("lane"), "start_frame", F.least(F.col("end_frame"), F.lit(TOTAL_FRAMES - 1)).alias("end_frame"))
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faces(spark, sf_dir).select(F.when(F.col("tier") == "low_conf", "low").otherwise("main").alias("lane"), "start_frame", "end_frame")
 
 
 @query(f"WITH {TRACKED_SQL}, d AS (SELECT DISTINCT track_id, frame FROM tracked), r AS (SELECT *, frame - row_number() OVER (PARTITION BY track_id ORDER BY frame) AS grp FROM d) SELECT track_id, min(frame) AS start_frame, max(frame) AS end_frame FROM r GROUP BY track_id, grp")
@@ -345,28 +307,35 @@ def frame_runs(spark, sf_dir):
     return isl.runs(tracked(spark, sf_dir), ["track_id"], "frame")
 
 
+#: Frames of a bucket of coalesce_spread: the lanes are few, so their intervals are sorted in buckets of frames.
+SPREAD = 600
+
+
+def _whole_merged(spark, sf_dir):
+    """Merged intervals of all events, with the number of frames of the video as total."""
+    d = _intervals(spark, sf_dir)
+    total = d.agg((F.max("end_frame") + 1).alias("total"))
+    return isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", 31, SPREAD).crossJoin(F.broadcast(total))
+
+
 @query(f"{RUNS_SQL}, {_merged_sql(30)} SELECT * FROM mg")
 def merged_intervals(spark, sf_dir):
-    return isl.coalesce_intervals(_intervals(spark, sf_dir), ["lane"], "start_frame", "end_frame", 31)
+    return _whole_merged(spark, sf_dir).drop("total")
 
 
 @query(f"""{RUNS_SQL}, {_merged_sql(30)} SELECT lane, type, start_frame, end_frame FROM (
     SELECT lane, 'render' AS type, start_frame, end_frame FROM mg
     UNION ALL SELECT lane, 'copy', coalesce(lag(end_frame) OVER (PARTITION BY lane ORDER BY start_frame) + 1, 0), start_frame - 1 FROM mg
-    UNION ALL SELECT lane, 'copy', max(end_frame) + 1, {TOTAL_FRAMES - 1} FROM mg GROUP BY lane) WHERE start_frame <= end_frame""")
+    UNION ALL SELECT lane, 'copy', max(end_frame) + 1, (SELECT total FROM tot) - 1 FROM mg GROUP BY lane) WHERE start_frame <= end_frame""")
 def segment_plan(spark, sf_dir):
-    return isl.complement(merged_intervals(spark, sf_dir), ["lane"], F.lit(TOTAL_FRAMES))
+    return isl.complement(_whole_merged(spark, sf_dir), ["lane"], F.col("total"))
 
 
-@query(f"""{RUNS_SQL}, {_merged_sql(30)} SELECT lane, start_frame, end_frame, (start_frame // 60) * 60 AS key_floor, least({TOTAL_FRAMES}, ((end_frame + 1 + 59) // 60) * 60) - 1 AS key_ceil FROM mg""")
+@query(f"""{RUNS_SQL}, {_merged_sql(30)} SELECT lane, start_frame, end_frame, (start_frame // 60) * 60 AS key_floor, least((SELECT total FROM tot), ((end_frame + 1 + 59) // 60) * 60) - 1 AS key_ceil FROM mg""")
 def keyframe_snap(spark, sf_dir):
-    """Each interval grown to the keyframes around it (one each 60 frames), by two as-of joins."""
-    lanes = spark.createDataFrame([("low",), ("main",)], "lane string")
-    keys = lanes.crossJoin(spark.range(0, TOTAL_FRAMES // 60 + 1).select((F.col("id") * 60).alias("k")).withColumn("key", F.col("k")))
-    d = merged_intervals(spark, sf_dir).withColumn("after", F.col("end_frame") + 1)
-    d = rangejoin.asof(d, keys, ["lane"], "start_frame", "k", "key").withColumnRenamed("key", "key_floor")
-    d = rangejoin.asof(d, keys, ["lane"], "after", "k", "key", forward=True)
-    return d.select("lane", "start_frame", "end_frame", "key_floor", (F.least(F.coalesce("key", F.lit(TOTAL_FRAMES)), F.lit(TOTAL_FRAMES)) - 1).alias("key_ceil"))
+    """Each interval grown to the keyframes around it, one each 60 frames."""
+    ceil = F.ceil((F.col("end_frame") + 1) / 60) * 60
+    return _whole_merged(spark, sf_dir).select("lane", "start_frame", "end_frame", (F.floor(F.col("start_frame") / 60) * 60).alias("key_floor"), (F.least(ceil, F.col("total")) - 1).alias("key_ceil"))
 
 
 SWEEP = (0, 15, 30, 60, 90, 150)
@@ -374,11 +343,12 @@ SWEEP = (0, 15, 30, 60, 90, 150)
 
 @query(f"{RUNS_SQL}, " + ", ".join(_merged_sql(k, f"m{k}") for k in SWEEP) + " " + " UNION ALL ".join(f"SELECT lane, CAST({k} AS BIGINT) AS gap, count(*) AS intervals, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS frames FROM m{k} GROUP BY lane" for k in SWEEP))
 def coverage_sweep(spark, sf_dir):
-    gaps = spark.createDataFrame([(k,) for k in SWEEP], "gap long")
-    d = _intervals(spark, sf_dir).crossJoin(F.broadcast(gaps))  # a handful of thresholds
-    d = d.withColumn("start_frame", F.col("start_frame") - F.col("gap") - 1)
-    m = isl.coalesce_intervals(d, ["lane", "gap"], "start_frame", "end_frame", 0)
-    return m.groupBy("lane", "gap").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end_frame") - (F.col("start_frame") + F.col("gap") + 1) + 1).alias("frames"))
+    d = _intervals(spark, sf_dir)
+    m = None
+    for k in SWEEP:
+        one = isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", k + 1, SPREAD).withColumn("gap", F.lit(k).cast("long"))
+        m = one if m is None else m.unionByName(one)
+    return m.groupBy("lane", "gap").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
 
 
 # ---------------------------------------------------------------- identity
@@ -400,20 +370,18 @@ def track_profiles(spark, sf_dir):
     return d.select("track_id", "n", r4(F.col("t0"), 3).alias("t0"), r4(F.col("t1"), 3).alias("t1"), r4(F.col("peak")).alias("peak"), *[x + c for c in BOX for x in "az"])
 
 
-MATCH_GAP, TOP = 6.0, 5
+MATCH_GAP = 6.0
 #: The reference's gap (colour histograms) and number of successors; the best score beyond MATCH_GAP.
 FULL_GAP, FULL_TOP, FAR_SCORE = 90.0, 25, 0.6 * math.exp(-MATCH_GAP / 3.0) + 0.4
-SUCCESSOR_SQL = f"""{SEGMENTS_SQL}, ev AS (SELECT track_id, seg, min(t) AS t0, max(t) AS t1, {", ".join(f"arg_min({c}, (frame, event_id)) AS a{c}, arg_max({c}, (frame, event_id)) AS z{c}" for c in BOX)} FROM seg WHERE track_id % 4 = 0 GROUP BY 1, 2),
+SUCCESSOR_SQL = f"""{SEGMENTS_SQL}, ev AS (SELECT track_id, seg, min(t) AS t0, max(t) AS t1, {", ".join(f"arg_min({c}, (frame, event_id)) AS a{c}, arg_max({c}, (frame, event_id)) AS z{c}" for c in BOX)} FROM seg GROUP BY 1, 2),
 cand AS (SELECT p.track_id AS from_track, p.seg AS from_seg, n.track_id AS to_track, n.seg AS to_seg, n.t0 - p.t1 AS gap,
     0.6 * exp(-greatest(0.0, n.t0 - p.t1) / 3.0) + 0.4 * greatest(0.0, 1 - {g.center_ratio_sql("p.z", "n.a")} / 4) AS score
-    FROM ev p JOIN ev n ON n.t0 BETWEEN p.t1 - 0.05 AND p.t1 + {MATCH_GAP} AND (p.track_id <> n.track_id OR p.seg <> n.seg))"""
+    FROM ev p JOIN ev n ON n.t0 BETWEEN p.t1 - 0.05 AND p.t1 + {FULL_GAP} AND (p.track_id <> n.track_id OR p.seg <> n.seg))"""
 
 
-def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: float = MATCH_GAP, skip: DataFrame | None = None) -> DataFrame:
+def successors(spark: SparkSession, sf_dir: str, max_gap: float = MATCH_GAP, skip: DataFrame | None = None) -> DataFrame:
     """Candidate links between segments, but those from skip: the next starts at most max_gap behind the end (bucketed range join)."""
     e = presence(spark, sf_dir)
-    if not whole:
-        e = e.filter(F.col("track_id") % 4 == 0)
     key, box = F.struct("frame", "event_id"), F.struct(*BOX)
     e = e.groupBy("track_id", "seg").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(box, key).alias("a"), F.max_by(box, key).alias("z"))
     p = e.select(F.col("track_id").alias("from_track"), F.col("seg").alias("from_seg"), F.col("t1").alias("p1"), *[F.col(f"z.{c}").alias(f"z{c}") for c in BOX])
@@ -428,7 +396,7 @@ def successors(spark: SparkSession, sf_dir: str, whole: bool = False, max_gap: f
 
 @query(f"{SUCCESSOR_SQL} SELECT from_track, from_seg, count(*) AS candidates, round(max(score), 4) AS best, round(min(gap), 3) AS least_gap FROM cand GROUP BY 1, 2")
 def successor_candidates(spark, sf_dir):
-    return _candidate_counts(successors(spark, sf_dir))
+    return _candidate_counts(successors(spark, sf_dir, max_gap=FULL_GAP))
 
 
 def _candidate_counts(links):
@@ -438,10 +406,13 @@ def _candidate_counts(links):
 _RANK = "round(score, 9) DESC, to_track, to_seg"
 
 
-@query(f"{SUCCESSOR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY from_track, from_seg ORDER BY {_RANK}) AS rank FROM cand) SELECT from_track, from_seg, to_track, to_seg, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM k WHERE rank <= {TOP}")
+@query(f"{SUCCESSOR_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY from_track, from_seg ORDER BY {_RANK}) AS rank FROM cand) SELECT from_track, from_seg, to_track, to_seg, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM k WHERE rank <= {FULL_TOP}")
 def top_successors(spark, sf_dir):
-    """The best candidates of each segment; Spark keeps each task's top ranks before the shuffle."""
-    return _top(successors(spark, sf_dir), TOP)
+    """A segment with FULL_TOP candidates above FAR_SCORE within MATCH_GAP has them all; only the others look on to FULL_GAP."""
+    near = _top(successors(spark, sf_dir), FULL_TOP)
+    done = near.filter((F.col("rank") == FULL_TOP) & (F.col("score") > FAR_SCORE + 0.001)).select("from_track", "from_seg")  # scores have 4 digits
+    rest = _top(successors(spark, sf_dir, max_gap=FULL_GAP, skip=done), FULL_TOP)
+    return near.join(done, ["from_track", "from_seg"], "left_semi").unionByName(rest)
 
 
 def _top(links, top):
@@ -453,6 +424,7 @@ def _top(links, top):
 @query(f"""{SUCCESSOR_SQL}, s1 AS (SELECT *, row_number() OVER (PARTITION BY from_track, from_seg ORDER BY {_RANK}) AS r, row_number() OVER (PARTITION BY to_track, to_seg ORDER BY round(score, 9) DESC, from_track, from_seg) AS q FROM cand)
 SELECT from_track, from_seg, to_track, to_seg, round(score, 4) AS score FROM s1 WHERE r = 1 AND q = 1 AND score >= 0.5""")
 def mutual_best_links(spark, sf_dir):
+    """MATCH_GAP is enough: a link that scores 0.5 is above FAR_SCORE, as all that outrank it."""
     return _mutual_best(successors(spark, sf_dir))
 
 
@@ -466,19 +438,21 @@ def _mutual_best(links):
 # ---------------------------------------------------------------- evaluation
 
 CLIP = 20.0
-GT_SQL = f"""{FACE_SQL}, clips AS (SELECT range AS clip_id, range * {CLIP} AS c0, (range + 1) * {CLIP} AS c1 FROM range(0, 30)),
-gt AS (SELECT track_id AS gt_id, t0 AS g0, t1 + 0.5 AS g1 FROM tiered WHERE seg = 0 AND t0 < 600 AND track_id % 3 = 0),
-pred AS (SELECT track_id * 1000 + seg AS pred_id, track_id, t0 AS p0, t1 + 0.2 AS p1 FROM tiered WHERE tier <> 'low_conf' AND t0 < 600 AND track_id % 3 = 0)"""
+GT_SQL = f"""{FACE_SQL}, 
+gt AS (SELECT track_id AS gt_id, t0 AS g0, t1 + 0.5 AS g1 FROM tiered WHERE seg = 0),
+pred AS (SELECT track_id * 1000 + seg AS pred_id, track_id, t0 AS p0, t1 + 0.2 AS p1 FROM tiered WHERE tier <> 'low_conf'),
+clips AS (SELECT c AS clip_id, c * {CLIP} AS c0, (c + 1) * {CLIP} AS c1 FROM (SELECT unnest(range(0, CAST(floor(greatest((SELECT max(g1) FROM gt), (SELECT max(p1) FROM pred)) / {CLIP}) AS BIGINT) + 1)) AS c))"""
 
 
-def _clips(spark):
-    return spark.range(30).select(F.col("id").alias("clip_id"), (F.col("id") * CLIP).alias("c0"), ((F.col("id") + 1) * CLIP).alias("c1"))
+def _clips(gt, pred):
+    """As many clips as the last event needs."""
+    last = gt.agg(F.max("g1").alias("e")).unionByName(pred.agg(F.max("p1").alias("e"))).agg(F.max("e").alias("e")).filter("e IS NOT NULL")
+    clips = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("e") / CLIP))).alias("clip_id"))
+    return clips.select("clip_id", (F.col("clip_id") * CLIP).alias("c0"), ((F.col("clip_id") + 1) * CLIP).alias("c1"))
 
 
-def _gt_pred(spark, sf_dir, whole=False):
+def _gt_pred(spark, sf_dir):
     f = faces(spark, sf_dir)
-    if not whole:
-        f = f.filter((F.col("t0") < 600) & (F.col("track_id") % 3 == 0))
     gt = f.filter("seg = 0").select(F.col("track_id").alias("gt_id"), F.col("t0").alias("g0"), (F.col("t1") + 0.5).alias("g1"))
     pred = f.filter("tier <> 'low_conf'").select((F.col("track_id") * 1000 + F.col("seg")).alias("pred_id"), "track_id", F.col("t0").alias("p0"), (F.col("t1") + 0.2).alias("p1"))
     return gt, pred
@@ -487,8 +461,8 @@ def _gt_pred(spark, sf_dir, whole=False):
 @query(f"{GT_SQL} SELECT clip_id, count(*) AS gt_events, round(sum(least(g1, c1) - greatest(g0, c0)), 3) AS overlap_sec FROM clips JOIN gt ON g0 < c1 AND g1 > c0 GROUP BY clip_id")
 def clip_overlap(spark, sf_dir):
     """Events of each clip: every event names the clips that it touches, so this is an equi-join."""
-    gt, _ = _gt_pred(spark, sf_dir)
-    return _clip_overlap(gt, _clips(spark))
+    gt, pred = _gt_pred(spark, sf_dir)
+    return _clip_overlap(gt, _clips(gt, pred))
 
 
 def _clip_overlap(gt, clips):
@@ -496,12 +470,6 @@ def _clip_overlap(gt, clips):
     return d.groupBy("clip_id").agg(F.count(F.lit(1)).alias("gt_events"), r4(F.sum(F.least("g1", "c1") - F.greatest("g0", "c0")), 3).alias("overlap_sec"))
 
 
-@query(f"""{GT_SQL}, ov AS (SELECT gt_id, pred_id, least(g1, p1) - greatest(g0, p0) AS o, g1 - g0 AS len FROM gt JOIN pred ON track_id = gt_id AND p1 > g0 AND p0 < g1),
-big AS (SELECT * FROM ov WHERE o / len >= 0.25) SELECT 'over_split' AS kind, gt_id AS id, count(*) AS n FROM big GROUP BY gt_id HAVING count(*) >= 1 UNION ALL SELECT 'over_merge', pred_id, count(*) FROM big GROUP BY pred_id HAVING count(*) >= 1""")
-def merge_split_errors(spark, sf_dir):
-    return _merge_split(*_gt_pred(spark, sf_dir))
-
-
 def _merge_split(gt, pred):
     o = gt.join(pred, (F.col("track_id") == F.col("gt_id")) & (F.col("p1") > F.col("g0")) & (F.col("p0") < F.col("g1")))
     big = o.filter((F.least("g1", "p1") - F.greatest("g0", "p0")) / (F.col("g1") - F.col("g0")) >= 0.25)
@@ -517,7 +485,8 @@ SELECT clip_id, count(gm.step) AS gt_steps, count(pm.step) AS pred_steps, count(
 FROM grid LEFT JOIN gm USING (step) LEFT JOIN pm USING (step) GROUP BY clip_id""")
 def mask_errors(spark, sf_dir):
     """Covered tenths of a second of ground truth and prediction in each clip."""
-    return _mask_errors(*_gt_pred(spark, sf_dir), _clips(spark))
+    gt, pred = _gt_pred(spark, sf_dir)
+    return _mask_errors(gt, pred, _clips(gt, pred))
 
 
 def _mask_errors(gt, pred, clips):
@@ -533,14 +502,16 @@ def _mask_errors(gt, pred, clips):
 @query()
 def greedy_matches(spark, sf_dir):
     """Ground truth and predictions of a track by falling interval IoU, each once; all tracks."""
-    gt, pred = _gt_pred(spark, sf_dir, whole=True)
+    gt, pred = _gt_pred(spark, sf_dir)
     o = gt.join(pred, F.col("track_id") == F.col("gt_id")).withColumn("iou", F.greatest(F.lit(0.0), F.least("g1", "p1") - F.greatest("g0", "p0")) / (F.greatest("g1", "p1") - F.least("g0", "p0"))).filter("iou >= 0.3")
     return matching.greedy_pairs(o.select("track_id", "gt_id", "pred_id", r4(F.col("iou")).alias("iou")), "track_id", "gt_id", "pred_id", "iou")
 
 
 @query()
 def frame_nms(spark, sf_dir):
-    return matching.suppress(tracked(spark, sf_dir).withColumn("second", F.floor("t")), "second", 0.3).select("second", "event_id", "conf")
+    """Boxes of each frame of a video that no better box of the frame overlaps by more than 0.70."""
+    d = tracked(spark, sf_dir).withColumn("at", F.col("video_id") * VIDEO_FRAMES + F.col("frame"))
+    return matching.suppress(d, "at", 0.7).select("video_id", "frame", "event_id", "conf")
 
 
 @query()
@@ -550,7 +521,7 @@ def assigned_links(spark, sf_dir):
     A candidate more than MATCH_GAP behind scores FAR_SCORE at most, so none of FULL_GAP is lost. Connected components
     of the candidates share no end: solved apart, they give the optimum of the whole.
     """
-    d = successors(spark, sf_dir, whole=True).filter("score >= 0.5").select((F.col("from_track") * 1000 + F.col("from_seg")).alias("from_id"), (F.col("to_track") * 1000 + F.col("to_seg")).alias("to_id"), r4(F.col("score")).alias("score"))
+    d = successors(spark, sf_dir).filter("score >= 0.5").select((F.col("from_track") * 1000 + F.col("from_seg")).alias("from_id"), (F.col("to_track") * 1000 + F.col("to_seg")).alias("to_id"), r4(F.col("score")).alias("score"))
     w = Window.partitionBy("from_id").orderBy(F.desc("score"), "to_id")
     d = cut(d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= FULL_TOP).drop("r"))
     u, v = F.col("from_id") * 2, F.col("to_id") * 2 + 1  # a segment's end and its start are two nodes
@@ -559,12 +530,6 @@ def assigned_links(spark, sf_dir):
     return matching.assignment(d.select("part", "from_id", "to_id", "score"), "part")
 
 
-@query()
-def overlap_split(spark, sf_dir):
-    d = faces(spark, sf_dir).select(F.floor(F.col("track_id") / 8).alias("cluster"), (F.col("track_id") * 1000 + F.col("seg")).alias("id"), F.col("t0").alias("start"), F.col("t1").alias("end"))
-    return matching.first_fit(d, "cluster")
-
-
 @query()
 def singleton_rescue(spark, sf_dir):
     d = isl.islands(tracked(spark, sf_dir), ["track_id"], ORDER, lambda d: d["t"] - d["prev_t"] >= 1.0, ["t"], "chunk")
@@ -572,86 +537,15 @@ def singleton_rescue(spark, sf_dir):
     return matching.rescue_singletons(c, "track_id", 1.5)
 
 
-# ---------------------------------------------------------------- whole tables, no SQL
-# The queries of the same names without "whole_" and their SQL run over some tracks and the first frames only.
-
+# ---------------------------------------------------------------- the same under their former names
+# Before, the queries without "whole_" ran over some tracks and the first frames only. Now both take all rows.
 
-def _whole_merged(spark, sf_dir):
-    """Merged intervals of all events, with the number of frames of the video as total."""
-    d = _intervals(spark, sf_dir, whole=True)
-    total = d.agg((F.max("end_frame") + 1).alias("total"))
-    return isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", 31, SPREAD).crossJoin(F.broadcast(total))
-
-
-def _whole_clips(gt, pred):
-    """As many clips as the last event needs."""
-    last = gt.agg(F.max("g1").alias("e")).unionByName(pred.agg(F.max("p1").alias("e"))).agg(F.max("e").alias("e")).filter("e IS NOT NULL")
-    clips = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("e") / CLIP))).alias("clip_id"))
-    return clips.select("clip_id", (F.col("clip_id") * CLIP).alias("c0"), ((F.col("clip_id") + 1) * CLIP).alias("c1"))
-
-
-#: Frames of a bucket of coalesce_spread.
-SPREAD = 600
-
-
-@query()
-def whole_merged_intervals(spark, sf_dir):
-    return _whole_merged(spark, sf_dir).drop("total")
-
-
-@query()
-def whole_segment_plan(spark, sf_dir):
-    return isl.complement(_whole_merged(spark, sf_dir), ["lane"], F.col("total"))
-
-
-@query()
-def whole_keyframe_snap(spark, sf_dir):
-    ceil = F.ceil((F.col("end_frame") + 1) / 60) * 60
-    return _whole_merged(spark, sf_dir).select("lane", "start_frame", "end_frame", (F.floor(F.col("start_frame") / 60) * 60).alias("key_floor"), (F.least(ceil, F.col("total")) - 1).alias("key_ceil"))
-
-
-@query()
-def whole_coverage_sweep(spark, sf_dir):
-    d = _intervals(spark, sf_dir, whole=True)
-    m = None
-    for k in SWEEP:
-        one = isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", k + 1, SPREAD).withColumn("gap", F.lit(k).cast("long"))
-        m = one if m is None else m.unionByName(one)
-    return m.groupBy("lane", "gap").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
-
-
-@query()
-def whole_successor_candidates(spark, sf_dir):
-    return _candidate_counts(successors(spark, sf_dir, whole=True, max_gap=FULL_GAP))
-
-
-@query()
-def whole_top_successors(spark, sf_dir):
-    """A segment with FULL_TOP candidates above FAR_SCORE within MATCH_GAP has them all; only the others look on to FULL_GAP."""
-    near = _top(successors(spark, sf_dir, whole=True), FULL_TOP)
-    done = near.filter((F.col("rank") == FULL_TOP) & (F.col("score") > FAR_SCORE + 0.001)).select("from_track", "from_seg")  # scores have 4 digits
-    rest = _top(successors(spark, sf_dir, whole=True, max_gap=FULL_GAP, skip=done), FULL_TOP)
-    return near.join(done, ["from_track", "from_seg"], "left_semi").unionByName(rest)
-
-
-@query()
-def whole_mutual_best_links(spark, sf_dir):
-    """MATCH_GAP is enough: a link that scores 0.5 is above FAR_SCORE, as all that outrank it."""
-    return _mutual_best(successors(spark, sf_dir, whole=True))
-
-
-@query()
-def whole_clip_overlap(spark, sf_dir):
-    gt, pred = _gt_pred(spark, sf_dir, whole=True)
-    return _clip_overlap(gt, _whole_clips(gt, pred))
+for _f in (merged_intervals, segment_plan, keyframe_snap, coverage_sweep, successor_candidates, top_successors, mutual_best_links, clip_overlap, mask_errors):
+    QUERIES[f"whole_{_f.__name__}"] = globals()[f"whole_{_f.__name__}"] = _f
+    SQL[f"whole_{_f.__name__}"] = SQL[_f.__name__]
 
 
 @query()
 def whole_merge_split_errors(spark, sf_dir):
-    return _merge_split(*_gt_pred(spark, sf_dir, whole=True))
-
-
-@query()
-def whole_mask_errors(spark, sf_dir):
-    gt, pred = _gt_pred(spark, sf_dir, whole=True)
-    return _mask_errors(gt, pred, _whole_clips(gt, pred))
+    """How many predictions of its track cover a quarter of each ground truth, and the other way round (errors: merge_split_errors)."""
+    return _merge_split(*_gt_pred(spark, sf_dir))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FPS, WIDTH, HEIGHT, INTERVAL = 30.0, 1920, 1080, 5
+#: Frames of a video, and tracks of one.
+VIDEO_FRAMES, VIDEO_TRACKS = 5400, 10
 #: Microseconds of wall time for one second of video, and the first instant.
 SECOND, EPOCH = 14_400_000_000, 1_704_067_200_000_000
 
@@ -15,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, track_id, t, frame, conf, x1, y1, x2, y2: one row for each detection."""
+    """event_id, track_id, t, frame, conf, x1, y1, x2, y2, video_id: one row for each detection."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props", (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH).alias("us"))
     k = F.get_json_object("props", "$.k").cast("int")
     x, y = (F.col("user_id") * 97) % 1600 + (F.col("event_id") * 31) % 160, (F.col("user_id") * 53) % 800 + (F.col("event_id") * 17) % 120
@@ -29,6 +31,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
         y.cast("double").alias("y1"),
         (x + 80 + k % 60).cast("double").alias("x2"),
         (y + 100 + k % 80).cast("double").alias("y2"),
+        F.floor(F.col("user_id") / VIDEO_TRACKS).alias("video_id"),
     )
 
 
@@ -36,7 +39,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACKED_SQL = f"""tracked AS (
     SELECT event_id, user_id AS track_id, us / {float(SECOND)} AS t, CAST(floor(us * 30 / {float(SECOND)}) AS BIGINT) AS frame,
         0.2 + (round(value * 100) % 100) * 0.008 AS conf, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1,
-        CAST(x + 80 + k % 60 AS DOUBLE) AS x2, CAST(y + 100 + k % 80 AS DOUBLE) AS y2
+        CAST(x + 80 + k % 60 AS DOUBLE) AS x2, CAST(y + 100 + k % 80 AS DOUBLE) AS y2, user_id // {VIDEO_TRACKS} AS video_id
     FROM (SELECT *, epoch_us(ts) - {EPOCH} AS us, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
         (user_id * 97) % 1600 + (event_id * 31) % 160 AS x, (user_id * 53) % 800 + (event_id * 17) % 120 AS y FROM events))"""
 
