@@ -30,7 +30,7 @@ from .rolling import U, Prefix
 
 L, N, O, S, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens that a worker remembers before it starts afresh.
-MEMORY = 150_000
+MEMORY = 500_000
 #: Text bytes at once: more than elsewhere, since the table of words is merged with new ones once a chunk.
 CHUNK = 1 << 20
 #: The pre-token pattern for which the array form below is written (fixed value of the vocabulary).
@@ -151,10 +151,9 @@ class Vocabulary:
             e = self.lib.encode([word(i).decode() for i in new], is_pretokenized=True, add_special_tokens=False)
             sizes = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(new))
             ids = np.concatenate((self.ids, np.asarray(e.ids, np.uint32)))
-            offsets = np.concatenate((self.offsets, len(self.ids) + np.cumsum(sizes) - sizes))
-            every = np.concatenate((self.keys, keys[new]))
-            order = np.argsort(every, kind="stable")
-            self._set(every[order], np.concatenate((self.sizes, sizes))[order], offsets[order], ids)
+            offsets = len(self.ids) + np.cumsum(sizes) - sizes
+            place = np.searchsorted(self.keys, keys[new])  # both are sorted: new rows are put in between
+            self._set(np.insert(self.keys, place, keys[new]), np.insert(self.sizes, place, sizes), np.insert(self.offsets, place, offsets), ids)
             at = np.searchsorted(self.keys, keys)
         return at
 
