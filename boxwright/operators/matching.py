@@ -27,7 +27,31 @@ def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str
                 b.add(y)
         return pdf[keep]
 
-    return pairs.groupBy(group).applyInPandas(run, pairs.schema)
+    return _alone_or(pairs, group, run)
+
+
+def in_turn(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+    """Each left of a group, in order, takes its best right that is still free (ties: the greatest right)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([left, score, right], ascending=[True, False, False], kind="stable")
+        done, taken, keep = set(), set(), []
+        for x, y in zip(pdf[left], pdf[right], strict=True):
+            ok = x not in done and y not in taken
+            keep.append(ok)
+            if ok:
+                done.add(x)
+                taken.add(y)
+        return pdf[keep]
+
+    return _alone_or(pairs, group, run)
+
+
+def _alone_or(rows: DataFrame, group: str, run) -> DataFrame:
+    """Rows alone in their group as they are; the others through run, group by group."""
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    more = counted.filter("_n > 1").drop("_n").groupBy(group).applyInPandas(run, rows.schema)
+    return counted.filter("_n = 1").drop("_n").unionByName(more)
 
 
 def suppress(boxes: DataFrame, group: str, limit: float = 0.7) -> DataFrame:
@@ -46,11 +70,7 @@ def suppress(boxes: DataFrame, group: str, limit: float = 0.7) -> DataFrame:
                 alive[i + 1 :] &= w * h / np.maximum(area[i] + area[i + 1 :] - w * h, 1e-6) <= limit
         return pdf[alive]
 
-    # a box alone in its group needs no comparison
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    counted = boxes.withColumn("_n", n)
-    more = counted.filter("_n > 1").drop("_n").groupBy(group).applyInPandas(run, boxes.schema)
-    return counted.filter("_n = 1").drop("_n").unionByName(more)
+    return _alone_or(boxes, group, run)
 
 
 def assign(weights: np.ndarray) -> np.ndarray:

@@ -257,10 +257,11 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("video_id", "track_id", "chunk", "start_frame", "end_frame", "f").agg(F.max_by("v", "last").alias("v"))
 
 
-@query(f"WITH {_TIMELINE_SQL} SELECT video_id, track_id, chunk, f AS frame, round(f / {FPS}, 3) AS timestamp, {', '.join(f'round({c}, 1) AS {c}' for c in BOX)}, round(conf, 4) AS confidence FROM tl1")
+@query(f"WITH {_TIMELINE_SQL} SELECT video_id, track_id, chunk, f AS frame, round(f / {FPS}, 3) AS timestamp, {', '.join(f'round({c} + 0.0000001, 1) AS {c}' for c in BOX)}, round(conf + 0.0000000001, 4) AS confidence FROM tl1")
 def accepted_timeline(spark, sf_dir):
+    """The accepted events' rows; what is rounded is moved up by a trace first, so that ties fall alike in both engines."""
     d = timeline_rows(spark, sf_dir)
-    return d.select("video_id", "track_id", "chunk", F.col("f").alias("frame"), r4(F.col("f") / FPS, 3).alias("timestamp"), *[r4(F.col(f"v.{c}"), 1).alias(c) for c in BOX], r4(F.col("v.conf")).alias("confidence"))
+    return d.select("video_id", "track_id", "chunk", F.col("f").alias("frame"), r4(F.col("f") / FPS, 3).alias("timestamp"), *[r4(F.col(f"v.{c}") + 1e-7, 1).alias(c) for c in BOX], r4(F.col("v.conf") + 1e-10).alias("confidence"))
 
 
 @query(f"""WITH {_TIMELINE_SQL} SELECT video_id, track_id, chunk, any_value(end_frame) - any_value(start_frame) + 1 AS event_span_frames, count(*) AS timeline_frame_count, greatest(0, any_value(end_frame) - any_value(start_frame) + 1 - count(*) FILTER (f BETWEEN start_frame AND end_frame)) AS uncovered_event_frames, count(*) FILTER (f < start_frame) AS extra_before_frames, count(*) FILTER (f > end_frame) AS extra_after_frames FROM tl1 GROUP BY 1, 2, 3""")
@@ -317,7 +318,7 @@ _FOLD = "list_transform(range(1, len({0}) + 1), lambda n: list_reduce({0}[1:n],
 
 
 @query(f"""WITH {_SMOOTH_SQL}, folded AS (SELECT video_id, track_id, chunk, unnest(fs) AS frame, {", ".join(f"unnest({_FOLD.format(c, ALPHA, 1 - ALPHA)}) AS {c}" for c in ("cx", "cy", "w", "h"))} FROM ordered)
-SELECT video_id, track_id, chunk, frame, round(cx - w / 2, 1) AS x1, round(cy - h / 2, 1) AS y1, round(cx + w / 2, 1) AS x2, round(cy + h / 2, 1) AS y2 FROM folded""")
+SELECT video_id, track_id, chunk, frame, round(cx - w / 2 + 0.0000001, 1) AS x1, round(cy - h / 2 + 0.0000001, 1) AS y1, round(cx + w / 2 + 0.0000001, 1) AS x2, round(cy + h / 2 + 0.0000001, 1) AS y2 FROM folded""")
 def smoothed_boxes(spark, sf_dir):
     """Render maps smoothed by a recursive blend of centres and sizes along each event; one event's frames are one fold."""
     d = render_map(spark, sf_dir)
@@ -328,4 +329,4 @@ def smoothed_boxes(spark, sf_dir):
     out = F.aggregate(F.slice("p", F.lit(2), F.size("p")), first, lambda acc, x: F.array_append(acc, blend(F.element_at(acc, -1), x)))
     x = rows.select("video_id", "track_id", "chunk", F.explode(out).alias("s"))
     c = lambda k: F.col(f"s.{k}")
-    return x.select("video_id", "track_id", "chunk", c("f").alias("frame"), *[r4(e, 1).alias(n) for n, e in (("x1", c("cx") - c("w") / 2), ("y1", c("cy") - c("h") / 2), ("x2", c("cx") + c("w") / 2), ("y2", c("cy") + c("h") / 2))])
+    return x.select("video_id", "track_id", "chunk", c("f").alias("frame"), *[r4(e + 1e-7, 1).alias(n) for n, e in (("x1", c("cx") - c("w") / 2), ("y1", c("cy") - c("h") / 2), ("x2", c("cx") + c("w") / 2), ("y2", c("cy") + c("h") / 2))])

@@ -50,14 +50,27 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("proposal"), status.alias("status"))
 
 
-def parse_decisions(raw: DataFrame, column: str = "json", prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """Decision documents (id -> status, or id -> {status, ranges}) as rows (event_id, status, ranges)."""
-    pairs = raw.select(F.explode(F.from_json(column, "map<string,string>")).alias("event_id", "value"))
-    as_struct = F.from_json("value", "struct<status:string,ranges:array<array<double>>,accepted_ranges:array<array<double>>>")
+#: Keys of a decision document that are no events (fixed values).
+META = ("events", "summary", "video", "review_dir", "started_at", "updated_at", "total_review_events", "decided_count", "schema", "decision_unit", "review_timing")
+
+
+def parse_decisions(raw: DataFrame, column: str = "json", prefixes: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
+    """Decision documents as rows (event_id, status, ranges) beside the columns of keep.
+
+    A document is a map of statuses, a map of objects with status and ranges, or has a list of events. Ranges count if
+    they hold two numbers, the second greater.
+    """
+    keep = keep or []
+    entry = "struct<event_id:string,status:string,review_status:string,ranges:array<array<double>>,accepted_ranges:array<array<double>>>"
+    listed = raw.select(*keep, F.explode(F.from_json(F.get_json_object(column, "$.events"), f"array<{entry}>")).alias("e"))
+    listed = listed.select(*keep, "e.event_id", F.coalesce("e.status", "e.review_status").alias("status"), F.coalesce("e.ranges", "e.accepted_ranges").alias("ranges"))
+    pairs = raw.filter(F.from_json(F.get_json_object(column, "$.events"), f"array<{entry}>").isNull()).select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("event_id", "value"))
+    as_struct = F.from_json("value", entry)
+    mapped = pairs.filter(~F.col("event_id").isin(*META)).select(*keep, "event_id", F.coalesce(as_struct["status"], F.col("value")).alias("status"), F.coalesce(as_struct["ranges"], as_struct["accepted_ranges"]).alias("ranges"))
     names = F.create_map(F.lit("confirmed_face"), F.lit("accepted"), F.lit("rejected_fp"), F.lit("rejected"))
-    status = F.coalesce(as_struct["status"], F.col("value"))
-    ranges = F.filter(F.coalesce(as_struct["ranges"], as_struct["accepted_ranges"], F.array().cast("array<array<double>>")), lambda r: (F.size(r) == 2) & (F.try_element_at(r, F.lit(2)) > F.try_element_at(r, F.lit(1))))
-    rows = pairs.filter(~F.col("event_id").isin("schema", "updated_at", "review_timing")).select("event_id", F.coalesce(F.try_element_at(names, status), status).alias("status"), F.transform(ranges, lambda r: F.struct(r[0].alias("start"), r[1].alias("end"))).alias("ranges"))
+    ranges = F.filter(F.coalesce("ranges", F.array().cast("array<array<double>>")), lambda r: (F.size(r) == 2) & (F.try_element_at(r, F.lit(2)) > F.try_element_at(r, F.lit(1))))
+    rows = listed.unionByName(mapped).filter("event_id is not null and status is not null and status <> ''")
+    rows = rows.select(*keep, "event_id", F.coalesce(F.try_element_at(names, F.col("status")), F.col("status")).alias("status"), F.transform(ranges, lambda r: F.struct(r[0].alias("start"), r[1].alias("end"))).alias("ranges"))
     if prefixes:
         rows = rows.filter(F.expr(" OR ".join(f"startswith(event_id, '{p}')" for p in prefixes)))
     return rows
