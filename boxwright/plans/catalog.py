@@ -1,4 +1,4 @@
 """All queries of the engine: importing the plans registers them."""
 
-from . import behavior, coverage, evaluation, identity, queries, review, statistics, timeline  # noqa: F401
+from . import behavior, coverage, documents, evaluation, identity, queries, review, statistics, streams, timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

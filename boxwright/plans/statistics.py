@@ -14,12 +14,12 @@ from .identity import PIECES_SQL
 from .registry import BOX, ORDER, query, r4
 
 
-@query(f"""WITH {TRACK_SQL}, e AS (SELECT *, round(end_time - start_time, 3) AS d FROM tnum) SELECT video_id, count(*) AS event_total, round(sum(CAST(round(d * 1000) AS BIGINT)) / 1000.0 / count(*), 3) AS event_avg_duration_sec, round(CAST(sum(n) AS DOUBLE) / count(*), 2) AS event_avg_frame_count, arg_max(num, (d, -num)) AS longest_event, arg_min(num, (d, num)) AS shortest_event, max(d) AS longest_sec, min(d) AS shortest_sec FROM e GROUP BY 1""")
+@query(f"""WITH {TRACK_SQL}, e AS (SELECT *, round(end_time - start_time, 3) AS d FROM tnum) SELECT video_id, count(*) AS event_total, round(sum(CAST(round(d * 1000) AS BIGINT)) / 1000.0 / count(*), 3) AS event_avg_duration_sec, round(CAST(sum(n) AS DOUBLE) / count(*) + 0.000000001, 2) AS event_avg_frame_count, arg_max(num, (d, -num)) AS longest_event, arg_min(num, (d, num)) AS shortest_event, max(d) AS longest_sec, min(d) AS shortest_sec FROM e GROUP BY 1""")
 def event_statistics(spark, sf_dir):
     """Averages and extremes of the events of a video, the first one on ties."""
     e = track_events(spark, sf_dir).withColumn("d", r4(F.col("end_time") - F.col("start_time"), 3))
     n = F.count(F.lit(1))
-    return e.groupBy("video_id").agg(n.alias("event_total"), r4(F.sum(F.round(F.col("d") * 1000).cast("long")) / F.lit(1000.0) / n, 3).alias("event_avg_duration_sec"), r4(F.sum("n").cast("double") / n, 2).alias("event_avg_frame_count"), F.max_by("num", F.struct(F.col("d"), -F.col("num"))).alias("longest_event"), F.min_by("num", F.struct("d", "num")).alias("shortest_event"), F.max("d").alias("longest_sec"), F.min("d").alias("shortest_sec"))
+    return e.groupBy("video_id").agg(n.alias("event_total"), r4(F.sum(F.round(F.col("d") * 1000).cast("long")) / F.lit(1000.0) / n, 3).alias("event_avg_duration_sec"), r4(F.sum("n").cast("double") / n + 1e-9, 2).alias("event_avg_frame_count"), F.max_by("num", F.struct(F.col("d"), -F.col("num"))).alias("longest_event"), F.min_by("num", F.struct("d", "num")).alias("shortest_event"), F.max("d").alias("longest_sec"), F.min("d").alias("shortest_sec"))
 
 
 @query(f"""WITH {TRACKED_SQL} SELECT video_id, track_id, count(*) AS detection_count, round(min(t), 3) AS start_time, round(max(t), 3) AS end_time, {timecode_sql("round(min(t), 3)")} AS start_timecode, {timecode_sql("round(max(t), 3)")} AS end_timecode, round(max(t) - min(t), 3) AS duration_sec, min(frame) AS start_frame, max(frame) AS end_frame FROM tracked GROUP BY 1, 2""")

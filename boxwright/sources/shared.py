@@ -19,13 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark).rstrip('/')}/boxwright-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> str:
+    """Where df is now written, as a table in the shared folder."""
+    path = new_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     Later jobs and lost executors don't recompute it. A written table rather than checkpoint(): a plan over it
     starts afresh, where a checkpoint carries the constraints of its origin along, which grow from round to round.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/boxwright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,26 @@ def next_pending(rows: DataFrame, start: int, key: str = "idx") -> DataFrame:
     """The first undecided row at or after start, wrapping round."""
     n = F.max(key).over(Window.partitionBy("video_id")) + 1
     return rows.withColumn("_n", n).filter("status is null").groupBy("video_id").agg(F.min_by(key, (F.col(key) - start + F.col("_n")) % F.col("_n")).alias(key))
+
+
+def publish(df: DataFrame, root: str) -> None:
+    """A new version of what is published at root: written beside the others, complete once its job has committed."""
+    versions = [int(r[0].split("=")[1]) for r in _complete(df.sparkSession, root)]
+    df.write.parquet(f"{root}/version={max(versions, default=0) + 1}")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The last complete version."""
+    last = max((r[0] for r in _complete(spark, root)), key=lambda v: int(v.split("=")[1]))
+    return spark.read.parquet(f"{root}/{last}")
+
+
+def _complete(spark: SparkSession, root: str) -> list:
+    """Versions whose job has committed, by the mark that Spark leaves; a name for each version, no rows."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return [(n,) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
