@@ -82,7 +82,8 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = presence(spark, sf_dir).withColumn("cy", (F.col("y1") + F.col("y2")) / 2 / HEIGHT).withColumn("edge", edge).withColumn("aspect", (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
     first_peak = F.struct(F.col("conf"), -F.col("frame"), -F.col("event_id"))
     d = d.groupBy("track_id", "seg").agg(
-        F.count(F.lit(1)).alias("n"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("conf").alias("peak"), mean_conf().alias("mean"), F.max_by(F.struct("cy", "edge", "aspect"), first_peak).alias("p")
+        F.count(F.lit(1)).alias("n"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("conf").alias("peak"), mean_conf().alias("mean"), F.max_by(F.struct("cy", "edge", "aspect"), first_peak).alias("p"),
+        F.max(F.when(F.col("t") - F.col("prev_t") <= PRESENCE_GAP, F.col("t") - F.col("prev_t"))).alias("inner_gap"),
     )
     hints = F.array_compact(F.array(
         F.when(F.col("p.cy") > 0.6, "workzone_low"), F.when(F.col("p.edge") & (F.col("peak") < 0.85), "edge_clip"),
@@ -111,9 +112,7 @@ i AS (SELECT *, greatest(0.0, (cov - n) / CAST(cov AS DOUBLE)) AS interp FROM q)
 SELECT track_id, seg, round(dur, 3) AS duration_sec, round(max_gap, 3) AS max_gap_sec, round(interp, 4) AS interpolation_ratio, round(n / dur, 4) AS density,
     CASE WHEN (n <= 2 AND dur >= 3) OR (n <= 3 AND dur >= 8) OR max_gap >= 10 OR interp >= 0.9 THEN 'LOW' WHEN (n <= 4 AND dur >= 5) OR max_gap >= 5 OR interp >= 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS quality FROM i""")
 def event_quality(spark, sf_dir):
-    w = Window.partitionBy("track_id", "seg").orderBy(*ORDER)
-    gaps = presence(spark, sf_dir).withColumn("gap", F.col("t") - F.lag("t").over(w)).groupBy("track_id", "seg").agg(F.max("gap").alias("inner_gap"))
-    d = faces(spark, sf_dir).join(gaps, ["track_id", "seg"]).withColumn("dur", (F.col("end_frame") - F.col("start_frame")) / FPS).withColumn("cov", F.col("end_frame") - F.col("start_frame") + 1)
+    d = faces(spark, sf_dir).withColumn("dur", (F.col("end_frame") - F.col("start_frame")) / FPS).withColumn("cov", F.col("end_frame") - F.col("start_frame") + 1)
     d = d.withColumn("max_gap", F.when(F.col("n") <= 1, F.col("dur")).otherwise(F.col("inner_gap"))).withColumn("interp", F.greatest(F.lit(0.0), (F.col("cov") - F.col("n")) / F.col("cov")))
     quality = s.quality_class(F.col("n"), F.col("dur"), F.col("max_gap"), F.col("interp"))
     return d.select("track_id", "seg", r4(F.col("dur"), 3).alias("duration_sec"), r4(F.col("max_gap"), 3).alias("max_gap_sec"), r4(F.col("interp")).alias("interpolation_ratio"), r4(F.col("n") / F.col("dur")).alias("density"), quality.alias("quality"))
@@ -200,23 +199,25 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isl.islands(tracked(spark, sf_dir), ["track_id"], ORDER, rule, [*BOX, "frame"], "part")
 
 
-def densify(d: DataFrame) -> DataFrame:
-    """Detections, straight lines between near ones, and holds at both ends (a bag: frames may repeat)."""
+def stands(d: DataFrame) -> DataFrame:
+    """Detections with the frames they stand for: themselves, the way to a near next one, and holds at both ends."""
     w = Window.partitionBy("track_id", "part").orderBy(*ORDER)
-    vals = [*BOX, "conf"]
-    n = d.withColumn("nf", F.lead("frame").over(w)).withColumn("rn", F.row_number().over(w))
-    for c in vals:
-        n = n.withColumn(f"n{c}", F.lead(c).over(w))
-    # one pass: each row says which frames it stands for
+    n = d.withColumn("nf", F.lead("frame").over(w)).withColumn("rn", F.row_number().over(w)).withColumns({f"n{c}": F.lead(c).over(w) for c in (*BOX, "conf")})
     frames = F.concat(
         F.array(F.struct(F.lit("detection").alias("kind"), F.col("frame").alias("f"))),
         F.when((F.col("nf") - F.col("frame") > 1) & (F.col("nf") - F.col("frame") <= FILL), F.transform(F.sequence(F.col("frame") + 1, F.col("nf") - 1), lambda f: F.struct(F.lit("between").alias("kind"), f.alias("f")))).otherwise(F.array()),
         F.when(F.col("nf").isNull(), F.transform(F.sequence(F.col("frame") + 1, F.col("frame") + PAD), lambda f: F.struct(F.lit("hold").alias("kind"), f.alias("f")))).otherwise(F.array()),
         F.when((F.col("rn") == 1) & (F.col("frame") > 0), F.transform(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("frame") - PAD), F.col("frame") - 1), lambda f: F.struct(F.lit("hold").alias("kind"), f.alias("f")))).otherwise(F.array()),
     )
-    x = n.select("track_id", "part", "frame", "nf", *vals, *[f"n{c}" for c in vals], F.explode(frames).alias("e"))
+    return n.withColumn("stands", frames)
+
+
+def densify(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each frame that a detection stands for (a bag: frames may repeat), with the columns of keep."""
+    vals = [*BOX, "conf"]
+    x = stands(d).select("track_id", "part", *keep, "frame", "nf", *vals, *[f"n{c}" for c in vals], F.explode("stands").alias("e"))
     share = (F.col("e.f") - F.col("frame")) / (F.col("nf") - F.col("frame"))
-    return x.select("track_id", "part", F.col("e.f").alias("frame"), *[F.when(F.col("e.kind") == "between", F.col(c) + (F.col(f"n{c}") - F.col(c)) * share).otherwise(F.col(c)).alias(c) for c in vals], F.col("e.kind").alias("kind"))
+    return x.select("track_id", "part", *keep, F.col("e.f").alias("frame"), *[F.when(F.col("e.kind") == "between", F.col(c) + (F.col(f"n{c}") - F.col(c)) * share).otherwise(F.col(c)).alias(c) for c in vals], F.col("e.kind").alias("kind"))
 
 
 @query(f"""{SPLIT_SQL} SELECT track_id, part, count(*) AS n, min(frame) AS f0, max(frame) AS f1 FROM sp GROUP BY 1, 2""")
@@ -233,14 +234,20 @@ def interpolated_entries(spark, sf_dir):
 PROPOSAL_SQL = SPLIT_SQL + f""", prop AS (SELECT track_id, part, min(frame) AS start_frame, max(frame) AS end_frame, count(DISTINCT frame) AS frame_count, sum(CASE WHEN kind = 'detection' THEN 1 ELSE 0 END) AS detection_count, sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*) AS mean, max(conf) AS peak FROM dense GROUP BY 1, 2)"""
 
 
-def proposals_of(dense: DataFrame) -> DataFrame:
-    return dense.groupBy("track_id", "part").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count_distinct("frame").alias("frame_count"), F.count_if(F.col("kind") == "detection").alias("detection_count"), mean_conf().alias("mean"), F.max("conf").alias("peak"))
+def proposals_of(d: DataFrame) -> DataFrame:
+    """Proposals of split detections: dense frames are counted and their confidences summed before they are written out."""
+    share = lambda x: (x["f"] - F.col("frame")) / (F.col("nf") - F.col("frame"))
+    conf = lambda x: F.when(x["kind"] == "between", F.col("conf") + (F.col("nconf") - F.col("conf")) * share(x)).otherwise(F.col("conf"))
+    total = F.aggregate("stands", F.lit(0).cast("long"), lambda acc, x: acc + F.round(conf(x) * 1_000_000).cast("long"))
+    own = F.size(F.filter("stands", lambda x: x["kind"] != "detection")) + F.when(F.coalesce(F.col("nf") != F.col("frame"), F.lit(True)), 1).otherwise(0)
+    n = stands(d).withColumn("total", total).withColumn("own", own)
+    return n.groupBy("track_id", "part").agg(F.greatest(F.lit(0).cast("long"), F.min("frame") - PAD).alias("start_frame"), (F.max("frame") + PAD).alias("end_frame"), F.sum("own").alias("frame_count"), F.count(F.lit(1)).alias("detection_count"), (F.sum("total") / F.lit(1_000_000.0) / F.sum(F.size("stands"))).alias("mean"), F.max("conf").alias("peak"))
 
 
 @query(f"""{PROPOSAL_SQL} SELECT track_id, part, start_frame, end_frame, frame_count, CAST(detection_count AS BIGINT) AS detection_count, round((end_frame - start_frame) / {FPS}, 3) AS duration_sec, round(mean, 4) AS avg_confidence, round(peak, 4) AS peak_confidence,
     CASE WHEN {TIER_SQL.format("peak")} = 'low_conf' AND NOT (peak >= 0.35 AND (end_frame - start_frame) / {FPS} <= 3.0) THEN 'suppressed' WHEN {TIER_SQL.format("peak")} = 'low_conf' AND peak < 0.70 THEN 'low_peak' ELSE 'keep' END AS review_reason FROM prop""")
 def mask_proposals(spark, sf_dir):
-    d = proposals_of(densify(split(spark, sf_dir))).withColumn("dur", (F.col("end_frame") - F.col("start_frame")) / FPS)
+    d = proposals_of(split(spark, sf_dir)).withColumn("dur", (F.col("end_frame") - F.col("start_frame")) / FPS)
     low = s.tier(F.col("peak")) == "low_conf"
     reason = F.when(low & ~((F.col("peak") >= 0.35) & (F.col("dur") <= 3.0)), "suppressed").when(low & (F.col("peak") < 0.70), "low_peak").otherwise("keep")
     return d.select("track_id", "part", "start_frame", "end_frame", "frame_count", "detection_count", r4(F.col("dur"), 3).alias("duration_sec"), r4(F.col("mean")).alias("avg_confidence"), r4(F.col("peak")).alias("peak_confidence"), reason.alias("review_reason"))
@@ -251,13 +258,19 @@ chosen AS (SELECT p.*, {TIER_SQL.format("peak")} AS tier, status, (start_frame +
 SELECT frame, count(*) AS boxes, count(DISTINCT d.track_id) AS tracks FROM dense d JOIN chosen c ON d.track_id = c.track_id AND d.part = c.part
 WHERE (tier = 'auto' AND coalesce(status, '') <> 'rejected') OR status = 'accepted' OR (status = 'first_half' AND frame <= mid) GROUP BY frame""")
 def render_frames(spark, sf_dir):
-    """Frames and boxes of the entries that decisions let through."""
-    dense = densify(split(spark, sf_dir))
-    p = proposals_of(dense).withColumn("tier", s.tier(F.col("peak"))).withColumn("mid", F.floor((F.col("start_frame") + F.col("end_frame")) / 2))
-    p = p.join(decisions(spark, sf_dir).withColumnRenamed("proposal", "track_id"), "track_id", "left").select("track_id", "part", "tier", "status", "mid")
-    d = dense.join(p, ["track_id", "part"])
-    ok = ((F.col("tier") == "auto") & (F.coalesce("status", F.lit("")) != "rejected")) | (F.col("status") == "accepted") | ((F.col("status") == "first_half") & (F.col("frame") <= F.col("mid")))
-    return d.filter(ok).groupBy("frame").agg(F.count(F.lit(1)).alias("boxes"), F.count_distinct("track_id").alias("tracks"))
+    """Frames and boxes of the entries that decisions let through.
+
+    A proposal's bounds and tier come from a window over its detections, so dense rows are neither shuffled nor joined.
+    """
+    w = Window.partitionBy("track_id", "part")
+    mid = F.floor((F.greatest(F.lit(0).cast("long"), F.min("frame").over(w) - PAD) + F.max("frame").over(w) + PAD) / 2)
+    d = split(spark, sf_dir).withColumn("tier", s.tier(F.max("conf").over(w))).withColumn("mid", mid)
+    d = d.join(decisions(spark, sf_dir).withColumnRenamed("proposal", "track_id"), "track_id", "left")
+    auto = (F.col("tier") == "auto") & (F.coalesce("status", F.lit("")) != "rejected")
+    half = F.coalesce(F.col("status") == "first_half", F.lit(False))
+    d = d.filter(auto | half | F.coalesce(F.col("status") == "accepted", F.lit(False)))
+    ok = auto | (F.col("status") == "accepted") | (half & (F.col("frame") <= F.col("mid")))
+    return densify(d, ("tier", "status", "mid")).filter(ok).groupBy("frame").agg(F.count(F.lit(1)).alias("boxes"), F.count_distinct("track_id").alias("tracks"))
 
 
 # ---------------------------------------------------------------- review
