@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, exact, language, mixing, near, packing, rules, suffixes, tokens
-from .common import table
+from . import chat, classify, exact, language, mixing, near, packing, pieces, repair, rules, search, suffixes, tokens
+from .common import crc32_text, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,46 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, over an index of all documents."""
+    index, many, length = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, many, length, table(spark, sf_dir, "benchmark")).drop("candidates")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by the merge-type model, and what they decode to, as digests."""
+    made = pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "checked",
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations with the damage that op13 is to repair; rows that it drops have present = false."""
+    space = F.lit(" ")
+    kind = F.pmod(crc32_text(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))), F.lit(20))
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind != 0).alias("present"),
+        F.when(kind == 3, 2).otherwise(1).alias("_times"),
+    )
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_i", "_times")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    turns = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair.report(repair.repair(turns, F.col("present")))
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
@@ -82,6 +122,65 @@ SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
         FROM d JOIN g USING (text_sha256)
     """,
+    "op11_ranked_search": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        d AS (SELECT row, doc_id, words, len(words)::BIGINT AS n FROM t WHERE len(words) > 0),
+        total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS length FROM d),
+        p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(words) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+        i AS (SELECT row_number() OVER () AS query, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        q AS (SELECT query, item_id, term, count(*)::BIGINT AS times FROM (SELECT query, item_id, unnest(words) AS term FROM i) GROUP BY ALL),
+        w AS (SELECT query, item_id, term, times * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS gain FROM q JOIN df USING (term), total),
+        s AS (SELECT query, item_id, row, d.doc_id, sum(gain * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * d.n * n_docs) // length))))::BIGINT AS score
+              FROM w JOIN p USING (term) JOIN d USING (row), total GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE marks AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 20 AS k
+            FROM conversations),
+        rows_left AS (
+            SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM marks)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows_left),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, left(role, 1) AS ini,
+                        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again THEN 2
+                             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS kind FROM seen),
+        v AS (
+            SELECT conv_id, 0::BIGINT AS n, {'c': 0, 'a': '', 'r': ''} AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS s1,
+                   {'c': 2, 'a': 'I', 'r': chr(10) || 'user:'} AS s2, {'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s3
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, n, d0, d1, e2, list_sort([d3, CASE WHEN e2 IS NOT NULL THEN {'c': e2.c + 2, 'a': e2.a || 'I', 'r': e2.r || chr(10) || 'assistant:'} END], 'ASC', 'NULLS LAST')[1]
+            FROM (
+                SELECT *, list_sort([d2] || [CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'} END FOR s IN [d0, d1, d3]], 'ASC', 'NULLS LAST')[1] AS e2
+                FROM (
+                    SELECT conv_id, n,
+                        CASE WHEN s0 IS NOT NULL THEN {'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r} END AS d0,
+                        list_sort([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r} END,
+                                   CASE WHEN s0 IS NOT NULL AND kind IN (0, 3) AND ini = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 'r': s0.r || own} END], 'ASC', 'NULLS LAST')[1] AS d1,
+                        list_sort([CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 3, 'a': s2.a || 'D', 'r': s2.r} END]
+                                  || [CASE WHEN s IS NOT NULL AND kind IN (0, 3) AND ini = 'u' THEN {'c': s.c + more, 'a': s.a || 'K', 'r': s.r || own} END FOR s IN [s0, s1, s3]]
+                                  || [CASE WHEN s IS NOT NULL AND kind IN (0, 3) THEN {'c': s.c + more + 2, 'a': s.a || 'R', 'r': s.r || chr(10) || 'user:' || text} END FOR s IN [s0, s1, s3]], 'ASC', 'NULLS LAST')[1] AS d2,
+                        list_sort([CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 3, 'a': s3.a || 'D', 'r': s3.r} END,
+                                   CASE WHEN s2 IS NOT NULL AND kind IN (0, 3) AND ini = 'a' THEN {'c': s2.c + more, 'a': s2.a || 'K', 'r': s2.r || own} END,
+                                   CASE WHEN s2 IS NOT NULL AND kind IN (0, 3) THEN {'c': s2.c + more + 2, 'a': s2.a || 'R', 'r': s2.r || chr(10) || 'assistant:' || text} END], 'ASC', 'NULLS LAST')[1] AS d3
+                    FROM (SELECT v.*  EXCLUDE (n), f.n, f.ini, f.text, f.kind, CASE f.kind WHEN 3 THEN 1 ELSE 0 END AS more, chr(10) || f.role || ':' || f.text AS own
+                          FROM v JOIN f ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = v.n + 1)))),
+        best AS (SELECT conv_id, list_sort([s0, s3], 'ASC', 'NULLS LAST')[1] AS x FROM v QUALIFY n = max(n) OVER (PARTITION BY conv_id)),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 1) AS blank, count(*) FILTER (kind = 2) AS duplicate,
+                        count(*) FILTER (kind = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CASE WHEN s.blank IS NULL THEN 0 ELSE x.c END::BIGINT AS cost, CASE WHEN s.blank IS NULL THEN '' ELSE x.a END AS audit,
+               sha256(CASE WHEN s.blank IS NULL THEN '' ELSE substr(x.r, 2) END) AS repaired_sha256
+        FROM best b LEFT JOIN sums s ON b.conv_id IS NOT DISTINCT FROM s.conv_id
+    """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_quality_rules, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing_sources, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_quality_rules, op10_suffix_array_dedup, op11_ranked_search, op12_sentencepiece, op13_conversation_repair)}
