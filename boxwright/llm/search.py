@@ -35,6 +35,8 @@ from .common import Texts, as_text, cut, mapped, text_chunks
 STEP = 3922
 #: Queries of a block, and (document, query) bounds that a task holds at once.
 BLOCK, AT_ONCE = 256, 1 << 21
+#: (query, document) pairs that are sent to all tasks for rescoring; more meet level 2 in a shuffle.
+BROADCAST = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -245,7 +247,7 @@ def search(index: DataFrame, many: int, length: int, queries: DataFrame, k: int
         reach = cut(_candidates(index, block, k))
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
         kth = reach.withColumn("place", place).filter(F.col("place") <= k).groupBy("query").agg(F.when(F.count("low") == k, F.min("low")).otherwise(0).alias("least"))
-        picked = reach.join(kth, "query").filter("high >= least").select("query", "row")
+        picked = cut(reach.join(kth, "query").filter("high >= least").select("query", "row"))
         weights = spark.createDataFrame(list(weight.items()), "term string, w long")
         gains = mine.join(weights, "term").select("query", "item", "term", (F.col("times") * F.col("w")).alias("gain"))
         exact = _rescored(picked, index, gains, many, length)
@@ -259,7 +261,8 @@ def search(index: DataFrame, many: int, length: int, queries: DataFrame, k: int
 
 def _rescored(picked: DataFrame, index: DataFrame, gains: DataFrame, many: int, length: int) -> DataFrame:
     """(query, item, row, id, score) of picked (query, row) from level 2, in whole numbers."""
-    full = picked.join(index.select("row", "id", "n", "terms", "counts"), "row")
+    side = F.broadcast(picked) if picked.count() <= BROADCAST else picked
+    full = index.select("row", "id", "n", "terms", "counts").join(side, "row")
     each = full.select("query", "row", "id", "n", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("query", "row", "id", "n", F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("tf"))
     m = f"(25 + (75L * n * {many}L) div {max(length, 1)}L)"
     impact = F.expr(f"(1000000000L * tf) div (1000L * tf + 8L * {m})")

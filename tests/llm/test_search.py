@@ -67,6 +67,7 @@ def test_blocks_of_queries_and_small_batches(spark, monkeypatch):
     docs, queries = corpus(3)
     monkeypatch.setattr(search, "BLOCK", 7)
     monkeypatch.setattr(search, "AT_ONCE", 60)
+    monkeypatch.setattr(search, "BROADCAST", 0)
     _, out = found(spark, docs, queries)
     assert Counter((r.item_id, r.rank, r.doc_id, r.score) for r in out.collect()) == ranking(docs, queries)
 
