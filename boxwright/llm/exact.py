@@ -5,8 +5,8 @@ Pass 2 tests each row against it. Rows with a bit that nobody else hit are surel
 through, without a shuffle; only the possibly repeated ones are grouped by their SHA-256.
 
 The filter grows with the rows, BITS_PER_ROW for each, and is cut into ranges of the digest: a range has RANGE_BITS
-bits, at most RANGE_BITS / 64 words of eight bytes in arrays of ROW_WORDS, and each range's filter is broadcast to a
-pass of its own over the digests of that range. So no broadcast grows with the input. At most RANGES ranges are
+bits, at most RANGE_BITS / 64 words of eight bytes in arrays of ROW_WORDS, and the filters of PASS ranges are broadcast
+to a pass over the written digests of these ranges. So no broadcast grows with the input. At most RANGES ranges are
 made (about 270 million rows); with more rows the filter gets fuller and lets more unique rows into the shuffle. The
 grouping is exact in any case.
 
@@ -29,6 +29,8 @@ from .common import as_text, cut, unwrapped, wrapped
 
 BITS_PER_ROW = 16
 RANGE_BITS, RANGES = 1 << 26, 64
+#: Ranges of one pass (8 MB of filter each), and verdicts that are broadcast (about 100 bytes each).
+PASS, VERDICTS = 8, 400_000
 ROW_WORDS = 512
 HASHES = 2
 SALTS = 64
@@ -52,16 +54,24 @@ def _range(digest: Column, ranges: int) -> Column:
     return F.pmod(_part(digest, 41, 10), F.lit(ranges)) if ranges > 1 else F.lit(0).cast("long")
 
 
-def twice_hit(digests: DataFrame, bits: int, ranges: int = 1) -> DataFrame:
-    """The filter as rows (range, page, words): the bits that two or more of the digests hit, 64 in a word."""
-    slots = F.explode(F.array_distinct(F.array(*_slots(F.col("sha"), bits)))).alias("slot")
-    twice = digests.select(_range(F.col("sha"), ranges).alias("range"), slots).groupBy("range", "slot").count().filter("count > 1")
-    words = twice.groupBy("range", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+def _bits(digests: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """(range, slot): the bits of each digest."""
+    return digests.select(_range(F.col("sha"), ranges).alias("range"), F.explode(F.array_distinct(F.array(*_slots(F.col("sha"), bits)))).alias("slot"))
+
+
+def _pages(slots: DataFrame) -> DataFrame:
+    """A filter as rows (range, page, words) of its set bits (range, slot), 64 in a word."""
+    words = slots.groupBy("range", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
     pages = words.groupBy("range", F.floor(F.col("word") / ROW_WORDS).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % ROW_WORDS, "mask"))).alias("m"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(ROW_WORDS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
     return pages.select("range", "page", every.alias("words"))
 
 
+def twice_hit(digests: DataFrame, bits: int, ranges: int = 1) -> DataFrame:
+    """The filter's pages: the bits that two or more of the digests hit."""
+    return _pages(_bits(digests, bits, ranges).groupBy("range", "slot").count().filter("count > 1"))
+
+
 def _plan(rows: int) -> tuple[int, int]:
     """Bits of a range and number of ranges for so many rows."""
     want = max(rows * BITS_PER_ROW, 1 << 16)
@@ -80,19 +90,26 @@ def _tested(rows: DataFrame, digests: DataFrame, bits: int | None, ranges: int |
     """rows (with sha) and maybe_repeated (false: no other row of digests, a written table, has this sha)."""
     sized = _plan(digests.count())
     bits, ranges = bits or sized[0], ranges or sized[1]
-    pages = cut(twice_hit(digests, bits, ranges))
+    return _probed(rows, cut(twice_hit(digests, bits, ranges)), bits, ranges)
 
-    def one(number: int) -> DataFrame:
-        out = rows.filter(_range(F.col("sha"), ranges) == number) if ranges > 1 else rows
-        mine, maybe = pages.filter(F.col("range") == number), F.lit(True)
+
+def _probed(rows: DataFrame, pages: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """rows (with sha) and maybe_repeated: all their bits are set in the filter. A pass takes PASS ranges at once."""
+    where = lambda bit: _range(F.col("sha"), ranges) * (1 << 32) + F.floor(F.shiftright(bit, 6) / ROW_WORDS)
+
+    def one(first: int) -> DataFrame:
+        mine, out, maybe = pages, rows, F.lit(True)
+        if ranges > PASS:
+            mine = pages.filter(F.col("range").between(first, first + PASS - 1))
+            out = rows.filter(_range(F.col("sha"), ranges).between(first, first + PASS - 1))
         for i, slot in enumerate(_slots(F.col("sha"), bits)):
-            side = F.broadcast(mine.select(F.col("page").alias(f"_page{i}"), F.col("words").alias(f"_words{i}")))
-            out = out.join(side, F.floor(F.shiftright(slot, 6) / ROW_WORDS) == F.col(f"_page{i}"), "left")
+            side = F.broadcast(mine.select((F.col("range") * (1 << 32) + F.col("page")).alias(f"_page{i}"), F.col("words").alias(f"_words{i}")))
+            out = out.join(side, where(slot) == F.col(f"_page{i}"), "left")
             word = F.try_element_at(f"_words{i}", (F.shiftright(slot, 6) % ROW_WORDS + 1).cast("int"))
             maybe = maybe & F.coalesce(F.getbit(word, (slot % 64).cast("int")) == 1, F.lit(False))
         return out.select(*rows.columns, maybe.alias("maybe_repeated"))
 
-    return reduce(DataFrame.unionByName, [one(k) for k in range(ranges)])
+    return reduce(DataFrame.unionByName, [one(k) for k in range(0, ranges, PASS)])
 
 
 def _digests(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -121,12 +138,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bi
     return alone.unionByName(rest).withColumnsRenamed({"id": id_col, "sha": "text_sha256"})
 
 
+def _verdicts(digests: DataFrame, bits: int | None, ranges: int | None) -> DataFrame:
+    """(sha, id, stays), written, of the rows that not simply stay: false for those that go, true for one of several that are alike in both."""
+    groups = _groups(_tested(digests, digests, bits, ranges).filter("maybe_repeated").select("id", "sha"))
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    return cut(groups.filter(~stays | (F.col("n") > 1)).select("sha", "id", stays.alias("stays")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, ranges: int | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns: the smallest id of each group of equal texts."""
+    """The rows of docs that stay, with all their columns: the smallest id of each group of equal texts.
+
+    docs is read twice whatever the number of ranges: for the written digests, on which alone all is decided, and for
+    the rows, which meet the verdicts. Up to VERDICTS verdicts are broadcast; more are a filter first, so that only rows
+    that may have one shuffle (docs is then read once more, and once more if rows are alike in text and id).
+    """
+    digests = _digests(docs, id_col, text)
+    verdicts = _verdicts(digests, bits, ranges)
+    count = verdicts.count()
+    side = verdicts.select(F.col("sha").alias("_sha"), F.col("id").alias("_id"), "stays")
+    met = lambda rows, side: rows.join(side, (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     rows = wrapped(docs, sha=F.sha2(normalised(F.col(text)), 256), id=F.col(id_col))
-    marked = _tested(rows, _digests(docs, id_col, text), bits, ranges)
-    repeated = marked.filter("maybe_repeated")
-    least = repeated.select("sha", "id").groupBy("sha").agg(F.min("id").alias("keep_id")).withColumnRenamed("sha", "_sha")
-    kept = repeated.join(least, (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    one = kept.dropDuplicates(["sha", "id"])
-    return unwrapped(marked.filter("not maybe_repeated").unionByName(one), docs.columns)
+    parts = []
+    if count <= VERDICTS:
+        judged = met(rows, F.broadcast(side))
+    else:
+        size, n = _plan(count)
+        n = min(n, PASS)
+        probed = _probed(rows, cut(_pages(_bits(verdicts, size, n).distinct())), size, n)
+        parts.append(probed.filter("not maybe_repeated").select("_row"))
+        judged = met(probed.filter("maybe_repeated"), side)
+    parts.append(judged.filter("stays is null").select("_row"))
+    if not verdicts.filter("stays").isEmpty():
+        parts.append(judged.filter("stays").dropDuplicates(["sha", "id"]).select("_row"))
+    return unwrapped(reduce(DataFrame.unionByName, parts), docs.columns)
