@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import islands as isl
-from ..operators import matching, rangejoin
+from ..operators import chains, matching, rangejoin
 from ..operators.components import components
 from ..sources.shared import cut
 from ..sources.tracked import TRACKED_SQL, table, tracked
@@ -23,6 +23,8 @@ PIECE_GAP, GAP, TOP = 8.0, 90.0, 25
 WEIGHTS = {"appearance": 0.55, "motion": 0.15, "temporal_soft": 0.15, "spatial": 0.10, "iou_weak": 0.05}
 TAU, SCORE_MIN, SPATIAL_MIN, MOTION_MIN = 60.0, 0.72, 0.45, 0.30
 V1_GAP, V1_SCORE, V1_APPEARANCE = 60.0, 0.68, 0.72
+#: Limits where appearance comes from learned embeddings (fixed values).
+ARCFACE_GAP, ARCFACE_MIN = 600.0, 0.45
 
 PIECES_SQL = f"""{TRACKED_SQL},
 plag AS (SELECT *, t - lag(t) OVER w AS gap, lag(t) OVER w AS pt, {", ".join(f"lag({c}) OVER w AS q{c}" for c in BOX)} FROM tracked WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)),
@@ -117,17 +119,17 @@ pair1 AS (SELECT *, CASE WHEN gap < 0 THEN 0.0 ELSE exp(-gap / {TAU}) END AS tem
 pair2 AS (SELECT *, {" + ".join(f"{w} * {c}" for c, w in WEIGHTS.items())} AS combined FROM pair1)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, gap: float) -> DataFrame:
-    """Pieces and those that begin at most gap behind their end, in one video."""
-    d = with_vectors(profiles(spark, sf_dir), spark, sf_dir)
+def _pairs(spark: SparkSession, sf_dir: str, gap: float, p: DataFrame | None = None) -> DataFrame:
+    """Pieces and those that begin at most gap behind their end, in one video; p: profiles that are there already."""
+    d = with_vectors(profiles(spark, sf_dir) if p is None else p, spark, sf_dir)
     p = d.select("video_id", *[F.col(c).alias(f"p_{c}") for c in ("piece", "track_id", "t0", "t1", "ovx", "ovy", "vec", *[f"z{c}" for c in BOX])])
     n = d.select("video_id", *[F.col(c).alias(f"n_{c}") for c in ("piece", "track_id", "t0", "evx", "evy", "vec", *[f"a{c}" for c in BOX])])
     return rangejoin.range_join(p, n, F.col("p_t1") - 0.05, F.col("p_t1") + gap, "n_t0", gap, ["video_id"]).filter("p_piece <> n_piece")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, p: DataFrame | None = None, gap: float = GAP) -> DataFrame:
     """The TOP best successors of each piece with all scores, unrounded but for combined, which ranks them."""
-    d = _pair_scores(_pairs(spark, sf_dir, GAP))
+    d = _pair_scores(_pairs(spark, sf_dir, gap, p))
     combined = sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
     d = d.withColumn("combined", r4(combined)).withColumnsRenamed({"p_piece": "from_id", "n_piece": "to_id"})
     parts = [F.struct((-w * F.col(c)).alias("w"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, (c, w) in enumerate(WEIGHTS.items())]
@@ -157,25 +159,49 @@ def best_predecessor_edges(spark, sf_dir):
     return best_predecessors(edges(spark, sf_dir)).filter("best").select("video_id", "from_id", "to_id", "combined")
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that a maximum-weight assignment takes, with the verdict on each.
+def decided(spark: SparkSession, sf_dir: str, gates_first: bool = False, arcface: bool = False, p: DataFrame | None = None) -> DataFrame:
+    """Edges that a maximum-weight assignment takes, with the verdict on each and its reason, one of five.
 
-    Only edges that pass the score, spatial and motion limits take part: one that would be refused afterwards can't
-    take an end from one that is kept. Connected components share no end, so they are solved apart.
+    The assignment sees all edges, and the limits are applied to what it takes: on score, place, motion and gap, or with
+    arcface on score and appearance. With gates_first only edges within the limits take part, so one that would be
+    refused can't take an end from one that is kept. Connected components share no end, so they are solved apart.
     """
-    d = cut(best_predecessors(edges(spark, sf_dir)))
-    good = d.filter((F.col("combined") >= SCORE_MIN) & (r4(F.col("spatial")) >= SPATIAL_MIN) & (r4(F.col("motion")) >= MOTION_MIN) & (F.col("gap") <= GAP))
+    d = cut(best_predecessors(edges(spark, sf_dir, p, ARCFACE_GAP if arcface else GAP)))
+    within = F.col("combined") >= SCORE_MIN
+    if arcface:
+        within &= r4(F.col("appearance")) >= ARCFACE_MIN
+    else:
+        within &= (r4(F.col("spatial")) >= SPATIAL_MIN) & (r4(F.col("motion")) >= MOTION_MIN) & (r4(F.col("gap"), 3) <= GAP)
+    pool = d.filter(within) if gates_first else d
     u, v = F.col("from_id") * 2, F.col("to_id") * 2 + 1  # a piece's end and its start are two nodes
-    roots = components(good.select(u.alias("u"), v.alias("v")))
-    parts = good.withColumn("node", v).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    roots = components(pool.select(u.alias("u"), v.alias("v")))
+    parts = pool.withColumn("node", v).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
     taken = matching.assignment(parts.select("part", "from_id", "to_id", F.col("combined").alias("score")), "part")
-    return taken.select("from_id", "to_id").join(d, ["from_id", "to_id"]).withColumn("accepted", F.col("best")).withColumn("reason", F.when(F.col("best"), "global_optimal_match").otherwise("not_mutual_best_predecessor"))
+    d = taken.select("from_id", "to_id").join(d, ["from_id", "to_id"]).withColumn("accepted", within & F.col("best"))
+    other = "below_appearance_threshold" if arcface else "hsv_spatial_motion_gap_filter"
+    reason = F.when(F.col("accepted"), "global_optimal_match").when(F.col("combined") < SCORE_MIN, "below_combined_threshold").when(~F.col("best"), "not_mutual_best_predecessor").otherwise(other)
+    return d.withColumn("reason", reason)
+
+
+_VERDICT = ["video_id", "from_id", "to_id", "combined", "gap", "accepted", "reason", "top_features"]
 
 
 @query()
 def merge_decisions(spark, sf_dir):
-    """The assignment's verdicts (no SQL: tested against a dense solver)."""
-    return decided(spark, sf_dir).select("video_id", "from_id", "to_id", "combined", r4(F.col("gap"), 3).alias("gap"), "accepted", "reason", "top_features")
+    """The assignment's verdicts on all edges that it takes (no SQL: tested against a dense solver)."""
+    return decided(spark, sf_dir).withColumn("gap", r4(F.col("gap"), 3)).select(*_VERDICT)
+
+
+@query()
+def merge_decisions_gated(spark, sf_dir):
+    """The verdicts where the limits come before the assignment (no SQL: tested against a dense solver)."""
+    return decided(spark, sf_dir, gates_first=True).withColumn("gap", r4(F.col("gap"), 3)).select(*_VERDICT)
+
+
+@query()
+def merge_decisions_by_appearance(spark, sf_dir):
+    """The verdicts by the limits for learned embeddings: score and appearance, gaps up to ten minutes."""
+    return decided(spark, sf_dir, arcface=True).withColumn("gap", r4(F.col("gap"), 3)).select(*_VERDICT)
 
 
 def split_clusters(p: DataFrame, links: DataFrame) -> DataFrame:
@@ -187,16 +213,43 @@ def split_clusters(p: DataFrame, links: DataFrame) -> DataFrame:
     return alone.unionByName(matching.first_fit(more.select(*[c for c in alone.columns if c != "part"]), "cluster"))
 
 
+def chained(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (piece, cluster, part) with head and place in their chain, and the links inside with those of their start.
+
+    A cluster's order is its chains one after the other, by their heads' ids; a piece without a link is its own chain.
+    """
+    one, two = (members.select(F.col("piece").alias(end), F.col("cluster").alias(f"c{k}"), F.col("part").alias(f"p{k}")) for k, end in ((1, "from_id"), (2, "to_id")))
+    inside = cut(links.join(one, "from_id").join(two, "to_id").filter("c1 = c2 and p1 = p2").drop("c2", "p2").withColumnsRenamed({"c1": "cluster", "p1": "part"}))
+    places = cut(chains.ranked(inside.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"))))
+    at = members.join(places.withColumnRenamed("node", "piece"), "piece", "left").withColumns({"head": F.coalesce("head", "piece"), "place": F.coalesce("place", F.lit(0).cast("long"))})
+    return at, inside.join(places.withColumnRenamed("node", "from_id"), "from_id")
+
+
+def clusters(p: DataFrame, links: DataFrame) -> DataFrame:
+    """A row for each cluster of profiles p: members in chain order, its links in that order, bounds, number in its video."""
+    d = cut(split_clusters(p.select("video_id", "piece", "t0", "t1"), links))
+    members, inside = chained(d, links.select("from_id", "to_id", "combined"))
+    rows = members.groupBy("video_id", "cluster", "part").agg(F.array_sort(F.collect_list(F.struct("head", "place", "piece"))).alias("m"), F.min("start").alias("a"), F.max("end").alias("z"), F.min("piece").alias("least"))
+    edge = F.struct("head", "place", "from_id", "to_id", "combined")
+    chain = inside.groupBy("cluster", "part").agg(F.array_sort(F.collect_list(edge)).alias("chain"))
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("a", "least"))
+    return rows.withColumn("identity_id", F.format_string("id_%04d", number)).join(chain, ["cluster", "part"], "left")
+
+
 @query()
 def identity_clusters(spark, sf_dir):
-    """Clusters of accepted edges, split where members overlap, numbered by start in each video."""
-    p, links = profiles(spark, sf_dir), cut(decided(spark, sf_dir).filter("accepted"))
-    d = split_clusters(p.select("video_id", "piece", "t0", "t1"), links)
-    rows = d.groupBy("video_id", "cluster", "part").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("m"), F.min("start").alias("a"), F.max("end").alias("z"))
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("a", F.col("m")[0]["piece"]))
-    inside = links.join(d.select(F.col("piece").alias("from_id"), "cluster", F.col("part").alias("p1")), "from_id").join(d.select(F.col("piece").alias("to_id"), F.col("part").alias("p2")), "to_id").filter("p1 = p2").groupBy("cluster", F.col("p1").alias("part")).agg(F.count(F.lit(1)).alias("merge_count"))
-    out = rows.withColumn("identity_id", F.format_string("id_%04d", number)).join(inside, ["cluster", "part"], "left")
-    return out.select("video_id", "identity_id", F.array_join(F.transform("m", lambda x: x["piece"].cast("string")), ",").alias("track_ids"), F.size("m").alias("track_count"), r4(F.col("a"), 3).alias("start_time"), r4(F.col("z"), 3).alias("end_time"), r4(F.col("z") - F.col("a"), 3).alias("duration_sec"), F.coalesce("merge_count", F.lit(0)).alias("merge_count"))
+    """Clusters of accepted edges, split where members overlap, members in chain order, numbered by start in each video.
+
+    No SQL: tested against loops over the verdicts.
+    """
+    p = cut(profiles(spark, sf_dir))
+    out = clusters(p, cut(decided(spark, sf_dir, p=p).filter("accepted")))
+    text = lambda x: x.cast("string")
+    stitched = F.transform(F.coalesce("chain", F.array().cast("array<struct<head:long,place:long,from_id:long,to_id:long,combined:double>>")), lambda x: F.struct(x["from_id"].alias("from_id"), x["to_id"].alias("to_id"), x["combined"].alias("combined")))
+    return out.select(
+        "video_id", "identity_id", F.array_join(F.transform("m", lambda x: text(x["piece"])), ",").alias("track_ids"), F.size("m").alias("track_count"), r4(F.col("a"), 3).alias("start_time"), r4(F.col("z"), 3).alias("end_time"),
+        r4(F.col("z") - F.col("a"), 3).alias("duration_sec"), stitched.alias("stitch_chain"), F.size(stitched).alias("merge_count"),
+    )
 
 
 # ---------------------------------------------------------------- the greedy variant
@@ -207,9 +260,9 @@ v1s AS (SELECT *, round(0.25 * (1 - gap / {V1_GAP}) + 0.25 * near + 0.40 * appea
 v1r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY score DESC, n_t0, to_id) AS r FROM v1s WHERE score >= {V1_SCORE})"""
 
 
-def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def greedy(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Each piece's best successor by the greedy rules: hard limits on place, motion and appearance, gap at most V1_GAP."""
-    d = _pair_scores(_pairs(spark, sf_dir, V1_GAP)).filter("p_t0 < n_t0 or (p_t0 = n_t0 and p_piece < n_piece)")
+    d = _pair_scores(_pairs(spark, sf_dir, V1_GAP, p)).filter("p_t0 < n_t0 or (p_t0 = n_t0 and p_piece < n_piece)")
     close = F.col("dist_ratio") <= 1.5
     near = F.when((F.col("iou") >= 0.05) | close, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("dist_ratio") / 3))
     d = d.filter((close | (r4(F.col("iou")) >= 0.08)) & ((F.col("place") >= 0.25) | (F.col("velocity") >= 0.6)) & (F.col("appearance") >= V1_APPEARANCE))
@@ -245,3 +298,28 @@ def overlap_split(spark, sf_dir):
     """Greedy clusters split where members overlap in time (first fit, no SQL: tested against a loop)."""
     p = profiles(spark, sf_dir).select("video_id", "piece", "t0", "t1")
     return split_clusters(p, cut(greedy(spark, sf_dir))).select("video_id", "cluster", "part", "piece")
+
+
+# ---------------------------------------------------------------- both variants side by side
+
+VARIANTS = ("v1_greedy", "v2_graph")
+
+
+def variant_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant, video_id, piece, cluster, part): the clusters of both variants over one table of profiles, written.
+
+    Nodes are numbered by piece and variant, so one run of components serves both. The greedy variant's clusters are
+    components as they are; the graph variant's are split where members overlap.
+    """
+    p = cut(profiles(spark, sf_dir))
+    flag = F.when(F.col("variant") == VARIANTS[1], 1).otherwise(0)
+    named = lambda links, name: links.select(F.lit(name).alias("variant"), "from_id", "to_id")
+    links = cut(named(greedy(spark, sf_dir, p), VARIANTS[0]).unionByName(named(decided(spark, sf_dir, p=p).filter("accepted"), VARIANTS[1])))
+    roots = components(links.select((F.col("from_id") * 2 + flag).alias("u"), (F.col("to_id") * 2 + flag).alias("v")))
+    every = p.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))).withColumn("node", F.col("piece") * 2 + flag)
+    d = cut(every.join(roots, "node", "left").select("variant", "video_id", "piece", F.col("t0").alias("start"), F.col("t1").alias("end"), F.coalesce("root", "node").alias("cluster"), F.col("piece").alias("id")))
+    several = d.groupBy("cluster").count().filter("count > 1").select("cluster")
+    graph = F.col("variant") == VARIANTS[1]
+    more = d.filter(graph).join(several, "cluster", "left_semi")
+    rest = d.filter(~graph).unionByName(d.filter(graph).join(several, "cluster", "left_anti")).withColumn("part", F.lit(0).cast("long"))
+    return cut(rest.unionByName(matching.first_fit(more.select(*d.columns), "cluster")).select("variant", "video_id", "piece", "cluster", "part"))
