@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import islands as isl
+from ..sources.shared import cut
 from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, VIDEO_FRAMES, WIDTH, tracked
-from .identity import PIECES_SQL, V1_ROOT_SQL, greedy_roots, pieces
+from .identity import PIECES_SQL, V1_ROOT_SQL, greedy_roots, pieces, variant_members
 from .registry import BOX, ORDER, mean_conf, query, r4
 
 PRESENCE_GAP = 3.0
@@ -203,6 +204,32 @@ def identity_behavior_events(spark, sf_dir):
     return e.select("video_id", F.format_string("bevt_%04d", "num").alias("event_id"), F.col("root").alias("identity"), "primary_piece", *event_columns(), (F.col("pieces_in") > 1).alias("cross_track_merge"), "presence_segments", (F.col("presence_segments") > 1).alias("cross_presence_span"), "identity_pieces")
 
 
+def stitched_events(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """Behaviour events of clusters' parts, members (variant, video_id, piece, cluster, part): one builder for all variants.
+
+    Hints go on with the number of pieces of the part and whether the event spans presence segments; num counts in each
+    variant of a video, part by part.
+    """
+    keys = ["variant", "cluster", "part"]
+    d = isl.islands(pieces(spark, sf_dir), ["track_id"], ORDER, lambda d: d["t"] - d["prev_t"] > PRESENCE_GAP, [])
+    d = d.drop("prev_t", "video_id", *[f"prev_{c}" for c in BOX], *(["part"] if "part" in d.columns else [])).join(members, "piece")
+    fixed = lambda d: (g.iou(g.box("prev_"), g.box()) >= 0.2) | g.center_continuous(g.box("prev_"), g.box())
+    d = cut(isl.islands(d, keys, ["t", *ORDER], lambda d: (d["t"] - d["prev_t"] > GAP) | ~fixed(d) | (d["piece"] != d["prev_piece"]), ["t", "piece", *BOX], "chunk"))
+    span = d.groupBy(*keys, "chunk").agg(F.min("piece").alias("primary_piece"), F.count_distinct("seg").alias("presence_segments"))
+    size = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("identity_pieces"))
+    e = scored(make_events(d, [*keys, "chunk"])).join(span, [*keys, "chunk"]).join(size, keys)
+    more = F.array_compact(F.array(F.when(F.col("identity_pieces") > 1, F.format_string("identity_stitch:%d", "identity_pieces")), F.when(F.col("presence_segments") > 1, F.lit("cross_presence_span"))))
+    e = e.withColumn("hints", F.concat("hints", more))
+    return e.withColumn("num", F.row_number().over(Window.partitionBy("variant", "video_id").orderBy("cluster", "part", "chunk")))
+
+
+@query()
+def stitched_behavior_events(spark, sf_dir):
+    """Behaviour events of the clusters of both stitching variants (no SQL: tested against loops over the clusters)."""
+    e = stitched_events(spark, sf_dir, variant_members(spark, sf_dir))
+    return e.select("variant", "video_id", F.format_string("bevt_%04d", "num").alias("event_id"), "cluster", "part", "primary_piece", *event_columns(), "presence_segments", (F.col("presence_segments") > 1).alias("cross_presence_span"), "identity_pieces")
+
+
 # ---------------------------------------------------------------- merging of presence events
 
 SEG_EVENT_SQL = f"""{PIECES_SQL}, {SEG_SQL}, {event_sql("seg3", "track_id, seg", "se0")},

@@ -1,18 +1,20 @@
 """Evaluation of events against a ground truth, by clips of a video.
 
 The ground truth comes from another table than the predictions: an order is an interval of the video of its customer.
-Predictions are behaviour events (variant v2) or presence events (v1). All work is by video and clip, so pairs meet in
-a clip only.
+Predictions are behaviour events of tracks or presence events; stitching_comparison holds the two stitching
+variants against silver truth. All work is by video and clip, so pairs meet in a clip only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import matching
+from ..sources.shared import cut
 from ..sources.tracked import FPS, VIDEO_FRAMES, table
-from .behavior import SEG_EVENT_SQL, TRACK_SQL, presence_events, track_events
+from .behavior import SEG_EVENT_SQL, TRACK_SQL, presence_events, stitched_events, track_events
+from .identity import VARIANTS, variant_members
 from .registry import query, r4
 
 DURATION = VIDEO_FRAMES / FPS
@@ -73,14 +75,14 @@ def _variants_sql() -> str:
     pred = lambda name, src, ids: f"SELECT '{name}' AS variant, video_id, {ids} AS pred_id, tier, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time FROM {src}"
     # both event families share the CTEs of pieces and segments
     more = SEG_EVENT_SQL[SEG_EVENT_SQL.index("se0_r AS") :]
-    return f"""{TRACK_SQL}, {more}, pred0 AS ({pred("v2_graph", "tnum", "track_id * 1000 + chunk")} UNION ALL {pred("v1_greedy", "se", "track_id * 1000 + seg")}),
+    return f"""{TRACK_SQL}, {more}, pred0 AS ({pred("track_behavior", "tnum", "track_id * 1000 + chunk")} UNION ALL {pred("presence", "se", "track_id * 1000 + seg")}),
 pred AS (SELECT * FROM pred0 WHERE end_time > start_time AND tier <> 'low_conf')"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(variant, video_id, pred_id, tier, start_time, end_time) of both variants, logged ones too."""
+    """(variant, video_id, pred_id, tier, start_time, end_time) of two event families, logged ones too."""
     cols = lambda d, name, part: d.select(F.lit(name).alias("variant"), "video_id", (F.col("track_id") * 1000 + F.col(part)).alias("pred_id"), "tier", r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time"))
-    return cols(track_events(spark, sf_dir), "v2_graph", "chunk").unionByName(cols(presence_events(spark, sf_dir), "v1_greedy", "seg"))
+    return cols(track_events(spark, sf_dir), "track_behavior", "chunk").unionByName(cols(presence_events(spark, sf_dir), "presence", "seg"))
 
 
 def by_clip(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -95,10 +97,22 @@ CLIP_SQL = f"""{_variants_sql()}, {TRUTH_SQL}, {CLIPS_SQL}, gc AS (SELECT gt.*,
 pair AS (SELECT variant, video_id, clip, gt_id, pred_id, greatest(0.0, least(gc.end_time, pc.end_time) - greatest(gc.start_time, pc.start_time)) AS inter, gc.end_time - gc.start_time AS gt_len, greatest(gc.end_time, pc.end_time) - least(gc.start_time, pc.start_time) AS hull FROM gc JOIN pc USING (video_id, clip))"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+class Case:
+    """Ground truth and predictions, each written once, that an evaluation holds against each other."""
+
+    def __init__(self, gt: DataFrame, pred: DataFrame):
+        self.gt, self.pred = cut(usable(gt)), cut(pred)
+
+
+def families(spark: SparkSession, sf_dir: str) -> Case:
+    return Case(truth(spark, sf_dir), predictions(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     """Ground truth and predictions that share a clip of a video, with their common length."""
-    gt = by_clip(usable(truth(spark, sf_dir)), spark).select("video_id", "clip", "gt_id", F.col("start_time").alias("g0"), F.col("end_time").alias("g1"))
-    pred = by_clip(counted(predictions(spark, sf_dir)), spark).select("variant", "video_id", "clip", "pred_id", F.col("start_time").alias("p0"), F.col("end_time").alias("p1"))
+    case = case or families(spark, sf_dir)
+    gt = by_clip(case.gt, spark).select("video_id", "clip", "gt_id", F.col("start_time").alias("g0"), F.col("end_time").alias("g1"))
+    pred = by_clip(counted(case.pred), spark).select("variant", "video_id", "clip", "pred_id", F.col("start_time").alias("p0"), F.col("end_time").alias("p1"))
     d = gt.join(pred, ["video_id", "clip"])
     return d.select("variant", "video_id", "clip", "gt_id", "pred_id", F.greatest(F.lit(0.0), F.least("g1", "p1") - F.greatest("g0", "p0")).alias("inter"), (F.col("g1") - F.col("g0")).alias("gt_len"), (F.greatest("g1", "p1") - F.least("g0", "p0")).alias("hull"))
 
@@ -155,16 +169,17 @@ grid AS (SELECT variant, video_id, clip, CAST(round((c1 - c0) * 10) AS BIGINT) +
 masks AS (SELECT variant, video_id, clip, samples, coalesce(gt_n, 0) AS gt_n, coalesce(pred_n, 0) AS pred_n, coalesce(false_n, 0) AS false_n, coalesce(miss_n, 0) AS miss_n FROM grid LEFT JOIN m0 USING (variant, video_id, clip))"""
 
 
-def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def masks(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     """Counts of sampled tenths of a second by clip, both ends of a clip among them: masked by truth, prediction, one only."""
     def steps(rows, keys):
         lo = F.greatest(F.ceil(F.round(F.col("start_time") * 10, 6)), F.round(F.col("c0") * 10).cast("long"))
         hi = F.least(F.floor(F.round(F.col("end_time") * 10, 6)), F.round(F.col("c1") * 10).cast("long"))
         return by_clip(rows, spark).withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").select(*keys, "clip", F.explode(F.sequence("lo", "hi")).alias("step")).distinct()
 
-    every = predictions(spark, sf_dir)
+    case = case or families(spark, sf_dir)
+    every = case.pred
     vv = every.select("variant", "video_id").distinct()
-    g = steps(usable(truth(spark, sf_dir)), ["video_id"]).join(F.broadcast(F.broadcast(spark.createDataFrame([("v1_greedy",), ("v2_graph",)], "variant string"))), how="cross").withColumn("g", F.lit(1))
+    g = steps(case.gt, ["video_id"]).join(vv, "video_id").withColumn("g", F.lit(1))
     p = steps(counted(every), ["variant", "video_id"]).withColumn("p", F.lit(1))
     m = g.join(p, ["variant", "video_id", "clip", "step"], "full").groupBy("variant", "video_id", "clip").agg(F.count("g").alias("gt_n"), F.count("p").alias("pred_n"), F.count_if(F.col("p").isNotNull() & F.col("g").isNull()).alias("false_n"), F.count_if(F.col("g").isNotNull() & F.col("p").isNull()).alias("miss_n"))
     grid = vv.crossJoin(F.broadcast(clips(spark))).select("variant", "video_id", "clip", (F.round((F.col("c1") - F.col("c0")) * 10).cast("long") + 1).alias("samples"))
@@ -188,11 +203,12 @@ OBJECTIVE_SQL = f"""{MASK_SQL}, cost AS (SELECT variant, video_id, clip, count(*
 obj AS (SELECT variant, video_id, clip, round(false_n * {STEP}, 3) AS false_sec, round(miss_n * {STEP}, 3) AS miss_sec, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, coalesce(events, 0) AS events, coalesce(review_events, 0) AS review_events, round(coalesce(review_events, 0) * {REVIEW_SECONDS} / 60, 2) AS minutes FROM masks LEFT JOIN cost USING (variant, video_id, clip) LEFT JOIN ec USING (variant, video_id, clip))"""
 
 
-def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def objectives(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     keys = ["variant", "video_id", "clip"]
-    cost = by_clip(predictions(spark, sf_dir), spark).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("tier") == "review").alias("review_events"))
-    err = errors(pairs(spark, sf_dir)).groupBy(*keys).agg(F.count_if(F.col("kind") == "over_merge").alias("merges"), F.count_if(F.col("kind") == "over_split").alias("splits"))
-    d = masks(spark, sf_dir).join(cost, keys, "left").join(err, keys, "left").fillna(0, ["events", "review_events", "merges", "splits"])
+    case = case or families(spark, sf_dir)
+    cost = by_clip(case.pred, spark).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("tier") == "review").alias("review_events"))
+    err = errors(pairs(spark, sf_dir, case)).groupBy(*keys).agg(F.count_if(F.col("kind") == "over_merge").alias("merges"), F.count_if(F.col("kind") == "over_split").alias("splits"))
+    d = masks(spark, sf_dir, case).join(cost, keys, "left").join(err, keys, "left").fillna(0, ["events", "review_events", "merges", "splits"])
     return d.select(*keys, r4(F.col("false_n") * STEP, 3).alias("false_sec"), r4(F.col("miss_n") * STEP, 3).alias("miss_sec"), "merges", "splits", "events", "review_events", r4(F.col("review_events") * REVIEW_SECONDS / 60, 2).alias("minutes"))
 
 
@@ -207,15 +223,64 @@ _ROLL = "SELECT variant, count(*) AS clip_count, round(sum(false_sec), 3) AS tot
 _TOTALS = ("total_false_mask_sec", "total_miss_mask_sec", "total_over_merge", "total_over_split", "total_events", "total_review_events", "total_minutes", "mean_objective_score")
 
 
-@query(f"""WITH {OBJECTIVE_SQL}, roll AS ({_ROLL}) SELECT variant, clip_count, {", ".join(_TOTALS)} FROM roll UNION ALL SELECT 'delta', b.clip_count - a.clip_count, {", ".join(f"round(b.{c} - a.{c}, 3)" for c in _TOTALS)} FROM roll a, roll b WHERE a.variant = 'v1_greedy' AND b.variant = 'v2_graph'
-UNION ALL SELECT 'recommended: ' || CASE WHEN b.mean_objective_score <= a.mean_objective_score THEN 'v2_graph' ELSE 'v1_greedy' END, NULL, {", ".join("NULL" for _ in _TOTALS)} FROM roll a, roll b WHERE a.variant = 'v1_greedy' AND b.variant = 'v2_graph'""")
+@query(f"""WITH {OBJECTIVE_SQL}, roll AS ({_ROLL}) SELECT variant, clip_count, {", ".join(_TOTALS)} FROM roll UNION ALL SELECT 'delta', b.clip_count - a.clip_count, {", ".join(f"round(b.{c} - a.{c}, 3)" for c in _TOTALS)} FROM roll a, roll b WHERE a.variant = 'presence' AND b.variant = 'track_behavior'
+UNION ALL SELECT 'recommended: ' || CASE WHEN b.mean_objective_score <= a.mean_objective_score THEN 'track_behavior' ELSE 'presence' END, NULL, {", ".join("NULL" for _ in _TOTALS)} FROM roll a, roll b WHERE a.variant = 'presence' AND b.variant = 'track_behavior'""")
 def variant_comparison(spark, sf_dir):
-    """Totals of both variants over all clips, their difference, and the one with the lower mean objective."""
-    d = objectives(spark, sf_dir).withColumn("score", r4(F.col("false_sec") + F.col("miss_sec") + 2 * F.col("minutes"), 3))
+    """Totals of both event families over all clips, their difference, and the one with the lower mean objective."""
+    return compared(objectives(spark, sf_dir), "presence", "track_behavior")
+
+
+def compared(costs: DataFrame, first: str, second: str) -> DataFrame:
+    """Totals of two variants over all clips, second less first, and the one with the lower mean (second if equal).
+
+    costs are written once, and the differences come from two rows.
+    """
+    d = costs.withColumn("score", r4(F.col("false_sec") + F.col("miss_sec") + 2 * F.col("minutes"), 3))
     n = F.count(F.lit(1))
-    roll = d.groupBy("variant").agg(n.alias("clip_count"), *[r4(F.sum(c), k).cast("double").alias(t) for c, t, k in zip(("false_sec", "miss_sec", "merges", "splits", "events", "review_events", "minutes"), _TOTALS, (3, 3, 0, 0, 0, 0, 2), strict=False)], r4(F.sum("score") / n, 3).alias("mean_objective_score"))
-    both = roll.groupBy().pivot("variant", ["v1_greedy", "v2_graph"]).agg(*[F.first(c).alias(c) for c in ("clip_count", *_TOTALS)])
-    delta = both.select(F.lit("delta").alias("variant"), *[F.round(F.col(f"v2_graph_{c}") - F.col(f"v1_greedy_{c}"), 3).alias(c) for c in ("clip_count", *_TOTALS)])
-    best = F.when(F.col("v2_graph_mean_objective_score") <= F.col("v1_greedy_mean_objective_score"), "v2_graph").otherwise("v1_greedy")
+    roll = cut(d.groupBy("variant").agg(n.alias("clip_count"), *[r4(F.sum(c), k).cast("double").alias(t) for c, t, k in zip(("false_sec", "miss_sec", "merges", "splits", "events", "review_events", "minutes"), _TOTALS, (3, 3, 0, 0, 0, 0, 2), strict=False)], r4(F.sum("score") / n, 3).alias("mean_objective_score")))
+    both = roll.groupBy().pivot("variant", [first, second]).agg(*[F.first(c).alias(c) for c in ("clip_count", *_TOTALS)])
+    delta = both.select(F.lit("delta").alias("variant"), *[F.round(F.col(f"{second}_{c}") - F.col(f"{first}_{c}"), 3).alias(c) for c in ("clip_count", *_TOTALS)])
+    best = F.when(F.col(f"{second}_mean_objective_score") <= F.col(f"{first}_mean_objective_score"), second).otherwise(first)
     pick = both.select(F.concat(F.lit("recommended: "), best).alias("variant"), F.lit(None).cast("long").alias("clip_count"), *[F.lit(None).cast("double").alias(c) for c in _TOTALS])
     return roll.unionByName(delta).unionByName(pick)
+
+
+# ---------------------------------------------------------------- the stitching variants
+
+
+def silver_truth(events: DataFrame) -> DataFrame:
+    """Ground truth made of events (video_id, event_id, start_time, end_time): nobody has looked at it."""
+    return events.select(F.coalesce("event_id", F.format_string("gt_%04d", F.row_number().over(Window.partitionBy("video_id").orderBy("start_time", "end_time")))).alias("gt_id"), "video_id", "start_time", "end_time", F.lit(True).alias("should_mask"), F.lit("face_presence").alias("label"))
+
+
+@query(f"WITH {TRACK_SQL} SELECT printf('bevt_%04d', num) AS gt_event_id, video_id, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time, true AS should_mask, 'face_presence' AS label, 'silver_bootstrap' AS provenance FROM tnum")
+def silver_truth_events(spark, sf_dir):
+    """Silver truth of the tracks' behaviour events, all tiers as the events document has them."""
+    return _silver(spark, sf_dir).select(F.col("gt_id").alias("gt_event_id"), "video_id", "start_time", "end_time", "should_mask", "label", F.lit("silver_bootstrap").alias("provenance"))
+
+
+def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = track_events(spark, sf_dir)
+    return silver_truth(e.select("video_id", F.format_string("bevt_%04d", "num").alias("event_id"), r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time")))
+
+
+def stitched(spark: SparkSession, sf_dir: str) -> Case:
+    """Silver truth and the behaviour events of both stitching variants."""
+    e = stitched_events(spark, sf_dir, variant_members(spark, sf_dir))
+    return Case(_silver(spark, sf_dir), e.select("variant", "video_id", F.col("num").alias("pred_id"), "tier", r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time")))
+
+
+@query()
+def stitching_objectives(spark, sf_dir):
+    """What each clip costs under each stitching variant, against silver truth (no SQL: tested against loops)."""
+    return objectives(spark, sf_dir, stitched(spark, sf_dir))
+
+
+@query()
+def stitching_comparison(spark, sf_dir):
+    """Totals of the greedy and the graph variant over all clips, their difference, and the recommended one.
+
+    Both are stitched over one table of profiles, and their events are built in one plan keyed by variant (no SQL:
+    tested against loops).
+    """
+    return compared(objectives(spark, sf_dir, stitched(spark, sf_dir)), *VARIANTS)

@@ -308,8 +308,8 @@ VARIANTS = ("v1_greedy", "v2_graph")
 def variant_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant, video_id, piece, cluster, part): the clusters of both variants over one table of profiles, written.
 
-    Nodes are numbered by piece and variant, so one run of components serves both. The greedy variant's clusters are
-    components as they are; the graph variant's are split where members overlap.
+    Nodes are numbered by piece and variant, so one run of components serves both; clusters are split where members
+    overlap.
     """
     p = cut(profiles(spark, sf_dir))
     flag = F.when(F.col("variant") == VARIANTS[1], 1).otherwise(0)
@@ -319,7 +319,6 @@ def variant_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = p.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))).withColumn("node", F.col("piece") * 2 + flag)
     d = cut(every.join(roots, "node", "left").select("variant", "video_id", "piece", F.col("t0").alias("start"), F.col("t1").alias("end"), F.coalesce("root", "node").alias("cluster"), F.col("piece").alias("id")))
     several = d.groupBy("cluster").count().filter("count > 1").select("cluster")
-    graph = F.col("variant") == VARIANTS[1]
-    more = d.filter(graph).join(several, "cluster", "left_semi")
-    rest = d.filter(~graph).unionByName(d.filter(graph).join(several, "cluster", "left_anti")).withColumn("part", F.lit(0).cast("long"))
-    return cut(rest.unionByName(matching.first_fit(more.select(*d.columns), "cluster")).select("variant", "video_id", "piece", "cluster", "part"))
+    alone = d.join(several, "cluster", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    split = matching.first_fit(d.join(several, "cluster", "left_semi").select(*d.columns), "cluster")
+    return cut(alone.unionByName(split).select("variant", "video_id", "piece", "cluster", "part"))

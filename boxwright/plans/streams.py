@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import new_path, written
 from ..sources.tracked import TRACKED_SQL, tracked
@@ -70,36 +70,78 @@ def continuous(a: list[float], b: list[float], ca: float, cb: float) -> bool:
     return (union > 0 and w * h / union >= need) or (ref > 0 and dist <= 1.5 * ref)
 
 
-def chunks_of_track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Closed behaviour chunks of a track; the open one is the state, and closes by a timeout of event time."""
-    done = []
-    open_ = list(state.get) if state.exists else None
-    if state.hasTimedOut:
-        done.append((key[0], *open_[:4]))
-        # what comes after a timeout begins the next chunk
-        state.update((open_[0] + 1, 0, 0, 0, *open_[4:]))
-    else:
-        for r in pd.concat(list(batches)).sort_values(["frame", "event_id"]).itertuples():
-            box = [r.x1, r.y1, r.x2, r.y2]
-            if open_ is None or not open_[1]:
-                open_ = [open_[0] if open_ else 0, 1, r.ms, r.ms, r.t, r.conf, *box]
-                continue
-            if r.t - open_[4] > GAP / 1000 or not continuous(open_[6:], box, open_[5], r.conf):
-                done.append((key[0], *open_[:4]))
-                open_ = [open_[0] + 1, 1, r.ms, r.ms, r.t, r.conf, *box]
+class Chunks(StatefulProcessor):
+    """Behaviour chunks of a track, in the order of time whatever the order of arrival.
+
+    Rows wait in a list state until the watermark has passed them; a timer at the earliest one that waits (and one where
+    the open chunk ends for want of detections) takes them out in order. What waits is bounded by the lateness allowed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.open = handle.getValueState("open", OPEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            fresh = [tuple(x) for x in pdf[[f.split()[0] for f in WAITING.split(", ")]].itertuples(index=False, name=None)]
+            if fresh:
+                self.waiting.appendList(fresh)
+                self._wake(min(x[0] for x in fresh))
+        yield pd.DataFrame([], columns=NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, done = timerValues.getCurrentWatermarkInMs(), []
+        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        now, later = [x for x in rows if x[0] <= mark], [x for x in rows if x[0] > mark]
+        chunk = tuple(self.open.get()) if self.open.exists() else None
+        for ms, frame, event_id, t, conf, *box in now:
+            if chunk is None:
+                chunk = (0, 1, ms, ms, t, conf, *box)
+            elif not chunk[1]:  # the one before has ended by time
+                chunk = (chunk[0], 1, ms, ms, t, conf, *box)
+            elif t - chunk[4] > GAP / 1000 or not continuous(list(chunk[6:]), box, chunk[5], conf):
+                done.append((key[0], *chunk[:4]))
+                chunk = (chunk[0] + 1, 1, ms, ms, t, conf, *box)
             else:
-                open_ = [open_[0], open_[1] + 1, open_[2], r.ms, r.t, r.conf, *box]
-        state.update(tuple(open_))
-        state.setTimeoutTimestamp(max(open_[3] + GAP, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(done, columns=["track_id", "chunk", "n", "start_ms", "end_ms"])
-
-
-@query(f"""WITH {TRACK_SQL}, c AS (SELECT track_id, chunk, count(*) AS n, CAST(floor(arg_min(t, (frame, event_id)) * 1000) AS BIGINT) AS start_ms, CAST(floor(arg_max(t, (frame, event_id)) * 1000) AS BIGINT) AS end_ms FROM tchunk GROUP BY 1, 2), z AS (SELECT *, max(chunk) OVER (PARTITION BY track_id) AS last FROM c)
-SELECT track_id, chunk, n, start_ms, end_ms FROM z WHERE chunk < last OR end_ms + {GAP} < (SELECT max({_MS}) FROM tracked) - {LATE}""")
+                chunk = (chunk[0], chunk[1] + 1, chunk[2], ms, t, conf, *box)
+        if chunk is not None and chunk[1] and chunk[3] + GAP < mark:
+            done.append((key[0], *chunk[:4]))
+            chunk = (chunk[0] + 1, 0, *chunk[2:])
+        if chunk is not None:
+            self.open.update(chunk)
+        self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self._wake(later[0][0])
+        if chunk is not None and chunk[1]:
+            self._wake(chunk[3] + GAP + 1)
+        yield pd.DataFrame(done, columns=NAMES)
+
+    def _wake(self, at: int) -> None:
+        if at not in set(self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+WAITING = "ms long, frame long, event_id long, t double, conf double, x1 double, y1 double, x2 double, y2 double"
+OPEN = "chunk long, n long, start_ms long, end_ms long, t double, conf double, x1 double, y1 double, x2 double, y2 double"
+NAMES = [f.split()[0] for f in CHUNK.split(", ")]
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def behavior_chunks(rows: DataFrame) -> DataFrame:
+    """Closed chunks of a stream (track_id, ts, t, frame, event_id, conf, box). The session's state store becomes RocksDB."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    d = rows.withWatermark("ts", f"{LATE} milliseconds").withColumn("ms", F.unix_millis("ts"))
+    return d.select("track_id", "ts", "ms", "frame", "event_id", "t", "conf", *BOX).groupBy("track_id").transformWithStateInPandas(Chunks(), CHUNK, "Append", "EventTime")
+
+
+@query(f"""WITH {TRACK_SQL}, c AS (SELECT track_id, chunk, count(*) AS n, CAST(floor(arg_min(t, (frame, event_id)) * 1000) AS BIGINT) AS start_ms, CAST(floor(arg_max(t, (frame, event_id)) * 1000) AS BIGINT) AS end_ms FROM tchunk GROUP BY 1, 2),
+z AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY chunk) AS next_ms, (SELECT max({_MS}) FROM tracked) - {LATE} AS mark FROM c)
+SELECT track_id, chunk, n, start_ms, end_ms FROM z WHERE next_ms <= mark OR end_ms + {GAP} < mark""")
 def stream_behavior_chunks(spark, sf_dir):
-    """Behaviour chunks of a stream with state by track: closed by the next detection, or when the watermark has passed."""
-    d = stream(spark, sf_dir).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", f"{LATE} milliseconds")
-    rows = d.select("track_id", "ts", "ms", "t", "frame", "event_id", "conf", *BOX)
-    kept = "chunk long, n long, start_ms long, end_ms long, t double, conf double, x1 double, y1 double, x2 double, y2 double"
-    out = run(rows.groupBy("track_id").applyInPandasWithState(chunks_of_track, CHUNK, kept, "append", GroupStateTimeout.EventTimeTimeout))
+    """Behaviour chunks of a stream with state by track: closed by the next detection, or for want of one, once the watermark has passed that."""
+    out = run(behavior_chunks(stream(spark, sf_dir)))
     return out.select("track_id", "chunk", "n", (F.col("start_ms") - BASE).alias("start_ms"), (F.col("end_ms") - BASE).alias("end_ms"))
