@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 
-def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+
+def greedy_pairs(pairs: DataFrame, group: str | list[str], left: str, right: str, score: str) -> DataFrame:
     """Pairs by falling score (ties: left, right), each side once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -30,7 +32,32 @@ def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str
     return _alone_or(pairs, group, run)
 
 
-def in_turn(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+def dominant(pairs: DataFrame, by: list[str], left: str, right: str, score: str) -> DataFrame:
+    """Pairs that are the best of both their sides, by falling score (ties: left, right)."""
+    rank = lambda side, other: F.row_number().over(Window.partitionBy(*by, side).orderBy(F.desc(score), other))
+    return pairs.withColumns({"_a": rank(left, right), "_b": rank(right, left)}).filter("_a = 1 and _b = 1").drop("_a", "_b")
+
+
+def dominant_pairs(pairs: DataFrame, by: list[str], left: str, right: str, score: str, rounds: int = 8) -> DataFrame:
+    """As greedy_pairs, in rounds of joins: pairs that are the best of both sides are taken, their ends leave.
+
+    In one order of all pairs, such a pair can't lose an end to any other, so the rounds give what the loop gives, for
+    all groups at once. Each round is a written table; what is left after so many rounds goes to the loop.
+    """
+    rest, taken = cut(pairs), None
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
+        won = cut(dominant(rest, by, left, right, score))
+        taken = won if taken is None else taken.unionByName(won)
+        rest = cut(rest.join(won.select(*by, left), [*by, left], "left_anti").join(won.select(*by, right), [*by, right], "left_anti").select(*pairs.columns))
+    if not rest.isEmpty():
+        last = greedy_pairs(rest, by, left, right, score)
+        taken = last if taken is None else taken.unionByName(last)
+    return rest if taken is None else taken
+
+
+def in_turn(pairs: DataFrame, group: str | list[str], left: str, right: str, score: str) -> DataFrame:
     """Each left of a group, in order, takes its best right that is still free (ties: the greatest right)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,14 +74,19 @@ def in_turn(pairs: DataFrame, group: str, left: str, right: str, score: str) ->
     return _alone_or(pairs, group, run)
 
 
-def _alone_or(rows: DataFrame, group: str, run) -> DataFrame:
+def _columns(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def _alone_or(rows: DataFrame, group: str | list[str], run) -> DataFrame:
     """Rows alone in their group as they are; the others through run, group by group."""
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    more = counted.filter("_n > 1").drop("_n").groupBy(group).applyInPandas(run, rows.schema)
+    by = _columns(group)
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    more = counted.filter("_n > 1").drop("_n").groupBy(*by).applyInPandas(run, rows.schema)
     return counted.filter("_n = 1").drop("_n").unionByName(more)
 
 
-def suppress(boxes: DataFrame, group: str, limit: float = 0.7) -> DataFrame:
+def suppress(boxes: DataFrame, group: str | list[str], limit: float = 0.7) -> DataFrame:
     """Non-maximum suppression within a frame: by falling conf (ties: event_id), drop overlaps above limit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

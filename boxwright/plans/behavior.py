@@ -13,13 +13,12 @@ from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import islands as isl
 from ..sources.shared import cut
-from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, VIDEO_FRAMES, WIDTH, tracked
+from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, WIDTH, tracked
 from .identity import PIECES_SQL, V1_ROOT_SQL, greedy_roots, pieces, variant_members
 from .registry import BOX, ORDER, mean_conf, query, r4
 
 PRESENCE_GAP = 3.0
 PAD = 2 * INTERVAL / FPS
-LAST = VIDEO_FRAMES - 1
 #: Parameters are clamped to these ranges (fixed values).
 BEHAVIOR_RANGE, MERGE_RANGE = (5.0, 8.0), (2.5, 3.0)
 
@@ -33,27 +32,31 @@ def clamped(value: float, bounds: tuple[float, float]) -> float:
 def event_sql(rows: str, keys: str, name: str = "ev") -> str:
     """CTEs that make events (name) of the rows of a CTE, one for each value of keys."""
     return f"""{name}_r AS (SELECT *, t - lag(t) OVER (PARTITION BY {keys} ORDER BY frame, event_id) AS g FROM {rows}),
-{name}_a AS (SELECT {keys}, any_value(video_id) AS video_id, count(*) AS n, min(t) AS t0, max(t) AS t1, max(conf) AS peak, min(conf) AS least_conf, sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*) AS mean, max(g) AS g_max, avg(g) AS g_avg,
+{name}_a AS (SELECT {keys}, any_value(video_id) AS video_id, max(frame) AS lf, count(*) AS n, min(t) AS t0, max(t) AS t1, max(conf) AS peak, min(conf) AS least_conf, sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*) AS mean, max(g) AS g_max, avg(g) AS g_avg,
     {", ".join(f"arg_max({c}, (conf, -frame, -event_id)) AS p{c}" for c in BOX)}, {", ".join(f"arg_min({c}, (frame, event_id)) AS a{c}, arg_max({c}, (frame, event_id)) AS z{c}" for c in BOX)},
     max(CASE WHEN (x1 <= 2 OR y1 <= 12 OR x2 >= {WIDTH - 2} OR y2 >= {HEIGHT - 2}) AND (x2 - x1) * (y2 - y1) / {WIDTH * HEIGHT}.0 > 0.03 THEN 1 ELSE 0 END) AS edge_large FROM {name}_r GROUP BY {keys}),
-{name}_f AS (SELECT *, least({LAST}, CAST(round(greatest(0.0, t0 - {PAD}) * {FPS}) AS BIGINT)) AS start_frame, least({LAST}, CAST(round(least(t1 + {PAD}, {LAST / FPS}) * {FPS}) AS BIGINT)) AS end_frame,
-    (py1 + py2) / 2 / {HEIGHT} > 0.60 AS low, (px1 <= 5 OR py1 <= 5 OR px2 >= {WIDTH - 5} OR py2 >= {HEIGHT - 5}) AND peak < 0.85 AS edge, (px2 - px1) / (py2 - py1) AS aspect FROM {name}_a),
+{name}_f AS (SELECT * EXCLUDE (lf), least(vl, CAST(round(greatest(0.0, t0 - {PAD}) * {FPS}) AS BIGINT)) AS start_frame, least(vl, CAST(round(least(t1 + {PAD}, vl / {FPS}) * {FPS}) AS BIGINT)) AS end_frame,
+    (py1 + py2) / 2 / {HEIGHT} > 0.60 AS low, (px1 <= 5 OR py1 <= 5 OR px2 >= {WIDTH - 5} OR py2 >= {HEIGHT - 5}) AND peak < 0.85 AS edge, (px2 - px1) / (py2 - py1) AS aspect FROM (SELECT *, max(lf) OVER (PARTITION BY video_id) AS vl FROM {name}_a)),
 {name}_h AS (SELECT *, start_frame / {FPS} AS start_time, end_frame / {FPS} AS end_time, list_filter([CASE WHEN low THEN 'workzone_low' END, CASE WHEN edge THEN 'edge_clip' END, CASE WHEN aspect < 0.45 OR aspect > 2.0 THEN 'aspect_ratio' END], lambda h: h IS NOT NULL) AS hints FROM {name}_f),
 {name} AS (SELECT *, CASE WHEN peak >= 0.85 AND len(hints) = 0 THEN 'auto' WHEN peak >= 0.75 THEN 'review' ELSE 'low_conf' END AS tier, end_frame - start_frame + 1 AS cov FROM {name}_h)"""
 
 
 def make_events(d: DataFrame, keys: list[str]) -> DataFrame:
-    """One event for each value of keys of detections d; trajectories stay with d."""
+    """One event for each value of keys of detections d, all those of their videos; trajectories stay with d.
+
+    Bounds end with the video, whose last frame (vl) is that of its last detection.
+    """
     key, box = F.struct("frame", "event_id"), F.struct(*BOX)
     first_peak = F.struct(F.col("conf"), -F.col("frame"), -F.col("event_id"))
     large = ((F.col("x1") <= 2) | (F.col("y1") <= 12) | (F.col("x2") >= WIDTH - 2) | (F.col("y2") >= HEIGHT - 2)) & (g.area(g.box()) / float(WIDTH * HEIGHT) > 0.03)
     d = d.withColumn("g", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy(*ORDER))).withColumn("edge_large", large.cast("int"))
     e = d.groupBy(*keys).agg(
-        F.first("video_id").alias("video_id"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("conf").alias("peak"), F.min("conf").alias("least_conf"), mean_conf().alias("mean"), F.max("g").alias("g_max"), F.avg("g").alias("g_avg"),
+        F.first("video_id").alias("video_id"), F.max("frame").alias("lf"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("conf").alias("peak"), F.min("conf").alias("least_conf"), mean_conf().alias("mean"), F.max("g").alias("g_max"), F.avg("g").alias("g_avg"),
         F.max_by(box, first_peak).alias("p"), F.min_by(box, key).alias("a"), F.max_by(box, key).alias("z"), F.max("edge_large").alias("edge_large"),
     )
-    snap = lambda t: F.least(F.lit(LAST), F.rint(t * FPS).cast("long"))
-    e = e.withColumn("start_frame", snap(F.greatest(F.lit(0.0), F.col("t0") - PAD))).withColumn("end_frame", snap(F.least(F.col("t1") + PAD, F.lit(LAST / FPS))))
+    e = e.withColumn("vl", F.max("lf").over(Window.partitionBy("video_id"))).drop("lf")
+    snap = lambda t: F.least(F.col("vl"), F.rint(t * FPS).cast("long"))
+    e = e.withColumn("start_frame", snap(F.greatest(F.lit(0.0), F.col("t0") - PAD))).withColumn("end_frame", snap(F.least(F.col("t1") + PAD, F.col("vl") / FPS)))
     e = e.select("*", *[F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "paz" for c in BOX]).drop("p", "a", "z")
     edge = ((F.col("px1") <= 5) | (F.col("py1") <= 5) | (F.col("px2") >= WIDTH - 5) | (F.col("py2") >= HEIGHT - 5)) & (F.col("peak") < 0.85)
     aspect = (F.col("px2") - F.col("px1")) / (F.col("py2") - F.col("py1"))

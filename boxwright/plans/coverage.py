@@ -13,7 +13,7 @@ from ..functions import scalars as s
 from ..operators import islands as isl
 from ..operators import rangejoin
 from ..sources.shared import cut
-from ..sources.tracked import FPS, VIDEO_FRAMES, table
+from ..sources.tracked import FPS, table, videos
 from .registry import query, r4
 from .timeline import SELECT_SQL, selected
 
@@ -21,7 +21,7 @@ MERGE_FRAMES, SPREAD = round(1.0 * FPS), 600
 THRESHOLDS = (0.0, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0)
 
 #: Keyframes of each video: one each 2.002 s and some more, from parts; the first comes late in some videos.
-KEY_SQL = f"""keys AS (SELECT DISTINCT v.video_id, greatest(0, CAST(floor(t * {FPS} + 0.000001) AS BIGINT)) AS k FROM (SELECT video_id, range * 2.002 + video_id % 3 AS t FROM (SELECT DISTINCT video_id FROM raw), range(0, 90) UNION ALL SELECT p_partkey % 15, p_size * 3.3 FROM part WHERE p_partkey % 50 = 0) v JOIN (SELECT DISTINCT video_id FROM raw) r ON r.video_id = v.video_id WHERE t < {VIDEO_FRAMES / FPS} UNION SELECT video_id, 0 FROM (SELECT DISTINCT video_id FROM raw))"""
+KEY_SQL = f"""keys AS (SELECT DISTINCT v.video_id, greatest(0, CAST(floor(t * {FPS} + 0.000001) AS BIGINT)) AS k FROM (SELECT video_id, i * 2.002 + video_id % 3 AS t FROM (SELECT video_id, unnest(range(0, CAST(floor((vl + 1) / {FPS} / 2.002) AS BIGINT) + 1)) AS i FROM (SELECT DISTINCT video_id FROM raw) JOIN vmeta USING (video_id)) UNION ALL SELECT p_partkey % 15, p_size * 3.3 FROM part WHERE p_partkey % 50 = 0) v JOIN (SELECT DISTINCT video_id FROM raw) r ON r.video_id = v.video_id JOIN vmeta m ON m.video_id = v.video_id WHERE t < (vl + 1) / {FPS} UNION SELECT video_id, 0 FROM (SELECT DISTINCT video_id FROM raw))"""
 RAW_SQL = f"""{SELECT_SQL}, raw0 AS (SELECT DISTINCT video_id, f FROM chosen), raw1 AS (SELECT *, f - row_number() OVER (PARTITION BY video_id ORDER BY f) AS grp FROM raw0), raw AS (SELECT video_id, min(f) AS start_frame, max(f) AS end_frame FROM raw1 GROUP BY video_id, grp), {KEY_SQL}"""
 
 
@@ -32,15 +32,21 @@ def _merge_sql(src: str, gap: int, name: str, keys: str = "video_id") -> str:
 
 
 def _snap_sql(src: str, name: str) -> str:
-    return f"""{name}s AS (SELECT i.video_id, (SELECT max(k) FROM keys WHERE keys.video_id = i.video_id AND k <= i.start_frame) AS start_frame, least({VIDEO_FRAMES - 1}, coalesce((SELECT min(k) FROM keys WHERE keys.video_id = i.video_id AND k >= i.end_frame + 1), {VIDEO_FRAMES}) - 1) AS end_frame FROM {src} i), {_merge_sql(f"{name}s", 0, name)}"""
+    return f"""{name}s AS (SELECT i.video_id, (SELECT max(k) FROM keys WHERE keys.video_id = i.video_id AND k <= i.start_frame) AS start_frame, least(vl, coalesce((SELECT min(k) FROM keys WHERE keys.video_id = i.video_id AND k >= i.end_frame + 1), vl + 1) - 1) AS end_frame FROM {src} i JOIN vmeta m ON m.video_id = i.video_id), {_merge_sql(f"{name}s", 0, name)}"""
 
 
-def keyframes(spark: SparkSession, sf_dir: str, videos: DataFrame) -> DataFrame:
-    """(video_id, k): frames of the keyframes' times; frame 0 always is one."""
-    even = videos.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(89)))).select("video_id", (F.col("i") * 2.002 + F.col("video_id") % 3).alias("t"))
-    more = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select((F.col("p_partkey") % 15).alias("video_id"), (F.col("p_size") * 3.3).alias("t")).join(videos, "video_id", "left_semi")
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, frames), written once."""
+    return cut(videos(spark, sf_dir).select("video_id", "frames"))
+
+
+def keyframes(spark: SparkSession, sf_dir: str, some: DataFrame, frames: DataFrame) -> DataFrame:
+    """(video_id, k) of some videos: frames of the keyframes' times, as far as the video goes; frame 0 always is one."""
+    long = some.join(frames, "video_id")
+    even = long.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("frames") / FPS / 2.002)))).select("video_id", "frames", (F.col("i") * 2.002 + F.col("video_id") % 3).alias("t"))
+    more = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select((F.col("p_partkey") % 15).alias("video_id"), (F.col("p_size") * 3.3).alias("t")).join(long, "video_id").select("video_id", "frames", "t")
     k = F.greatest(F.lit(0).cast("long"), F.floor(F.col("t") * FPS + 1e-6))
-    return even.unionByName(more).filter(F.col("t") < VIDEO_FRAMES / FPS).select("video_id", k.alias("k")).unionByName(videos.withColumn("k", F.lit(0).cast("long"))).distinct()
+    return even.unionByName(more).filter(F.col("t") < F.col("frames") / FPS).select("video_id", k.alias("k")).unionByName(some.withColumn("k", F.lit(0).cast("long"))).distinct()
 
 
 def raw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +58,18 @@ def merged(d: DataFrame, gap: int) -> DataFrame:
     return cut(isl.coalesce_spread(d, ["video_id"], "start_frame", "end_frame", gap + 1, SPREAD))
 
 
-def snapped(d: DataFrame, keys: DataFrame) -> DataFrame:
-    """Intervals grown to the keyframe at or before their start and to the last frame before one behind their end, merged."""
+def snapped(d: DataFrame, keys: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Intervals grown to the keyframe at or before their start and to the last frame before one behind their end, merged.
+
+    Behind the last keyframe they go to the video's end, frames (video_id, frames); without it they end as they did.
+    """
     d = d.withColumn("after", F.col("end_frame") + 1)
     d = rangejoin.asof(d, keys.withColumn("lo", F.col("k")), ["video_id"], "start_frame", "k", "lo")
     d = rangejoin.asof(d, keys.withColumn("hi", F.col("k")), ["video_id"], "after", "k", "hi", forward=True)
-    last = F.least(F.lit(VIDEO_FRAMES - 1).cast("long"), F.coalesce("hi", F.lit(VIDEO_FRAMES)) - 1)
+    last = F.coalesce(F.col("hi") - 1, "end_frame")
+    if frames is not None:
+        d = d.join(frames, "video_id")
+        last = F.least(F.col("frames") - 1, F.coalesce("hi", "frames") - 1)
     return merged(cut(d.select("video_id", F.coalesce("lo", F.lit(0)).alias("start_frame"), last.alias("end_frame"))), 0)
 
 
@@ -68,16 +80,21 @@ def render_runs(spark, sf_dir):
 
 @query(f"WITH {RAW_SQL}, {_merge_sql('raw', MERGE_FRAMES, 'mi')}, {_snap_sql('mi', 'ki')} SELECT * FROM ki")
 def keyframe_intervals(spark, sf_dir):
+    return _snapped_intervals(spark, sf_dir, lengths(spark, sf_dir))
+
+
+def _snapped_intervals(spark: SparkSession, sf_dir: str, frames: DataFrame) -> DataFrame:
     raw = raw_intervals(spark, sf_dir)
-    return snapped(merged(raw, MERGE_FRAMES), keyframes(spark, sf_dir, raw.select("video_id").distinct()))
+    return snapped(merged(raw, MERGE_FRAMES), keyframes(spark, sf_dir, raw.select("video_id").distinct(), frames), frames)
 
 
 PLAN_SQL = f"""{RAW_SQL}, {_merge_sql("raw", MERGE_FRAMES, "mi")}, {_snap_sql("mi", "ki")}, plan AS (SELECT * FROM (SELECT video_id, 'render' AS type, start_frame, end_frame FROM ki
-    UNION ALL SELECT video_id, 'copy', coalesce(lag(end_frame) OVER (PARTITION BY video_id ORDER BY start_frame) + 1, 0), start_frame - 1 FROM ki UNION ALL SELECT video_id, 'copy', max(end_frame) + 1, {VIDEO_FRAMES - 1} FROM ki GROUP BY video_id) WHERE start_frame <= end_frame)"""
+    UNION ALL SELECT video_id, 'copy', coalesce(lag(end_frame) OVER (PARTITION BY video_id ORDER BY start_frame) + 1, 0), start_frame - 1 FROM ki UNION ALL SELECT video_id, 'copy', max(end_frame) + 1, any_value(vl) FROM ki JOIN vmeta USING (video_id) GROUP BY video_id) WHERE start_frame <= end_frame)"""
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isl.complement(keyframe_intervals(spark, sf_dir), ["video_id"], F.lit(VIDEO_FRAMES))
+    frames = lengths(spark, sf_dir)
+    return isl.complement(cut(_snapped_intervals(spark, sf_dir, frames).join(frames, "video_id")), ["video_id"], F.col("frames"))
 
 
 @query(f"WITH {PLAN_SQL} SELECT * FROM plan")
@@ -95,17 +112,18 @@ def cropped_plan(spark, sf_dir):
 
 @query(f"""WITH {RAW_SQL}, {_merge_sql("raw", MERGE_FRAMES, "mi")}, {_snap_sql("mi", "ki")}, tr AS (SELECT f, video_id FROM raw0), pl AS (SELECT video_id, count(*) AS render_segment_count FROM ki GROUP BY 1), kc AS (SELECT video_id, count(*) AS keyframe_count FROM keys GROUP BY 1),
 r AS (SELECT video_id, count(*) AS raw_interval_count, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS raw_frames FROM raw GROUP BY 1), m AS (SELECT video_id, count(*) AS merged_interval_count, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS merged_frames FROM mi GROUP BY 1), k AS (SELECT video_id, count(*) AS keyframe_interval_count, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS keyframe_frames FROM ki GROUP BY 1)
-SELECT video_id, keyframe_count, raw_interval_count, raw_frames, round(raw_frames / {VIDEO_FRAMES}.0, 4) AS raw_coverage, merged_interval_count, merged_frames, round(merged_frames / {VIDEO_FRAMES}.0, 4) AS merged_coverage, keyframe_interval_count, keyframe_frames, round(keyframe_frames / {VIDEO_FRAMES}.0, 4) AS keyframe_coverage, render_segment_count FROM kc JOIN r USING (video_id) JOIN m USING (video_id) JOIN k USING (video_id) JOIN pl USING (video_id)""")
+SELECT video_id, keyframe_count, raw_interval_count, raw_frames, round(raw_frames / CAST(vl + 1 AS DOUBLE), 4) AS raw_coverage, merged_interval_count, merged_frames, round(merged_frames / CAST(vl + 1 AS DOUBLE), 4) AS merged_coverage, keyframe_interval_count, keyframe_frames, round(keyframe_frames / CAST(vl + 1 AS DOUBLE), 4) AS keyframe_coverage, render_segment_count FROM kc JOIN r USING (video_id) JOIN m USING (video_id) JOIN k USING (video_id) JOIN pl USING (video_id) JOIN vmeta USING (video_id)""")
 def plan_summary(spark, sf_dir):
     """Intervals, frames and share of the video: as selected, merged, and snapped to keyframes."""
     raw = raw_intervals(spark, sf_dir)
-    keys = keyframes(spark, sf_dir, raw.select("video_id").distinct())
+    frames = lengths(spark, sf_dir)
+    keys = cut(keyframes(spark, sf_dir, raw.select("video_id").distinct(), frames))
     mi = merged(raw, MERGE_FRAMES)
-    ki = snapped(mi, keys)
+    ki = snapped(mi, keys, frames)
 
     def measure(d, name):
         n = F.sum(F.col("end_frame") - F.col("start_frame") + 1)
-        return d.groupBy("video_id").agg(F.count(F.lit(1)).alias(f"{name}_interval_count"), n.alias(f"{name}_frames"), r4(n / VIDEO_FRAMES).alias(f"{name}_coverage"))
+        return d.groupBy("video_id").agg(F.count(F.lit(1)).alias(f"{name}_interval_count"), n.alias(f"{name}_frames")).join(frames, "video_id").withColumn(f"{name}_coverage", r4(F.col(f"{name}_frames") / F.col("frames"))).drop("frames")
 
     d = keys.groupBy("video_id").agg(F.count(F.lit(1)).alias("keyframe_count"))
     for x, name in ((raw, "raw"), (mi, "merged"), (ki, "keyframe")):
@@ -117,7 +135,7 @@ def _sweep_sql() -> str:
     parts, rows = [], []
     for i, t in enumerate(THRESHOLDS):
         parts.append(f"{_merge_sql('raw', round(t * FPS), f'm{i}')}, {_snap_sql(f'm{i}', f'k{i}')}")
-        rows.append(f"SELECT a.video_id, CAST({t} AS DOUBLE) AS merge_gap_sec, n AS merged_interval_count, c AS merged_coverage, kn AS keyframe_interval_count, kc AS keyframe_coverage FROM (SELECT video_id, count(*) AS n, round(sum(end_frame - start_frame + 1) / {VIDEO_FRAMES}.0, 4) AS c FROM m{i} GROUP BY 1) a JOIN (SELECT video_id, count(*) AS kn, round(sum(end_frame - start_frame + 1) / {VIDEO_FRAMES}.0, 4) AS kc FROM k{i} GROUP BY 1) b USING (video_id)")
+        rows.append(f"SELECT a.video_id, CAST({t} AS DOUBLE) AS merge_gap_sec, n AS merged_interval_count, c AS merged_coverage, kn AS keyframe_interval_count, kc AS keyframe_coverage FROM (SELECT video_id, count(*) AS n, round(sum(end_frame - start_frame + 1) / CAST(any_value(vl) + 1 AS DOUBLE), 4) AS c FROM m{i} JOIN vmeta USING (video_id) GROUP BY 1) a JOIN (SELECT video_id, count(*) AS kn, round(sum(end_frame - start_frame + 1) / CAST(any_value(vl) + 1 AS DOUBLE), 4) AS kc FROM k{i} JOIN vmeta USING (video_id) GROUP BY 1) b USING (video_id)")
     return f"WITH {RAW_SQL}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
 
 
@@ -125,15 +143,18 @@ def _sweep_sql() -> str:
 def coverage_sensitivity(spark, sf_dir):
     """How much is rendered under each of seven gaps, merged and snapped; all thresholds in one pass, each its own key."""
     raw = raw_intervals(spark, sf_dir)
-    keys = keyframes(spark, sf_dir, raw.select("video_id").distinct())
+    frames = lengths(spark, sf_dir)
+    keys = keyframes(spark, sf_dir, raw.select("video_id").distinct(), frames)
     each = F.explode(F.array(*[F.lit(i) for i in range(len(THRESHOLDS))])).alias("i")
     # a threshold is a key beside the video; starts are moved back by the gap to merge, and forth again
     gaps = F.element_at(F.array(*[F.lit(round(t * FPS)) for t in THRESHOLDS]), F.col("i") + 1)
     d = cut(raw.select("*", each).withColumn("start_frame", F.col("start_frame") - gaps).withColumn("video_id", F.struct("video_id", "i")))
     m = isl.coalesce_spread(d.drop("i"), ["video_id"], "start_frame", "end_frame", 1, SPREAD).select("video_id", (F.col("start_frame") + F.element_at(F.array(*[F.lit(round(t * FPS)) for t in THRESHOLDS]), F.col("video_id.i") + 1)).alias("start_frame"), "end_frame")
     m = cut(m)
-    k = snapped(m, keys.select(F.explode(F.array(*[F.struct("video_id", F.lit(i).alias("i")) for i in range(len(THRESHOLDS))])).alias("video_id"), "k"))
-    measure = lambda d, name: d.groupBy("video_id").agg(F.count(F.lit(1)).alias(f"{name}_interval_count"), r4(F.sum(F.col("end_frame") - F.col("start_frame") + 1) / VIDEO_FRAMES).alias(f"{name}_coverage"))
+    times = lambda d: d.withColumn("video_id", F.explode(F.array(*[F.struct("video_id", F.lit(i).alias("i")) for i in range(len(THRESHOLDS))])))
+    of_key = cut(times(frames))
+    k = snapped(m, times(keys), of_key)
+    measure = lambda d, name: d.join(of_key, "video_id").groupBy("video_id").agg(F.count(F.lit(1)).alias(f"{name}_interval_count"), r4(F.sum(F.col("end_frame") - F.col("start_frame") + 1) / F.first("frames")).alias(f"{name}_coverage"))
     out = measure(m, "merged").join(measure(k, "keyframe"), "video_id")
     return out.select("video_id.video_id", F.element_at(F.array(*[F.lit(t) for t in THRESHOLDS]), F.col("video_id.i") + 1).alias("merge_gap_sec"), "merged_interval_count", "merged_coverage", "keyframe_interval_count", "keyframe_coverage")
 

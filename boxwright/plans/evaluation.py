@@ -12,107 +12,103 @@ from pyspark.sql import functions as F
 
 from ..operators import matching
 from ..sources.shared import cut
-from ..sources.tracked import FPS, VIDEO_FRAMES, table
+from ..sources.tracked import table
 from .behavior import SEG_EVENT_SQL, TRACK_SQL, presence_events, stitched_events, track_events
 from .identity import VARIANTS, variant_members
-from .registry import query, r4
+from .registry import part_id, query, r4
 
-DURATION = VIDEO_FRAMES / FPS
 STEP, IOU, COVERAGE, REVIEW_SECONDS = 0.1, 0.30, 0.25, 30.0
 
 
-def clip_length(duration: float, target: int = 30, least: float = 10.0, most: float = 45.0) -> float:
-    """Length of uniform clips: the count is clamped to [20, 50], the length to [least, most]."""
-    return max(least, min(most, duration / max(20, min(50, target))))
+#: Clips that a video is meant to have, the least and the greatest length of one, and customers of a video.
+TARGET, SHORTEST, LONGEST, CUSTOMERS = 30, 10.0, 45.0, 100
+#: Seconds over which the orders' intervals are strewn.
+STREWN = 180
 
-
-CLIP = clip_length(DURATION)
-#: Customers of a video, as VIDEO_TRACKS users are.
-CUSTOMERS = 100
-
-TRUTH_SQL = f"""truth0 AS (SELECT o_orderkey AS gt_id, o_custkey // {CUSTOMERS} AS video_id, (o_orderkey * 7919 % {int(DURATION * 100)}) / 100.0 AS start_time, (o_orderkey * 7919 % {int(DURATION * 100)}) / 100.0 + (o_orderkey * 37 % 420 - 20) / 100.0 AS end_time, o_orderstatus <> 'O' AS should_mask FROM orders),
+TRUTH_SQL = f"""truth0 AS (SELECT o_orderkey AS gt_id, o_custkey // {CUSTOMERS} AS video_id, (o_orderkey * 7919 % {STREWN * 100}) / 100.0 AS start_time, (o_orderkey * 7919 % {STREWN * 100}) / 100.0 + (o_orderkey * 37 % 420 - 20) / 100.0 AS end_time, o_orderstatus <> 'O' AS should_mask FROM orders),
 gt AS (SELECT * FROM truth0 WHERE should_mask AND end_time > start_time)"""
-CLIPS_SQL = f"clips AS (SELECT CAST(c AS BIGINT) AS clip, c * {CLIP} AS c0, least({DURATION}, (c + 1) * {CLIP}) AS c1 FROM range(0, CAST(ceil(({DURATION} - 0.01) / {CLIP}) AS BIGINT)) r(c))"
+CLIPS_SQL = f"""ends AS (SELECT video_id, max(end_time) AS dur, greatest({SHORTEST}, least({LONGEST}, max(end_time) / {TARGET})) AS len FROM (SELECT video_id, end_time FROM gt UNION ALL SELECT video_id, end_time FROM pred0) GROUP BY 1),
+clips AS (SELECT video_id, c AS clip, c * len AS c0, least(dur, (c + 1) * len) AS c1 FROM (SELECT *, unnest(range(0, CAST(ceil((dur - 0.01) / len) AS BIGINT))) AS c FROM ends))"""
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = (F.col("o_orderkey") * 7919 % int(DURATION * 100)) / 100.0
+    start = (F.col("o_orderkey") * 7919 % (STREWN * 100)) / 100.0
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gt_id"), F.floor(F.col("o_custkey") / CUSTOMERS).alias("video_id"), start.alias("start_time"), (start + (F.col("o_orderkey") * 37 % 420 - 20) / 100.0).alias("end_time"), (F.col("o_orderstatus") != "O").alias("should_mask"))
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """Intervals that count: to be masked, and of a length."""
-    return rows.filter("should_mask and end_time > start_time")
-
-
 @query(f"WITH {TRUTH_SQL} SELECT printf('gt_%04d', gt_id) AS gt_event_id, video_id, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time, should_mask, 'face_presence' AS label FROM gt")
 def ground_truth_events(spark, sf_dir):
     """Ground truth in its schema, with defaults filled in."""
     return usable(truth(spark, sf_dir)).select(F.format_string("gt_%04d", "gt_id").alias("gt_event_id"), "video_id", r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time"), "should_mask", F.lit("face_presence").alias("label"))
 
 
-@query(f"""WITH {TRUTH_SQL}, {CLIPS_SQL} SELECT video_id, 'events' AS part, CAST(gt_id AS BIGINT) AS item, 'invalid interval' AS violation FROM truth0 WHERE should_mask AND end_time <= start_time
-UNION ALL SELECT -1, 'clips', clip, 'invalid interval' FROM clips WHERE c1 <= c0""")
-def ground_truth_violations(spark, sf_dir):
-    """All violations of the ground truth's rules, row by row (a loader refuses the document if there is one)."""
-    bad = truth(spark, sf_dir).filter("should_mask and end_time <= start_time").select("video_id", F.lit("events").alias("part"), F.col("gt_id").alias("item"), F.lit("invalid interval").alias("violation"))
-    c = clips(spark).filter("c1 <= c0").select(F.lit(-1).cast("long").alias("video_id"), F.lit("clips").alias("part"), F.col("clip").alias("item"), F.lit("invalid interval").alias("violation"))
-    return bad.unionByName(c)
-
-
-def clips(spark: SparkSession) -> DataFrame:
-    """Tiles of a video, the last one clipped; the same for each video."""
-    n = int(-(-(DURATION - 0.01) // CLIP))
-    return spark.range(n).select(F.col("id").alias("clip"), (F.col("id") * CLIP).alias("c0"), F.least(F.lit(DURATION), (F.col("id") + 1) * CLIP).alias("c1"))
-
-
-@query(f"WITH {CLIPS_SQL} SELECT printf('clip_%03d', clip + 1) AS clip_id, round(c0, 3) AS start_time, round(c1, 3) AS end_time, round(c1 - c0, 3) AS duration_sec, 'segment_' || (clip + 1) AS label FROM clips")
-def uniform_clips(spark, sf_dir):
-    return clips(spark).select(F.format_string("clip_%03d", F.col("clip") + 1).alias("clip_id"), r4(F.col("c0"), 3).alias("start_time"), r4(F.col("c1"), 3).alias("end_time"), r4(F.col("c1") - F.col("c0"), 3).alias("duration_sec"), F.concat(F.lit("segment_"), (F.col("clip") + 1).cast("string")).alias("label"))
-
-
 def _variants_sql() -> str:
     pred = lambda name, src, ids: f"SELECT '{name}' AS variant, video_id, {ids} AS pred_id, tier, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time FROM {src}"
     # both event families share the CTEs of pieces and segments
     more = SEG_EVENT_SQL[SEG_EVENT_SQL.index("se0_r AS") :]
-    return f"""{TRACK_SQL}, {more}, pred0 AS ({pred("track_behavior", "tnum", "track_id * 1000 + chunk")} UNION ALL {pred("presence", "se", "track_id * 1000 + seg")}),
+    return f"""{TRACK_SQL}, {more}, pred0 AS ({pred("track_behavior", "tnum", "track_id * 1048576 + chunk")} UNION ALL {pred("presence", "se", "track_id * 1048576 + seg")}),
 pred AS (SELECT * FROM pred0 WHERE end_time > start_time AND tier <> 'low_conf')"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant, video_id, pred_id, tier, start_time, end_time) of two event families, logged ones too."""
-    cols = lambda d, name, part: d.select(F.lit(name).alias("variant"), "video_id", (F.col("track_id") * 1000 + F.col(part)).alias("pred_id"), "tier", r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time"))
+    cols = lambda d, name, part: d.select(F.lit(name).alias("variant"), "video_id", part_id("track_id", part).alias("pred_id"), "tier", r4(F.col("start_time"), 3).alias("start_time"), r4(F.col("end_time"), 3).alias("end_time"))
     return cols(track_events(spark, sf_dir), "track_behavior", "chunk").unionByName(cols(presence_events(spark, sf_dir), "presence", "seg"))
 
 
-def by_clip(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows once for each clip that they overlap (open intervals): an event names its clips, and the join is on them."""
-    last = int(-(-(DURATION - 0.01) // CLIP)) - 1
-    at = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("start_time") / CLIP)), F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), F.floor(F.col("end_time") / CLIP))))
-    return rows.filter(F.col("start_time") < DURATION).withColumn("clip", F.explode(at)).join(F.broadcast(clips(spark)), "clip").filter("end_time > c0 and start_time < c1")
-
-
-_IN_CLIP = "end_time > c0 AND start_time < c1"
-CLIP_SQL = f"""{_variants_sql()}, {TRUTH_SQL}, {CLIPS_SQL}, gc AS (SELECT gt.*, clip, c0, c1 FROM gt JOIN clips ON {_IN_CLIP}), pc AS (SELECT pred.*, clip, c0, c1 FROM pred JOIN clips ON {_IN_CLIP}), rc AS (SELECT pred0.*, clip FROM pred0 JOIN clips ON {_IN_CLIP}),
-pair AS (SELECT variant, video_id, clip, gt_id, pred_id, greatest(0.0, least(gc.end_time, pc.end_time) - greatest(gc.start_time, pc.start_time)) AS inter, gc.end_time - gc.start_time AS gt_len, greatest(gc.end_time, pc.end_time) - least(gc.start_time, pc.start_time) AS hull FROM gc JOIN pc USING (video_id, clip))"""
+def usable(rows: DataFrame) -> DataFrame:
+    """Intervals that count: to be masked, and of a length."""
+    return rows.filter("should_mask and end_time > start_time")
 
 
 class Case:
-    """Ground truth and predictions, each written once, that an evaluation holds against each other."""
+    """Ground truth and predictions, each written once, that an evaluation holds against each other.
+
+    A video is as long as its last event of either, and its clips are tiles of a thirtieth of that, within limits.
+    """
 
     def __init__(self, gt: DataFrame, pred: DataFrame):
         self.gt, self.pred = cut(usable(gt)), cut(pred)
+        dur = F.max("end_time")
+        last = self.gt.select("video_id", "end_time").unionByName(self.pred.select("video_id", "end_time"))
+        self.ends = cut(last.groupBy("video_id").agg(dur.alias("dur"), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), dur / TARGET)).alias("len")))
 
 
 def families(spark: SparkSession, sf_dir: str) -> Case:
     return Case(truth(spark, sf_dir), predictions(spark, sf_dir))
 
 
+def _last_clip():
+    return F.ceil((F.col("dur") - 0.01) / F.col("len")) - 1
+
+
+def _bounds() -> dict:
+    return {"c0": F.col("clip") * F.col("len"), "c1": F.least("dur", (F.col("clip") + 1) * F.col("len"))}
+
+
+def clips(case: Case) -> DataFrame:
+    """(video_id, clip, c0, c1): tiles of each video, the last one clipped."""
+    long = case.ends.filter(_last_clip() >= 0).withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), _last_clip())))
+    return long.withColumns(_bounds()).select("video_id", "clip", "c0", "c1")
+
+
+def by_clip(rows: DataFrame, case: Case) -> DataFrame:
+    """Rows once for each clip of their video that they overlap (open intervals): an event names its clips itself."""
+    at = lambda t: F.greatest(F.lit(0).cast("long"), F.least(_last_clip(), F.floor(F.col(t) / F.col("len"))))
+    d = rows.join(case.ends, "video_id").filter(_last_clip() >= 0).withColumn("clip", F.explode(F.sequence(at("start_time"), at("end_time"))))
+    return d.withColumns(_bounds()).drop("dur", "len").filter("end_time > c0 and start_time < c1")
+
+
+_IN_CLIP = "clips.video_id = {0}.video_id AND end_time > c0 AND start_time < c1"
+CLIP_SQL = f"""{_variants_sql()}, {TRUTH_SQL}, {CLIPS_SQL}, gc AS (SELECT gt.*, clip, c0, c1 FROM gt JOIN clips ON {_IN_CLIP.format("gt")}), pc AS (SELECT pred.*, clip, c0, c1 FROM pred JOIN clips ON {_IN_CLIP.format("pred")}), rc AS (SELECT pred0.*, clip FROM pred0 JOIN clips ON {_IN_CLIP.format("pred0")}),
+pair AS (SELECT variant, video_id, clip, gt_id, pred_id, greatest(0.0, least(gc.end_time, pc.end_time) - greatest(gc.start_time, pc.start_time)) AS inter, gc.end_time - gc.start_time AS gt_len, greatest(gc.end_time, pc.end_time) - least(gc.start_time, pc.start_time) AS hull FROM gc JOIN pc USING (video_id, clip))"""
+
+
 def pairs(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     """Ground truth and predictions that share a clip of a video, with their common length."""
     case = case or families(spark, sf_dir)
-    gt = by_clip(case.gt, spark).select("video_id", "clip", "gt_id", F.col("start_time").alias("g0"), F.col("end_time").alias("g1"))
-    pred = by_clip(counted(case.pred), spark).select("variant", "video_id", "clip", "pred_id", F.col("start_time").alias("p0"), F.col("end_time").alias("p1"))
+    gt = by_clip(case.gt, case).select("video_id", "clip", "gt_id", F.col("start_time").alias("g0"), F.col("end_time").alias("g1"))
+    pred = by_clip(counted(case.pred), case).select("variant", "video_id", "clip", "pred_id", F.col("start_time").alias("p0"), F.col("end_time").alias("p1"))
     d = gt.join(pred, ["video_id", "clip"])
     return d.select("variant", "video_id", "clip", "gt_id", "pred_id", F.greatest(F.lit(0.0), F.least("g1", "p1") - F.greatest("g0", "p0")).alias("inter"), (F.col("g1") - F.col("g0")).alias("gt_len"), (F.greatest("g1", "p1") - F.least("g0", "p0")).alias("hull"))
 
@@ -123,7 +119,8 @@ def counted(pred: DataFrame) -> DataFrame:
 
 @query(f"WITH {CLIP_SQL} SELECT video_id, clip, count(*) AS gt_events, round(sum(least(end_time, c1) - greatest(start_time, c0)), 3) AS overlap_sec FROM gc GROUP BY 1, 2")
 def ground_truth_by_clip(spark, sf_dir):
-    return by_clip(usable(truth(spark, sf_dir)), spark).groupBy("video_id", "clip").agg(F.count(F.lit(1)).alias("gt_events"), r4(F.sum(F.least("end_time", "c1") - F.greatest("start_time", "c0")), 3).alias("overlap_sec"))
+    case = families(spark, sf_dir)
+    return by_clip(case.gt, case).groupBy("video_id", "clip").agg(F.count(F.lit(1)).alias("gt_events"), r4(F.sum(F.least("end_time", "c1") - F.greatest("start_time", "c0")), 3).alias("overlap_sec"))
 
 
 @query(f"WITH {CLIP_SQL} SELECT variant, video_id, clip, gt_id, pred_id, round(inter / hull, 4) AS iou FROM pair WHERE inter / hull >= {IOU}")
@@ -132,15 +129,62 @@ def iou_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).filter(F.col("inter") / F.col("hull") >= IOU).select("variant", "video_id", "clip", "gt_id", "pred_id", r4(F.col("inter") / F.col("hull")).alias("iou"))
 
 
+def _matchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pairs(spark, sf_dir).withColumn("iou", F.col("inter") / F.col("hull")).filter(F.col("iou") >= IOU)
+    return d.select("variant", "video_id", "clip", "gt_id", "pred_id", "iou")
+
+
+_CLIP = ["variant", "video_id", "clip"]
+
+
 @query()
 def clip_matches(spark, sf_dir):
-    """Pairs of a clip by falling IoU, each side once (no SQL: tested against a loop).
+    """Pairs of a clip by falling IoU, each side once, in rounds of joins (no SQL: tested against a loop)."""
+    return matching.dominant_pairs(_matchable(spark, sf_dir), _CLIP, "gt_id", "pred_id", "iou").withColumn("iou", r4(F.col("iou")))
+
+
+@query(f"""WITH {CLIP_SQL}, m AS (SELECT *, inter / hull AS iou FROM pair WHERE inter / hull >= {IOU}),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, video_id, clip, gt_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY variant, video_id, clip, pred_id ORDER BY iou DESC, gt_id) AS b FROM m)
+SELECT variant, video_id, clip, gt_id, pred_id, round(iou, 4) AS iou FROM r WHERE a = 1 AND b = 1""")
+def clip_matches_first_round(spark, sf_dir):
+    """What the first round of clip_matches takes: pairs that are the best of both their sides."""
+    return matching.dominant(_matchable(spark, sf_dir), _CLIP, "gt_id", "pred_id", "iou").withColumn("iou", r4(F.col("iou")))
+
+
+@query(f"""WITH {CLIP_SQL} SELECT video_id, printf('clip_%03d', clip + 1) AS clip_id, round(c0, 3) AS start_time, round(c1, 3) AS end_time, round(c1 - c0, 3) AS duration_sec, 'segment_' || (clip + 1) AS label FROM clips""")
+def uniform_clips(spark, sf_dir):
+    """Every video's clips, as long as its events say."""
+    c = clips(families(spark, sf_dir))
+    return c.select("video_id", F.format_string("clip_%03d", F.col("clip") + 1).alias("clip_id"), r4(F.col("c0"), 3).alias("start_time"), r4(F.col("c1"), 3).alias("end_time"), r4(F.col("c1") - F.col("c0"), 3).alias("duration_sec"), F.concat(F.lit("segment_"), (F.col("clip") + 1).cast("string")).alias("label"))
 
-    A pair that is the best of both its sides is taken at once; only what is left goes to a loop for each clip.
+
+def violations(events: DataFrame, clips: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(video_id, part, item, violation): all rules of a ground truth that its rows break, row by row.
+
+    events (video_id, gt_id, start_time, end_time, should_mask), clips (video_id, clip, c0, c1), docs (video_id,
+    duration_sec, clips_ref), where it is given, one for each document. A time that is missing counts as 0.
     """
-    d = pairs(spark, sf_dir).filter(F.col("inter") / F.col("hull") >= IOU).withColumn("iou", F.col("inter") / F.col("hull"))
-    d = d.withColumn("part", F.concat_ws("/", "variant", "video_id", "clip"))
-    return matching.greedy_pairs(d.select("part", "variant", "video_id", "clip", "gt_id", "pred_id", "iou"), "part", "gt_id", "pred_id", "iou").drop("part").withColumn("iou", r4(F.col("iou")))
+    row = lambda d, part, item, text: d.select("video_id", F.lit(part).alias("part"), item.alias("item"), F.lit(text).alias("violation"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    masked = F.coalesce("should_mask", F.lit(True))
+    out = row(events.filter("start_time is null or end_time is null"), "events", F.col("gt_id"), "missing start_time/end_time")
+    out = out.unionByName(row(events.filter(masked & (zero("end_time") <= zero("start_time"))), "events", F.col("gt_id"), "invalid interval"))
+    out = out.unionByName(row(clips.filter("clip is null"), "clips", F.col("clip"), "missing clip_id"))
+    out = out.unionByName(row(clips.filter(zero("c1") <= zero("c0")), "clips", F.col("clip"), "invalid interval"))
+    if docs is not None:
+        none = F.lit(None).cast("long")
+        there = events.select("video_id").unionByName(clips.select("video_id")).distinct()
+        bare = docs.filter("coalesce(duration_sec, 0.0) = 0.0 and coalesce(clips_ref, '') = ''").join(there, "video_id", "left_anti")
+        out = out.unionByName(row(docs.filter("video_id is null"), "document", none, "missing video path"))
+        out = out.unionByName(row(bare.filter("video_id is not null"), "document", none, "ground truth must include events, clips[], duration_sec, or clips_ref"))
+    return out
+
+
+@query(f"""WITH {CLIP_SQL} SELECT video_id, 'events' AS part, CAST(gt_id AS BIGINT) AS item, 'invalid interval' AS violation FROM truth0 WHERE should_mask AND end_time <= start_time
+UNION ALL SELECT video_id, 'clips', clip, 'invalid interval' FROM clips WHERE c1 <= c0""")
+def ground_truth_violations(spark, sf_dir):
+    """All violations of the ground truth's rules (a loader refuses the document if there is one)."""
+    return violations(truth(spark, sf_dir), clips(families(spark, sf_dir)))
 
 
 _COVER = f"inter / gt_len >= {COVERAGE}"
@@ -165,24 +209,25 @@ def _steps_sql(src: str, keys: str) -> str:
 
 MASK_SQL = f"""{MERGE_SQL}, vv AS (SELECT DISTINCT variant, video_id FROM pred0), gs AS ({_steps_sql("gc", "video_id, clip")}), ps AS ({_steps_sql("pc", "variant, video_id, clip")}),
 gv AS (SELECT variant, video_id, clip, step, 1 AS g FROM gs JOIN vv USING (video_id)), m0 AS (SELECT variant, video_id, clip, count(g) AS gt_n, count(p) AS pred_n, count(*) FILTER (p IS NOT NULL AND g IS NULL) AS false_n, count(*) FILTER (g IS NOT NULL AND p IS NULL) AS miss_n FROM gv FULL JOIN (SELECT *, 1 AS p FROM ps) USING (variant, video_id, clip, step) GROUP BY 1, 2, 3),
-grid AS (SELECT variant, video_id, clip, CAST(round((c1 - c0) * 10) AS BIGINT) + 1 AS samples FROM vv CROSS JOIN clips),
+grid AS (SELECT variant, video_id, clip, CAST(round((c1 - c0) * 10) AS BIGINT) + 1 AS samples FROM vv JOIN clips USING (video_id)),
 masks AS (SELECT variant, video_id, clip, samples, coalesce(gt_n, 0) AS gt_n, coalesce(pred_n, 0) AS pred_n, coalesce(false_n, 0) AS false_n, coalesce(miss_n, 0) AS miss_n FROM grid LEFT JOIN m0 USING (variant, video_id, clip))"""
 
 
 def masks(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     """Counts of sampled tenths of a second by clip, both ends of a clip among them: masked by truth, prediction, one only."""
+    case = case or families(spark, sf_dir)
+
     def steps(rows, keys):
         lo = F.greatest(F.ceil(F.round(F.col("start_time") * 10, 6)), F.round(F.col("c0") * 10).cast("long"))
         hi = F.least(F.floor(F.round(F.col("end_time") * 10, 6)), F.round(F.col("c1") * 10).cast("long"))
-        return by_clip(rows, spark).withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").select(*keys, "clip", F.explode(F.sequence("lo", "hi")).alias("step")).distinct()
+        return by_clip(rows, case).withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").select(*keys, "clip", F.explode(F.sequence("lo", "hi")).alias("step")).distinct()
 
-    case = case or families(spark, sf_dir)
     every = case.pred
     vv = every.select("variant", "video_id").distinct()
     g = steps(case.gt, ["video_id"]).join(vv, "video_id").withColumn("g", F.lit(1))
     p = steps(counted(every), ["variant", "video_id"]).withColumn("p", F.lit(1))
     m = g.join(p, ["variant", "video_id", "clip", "step"], "full").groupBy("variant", "video_id", "clip").agg(F.count("g").alias("gt_n"), F.count("p").alias("pred_n"), F.count_if(F.col("p").isNotNull() & F.col("g").isNull()).alias("false_n"), F.count_if(F.col("g").isNotNull() & F.col("p").isNull()).alias("miss_n"))
-    grid = vv.crossJoin(F.broadcast(clips(spark))).select("variant", "video_id", "clip", (F.round((F.col("c1") - F.col("c0")) * 10).cast("long") + 1).alias("samples"))
+    grid = vv.join(clips(case), "video_id").select("variant", "video_id", "clip", (F.round((F.col("c1") - F.col("c0")) * 10).cast("long") + 1).alias("samples"))
     return grid.join(m, ["variant", "video_id", "clip"], "left").fillna(0, ["gt_n", "pred_n", "false_n", "miss_n"])
 
 
@@ -206,7 +251,7 @@ obj AS (SELECT variant, video_id, clip, round(false_n * {STEP}, 3) AS false_sec,
 def objectives(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
     keys = ["variant", "video_id", "clip"]
     case = case or families(spark, sf_dir)
-    cost = by_clip(case.pred, spark).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("tier") == "review").alias("review_events"))
+    cost = by_clip(case.pred, case).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("tier") == "review").alias("review_events"))
     err = errors(pairs(spark, sf_dir, case)).groupBy(*keys).agg(F.count_if(F.col("kind") == "over_merge").alias("merges"), F.count_if(F.col("kind") == "over_split").alias("splits"))
     d = masks(spark, sf_dir, case).join(cost, keys, "left").join(err, keys, "left").fillna(0, ["events", "review_events", "merges", "splits"])
     return d.select(*keys, r4(F.col("false_n") * STEP, 3).alias("false_sec"), r4(F.col("miss_n") * STEP, 3).alias("miss_sec"), "merges", "splits", "events", "review_events", r4(F.col("review_events") * REVIEW_SECONDS / 60, 2).alias("minutes"))

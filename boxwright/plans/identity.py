@@ -16,7 +16,7 @@ from ..operators import chains, matching, rangejoin
 from ..operators.components import components
 from ..sources.shared import cut
 from ..sources.tracked import TRACKED_SQL, table, tracked
-from .registry import BOX, ORDER, mean_conf, query, r4
+from .registry import BOX, ORDER, mean_conf, part_id, query, r4
 
 PIECE_GAP, GAP, TOP = 8.0, 90.0, 25
 #: Weights of the five scores (fixed values).
@@ -28,7 +28,7 @@ ARCFACE_GAP, ARCFACE_MIN = 600.0, 0.45
 
 PIECES_SQL = f"""{TRACKED_SQL},
 plag AS (SELECT *, t - lag(t) OVER w AS gap, lag(t) OVER w AS pt, {", ".join(f"lag({c}) OVER w AS q{c}" for c in BOX)} FROM tracked WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)),
-pieces AS (SELECT *, track_id * 1000 + CAST(sum(CASE WHEN gap > {PIECE_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame, event_id) AS BIGINT) AS piece FROM plag)"""
+pieces AS (SELECT *, track_id * 1048576 + CAST(sum(CASE WHEN gap > {PIECE_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame, event_id) AS BIGINT) AS piece FROM plag)"""
 VELOCITY_SQL = "CASE WHEN gap > 0 AND gap <= {0} THEN (({1}1 + {1}2) - (q{1}1 + q{1}2)) / 2 / gap ELSE 0.0 END"
 PROFILE_SQL = f"""{PIECES_SQL},
 moved AS (SELECT *, {VELOCITY_SQL.format(PIECE_GAP, "x")} AS vx, {VELOCITY_SQL.format(PIECE_GAP, "y")} AS vy, row_number() OVER (PARTITION BY piece ORDER BY frame, event_id) AS rn FROM pieces),
@@ -42,7 +42,7 @@ profile AS (SELECT piece, any_value(video_id) AS video_id, any_value(track_id) A
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with the number of their piece."""
     d = isl.islands(tracked(spark, sf_dir), ["track_id"], ORDER, lambda d: d["t"] - d["prev_t"] > PIECE_GAP, ["t", *BOX], "part")
-    return d.withColumn("piece", F.col("track_id") * 1000 + F.col("part"))
+    return d.withColumn("piece", part_id("track_id", "part"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import presets
-from ..sources.tracked import FPS, table
+from ..sources.tracked import FPS, table, videos
 from .behavior import TRACK_SQL, track_chunks, track_events
 from .registry import BOX, query, r4
-from .timeline import _TIMELINE_SQL, LAST, VALUES, spread, timeline_rows, written_out
+from .timeline import _TIMELINE_SQL, VALUES, spread, timeline_rows, written_out
 
 # ---------------------------------------------------------------- plain render map
 
 EXTEND = 3
-_PLAIN_SQL = f"""{TRACK_SQL}, rw AS (SELECT video_id, track_id, chunk, frame, {", ".join(BOX)}, lead(frame) OVER w AS nf, row_number() OVER w AS rn, {", ".join(f"lead({c}) OVER w AS n{c}" for c in BOX)} FROM tchunk WINDOW w AS (PARTITION BY track_id, chunk ORDER BY frame, event_id)),
+_PLAIN_SQL = f"""{TRACK_SQL}, rw AS (SELECT video_id, vl, track_id, chunk, frame, {", ".join(BOX)}, lead(frame) OVER w AS nf, row_number() OVER w AS rn, {", ".join(f"lead({c}) OVER w AS n{c}" for c in BOX)} FROM tchunk JOIN vmeta USING (video_id) WINDOW w AS (PARTITION BY track_id, chunk ORDER BY frame, event_id)),
 bag AS (
     SELECT video_id, track_id, chunk, frame AS f, {", ".join(BOX)} FROM rw
     UNION ALL SELECT video_id, track_id, chunk, f, {", ".join(f"{c} + (n{c} - {c}) * ((f - frame) / CAST(nf - frame AS DOUBLE)) AS {c}" for c in BOX)} FROM (SELECT *, unnest(range(frame + 1, nf)) AS f FROM rw WHERE nf - frame > 1)
     UNION ALL SELECT video_id, track_id, chunk, f, {", ".join(BOX)} FROM (SELECT *, unnest(range(greatest(0, frame - {EXTEND}), frame)) AS f FROM rw WHERE rn = 1)
-    UNION ALL SELECT video_id, track_id, chunk, f, {", ".join(BOX)} FROM (SELECT *, unnest(range(frame + 1, least({LAST}, frame + {EXTEND}) + 1)) AS f FROM rw WHERE nf IS NULL))"""
+    UNION ALL SELECT video_id, track_id, chunk, f, {", ".join(BOX)} FROM (SELECT *, unnest(range(frame + 1, least(vl, frame + {EXTEND}) + 1)) AS f FROM rw WHERE nf IS NULL))"""
 
 
 @query(f"WITH {_PLAIN_SQL} SELECT video_id, track_id, chunk, f AS frame, {', '.join(f'round({c} + 0.0000001, 1) AS {c}' for c in BOX)} FROM bag")
 def plain_render_map(spark, sf_dir):
     """A bag of boxes by frame: every detection of every event, lines over all gaps, three frames held at both ends."""
-    d = track_chunks(spark, sf_dir).select("video_id", "track_id", "chunk", "frame", "event_id", *VALUES)
+    ends = videos(spark, sf_dir).select("video_id", (F.col("frames") - 1).alias("vl"))
+    d = track_chunks(spark, sf_dir).select("video_id", "track_id", "chunk", "frame", "event_id", *VALUES).join(ends, "video_id")
     x = written_out(spread(d, ["track_id", "chunk"], 1 << 40, EXTEND), ["video_id", "track_id", "chunk"])
     return x.select("video_id", "track_id", "chunk", F.col("f").alias("frame"), *[r4(F.col(c) + 0.0000001, 1).alias(c) for c in BOX])
 

@@ -13,8 +13,8 @@ from ..operators import islands as isl
 from ..operators import matching, rangejoin
 from ..operators.components import components
 from ..sources.shared import cut
-from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, VIDEO_FRAMES, WIDTH, decisions, table, tracked
-from .registry import BOX, ORDER, QUERIES, SQL, mean_conf, query, r4  # noqa: F401
+from ..sources.tracked import FPS, HEIGHT, INTERVAL, TRACKED_SQL, WIDTH, decisions, table, tracked
+from .registry import BOX, ORDER, QUERIES, SQL, mean_conf, part_id, query, r4  # noqa: F401
 
 PRESENCE_GAP, BEHAVIOR_GAP, MERGE_GAP = 3.0, 8.0, 3.0
 
@@ -453,7 +453,7 @@ def _mutual_best(links):
 CLIP = 20.0
 GT_SQL = f"""{FACE_SQL}, 
 gt AS (SELECT track_id AS gt_id, t0 AS g0, t1 + 0.5 AS g1 FROM tiered WHERE seg = 0),
-pred AS (SELECT track_id * 1000 + seg AS pred_id, track_id, t0 AS p0, t1 + 0.2 AS p1 FROM tiered WHERE tier <> 'low_conf'),
+pred AS (SELECT track_id * 1048576 + seg AS pred_id, track_id, t0 AS p0, t1 + 0.2 AS p1 FROM tiered WHERE tier <> 'low_conf'),
 clips AS (SELECT c AS clip_id, c * {CLIP} AS c0, (c + 1) * {CLIP} AS c1 FROM (SELECT unnest(range(0, CAST(floor(greatest((SELECT max(g1) FROM gt), (SELECT max(p1) FROM pred)) / {CLIP}) AS BIGINT) + 1)) AS c))"""
 
 
@@ -467,7 +467,7 @@ def _clips(gt, pred):
 def _gt_pred(spark, sf_dir):
     f = faces(spark, sf_dir)
     gt = f.filter("seg = 0").select(F.col("track_id").alias("gt_id"), F.col("t0").alias("g0"), (F.col("t1") + 0.5).alias("g1"))
-    pred = f.filter("tier <> 'low_conf'").select((F.col("track_id") * 1000 + F.col("seg")).alias("pred_id"), "track_id", F.col("t0").alias("p0"), (F.col("t1") + 0.2).alias("p1"))
+    pred = f.filter("tier <> 'low_conf'").select(part_id("track_id", "seg").alias("pred_id"), "track_id", F.col("t0").alias("p0"), (F.col("t1") + 0.2).alias("p1"))
     return gt, pred
 
 
@@ -523,8 +523,7 @@ def greedy_matches(spark, sf_dir):
 @query()
 def frame_nms(spark, sf_dir):
     """Boxes of each frame of a video that no better box of the frame overlaps by more than 0.70."""
-    d = tracked(spark, sf_dir).withColumn("at", F.col("video_id") * VIDEO_FRAMES + F.col("frame"))
-    return matching.suppress(d, "at", 0.7).select("video_id", "frame", "event_id", "conf")
+    return matching.suppress(tracked(spark, sf_dir), ["video_id", "frame"], 0.7).select("video_id", "frame", "event_id", "conf")
 
 
 @query()
@@ -534,7 +533,7 @@ def assigned_links(spark, sf_dir):
     A candidate more than MATCH_GAP behind scores FAR_SCORE at most, so none of FULL_GAP is lost. Connected components
     of the candidates share no end: solved apart, they give the optimum of the whole.
     """
-    d = successors(spark, sf_dir).filter("score >= 0.5").select((F.col("from_track") * 1000 + F.col("from_seg")).alias("from_id"), (F.col("to_track") * 1000 + F.col("to_seg")).alias("to_id"), r4(F.col("score")).alias("score"))
+    d = successors(spark, sf_dir).filter("score >= 0.5").select(part_id("from_track", "from_seg").alias("from_id"), part_id("to_track", "to_seg").alias("to_id"), r4(F.col("score")).alias("score"))
     w = Window.partitionBy("from_id").orderBy(F.desc("score"), "to_id")
     d = cut(d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= FULL_TOP).drop("r"))
     u, v = F.col("from_id") * 2, F.col("to_id") * 2 + 1  # a segment's end and its start are two nodes

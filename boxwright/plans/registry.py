@@ -22,6 +22,16 @@ def query(sql: str | None = None):
     return register
 
 
+#: Parts that a track's number leaves room for.
+PARTS = 1 << 20
+
+
+def part_id(track: str, part: str):
+    """A number for a part of a track: tracks can't meet, since a track of more parts than there is room for is an error."""
+    whole = F.col(track) * PARTS + F.col(part)
+    return F.when(F.col(part) < PARTS, whole).otherwise(F.raise_error(F.lit(f"a track has more than {PARTS} parts")).cast("long"))
+
+
 def r4(c, n: int = 4):
     return F.round(c, n)
 

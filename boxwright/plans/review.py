@@ -11,7 +11,7 @@ from ..operators import islands as isl
 from ..sources.shared import cut
 from ..sources.tracked import FPS, HEIGHT, WIDTH, parse_decisions, table, tracked
 from .behavior import TRACK_SQL, track_chunks, track_events
-from .registry import BOX, query, r4
+from .registry import BOX, part_id, query, r4
 from .timeline import ACCEPTED, PROPOSAL_SQL, decide, proposals, review_reason
 
 # ---------------------------------------------------------------- decisions and reports
@@ -140,7 +140,7 @@ def decisions_upserted(spark, sf_dir):
 # ---------------------------------------------------------------- low-confidence events
 
 _BRIDGE_GAP = 1.0
-BRIDGE_SQL = f"""{EVENT_DEC_SQL}, traj AS (SELECT track_id, chunk, t, frame, event_id, {", ".join(BOX)} FROM tchunk), ev AS (SELECT *, track_id * 1000 + chunk AS id FROM ed WHERE coalesce(status, '') <> 'rejected' OR tier <> 'low_conf'),
+BRIDGE_SQL = f"""{EVENT_DEC_SQL}, traj AS (SELECT track_id, chunk, t, frame, event_id, {", ".join(BOX)} FROM tchunk), ev AS (SELECT *, track_id * 1048576 + chunk AS id FROM ed WHERE coalesce(status, '') <> 'rejected' OR tier <> 'low_conf'),
 pr AS (SELECT l.id AS a, o.id AS b, l.track_id AS lt, l.chunk AS lc, o.track_id AS bt, o.chunk AS bc, least(greatest((l.start_time + l.end_time) * 0.5, o.start_time), o.end_time) AS probe FROM ev l JOIN ev o ON l.video_id = o.video_id AND l.id <> o.id AND greatest(l.start_time - o.end_time, o.start_time - l.end_time, 0.0) <= {_BRIDGE_GAP}
     WHERE l.tier = 'low_conf' AND l.end_time - l.start_time <= 3.0 AND l.peak >= 0.35 AND (o.tier = 'low_conf' OR o.tier = 'auto' OR o.status IN {ACCEPTED})),
 bx AS (SELECT a, b, {", ".join(f"arg_min(ta.{c}, (abs(ta.t - probe), ta.frame, ta.event_id)) AS l{c}" for c in BOX)} FROM pr JOIN traj ta ON ta.track_id = lt AND ta.chunk = lc GROUP BY a, b),
@@ -156,7 +156,7 @@ def bridged_low_conf_events(spark, sf_dir):
     A pair matches by one probe time; each side's box there is its detection nearest in time. The closure goes on until
     nothing is added.
     """
-    d = cut(event_decisions(spark, sf_dir).withColumn("id", F.col("track_id") * 1000 + F.col("chunk")).filter("coalesce(status, '') <> 'rejected' or tier <> 'low_conf'"))
+    d = cut(event_decisions(spark, sf_dir).withColumn("id", part_id("track_id", "chunk")).filter("coalesce(status, '') <> 'rejected' or tier <> 'low_conf'"))
     accepted = (F.col("tier") == "auto") | F.coalesce(F.col("status").isin(*ACCEPTED), F.lit(False))
     side = lambda x, p: x.select("video_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "track_id", "chunk", "start_time", "end_time")])
     low = side(d.filter("tier = 'low_conf' and end_time - start_time <= 3.0 and peak >= 0.35"), "a")

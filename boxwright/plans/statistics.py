@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import islands as isl
-from ..sources.tracked import FPS, INTERVAL, TRACKED_SQL, VIDEO_FRAMES, tracked
+from ..sources.tracked import FPS, INTERVAL, TRACKED_SQL, tracked
 from .behavior import SEG_EVENT_SQL, TRACK_SQL, event_sql, make_events, presence_events, quality_sql, scored, timecode, timecode_sql, track_events
 from .identity import PIECES_SQL
 from .registry import BOX, ORDER, query, r4
@@ -50,7 +50,7 @@ def scheme_comparison(spark, sf_dir):
     return rows.select("scheme", *_SCHEME_COLS).unionByName(delta)
 
 
-SUMMARY_SQL = f"""{TRACKED_SQL}, sm AS (SELECT video_id, count(*) AS total, count(DISTINCT frame) AS sampled, round(sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*), 4) AS avg_conf, round(count(*) / ({VIDEO_FRAMES / FPS / 60}), 3) AS per_minute FROM tracked GROUP BY 1),
+SUMMARY_SQL = f"""{TRACKED_SQL}, sm AS (SELECT video_id, count(*) AS total, count(DISTINCT frame) AS sampled, round(sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*), 4) AS avg_conf, round(count(*) / ((max(frame) + 1) / {FPS} / 60), 3) AS per_minute, (max(frame) + 1) / {FPS} AS dur FROM tracked GROUP BY 1),
 bins AS (SELECT video_id, least(19, CAST(floor(round(conf * 1000) / 50) AS BIGINT)) * 0.05 + 0.025 AS mid, count(*) AS c FROM tracked GROUP BY 1, 2),
 hs AS (SELECT video_id, round(sum(CASE WHEN mid < 0.45 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), 4) AS very_low, round(sum(CASE WHEN mid < 0.50 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), 4) AS low, round(sum(CASE WHEN mid >= 0.50 AND mid < 0.75 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), 4) AS borderline, round(sum(CASE WHEN mid >= 0.75 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), 4) AS high FROM bins GROUP BY 1)"""
 
@@ -61,10 +61,10 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     bin_ = F.least(F.lit(19), F.floor(F.round(F.col("conf") * 1000) / 50))
     # by video and bin first: shares are sums over a few rows
-    by_bin = d.groupBy("video_id", bin_.alias("bin")).agg(n.alias("c"), F.sum(F.round(F.col("conf") * 1_000_000).cast("long")).alias("m"))
+    by_bin = d.groupBy("video_id", bin_.alias("bin")).agg(n.alias("c"), F.max("frame").alias("last"), F.sum(F.round(F.col("conf") * 1_000_000).cast("long")).alias("m"))
     mid, total = F.col("bin") * 0.05 + 0.025, F.sum("c")
     share = lambda cond: r4(F.sum(F.when(cond, F.col("c")).otherwise(0)) / total)
-    sm = by_bin.groupBy("video_id").agg(total.alias("total"), r4(F.sum("m") / F.lit(1_000_000.0) / total).alias("avg_conf"), r4(total / (VIDEO_FRAMES / FPS / 60), 3).alias("per_minute"), share(mid < 0.45).alias("very_low"), share(mid < 0.50).alias("low"), share((mid >= 0.50) & (mid < 0.75)).alias("borderline"), share(mid >= 0.75).alias("high"))
+    sm = by_bin.groupBy("video_id").agg(total.alias("total"), r4(F.sum("m") / F.lit(1_000_000.0) / total).alias("avg_conf"), r4(total / ((F.max("last") + 1) / FPS / 60), 3).alias("per_minute"), ((F.max("last") + 1) / FPS).alias("dur"), share(mid < 0.45).alias("very_low"), share(mid < 0.50).alias("low"), share((mid >= 0.50) & (mid < 0.75)).alias("borderline"), share(mid >= 0.75).alias("high"))
     sampled = d.groupBy("video_id").agg(F.count_distinct("frame").alias("sampled"))
     return sm.join(sampled, "video_id")
 
@@ -74,7 +74,6 @@ def video_summaries(spark, sf_dir):
     return summaries(spark, sf_dir).select("video_id", F.col("total").alias("total_detections"), F.col("sampled").alias("sampled_frames"), F.col("avg_conf").alias("avg_confidence"), F.col("per_minute").alias("detections_per_minute"), F.col("very_low").alias("very_low_ratio"), F.col("low").alias("low_ratio"), F.col("borderline").alias("borderline_ratio"), F.col("high").alias("high_ratio"))
 
 
-_DUR = VIDEO_FRAMES / FPS
 _PAD = 2 * INTERVAL / FPS
 
 
@@ -83,7 +82,7 @@ c0 AS (SELECT *, 0.35 + CASE WHEN very_low >= 0.25 THEN 0.10 WHEN low >= 0.40 TH
 g0 AS (SELECT *, CASE WHEN per_minute >= 120 THEN 0.8 WHEN per_minute >= 70 THEN 1.0 WHEN per_minute >= 35 THEN 1.2 ELSE 1.5 END AS gap0, CASE WHEN per_minute >= 120 THEN 'high_detection_density' WHEN per_minute >= 70 THEN 'moderate_high_density' WHEN per_minute >= 35 THEN 'moderate_density' ELSE 'sparse_faces' END AS why FROM c2)
 SELECT video_id, round(round(least(0.55, greatest(0.30, k2)) * 20) / 20, 2) AS recommended_conf, round(least(2.0, greatest(0.5, CASE WHEN density >= 0.35 THEN greatest(0.7, gap0 - 0.2) ELSE gap0 END)), 2) AS recommended_event_gap, why || CASE WHEN density >= 0.35 THEN '; dense_sampled_frames' ELSE '' END AS gap_reason,
     round(least(0.30, greatest(0.20, {_PAD})), 3) AS pre_padding_sec, round(least(0.50, greatest(CASE WHEN per_minute < 50 THEN least(0.50, round(least(0.50, greatest(0.30, {_PAD})) * 1.2, 3)) WHEN per_minute >= 100 THEN greatest(least(0.50, greatest(0.30, {_PAD})), 0.33) ELSE least(0.50, greatest(0.30, {_PAD})) END, {round((2 * INTERVAL + 2) / FPS, 3)})), 3) AS post_padding_sec,
-    CASE WHEN per_minute >= 90 OR {_DUR} >= 300 THEN 'extreme' WHEN avg_conf < 0.60 OR low >= 0.30 THEN 'extreme' WHEN avg_conf >= 0.68 AND high >= 0.35 THEN 'high' ELSE 'extreme' END AS recommended_mosaic_level FROM g0""")
+    CASE WHEN per_minute >= 90 OR dur >= 300 THEN 'extreme' WHEN avg_conf < 0.60 OR low >= 0.30 THEN 'extreme' WHEN avg_conf >= 0.68 AND high >= 0.35 THEN 'high' ELSE 'extreme' END AS recommended_mosaic_level FROM g0""")
 def recommended_parameters(spark, sf_dir):
     """Threshold ladders over each video's statistics: confidence, gap, padding, strength of the mosaic."""
     d = summaries(spark, sf_dir).withColumn("density", r4(F.col("total") / F.col("sampled")))
@@ -96,7 +95,7 @@ def recommended_parameters(spark, sf_dir):
     dense = F.col("density") >= 0.35
     pad = min(0.50, max(0.30, _PAD))
     post = F.when(pm < 50, min(0.50, round(pad * 1.2, 3))).when(pm >= 100, max(pad, 0.33)).otherwise(pad)
-    mosaic = F.when((pm >= 90) | F.lit(_DUR >= 300), "extreme").when((c < 0.60) | (low >= 0.30), "extreme").when((c >= 0.68) & (high >= 0.35), "high").otherwise("extreme")
+    mosaic = F.when((pm >= 90) | (F.col("dur") >= 300), "extreme").when((c < 0.60) | (low >= 0.30), "extreme").when((c >= 0.68) & (high >= 0.35), "high").otherwise("extreme")
     return d.select(
         "video_id", F.round(F.rint(F.least(F.lit(0.55), F.greatest(F.lit(0.30), k2)) * 20) / 20, 2).alias("recommended_conf"), r4(F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.when(dense, F.greatest(F.lit(0.7), gap0 - 0.2)).otherwise(gap0))), 2).alias("recommended_event_gap"), F.concat(why, F.when(dense, "; dense_sampled_frames").otherwise("")).alias("gap_reason"),
         F.lit(round(min(0.30, max(0.20, _PAD)), 3)).alias("pre_padding_sec"), r4(F.least(F.lit(0.50), F.greatest(post, F.lit(round((2 * INTERVAL + 2) / FPS, 3)))), 3).alias("post_padding_sec"), mosaic.alias("recommended_mosaic_level"),
@@ -155,5 +154,5 @@ def frame_box_matches(spark, sf_dir):
 
     b, c = runs_of_boxes(spark, sf_dir)
     j = b.select("video_id", "frame", F.col("event_id").alias("base_id"), *[F.col(x).alias(f"b{x}") for x in BOX]).join(c.select("video_id", "frame", F.col("event_id").alias("cand_id"), *[F.col(x).alias(f"c{x}") for x in BOX]), ["video_id", "frame"])
-    j = j.withColumn("iou", g.iou(g.box("b"), g.box("c"))).filter("iou >= 0.3").withColumn("at", F.col("video_id") * VIDEO_FRAMES + F.col("frame"))
-    return matching.in_turn(j.select("at", "video_id", "frame", "base_id", "cand_id", "iou"), "at", "base_id", "cand_id", "iou").drop("at").withColumn("iou", r4(F.col("iou")))
+    j = j.withColumn("iou", g.iou(g.box("b"), g.box("c"))).filter("iou >= 0.3")
+    return matching.in_turn(j.select("video_id", "frame", "base_id", "cand_id", "iou"), ["video_id", "frame"], "base_id", "cand_id", "iou").withColumn("iou", r4(F.col("iou")))

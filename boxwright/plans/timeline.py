@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import islands as isl
-from ..sources.tracked import FPS, HEIGHT, INTERVAL, VIDEO_FRAMES, WIDTH, table
+from ..sources.tracked import FPS, HEIGHT, INTERVAL, WIDTH, table
 from .behavior import TRACK_SQL, track_chunks, track_events
 from .registry import BOX, ORDER, query, r4
 
 SPLIT, FILL, HOLD = max(8, 4 * INTERVAL), max(6, 3 * INTERVAL), min(10, max(2, 2 * INTERVAL))
-LAST = VIDEO_FRAMES - 1
 VALUES = [*BOX, "conf"]
 #: The decision statuses (fixed values).
 ACCEPTED = ("accepted", "accepted_ranges", "accepted_first_half", "accepted_second_half")
@@ -70,8 +69,8 @@ _RULE = f"pf IS NOT NULL AND (frame - pf > {SPLIT} OR ({g.iou_sql('q', '')} < 0.
 #: A decision for every proposal, from labels: by the number of a document.
 _DOC = "(track_id * 31 + chunk * 7 + part) % 1000"
 DECISION_SQL = "CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 'rejected' WHEN toxic = 1 THEN 'accepted_first_half' WHEN doc_id % 4 = 0 THEN 'accepted_ranges' WHEN doc_id % 4 = 1 THEN 'accepted_second_half' WHEN doc_id % 4 = 2 THEN 'accepted' ELSE 'skipped' END"
-PROPOSAL_SQL = f"""{TRACK_SQL}, inc AS (SELECT track_id, chunk, num, tier AS etier, hints, least_conf, edge_large FROM tnum WHERE tier <> 'low_conf' OR (peak >= 0.35 AND greatest(0.0, end_time - start_time) <= 3.0) OR (list_contains(hints, 'edge_clip') AND peak >= 0.45)),
-p0 AS (SELECT d.* EXCLUDE (num), etier, hints, i.num, least_conf, edge_large, lag(frame) OVER w AS pf, {", ".join(f"lag({c}) OVER w AS r{c}" for c in BOX)} FROM (SELECT *, 0 AS num FROM tchunk) d JOIN inc i USING (track_id, chunk) WINDOW w AS (PARTITION BY track_id, chunk ORDER BY frame, event_id)),
+PROPOSAL_SQL = f"""{TRACK_SQL}, inc AS (SELECT track_id, chunk, num, vl, tier AS etier, hints, least_conf, edge_large FROM tnum WHERE tier <> 'low_conf' OR (peak >= 0.35 AND greatest(0.0, end_time - start_time) <= 3.0) OR (list_contains(hints, 'edge_clip') AND peak >= 0.45)),
+p0 AS (SELECT d.* EXCLUDE (num), etier, hints, i.num, i.vl, least_conf, edge_large, lag(frame) OVER w AS pf, {", ".join(f"lag({c}) OVER w AS r{c}" for c in BOX)} FROM (SELECT *, 0 AS num FROM tchunk) d JOIN inc i USING (track_id, chunk) WINDOW w AS (PARTITION BY track_id, chunk ORDER BY frame, event_id)),
 p1 AS (SELECT * EXCLUDE (qx1, qy1, qx2, qy2), rx1 AS qx1, ry1 AS qy1, rx2 AS qx2, ry2 AS qy2 FROM p0),
 p2 AS (SELECT *, CAST(sum(CASE WHEN {_RULE} THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, chunk ORDER BY frame, event_id) AS BIGINT) + 1 AS part FROM p1),
 {_edge_sql("p2", "", "p3")},
@@ -79,7 +78,7 @@ p4 AS (SELECT *, lead(frame) OVER w AS nf, row_number() OVER w AS rn, {", ".join
 ent AS (
     SELECT video_id, track_id, chunk, part, frame AS f, {", ".join(VALUES)} FROM p4
     UNION ALL SELECT video_id, track_id, chunk, part, f, {", ".join(f"{c} + (n{c} - {c}) * ((f - frame) / CAST(nf - frame AS DOUBLE))" for c in VALUES)} FROM (SELECT *, unnest(range(frame + 1, nf)) AS f FROM p4 WHERE nf - frame > 1 AND nf - frame <= {FILL})
-    UNION ALL SELECT video_id, track_id, chunk, part, f, {", ".join(VALUES)} FROM (SELECT *, unnest(range(frame + 1, least({LAST}, frame + {HOLD}) + 1)) AS f FROM p4 WHERE nf IS NULL)
+    UNION ALL SELECT video_id, track_id, chunk, part, f, {", ".join(VALUES)} FROM (SELECT *, unnest(range(frame + 1, least(vl, frame + {HOLD}) + 1)) AS f FROM p4 WHERE nf IS NULL)
     UNION ALL SELECT video_id, track_id, chunk, part, f, {", ".join(VALUES)} FROM (SELECT *, unnest(range(greatest(0, frame - {HOLD}), frame)) AS f FROM p4 WHERE rn = 1)),
 pa AS (SELECT track_id, chunk, part, min(f) AS start_frame, max(f) AS end_frame, count(DISTINCT f) AS frame_count, max(conf) AS peak, sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000.0 / count(*) AS mean FROM ent GROUP BY 1, 2, 3),
 pb AS (SELECT track_id, chunk, part, any_value(video_id) AS video_id, any_value(num) AS num, any_value(etier) AS tier, any_value(hints) AS hints, count(*) AS detection_count, any_value(least_conf) < 0.55 OR any_value(edge_large) = 1 AS explicit FROM p4 GROUP BY 1, 2, 3),
@@ -91,7 +90,7 @@ def proposal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of events that go into the timeline, with the number of their proposal and what they stand for."""
     e = track_events(spark, sf_dir)
     low = (F.col("tier") != "low_conf") | ((F.col("peak") >= 0.35) & (F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time")) <= 3.0)) | (F.array_contains("hints", "edge_clip") & (F.col("peak") >= 0.45))
-    e = e.filter(low).select("track_id", "chunk", "num", "tier", "hints", ((F.col("least_conf") < 0.55) | (F.col("edge_large") == 1)).alias("explicit"))
+    e = e.filter(low).select("track_id", "chunk", "num", "vl", "tier", "hints", ((F.col("least_conf") < 0.55) | (F.col("edge_large") == 1)).alias("explicit"))
     d = track_chunks(spark, sf_dir).select("video_id", "track_id", "chunk", "event_id", "frame", "t", *VALUES).join(e, ["track_id", "chunk"])
     a, b = g.box("prev_"), g.box()
     rule = lambda d: (d["frame"] - d["prev_frame"] > SPLIT) | ((g.iou(a, b) < 0.03) & (g.center_ratio(a, b) > 1.10)) | (g.area_ratio(a, b) > 4.0)
@@ -103,7 +102,7 @@ KEYS = ["track_id", "chunk", "part"]
 
 
 def spread(d: DataFrame, keys: list[str], fill: int, hold: int) -> DataFrame:
-    """Detections with the frames they stand for (kind, f): themselves, the gap to the next if it is short, holds at both ends.
+    """Detections with vl, the last frame of their video, and the frames they stand for (kind, f): themselves, the gap to the next if it is short, holds at both ends.
 
     A bag: frames may repeat. n<column> is the next detection's value, between which lines are drawn.
     """
@@ -113,7 +112,7 @@ def spread(d: DataFrame, keys: list[str], fill: int, hold: int) -> DataFrame:
     mark = lambda kind, lo, hi: F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("f")))).otherwise(none)
     f = F.col("frame")
     between = F.when((F.col("nf") - f > 1) & (F.col("nf") - f <= fill), mark("between", f + 1, F.col("nf") - 1)).otherwise(none)
-    after = F.when(F.col("nf").isNull(), mark("hold", f + 1, F.least(F.lit(LAST).cast("long"), f + hold))).otherwise(none)
+    after = F.when(F.col("nf").isNull(), mark("hold", f + 1, F.least(F.col("vl"), f + hold))).otherwise(none)
     before = F.when(F.col("rn") == 1, mark("hold", F.greatest(F.lit(0).cast("long"), f - hold), f - 1)).otherwise(none)
     return d.withColumn("stands", F.concat(F.array(F.struct(F.lit("detection").alias("kind"), f.alias("f"))), between, after, before))
 
@@ -146,10 +145,10 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.size(F.filter("stands", lambda x: x["kind"] != "detection")) + F.when(F.coalesce(F.col("nf") != F.col("frame"), F.lit(True)), 1).otherwise(0)
     d = d.withColumn("dense", F.size("stands")).withColumn("total", total).withColumn("distinct", own)
     p = d.groupBy(*KEYS).agg(
-        F.first("video_id").alias("video_id"), F.first("num").alias("num"), F.first("tier").alias("tier"), F.first("hints").alias("hints"), F.first("explicit").alias("explicit"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.count(F.lit(1)).alias("detection_count"),
+        F.first("video_id").alias("video_id"), F.first("vl").alias("vl"), F.first("num").alias("num"), F.first("tier").alias("tier"), F.first("hints").alias("hints"), F.first("explicit").alias("explicit"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.count(F.lit(1)).alias("detection_count"),
         F.sum("distinct").alias("frame_count"), F.max("conf").alias("peak"), (F.sum("total") / F.lit(1_000_000.0) / F.sum("dense")).alias("mean"),
     )
-    p = p.withColumn("start_frame", F.greatest(F.lit(0).cast("long"), F.col("f0") - HOLD)).withColumn("end_frame", F.greatest(F.col("f1"), F.least(F.lit(LAST).cast("long"), F.col("f1") + HOLD)))
+    p = p.withColumn("start_frame", F.greatest(F.lit(0).cast("long"), F.col("f0") - HOLD)).withColumn("end_frame", F.greatest(F.col("f1"), F.least(F.col("vl"), F.col("f1") + HOLD)))
     p = p.withColumn("requires_explicit_accept", (F.col("tier") != "auto") | F.col("explicit")).withColumn("proposal_id", F.format_string("mask_bevt_%04d_s%03d", "num", "part"))
     return p.withColumn("duration", r4((F.col("end_frame") - F.col("start_frame") + 1) / FPS, 3))
 
@@ -194,7 +193,7 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = spread(decide(proposal_rows(spark, sf_dir), spark, sf_dir), KEYS, FILL, HOLD)
     w = Window.partitionBy(*KEYS)
-    lo, hi = F.greatest(F.lit(0).cast("long"), F.min("frame").over(w) - HOLD), F.greatest(F.max("frame").over(w), F.least(F.lit(LAST).cast("long"), F.max("frame").over(w) + HOLD))
+    lo, hi = F.greatest(F.lit(0).cast("long"), F.min("frame").over(w) - HOLD), F.greatest(F.max("frame").over(w), F.least(F.col("vl"), F.max("frame").over(w) + HOLD))
     d = d.withColumn("mid", (lo + hi) * 0.5).withColumn("ranges", _ranges())
     d = d.filter((F.col("tier") == "auto") | F.coalesce(F.col("status").isin(*ACCEPTED), F.lit(False)))
     x = written_out(d, ["video_id", *KEYS, "tier", "status", "mid", "ranges"])
@@ -273,9 +272,9 @@ def timeline_coverage(spark, sf_dir):
 
 
 RENDER_FILL, RENDER_HOLD, POINT_CONF = 20, 3, 0.55
-_RENDER_SQL = f"""{TRACK_SQL}, rd AS (SELECT d.* FROM tchunk d JOIN tnum e USING (track_id, chunk) WHERE conf >= {POINT_CONF} AND tier <> 'low_conf'),
+_RENDER_SQL = f"""{TRACK_SQL}, rd AS (SELECT d.*, e.vl FROM tchunk d JOIN tnum e USING (track_id, chunk) WHERE conf >= {POINT_CONF} AND tier <> 'low_conf'),
 {_edge_sql("rd", "", "re", (0.35, 0.35, 0.65, 0.45))},
-rf AS (SELECT track_id, chunk, any_value(video_id) AS video_id, frame, {", ".join(f"arg_max({c}, event_id) AS {c}" for c in BOX)} FROM re GROUP BY track_id, chunk, frame),
+rf AS (SELECT track_id, chunk, any_value(video_id) AS video_id, any_value(vl) AS vl, frame, {", ".join(f"arg_max({c}, event_id) AS {c}" for c in BOX)} FROM re GROUP BY track_id, chunk, frame),
 rw AS (SELECT *, lead(frame) OVER w AS nf, row_number() OVER w AS rn, {", ".join(f"lead({c}) OVER w AS n{c}" for c in BOX)} FROM rf WINDOW w AS (PARTITION BY track_id, chunk ORDER BY frame)),
 rall AS (
     SELECT video_id, track_id, chunk, frame AS f, 0 AS prio, frame AS src, {", ".join(BOX)} FROM rw
@@ -283,15 +282,15 @@ rall AS (
     UNION ALL SELECT video_id, track_id, chunk, f, 2, frame, {", ".join(BOX)} FROM (SELECT *, unnest(range(frame + 1, least(nf, frame + {RENDER_HOLD} + 1))) AS f FROM rw WHERE nf - frame > {RENDER_FILL})
     UNION ALL SELECT video_id, track_id, chunk, f, 3, frame, {", ".join(f"n{c}" for c in BOX)} FROM (SELECT *, unnest(range(greatest(frame + 1, nf - {RENDER_HOLD}), nf)) AS f FROM rw WHERE nf - frame > {RENDER_FILL})
     UNION ALL SELECT video_id, track_id, chunk, f, 4, frame, {", ".join(BOX)} FROM (SELECT *, unnest(range(greatest(0, frame - {RENDER_HOLD}), frame)) AS f FROM rw WHERE rn = 1)
-    UNION ALL SELECT video_id, track_id, chunk, f, 5, frame, {", ".join(BOX)} FROM (SELECT *, unnest(range(frame + 1, least({LAST}, frame + {RENDER_HOLD}) + 1)) AS f FROM rw WHERE nf IS NULL)),
+    UNION ALL SELECT video_id, track_id, chunk, f, 5, frame, {", ".join(BOX)} FROM (SELECT *, unnest(range(frame + 1, least(vl, frame + {RENDER_HOLD}) + 1)) AS f FROM rw WHERE nf IS NULL)),
 rmap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, chunk, f ORDER BY prio, src) AS k FROM rall) WHERE k = 1)"""
 
 
 def render_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box for each frame of an event: confident points, the last of a frame; lines over short gaps, holds from both sides of long ones."""
-    e = track_events(spark, sf_dir).filter("tier <> 'low_conf'").select("track_id", "chunk")
-    d = edge_aware(track_chunks(spark, sf_dir).filter(F.col("conf") >= POINT_CONF).select("video_id", "track_id", "chunk", "frame", "event_id", *BOX).join(e, ["track_id", "chunk"], "left_semi"), (0.35, 0.35, 0.65, 0.45))
-    d = d.groupBy("track_id", "chunk", "frame").agg(F.first("video_id").alias("video_id"), F.max_by(F.struct(*BOX), "event_id").alias("b")).select("video_id", "track_id", "chunk", "frame", "b.*")
+    e = track_events(spark, sf_dir).filter("tier <> 'low_conf'").select("track_id", "chunk", "vl")
+    d = edge_aware(track_chunks(spark, sf_dir).filter(F.col("conf") >= POINT_CONF).select("video_id", "track_id", "chunk", "frame", "event_id", *BOX).join(e, ["track_id", "chunk"]), (0.35, 0.35, 0.65, 0.45))
+    d = d.groupBy("track_id", "chunk", "frame").agg(F.first("video_id").alias("video_id"), F.first("vl").alias("vl"), F.max_by(F.struct(*BOX), "event_id").alias("b")).select("video_id", "vl", "track_id", "chunk", "frame", "b.*")
     w = Window.partitionBy("track_id", "chunk").orderBy("frame")
     d = d.withColumn("nf", F.lead("frame").over(w)).withColumn("rn", F.row_number().over(w)).withColumns({f"n{c}": F.lead(c).over(w) for c in BOX})
     none, f, nf = F.array().cast("array<struct<prio:int,f:bigint>>"), F.col("frame"), F.col("nf")
@@ -299,7 +298,7 @@ def render_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = nf - f > RENDER_FILL
     stands = F.concat(
         F.array(F.struct(F.lit(0).alias("prio"), f.alias("f"))), F.when((nf - f > 1) & ~far, mark(1, f + 1, nf - 1)).otherwise(none), F.when(far, mark(2, f + 1, F.least(nf - 1, f + RENDER_HOLD))).otherwise(none), F.when(far, mark(3, F.greatest(f + 1, nf - RENDER_HOLD), nf - 1)).otherwise(none),
-        F.when(F.col("rn") == 1, mark(4, F.greatest(F.lit(0).cast("long"), f - RENDER_HOLD), f - 1)).otherwise(none), F.when(nf.isNull(), mark(5, f + 1, F.least(F.lit(LAST).cast("long"), f + RENDER_HOLD))).otherwise(none),
+        F.when(F.col("rn") == 1, mark(4, F.greatest(F.lit(0).cast("long"), f - RENDER_HOLD), f - 1)).otherwise(none), F.when(nf.isNull(), mark(5, f + 1, F.least(F.col("vl"), f + RENDER_HOLD))).otherwise(none),
     )
     x = d.select("video_id", "track_id", "chunk", "frame", "nf", *BOX, *[f"n{c}" for c in BOX], F.explode(stands).alias("s"))
     share, p = (F.col("s.f") - f) / (nf - f), F.col("s.prio")

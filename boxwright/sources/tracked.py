@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FPS, WIDTH, HEIGHT, INTERVAL = 30.0, 1920, 1080, 5
-#: Frames of a video, and tracks of one.
-VIDEO_FRAMES, VIDEO_TRACKS = 5400, 10
+#: Tracks of a video.
+VIDEO_TRACKS = 10
 #: Microseconds of wall time for one second of video, and the first instant.
 SECOND, EPOCH = 14_400_000_000, 1_704_067_200_000_000
 
@@ -35,13 +35,20 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same projection for the oracle.
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, frames, fps, width, height) of each video: as long as its detections say."""
+    d = tracked(spark, sf_dir).groupBy("video_id").agg((F.max("frame") + 1).alias("frames"))
+    return d.withColumns({"fps": F.lit(FPS), "width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+
+
+#: The same for the oracle; vmeta has the last frame of each video.
 TRACKED_SQL = f"""tracked AS (
     SELECT event_id, user_id AS track_id, us / {float(SECOND)} AS t, CAST(floor(us * 30 / {float(SECOND)}) AS BIGINT) AS frame,
         0.2 + (round(value * 100) % 100) * 0.008 AS conf, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1,
         CAST(x + 80 + k % 60 AS DOUBLE) AS x2, CAST(y + 100 + k % 80 AS DOUBLE) AS y2, user_id // {VIDEO_TRACKS} AS video_id
     FROM (SELECT *, epoch_us(ts) - {EPOCH} AS us, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-        (user_id * 97) % 1600 + (event_id * 31) % 160 AS x, (user_id * 53) % 800 + (event_id * 17) % 120 AS y FROM events))"""
+        (user_id * 97) % 1600 + (event_id * 31) % 160 AS x, (user_id * 53) % 800 + (event_id * 17) % 120 AS y FROM events)),
+vmeta AS (SELECT video_id, max(frame) AS vl FROM tracked GROUP BY video_id)"""
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
