@@ -65,7 +65,7 @@ def test_interval_queries_take_every_track_and_frame(spark, events):
 def test_evaluation_queries_take_every_track_and_second(spark, events):
     f = q.faces(spark, events).collect()
     gt = {r.track_id: (r.t0, r.t1 + 0.5) for r in f if r.seg == 0}
-    pred = {r.track_id * 1000 + r.seg: (r.track_id, r.t0, r.t1 + 0.2) for r in f if r.tier != "low_conf"}
+    pred = {r.track_id * (1 << 20) + r.seg: (r.track_id, r.t0, r.t1 + 0.2) for r in f if r.tier != "low_conf"}
     clips = defaultdict(lambda: [0, 0.0])
     for a, b in gt.values():
         for c in range(int(b // 20) + 1):
@@ -126,7 +126,7 @@ def test_successors_reach_as_far_as_the_reference(spark, events):
 
 
 def test_assigned_links_are_a_global_optimum(spark, events):
-    edges = {(a[0] * 1000 + a[1], b[0] * 1000 + b[1]): round(s, 4) for (a, b), (_, s) in links(spark, events).items() if s >= 0.5}
+    edges = {(a[0] * (1 << 20) + a[1], b[0] * (1 << 20) + b[1]): round(s, 4) for (a, b), (_, s) in links(spark, events).items() if s >= 0.5}
     rows, cols = ({x: i for i, x in enumerate(sorted({e[k] for e in edges}))} for k in (0, 1))
     w = np.zeros((max(len(rows), len(cols)),) * 2)
     for (a, b), s in edges.items():
