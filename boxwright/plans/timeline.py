@@ -6,6 +6,8 @@ detections, before frames are written out, and decisions go to the detections to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -319,13 +321,39 @@ _FOLD = "list_transform(range(1, len({0}) + 1), lambda n: list_reduce({0}[1:n],
 @query(f"""WITH {_SMOOTH_SQL}, folded AS (SELECT video_id, track_id, chunk, unnest(fs) AS frame, {", ".join(f"unnest({_FOLD.format(c, ALPHA, 1 - ALPHA)}) AS {c}" for c in ("cx", "cy", "w", "h"))} FROM ordered)
 SELECT video_id, track_id, chunk, frame, round(cx - w / 2 + 0.0000001, 1) AS x1, round(cy - h / 2 + 0.0000001, 1) AS y1, round(cx + w / 2 + 0.0000001, 1) AS x2, round(cy + h / 2 + 0.0000001, 1) AS y2 FROM folded""")
 def smoothed_boxes(spark, sf_dir):
-    """Render maps smoothed by a recursive blend of centres and sizes along each event; one event's frames are one fold."""
+    """Render maps smoothed by a recursive blend of centres and sizes along each event."""
     d = render_map(spark, sf_dir)
-    point = F.struct("f", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    rows = d.groupBy("video_id", "track_id", "chunk").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    blend = lambda a, x: F.struct(x["f"].alias("f"), *[(ALPHA * x[c] + (1 - ALPHA) * a[c]).alias(c) for c in ("cx", "cy", "w", "h")])
-    first = F.slice("p", 1, 1)
-    out = F.aggregate(F.slice("p", F.lit(2), F.size("p")), first, lambda acc, x: F.array_append(acc, blend(F.element_at(acc, -1), x)))
-    x = rows.select("video_id", "track_id", "chunk", F.explode(out).alias("s"))
-    c = lambda k: F.col(f"s.{k}")
+    point = {"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
+    x = smoothed(d.withColumns(point), ["video_id", "track_id", "chunk"], "f", list(point), ALPHA)
+    c = F.col
     return x.select("video_id", "track_id", "chunk", c("f").alias("frame"), *[r4(e + 1e-7, 1).alias(n) for n, e in (("x1", c("cx") - c("w") / 2), ("y1", c("cy") - c("h") / 2), ("x2", c("cx") + c("w") / 2), ("y2", c("cy") + c("h") / 2))])
+
+
+#: Frames of a stretch that one fold smooths.
+STRETCH = 64
+
+
+def smoothed(d: DataFrame, keys: list[str], at: str, values: list[str], alpha: float) -> DataFrame:
+    """d's keys, at and values, blended along at (whole numbers, each once): s = alpha * x + (1 - alpha) * s before; the first as it is.
+
+    A scan in parts. Blending is an affine map of what came before, so each stretch of frames is folded by itself and
+    gives its map (a, b); what a stretch starts from is the composition of the maps before it, over a row for each
+    stretch. A map more than `reach` rows back counts for less than 1e-300. Work grows with the frames, and a long
+    sequence is spread over tasks.
+    """
+    keep = 1.0 - alpha
+    reach = math.ceil(math.log(1e-300) / math.log(keep))
+    row = F.struct(F.col(at).alias("at"), F.struct(*values).alias("v"))
+    parts = d.withColumn("_part", F.floor(F.col(at) / STRETCH)).groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    mixed = lambda acc, x: F.struct(*[(alpha * x["v"][c] + keep * acc[c]).alias(c) for c in values])
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in values])
+    blended = F.aggregate("rows", F.array().cast(f"array<struct<{', '.join(f'{c}:double' for c in values)}>>"), lambda acc, x: F.array_append(acc, mixed(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x)))
+    parts = parts.withColumn("own", blended).withColumn("a", F.pow(F.lit(keep), F.size("rows")))
+    first = F.col("rows")[0]["v"]
+    one = F.struct(F.col("a").alias("a"), F.element_at("own", -1).alias("b"), first.alias("x"))
+    past = F.collect_list(one).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(-reach, -1))
+    start = F.aggregate("past", F.get("past", F.lit(0))["x"], lambda acc, m: F.struct(*[(m["a"] * acc[c] + m["b"][c]).alias(c) for c in values]))
+    # maps are small; the rows of a stretch meet their start by key
+    maps = parts.select(*keys, "_part", past.alias("past"), first.alias("x")).select(*keys, "_part", F.when(F.size("past") == 0, F.col("x")).otherwise(start).alias("start"))
+    out = parts.drop("a").join(maps, [*keys, "_part"]).select(*keys, "start", F.posexplode(F.arrays_zip("rows", "own")).alias("i", "s"))
+    return out.select(*keys, F.col("s.rows.at").alias(at), *[(F.col(f"s.own.{c}") + F.pow(F.lit(keep), F.col("i") + 1) * F.col(f"start.{c}")).alias(c) for c in values])
