@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources import sinks
 from ..sources.shared import new_path, written
 from ..sources.tracked import TRACKED_SQL, tracked
 from ..streaming import sessions
@@ -57,6 +58,21 @@ def stream_stride_counts(spark, sf_dir):
     return run(sessions.stride_counts(stream(spark, sf_dir))).select((F.unix_millis("start_time") - BASE).alias("start_ms"), "detections")
 
 
+def appended(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The log at path once the stream's batches have been appended to it, each key once."""
+    spark = rows.sparkSession
+    q = rows.writeStream.foreachBatch(lambda batch, i: sinks.append_once(batch, i, path, keys)).option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {TRACKED_SQL} SELECT video_id, count(*) AS detections, max(frame) AS last_frame, count(DISTINCT track_id) AS tracks FROM tracked GROUP BY 1")
+def appended_detections(spark, sf_dir):
+    """What a log of the stream's detections holds of each video, appended batch by batch."""
+    log = appended(stream(spark, sf_dir), new_path(spark), ["event_id"])
+    return log.groupBy("video_id").agg(F.count(F.lit(1)).alias("detections"), F.max("frame").alias("last_frame"), F.count_distinct("track_id").alias("tracks"))
+
+
 CHUNK = "track_id long, chunk long, n long, start_ms long, end_ms long"
 
 

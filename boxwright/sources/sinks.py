@@ -36,6 +36,24 @@ def next_pending(rows: DataFrame, start: int, key: str = "idx") -> DataFrame:
     return rows.withColumn("_n", n).filter("status is null").groupBy("video_id").agg(F.min_by(key, (F.col(key) - start + F.col("_n")) % F.col("_n")).alias(key))
 
 
+def append_once(rows: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
+    """Append a batch's rows to the log at path, each key once: what another batch has written is left off.
+
+    A batch has a partition of its own, which is written over when the batch comes again, so a batch that is repeated,
+    after a failure or by mistake, changes nothing. Made for foreachBatch, whose batches come one after the other.
+    """
+    fresh = rows.dropDuplicates(keys)
+    if _exists(rows.sparkSession, path):
+        others = rows.sparkSession.read.parquet(path).filter(F.col("batch_id") != batch_id).select(*keys)
+        fresh = fresh.join(others, keys, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def publish(df: DataFrame, root: str) -> None:
     """A new version of what is published at root: written beside the others, complete once its job has committed."""
     versions = [int(r[0].split("=")[1]) for r in _complete(df.sparkSession, root)]

@@ -93,3 +93,22 @@ def test_sessions_and_windows_over_many_batches(spark, rows, tmp_path):
     for r in all_rows:
         want[int(r.ts.timestamp() // 5 * 5)] = want.get(int(r.ts.timestamp() // 5 * 5), 0) + 1
     assert {int(r.start_time.timestamp()): r.detections for r in out} == {k: v for k, v in want.items() if k + 5 <= mark}
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, rows, tmp_path):
+    from boxwright.sources import sinks
+    from boxwright.sources.shared import new_path
+
+    all_rows, schema = rows
+    third = len(all_rows) // 3
+    files = [all_rows[:third], all_rows[third - 20 : 2 * third], [*all_rows[2 * third :], *all_rows[-3:]]]  # some rows come twice
+    path = new_path(spark)
+    streams.appended(fed(spark, tmp_path, files, schema), path, ["event_id"])
+    state = lambda: sorted((r.batch_id, r.event_id) for r in spark.read.parquet(path).select("batch_id", "event_id").collect())
+    before = state()
+    assert sorted(i for _, i in before) == sorted(r.event_id for r in all_rows) and len({b for b, _ in before}) == 3
+    for i, part in enumerate(files):
+        sinks.append_once(spark.createDataFrame(part, schema), i, path, ["event_id"])
+        assert state() == before
+    sinks.append_once(spark.createDataFrame(files[0], schema), 9, path, ["event_id"])
+    assert state() == before
