@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], splits: Callable[[DataFrame], Column], carry: list[str], name: str = "seg") -> DataFrame:
     """df with name: the number (from 0) of each row's island within keys; carried columns come as prev_<column>."""
@@ -42,15 +44,16 @@ def coalesce_spread(df: DataFrame, keys: list[str], start: str, end: str, gap: f
     """As coalesce_intervals, for few keys with many intervals: sorted within buckets of width starts each.
 
     Of intervals with equal start only the longest counts. What reaches over a bucket's border, the largest end and
-    the number of islands before it, comes from a running maximum and sum over one row for each bucket.
+    the number of islands before it, comes from a running maximum and sum over one row for each bucket. Intervals and
+    islands are written once, since each is read again.
     """
-    d = df.groupBy(*keys, start).agg(F.max(end).alias(end)).withColumn("_b", F.floor(F.col(start) / width))
+    d = cut(df.groupBy(*keys, start).agg(F.max(end).alias(end)).withColumn("_b", F.floor(F.col(start) / width)))
     inner, outer = Window.partitionBy(*keys, "_b").orderBy(start), Window.partitionBy(*keys).orderBy("_b")
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     ends = d.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(*keys, "_b", F.max("_m").over(so_far(outer)).alias("_ahead"))
     d = d.join(ends, [*keys, "_b"])
     before = F.greatest(F.max(end).over(so_far(inner)), F.col("_ahead"))  # greatest skips nulls
-    d = d.withColumn("_new", F.when(F.col(start) - before <= gap, 0).otherwise(1))
+    d = cut(d.withColumn("_new", F.when(F.col(start) - before <= gap, 0).otherwise(1)))
     news = d.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(so_far(outer)), F.lit(0)).alias("_past"))
     d = d.join(news, [*keys, "_b"]).withColumn("_g", F.col("_past") + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")

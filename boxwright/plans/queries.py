@@ -326,9 +326,9 @@ SPREAD = 600
 
 def _whole_merged(spark, sf_dir):
     """Merged intervals of all events, with the number of frames of the video as total."""
-    d = _intervals(spark, sf_dir)
+    d = cut(_intervals(spark, sf_dir))
     total = d.agg((F.max("end_frame") + 1).alias("total"))
-    return isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", 31, SPREAD).crossJoin(F.broadcast(total))
+    return cut(isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", 31, SPREAD).crossJoin(F.broadcast(total)))
 
 
 @query(f"{RUNS_SQL}, {_merged_sql(30)} SELECT * FROM mg")
@@ -356,11 +356,9 @@ SWEEP = (0, 15, 30, 60, 90, 150)
 
 @query(f"{RUNS_SQL}, " + ", ".join(_merged_sql(k, f"m{k}") for k in SWEEP) + " " + " UNION ALL ".join(f"SELECT lane, CAST({k} AS BIGINT) AS gap, count(*) AS intervals, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS frames FROM m{k} GROUP BY lane" for k in SWEEP))
 def coverage_sweep(spark, sf_dir):
-    d = _intervals(spark, sf_dir)
-    m = None
-    for k in SWEEP:
-        one = isl.coalesce_spread(d, ["lane"], "start_frame", "end_frame", k + 1, SPREAD).withColumn("gap", F.lit(k).cast("long"))
-        m = one if m is None else m.unionByName(one)
+    """Intervals and frames under each gap; all gaps in one pass: a gap is a key, and starts are moved back by it to merge."""
+    d = _intervals(spark, sf_dir).withColumn("gap", F.explode(F.array(*[F.lit(k).cast("long") for k in SWEEP]))).withColumn("start_frame", F.col("start_frame") - F.col("gap"))
+    m = isl.coalesce_spread(d, ["lane", "gap"], "start_frame", "end_frame", 1, SPREAD).withColumn("start_frame", F.col("start_frame") + F.col("gap"))
     return m.groupBy("lane", "gap").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
 
 
