@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import islands as isl
-from ..operators import rangejoin
+from ..operators import rangejoin, runs
 from ..sources.shared import cut
 from ..sources.tracked import FPS, table, videos
 from .registry import query, r4
@@ -198,3 +198,40 @@ def merged_time_ranges(spark, sf_dir):
     d = d.withColumn("before", F.max("end_time").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("new", F.when(F.round(F.col("start_time") - F.col("before"), 6) <= 0.001, 0).otherwise(1)).withColumn("grp", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy("id", "grp").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("grp")
+
+
+#: Timing tables: a run (count, delta) for each line of a stream's orders, sync samples from orders; some lie behind the end.
+TIMESCALE = 30_000
+TIMING_SQL = f"""tr AS (SELECT l_partkey % 40 AS stream, l_orderkey * 8 + l_linenumber AS pos, min(CAST(l_quantity AS BIGINT)) AS n, min(CASE WHEN l_partkey % 40 < 25 OR l_orderkey % 9 > 0 THEN 1001 ELSE 1001 + l_linenumber END) AS delta FROM lineitem GROUP BY 1, 2),
+tp AS (SELECT *, sum(n) OVER w - n AS n0, sum(n * delta) OVER w - n * delta AS t0 FROM tr WINDOW w AS (PARTITION BY stream ORDER BY pos)),
+sy AS (SELECT DISTINCT o_custkey % 40 AS stream, o_orderkey * 3 + 1 AS sample FROM orders)"""
+
+
+def timing_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs (stream, at, n, delta) and sync samples (stream, sample), samples from 1."""
+    li = table(spark, sf_dir, "lineitem")
+    stream = F.col("l_partkey") % 40
+    delta = F.when((stream < 25) | (F.col("l_orderkey") % 9 > 0), 1001).otherwise(1001 + F.col("l_linenumber"))
+    r = li.groupBy(stream.alias("stream"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at")).agg(F.min(F.col("l_quantity").cast("long")).alias("n"), F.min(delta.cast("long")).alias("delta"))
+    sync = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("stream"), (F.col("o_orderkey") * 3 + 1).alias("sample")).distinct()
+    return cut(runs.prefixed(r, ["stream"], "at", "n", "delta")), sync
+
+
+@query(f"WITH {TIMING_SQL} SELECT y.stream, sample, CAST(t0 + (sample - 1 - n0) * delta AS BIGINT) AS ticks, (t0 + (sample - 1 - n0) * delta) / {float(TIMESCALE)} AS seconds FROM sy y JOIN tp r ON y.stream = r.stream AND sample > n0 AND sample <= n0 + n")
+def keyframe_decode_times(spark, sf_dir):
+    """When each sync sample is decoded, from the run lengths of the timing table; samples behind its end have no time."""
+    table_, sync = timing_tables(spark, sf_dir)
+    d = runs.at_elements(sync, table_, ["stream"], "sample", "n", "delta")
+    return d.select("stream", "sample", F.col("total").alias("ticks"), (F.col("total") / F.lit(float(TIMESCALE))).alias("seconds"))
+
+
+@query(f"""WITH {TIMING_SQL}, k AS (SELECT y.stream, count(*) AS keyframe_count, max((t0 + (sample - 1 - n0) * delta) / {float(TIMESCALE)}) AS last_keyframe FROM sy y JOIN tp r ON y.stream = r.stream AND sample > n0 AND sample <= n0 + n GROUP BY 1),
+e AS (SELECT stream, CAST(sum(n) AS BIGINT) AS sample_count, count(*) AS entry_count, array_to_string(list_sort(list(DISTINCT delta)), ',') AS sample_deltas, count(DISTINCT delta) = 1 AS constant_rate FROM tr GROUP BY 1)
+SELECT e.*, coalesce(keyframe_count, 0) AS keyframe_count, last_keyframe FROM e LEFT JOIN k USING (stream)""")
+def timing_evidence(spark, sf_dir):
+    """What a stream's timing table says: samples, entries, deltas, whether its rate is constant, its keyframes."""
+    table_, sync = timing_tables(spark, sf_dir)
+    e = table_.groupBy("stream").agg(F.sum("n").alias("sample_count"), F.count(F.lit(1)).alias("entry_count"), F.array_join(F.array_sort(F.collect_set("delta")), ",").alias("sample_deltas"), (F.count_distinct("delta") == 1).alias("constant_rate"))
+    d = runs.at_elements(sync, table_, ["stream"], "sample", "n", "delta")
+    k = d.groupBy("stream").agg(F.count(F.lit(1)).alias("keyframe_count"), (F.max("total") / F.lit(float(TIMESCALE))).alias("last_keyframe"))
+    return e.join(k, "stream", "left").fillna(0, ["keyframe_count"])
