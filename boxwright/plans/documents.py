@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.shared import cut, new_path
 from ..sources.tracked import FPS, TRACKED_SQL, tracked
 from .behavior import TRACK_SQL, track_events
@@ -122,6 +122,5 @@ def header_values(spark, sf_dir):
 
 @query()
 def discovered_files(spark, sf_dir):
-    """Parquet files below the input, whatever their depth (no SQL: it depends on the folder)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
-    return f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    """Parquet files below the input, whatever their depth, in order (no SQL: it depends on the folder)."""
+    return readers.discover(spark, sf_dir, ("parquet",)).select("name", "length")

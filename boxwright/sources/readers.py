@@ -19,6 +19,8 @@ KINDS = {
     "mask_timeline": "proposals array<struct<proposal_id:string,track_id:long,start_frame:long,end_frame:long>>",
     "event_segment_map": "events array<struct<event_id:string,track_id:long,start_frame:long,end_frame:long>>",
 }
+#: Extensions of videos (fixed values).
+VIDEOS = ("mp4", "mov", "mkv", "avi", "m4v", "ts", "flv", "wmv")
 REQUIRED = ("identity_clusters", "final_events")
 
 
@@ -67,3 +69,12 @@ def status_by_key(expected: DataFrame, documents: DataFrame, broken: DataFrame,
     """expected (keys) with status: read, broken (no document of the key could be read) or missing."""
     found = documents.select(*keys, F.lit(2).alias("s")).unionByName(broken.select(*keys, F.lit(1).alias("s"))).groupBy(*keys).agg(F.max("s").alias("s"))
     return expected.join(found, keys, "left").select(*keys, F.when(F.col("s") == 2, "read").when(F.col("s") == 1, "broken").otherwise("missing").alias("status"))
+
+
+def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEOS) -> DataFrame:
+    """(path, name, length) of files below root, whatever their depth, with one of the extensions in any case.
+
+    Contents aren't read; files of no bytes aren't listed. Rows come in the order of their paths.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    return f.filter(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*extensions)).orderBy("path")

@@ -12,10 +12,9 @@ def document(rows: DataFrame, header: dict, name: str, keys: list[str]) -> DataF
     return body.select(F.to_json(F.struct(*keys, *[F.lit(v).alias(k) for k, v in header.items()], name)).alias("value"))
 
 
-def review_pack(proposals: DataFrame, entries: DataFrame, key: str, reason: str) -> tuple[DataFrame, DataFrame]:
-    """Pending and suppressed proposals; proposals without entries are dropped."""
-    shown = proposals.join(entries.select(key), key, "left_semi")
-    return shown.filter(F.col(reason) == "keep"), shown.filter(F.col(reason) != "keep")
+def review_pack(rows: DataFrame, entries: DataFrame, keys: list[str], keep: str) -> tuple[DataFrame, DataFrame]:
+    """(pending, suppressed) rows by the boolean column keep; pending ones need an entry with their keys."""
+    return rows.filter(keep).join(entries.select(*keys).distinct(), keys, "left_semi"), rows.filter(~F.col(keep))
 
 
 def upsert_decisions(old: DataFrame, new: DataFrame, pending: DataFrame, key: str = "event_id") -> DataFrame:
