@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import tables
 from ..operators import islands as isl
 from ..sources.tracked import FPS, HEIGHT, INTERVAL, WIDTH, table
 from .behavior import TRACK_SQL, track_chunks, track_events
@@ -171,6 +172,14 @@ def timeline_proposals(spark, sf_dir):
     return p.select("video_id", "proposal_id", F.format_string("bevt_%04d", "num").alias("source_event_id"), F.col("tier").alias("source_tier"), F.when(F.col("tier") == "auto", "auto_safe").otherwise("pending").alias("review_status"), "requires_explicit_accept", "track_id", "start_frame", "end_frame", F.col("duration").alias("duration_sec"), "frame_count", "detection_count", r4(F.col("peak")).alias("peak_confidence"), r4(F.col("mean")).alias("avg_confidence"), review_reason().alias("review_filter_reason"))
 
 
+@query(f"WITH {PROPOSAL_SQL} SELECT video_id, track_id, chunk, part, f AS frame, x1, y1, x2, y2, conf FROM ent")
+def proposal_entries_by_table_function(spark, sf_dir):
+    """All frames of all proposals, by SQL over the table function."""
+    tables.register(spark)
+    d = proposal_rows(spark, sf_dir).select("video_id", *KEYS, "frame", "event_id", "vl", *VALUES)
+    return spark.sql(f"SELECT video_id, track_id, chunk, part, f AS frame, x1, y1, x2, y2, conf FROM stand_frames(TABLE({{rows}}), fill => {FILL}, hold => {HOLD})", rows=d)
+
+
 @query(f"""WITH {PROPOSAL_SQL} SELECT video_id, count(*) FILTER (tier = 'auto') AS auto_proposals, count(*) FILTER (tier = 'review') AS review_proposals, count(*) FILTER (tier = 'low_conf') AS low_conf_review_proposals, count(DISTINCT num) FILTER (parts > 1) AS multi_segment_sources FROM (SELECT *, count(*) OVER (PARTITION BY video_id, num) AS parts FROM prop) GROUP BY 1""")
 def timeline_summary(spark, sf_dir):
     by_source = proposals(spark, sf_dir).groupBy("video_id", "num").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in ("auto", "review", "low_conf")], F.count(F.lit(1)).alias("parts"))
