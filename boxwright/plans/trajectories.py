@@ -59,3 +59,19 @@ SELECT any_value(video_id) AS video_id, track_id, grp, {_shown_sql(_PART)} FROM
 def merged_event_trajectories(spark, sf_dir):
     """Merged presence events with one trajectory, put together of their parts' in order."""
     return merged_trajectories(spark, sf_dir).select("video_id", "track_id", "grp", *_shown())
+
+
+def hint_union(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys with the parts' hints in the order in which they first come, each once, and how many parts were merged if several."""
+    m = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*order, F.coalesce("hints", F.array().cast("array<string>")).alias("hints")))).alias("m"))
+    each = F.array_distinct(F.flatten(F.transform("m", lambda x: x["hints"])))
+    return m.select(*keys, F.when(F.col("n") > 1, F.array_append(each, F.format_string("behavior_merge:%d", "n"))).otherwise(each).alias("rule_hints"))
+
+
+@query(f"""WITH {_edge_sql("event_gap", MERGE_GAP)}, g AS (SELECT video_id, track_id, grp, count(*) AS n FROM mg GROUP BY 1, 2, 3), pos AS (SELECT track_id, grp, hints, row_number() OVER (PARTITION BY track_id, grp ORDER BY start_time, start_frame, seg) AS part FROM mg),
+one AS (SELECT track_id, grp, hint, min(part * 100 + i) AS first_at FROM (SELECT track_id, grp, part, unnest(hints) AS hint, unnest(range(len(hints))) AS i FROM pos) GROUP BY 1, 2, 3), h AS (SELECT track_id, grp, string_agg(hint, ',' ORDER BY first_at) AS hints FROM one GROUP BY 1, 2)
+SELECT g.video_id, g.track_id, g.grp, concat_ws(',', hints, CASE WHEN n > 1 THEN 'behavior_merge:' || n END) AS rule_hints FROM g LEFT JOIN h ON g.track_id = h.track_id AND g.grp = h.grp""")
+def merged_event_hints(spark, sf_dir):
+    """Hints of merged events in the order of their parts."""
+    d = hint_union(merge_edges(spark, sf_dir, "event_gap", MERGE_GAP), ["video_id", "track_id", "grp"], ["start_time", "start_frame", "seg"])
+    return d.select("video_id", "track_id", "grp", F.array_join("rule_hints", ",").alias("rule_hints"))

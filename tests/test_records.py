@@ -14,3 +14,11 @@ def test_trajectories_and_their_folds(spark):
     whole = records.concatenated(none, ["k"], ["s"]).select("k", F.transform(tr, lambda p: p["frame"]).alias("f"), records.first_point(tr)["frame"].alias("a"), records.last_point(tr)["frame"].alias("z"), records.peak_point(tr)["frame"].alias("p"), records.largest_gap(tr).alias("g"))
     assert sorted(map(tuple, whole.collect())) == [(1, [4, 5, 9, 30], 4, 30, 30, 0.7), (2, [7], 7, 7, 7, None), (3, [], None, None, None, None)]
     assert parts.filter("k = 1 and s = 1").select(records.peak_point(tr)["frame"]).first()[0] == 4  # the first of equal ones
+
+
+def test_hints_keep_the_order_of_their_parts(spark):
+    from boxwright.plans.trajectories import hint_union
+
+    rows = [(1, 2, ["edge", "low"]), (1, 1, ["wide", "edge"]), (1, 3, None), (2, 1, ["b", "a", "b"]), (3, 1, []), (4, 2, []), (4, 1, [])]
+    d = hint_union(spark.createDataFrame(rows, "k long, o long, hints array<string>"), ["k"], ["o"])
+    assert {r.k: r.rule_hints for r in d.collect()} == {1: ["wide", "edge", "low", "behavior_merge:3"], 2: ["b", "a"], 3: [], 4: ["behavior_merge:2"]}
