@@ -183,7 +183,7 @@ def mux_expectations(spark, sf_dir):
     """Frame rates from text, what becomes of the audio, and how many frames are left when it ends first."""
     d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stream"), F.when(F.col("s_suppkey") % 3 == 0, "30000/1001").when(F.col("s_suppkey") % 3 == 1, "30/1").otherwise("25").alias("rate"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("audio"), (1000 + F.col("s_suppkey") * 37).alias("frames"))
     d = d.withColumn("fps", s.frame_rate(F.col("rate")))
-    by_audio = F.rint(F.greatest(F.lit(0.0), F.abs("audio") / 100) * F.col("fps")).cast("long")
+    by_audio = F.round(F.greatest(F.lit(0.0), F.abs("audio") / 100) * F.col("fps")).cast("long")  # halves up, as SQL
     return d.select("stream", F.round("fps", 6).alias("fps"), F.when(F.col("audio").isNull(), "no_audio").otherwise("copy_source_once").alias("final_audio_mode"), F.when(F.col("audio").isNull(), F.col("frames")).otherwise(F.least("frames", by_audio)).alias("expected_mux_frames"), F.format_string("%.6f", F.col("frames") / F.col("fps")).alias("duration"))
 
 
