@@ -38,3 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     starts afresh, where a checkpoint carries the constraints of its origin along, which grow from round to round.
     """
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+#: Detections of a partition whose rows are to be written out by frame.
+SHARE = 50_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys, in a partition for each SHARE of rows, the rows of its source.
+
+    Adaptive execution joins partitions by the bytes that they read, and what writes rows out afterwards then grows
+    with the input in each task. It leaves a number that is asked for as it is.
+    """
+    return df.repartition(max(1, -(-rows // SHARE)), *keys)
