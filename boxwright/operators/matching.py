@@ -86,8 +86,16 @@ def _alone_or(rows: DataFrame, group: str | list[str], run) -> DataFrame:
     return counted.filter("_n = 1").drop("_n").unionByName(more)
 
 
-def suppress(boxes: DataFrame, group: str | list[str], limit: float = 0.7) -> DataFrame:
-    """Non-maximum suppression within a frame: by falling conf (ties: event_id), drop overlaps above limit."""
+#: Boxes of a frame that one expression suppresses; frames of more go to a loop over arrays.
+FEW = 32
+
+
+def suppress(boxes: DataFrame, group: str | list[str], limit: float = 0.7, few: int = FEW) -> DataFrame:
+    """Non-maximum suppression within a frame: by falling conf (ties: event_id), drop overlaps above limit.
+
+    Most frames hold few boxes, so they are folded as rows, without a call of Python for each; the loop takes the
+    frames of more than `few`. Both compare the same doubles.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["conf", "event_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -102,7 +110,21 @@ def suppress(boxes: DataFrame, group: str | list[str], limit: float = 0.7) -> Da
                 alive[i + 1 :] &= w * h / np.maximum(area[i] + area[i + 1 :] - w * h, 1e-6) <= limit
         return pdf[alive]
 
-    return _alone_or(boxes, group, run)
+    by = _columns(group)
+    rest = [c for c in boxes.columns if c not in by]
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in boxes.schema if f.name in rest)
+    frames = boxes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("conf").isNull().alias("_z"), (-F.col("conf")).alias("_s"), F.col("event_id").alias("_e"), F.struct(*rest).alias("_b")))).alias("_all"))
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    side = lambda a, b, c: F.greatest(F.lit(0.0), F.least(a[f"{c}2"], b[f"{c}2"]) - F.greatest(a[f"{c}1"], b[f"{c}1"]))
+
+    def apart(a, b):
+        both = side(a, b, "x") * side(a, b, "y")
+        return both / F.greatest(area(a) + area(b) - both, F.lit(1e-6)) <= limit
+
+    kept = F.aggregate("_all", F.array().cast(f"array<struct<{kind}>>"), lambda acc, x: F.when(F.forall(acc, lambda k: apart(k, x["_b"])), F.array_append(acc, x["_b"])).otherwise(acc))
+    alive = frames.filter(F.size("_all") <= few).select(*by, F.explode(kept).alias("_b")).select(*by, "_b.*").select(*boxes.columns)
+    more = frames.filter(F.size("_all") > few).select(*by, F.explode("_all").alias("_x")).select(*by, "_x._b.*").select(*boxes.columns)
+    return alive.unionByName(more.groupBy(*by).applyInPandas(run, boxes.schema))
 
 
 def assign(weights: np.ndarray) -> np.ndarray:

@@ -35,6 +35,22 @@ def test_nms_by_frame(spark):
     assert {r.event_id for r in matching.suppress(close, "at").collect()} == {1, 3, 4}
 
 
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_nms_is_the_same_by_rows_and_by_loop(spark, few):
+    rng = np.random.default_rng(11)
+    rows = [(int(f), i, float(rng.integers(0, 4)) / 4, float(x), float(y), float(x + rng.integers(8, 12)), float(y + rng.integers(8, 12))) for i, (f, x, y) in enumerate(zip(rng.integers(0, 40, 300), rng.integers(0, 4, 300), rng.integers(0, 4, 300)))]
+    d = spark.createDataFrame(rows, "at long, event_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    want = set()
+    for f in range(40):
+        kept = []
+        for _, i, box in sorted((-r[2], r[1], r[3:]) for r in rows if r[0] == f):
+            if all(iou(box, k) <= 0.7 for _, k in kept):
+                kept.append((i, box))
+        want |= {i for i, _ in kept}
+    got = matching.suppress(d, "at", few=few).collect()
+    assert {r.event_id for r in got} == want and len(got) == len(want) < len(rows)
+
+
 def test_merge_decisions_are_an_optimum_of_the_edges_that_pass(spark):
     e = identity.edges(spark, SF).collect()
     good = [(r.from_id, r.to_id, r.combined) for r in e if r.combined >= 0.72 and round(r.spatial, 4) >= 0.45 and round(r.motion, 4) >= 0.30]
