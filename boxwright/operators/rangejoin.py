@@ -23,12 +23,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: str
     """left with value: of right's rows, the last at or before (forward: the first at or after) left's `at`."""
     a = left.withColumn("_at", F.col(at)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(0 if forward else 1))
     b = right.select(*keys, F.col(point).alias("_at"), F.col(value).alias("_v"), F.lit(1 if forward else 0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
+    # forward runs from the end: a frame up to the last row would start anew at each row
+    order, side = ((F.desc("_at"), F.desc("_side")), 0) if forward else ((F.asc("_at"), F.asc("_side")), 1)
+    found = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = a.unionByName(b, allowMissingColumns=True)
-    if forward:
-        found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        side = 0
-    else:
-        found = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        side = 1
     return both.withColumn(value, found).filter(F.col("_side") == side).select(*left.columns, value)

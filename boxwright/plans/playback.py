@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import presets
+from ..sources.shared import dealt
 from ..sources.tracked import FPS, table, videos
 from .behavior import TRACK_SQL, track_chunks, track_events
 from .registry import BOX, query, r4
@@ -49,16 +50,18 @@ def sheet_times(e: DataFrame, step: float = _STEP) -> DataFrame:
     return e.withColumn("_g", steps).select(*keep, F.posexplode(whole).alias("idx", "sec"))
 
 
-def nearest_point(times: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+def nearest_point(times: DataFrame, points: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Each time with the point of its keys nearest in t, the earlier one on ties: one shuffle, no pairs.
 
-    Points of one instant are one, the first in order of frame and id. Times without points have a null point.
+    Points of one instant are one, the first in order of frame and id. Times without points have a null point. rows:
+    detections by which partitions are dealt.
     """
     p = points.groupBy(*keys, F.col("t").alias("sec")).agg(F.min(F.struct("frame", "event_id", "t")).alias("p"))
     both = times.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("sec")  # a range: rows of one instant see each other
-    before = F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("p", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    both = both if rows is None else dealt(both, rows, *keys)
+    # ranges: rows of one instant see each other; both grow as they run, where one to the end would start anew at each row
+    so_far = lambda at: Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = F.last("p", True).over(so_far(F.asc("sec"))), F.last("p", True).over(so_far(F.desc("sec")))
     both = both.withColumn("b", before).withColumn("a", after).filter("idx is not null")
     first = F.col("a").isNull() | (F.abs(F.col("b.t") - F.col("sec")) <= F.abs(F.col("a.t") - F.col("sec")))
     return both.withColumn("p", F.when(F.col("b").isNull(), F.col("a")).when(first, F.col("b")).otherwise(F.col("a"))).drop("a", "b")
@@ -69,7 +72,7 @@ def contact_sheet_times(spark, sf_dir):
     """Four times a second of each behaviour event, with the detection that is shown then."""
     e = track_events(spark, sf_dir).select("video_id", "track_id", "chunk", r4(F.col("start_time"), 3).alias("s"), r4(F.col("end_time"), 3).alias("e"))
     d = track_chunks(spark, sf_dir).select("track_id", "chunk", "t", "frame", "event_id")
-    x = nearest_point(sheet_times(e), d, ["track_id", "chunk"])
+    x = nearest_point(sheet_times(e), d, ["track_id", "chunk"], table(spark, sf_dir, "events").count())
     return x.select("video_id", "track_id", "chunk", F.col("idx").cast("long").alias("idx"), "sec", "p.frame", F.col("p.event_id").alias("detection"))
 
 

@@ -37,6 +37,13 @@ def test_nearest_point_takes_the_earlier_on_ties(spark):
         assert (r.p and r.p.event_id) == (want and want[3])
 
 
+def test_no_window_of_sheet_times_runs_to_the_end_at_each_row(spark):
+    """Such a frame starts anew at each row, so a long event costs its length squared."""
+    d = playback.contact_sheet_times(spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing" not in plan
+
+
 def test_parameters_are_asked_for_or_preset(spark):
     rows = [("legacy", None, None, None), ("privacy", 9, False, 0), ("fast_review", 0, None, 2), ("legacy", None, True, 10)]
     d = spark.createDataFrame(rows, "mode string, interval int, mask_review boolean, mask_scale_divisor int")
