@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import matching
-from ..sources.shared import cut
+from ..sources.shared import cut, dealt
 from ..sources.tracked import table
 from .behavior import SEG_EVENT_SQL, TRACK_SQL, presence_events, stitched_events, track_events
 from .identity import VARIANTS, variant_members
@@ -70,6 +70,7 @@ class Case:
     def __init__(self, gt: DataFrame, pred: DataFrame):
         self.gt, self.pred = cut(usable(gt)), cut(pred)
         dur = F.max("end_time")
+        self.rows = self.gt.count() + self.pred.count()
         last = self.gt.select("video_id", "end_time").unionByName(self.pred.select("video_id", "end_time"))
         self.ends = cut(last.groupBy("video_id").agg(dur.alias("dur"), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), dur / TARGET)).alias("len")))
 
@@ -105,11 +106,14 @@ pair AS (SELECT variant, video_id, clip, gt_id, pred_id, greatest(0.0, least(gc.
 
 
 def pairs(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFrame:
-    """Ground truth and predictions that share a clip of a video, with their common length."""
+    """Ground truth and predictions that share a clip of a video, with their common length.
+
+    Both are dealt by clip into partitions for each SHARE of rows: few bytes make many pairs.
+    """
     case = case or families(spark, sf_dir)
     gt = by_clip(case.gt, case).select("video_id", "clip", "gt_id", F.col("start_time").alias("g0"), F.col("end_time").alias("g1"))
     pred = by_clip(counted(case.pred), case).select("variant", "video_id", "clip", "pred_id", F.col("start_time").alias("p0"), F.col("end_time").alias("p1"))
-    d = gt.join(pred, ["video_id", "clip"])
+    d = dealt(gt, case.rows, "video_id", "clip").join(dealt(pred, case.rows, "video_id", "clip"), ["video_id", "clip"])
     return d.select("variant", "video_id", "clip", "gt_id", "pred_id", F.greatest(F.lit(0.0), F.least("g1", "p1") - F.greatest("g0", "p0")).alias("inter"), (F.col("g1") - F.col("g0")).alias("gt_len"), (F.greatest("g1", "p1") - F.least("g0", "p0")).alias("hull"))
 
 
@@ -217,18 +221,23 @@ def masks(spark: SparkSession, sf_dir: str, case: Case | None = None) -> DataFra
     """Counts of sampled tenths of a second by clip, both ends of a clip among them: masked by truth, prediction, one only."""
     case = case or families(spark, sf_dir)
 
-    def steps(rows, keys):
+    def steps(rows, keys, name):
         lo = F.greatest(F.ceil(F.round(F.col("start_time") * 10, 6)), F.round(F.col("c0") * 10).cast("long"))
         hi = F.least(F.floor(F.round(F.col("end_time") * 10, 6)), F.round(F.col("c1") * 10).cast("long"))
-        return by_clip(rows, case).withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").select(*keys, "clip", F.explode(F.sequence("lo", "hi")).alias("step")).distinct()
+        d = by_clip(rows, case).select(*keys, "clip", lo.alias("lo"), hi.alias("hi")).filter("hi >= lo")
+        # of spans with one start the longest holds the others; a clip's steps are no more than its tenths of a second
+        longest = dealt(d, case.rows, "video_id", "clip").groupBy(*keys, "clip", "lo").agg(F.max("hi").alias("hi"))
+        spans = longest.groupBy(*keys, "clip").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        return spans.select(*keys, "clip", F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["lo"], x["hi"])))).alias(name))
 
     every = case.pred
     vv = every.select("variant", "video_id").distinct()
-    g = steps(case.gt, ["video_id"]).join(vv, "video_id").withColumn("g", F.lit(1))
-    p = steps(counted(every), ["variant", "video_id"]).withColumn("p", F.lit(1))
-    m = g.join(p, ["variant", "video_id", "clip", "step"], "full").groupBy("variant", "video_id", "clip").agg(F.count("g").alias("gt_n"), F.count("p").alias("pred_n"), F.count_if(F.col("p").isNotNull() & F.col("g").isNull()).alias("false_n"), F.count_if(F.col("g").isNotNull() & F.col("p").isNull()).alias("miss_n"))
+    g, p = steps(case.gt, ["video_id"], "g"), steps(counted(every), ["variant", "video_id"], "p")
     grid = vv.join(clips(case), "video_id").select("variant", "video_id", "clip", (F.round((F.col("c1") - F.col("c0")) * 10).cast("long") + 1).alias("samples"))
-    return grid.join(m, ["variant", "video_id", "clip"], "left").fillna(0, ["gt_n", "pred_n", "false_n", "miss_n"])
+    d = grid.join(g, ["video_id", "clip"], "left").join(p, ["variant", "video_id", "clip"], "left")
+    none, n = F.array().cast("array<bigint>"), lambda a, name: F.size(a).cast("long").alias(name)
+    d = d.withColumns({"g": F.coalesce("g", none), "p": F.coalesce("p", none)})
+    return d.select("variant", "video_id", "clip", "samples", n("g", "gt_n"), n("p", "pred_n"), n(F.array_except("p", "g"), "false_n"), n(F.array_except("g", "p"), "miss_n"))
 
 
 @query(f"""WITH {MASK_SQL} SELECT variant, video_id, clip, samples, round(false_n * {STEP}, 3) AS false_mask_sec, round(miss_n * {STEP}, 3) AS miss_mask_sec, round(gt_n * {STEP}, 3) AS gt_mask_sec, round(pred_n * {STEP}, 3) AS pred_mask_sec, round(false_n / CAST(samples AS DOUBLE), 4) AS false_mask_ratio, CASE WHEN gt_n > 0 THEN round(miss_n / CAST(gt_n AS DOUBLE), 4) ELSE 0.0 END AS miss_mask_ratio,

@@ -183,3 +183,21 @@ def test_keys_of_frames_and_parts(spark):
     assert ids.distinct().count() == 2402
     with pytest.raises(Exception, match="more than"):
         spark.range(1).selectExpr("1L as track_id", "1048576L as part").select(part_id("track_id", "part")).collect()
+
+
+def test_masks_of_a_clip_are_counted_without_a_row_for_each_step(spark):
+    gt = [(i, 1, 0.5 * i, 0.5 * i + 3.0, True) for i in range(40)]
+    pred = [("a", 1, i, "auto", 0.7 * i, 0.7 * i + 0.33) for i in range(30)] + [("b", 1, 0, "low_conf", 0.0, 9.0)]
+    case = evaluation.Case(spark.createDataFrame(gt, "gt_id long, video_id long, start_time double, end_time double, should_mask boolean"), spark.createDataFrame(pred, "variant string, video_id long, pred_id long, tier string, start_time double, end_time double"))
+    d = evaluation.masks(spark, SF, case)
+    rows = d.collect()
+    tenths = lambda spans, c0, c1: {k for a, z in spans for k in range(-(-int(round(a * 1e6)) // 100000), int(round(z * 1e6)) // 100000 + 1) if round(c0 * 10) <= k <= round(c1 * 10)}
+    bounds = {r.clip: (r.c0, r.c1) for r in evaluation.clips(case).collect()}
+    assert len(rows) == 2 * len(bounds)
+    for r in rows:
+        c0, c1 = bounds[r.clip]
+        g = tenths([x[2:4] for x in gt if x[3] > c0 and x[2] < c1], c0, c1)
+        p = tenths([x[4:6] for x in pred if x[0] == r.variant == "a" and x[5] > c0 and x[4] < c1], c0, c1)
+        assert (r.gt_n, r.pred_n, r.false_n, r.miss_n) == (len(g), len(p), len(p - g), len(g - p))
+    assert "explode(sequence(lo" not in d._jdf.queryExecution().executedPlan().toString()
+    assert evaluation.pairs(spark, SF, case)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
