@@ -89,7 +89,8 @@ def timeline_slices(spark, sf_dir):
 
     Rows are counted by frame first, so what the window over a video sees is bounded by the frames of a video.
     """
-    by_frame = timeline_rows(spark, sf_dir).groupBy("video_id", F.col("f").alias("frame")).agg(F.count(F.lit(1)).alias("n")).withColumn("ts", r4(F.col("frame") / FPS, 3))
+    rows = dealt(timeline_rows(spark, sf_dir).select("video_id", "f"), table(spark, sf_dir, "events").count(), "video_id")
+    by_frame = rows.groupBy("video_id", F.col("f").alias("frame")).agg(F.count(F.lit(1)).alias("n")).withColumn("ts", r4(F.col("frame") / FPS, 3))
     w = Window.partitionBy("video_id")
     d = by_frame.withColumn("first", F.min("ts").over(w)).withColumn("last", F.least(F.max("ts").over(w), F.min("ts").over(w) + WINDOW_SEC))
     return d.groupBy("video_id", F.col("first").alias("window_start"), r4(F.col("last"), 3).alias("window_end")).agg(

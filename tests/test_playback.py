@@ -44,6 +44,12 @@ def test_no_window_of_sheet_times_runs_to_the_end_at_each_row(spark):
     assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing" not in plan
 
 
+def test_slices_count_frames_where_the_videos_rows_are_dealt(spark):
+    """Frames are counted and held against their video's bounds in one shuffle, of a number of partitions that goes by the rows."""
+    plan = playback.timeline_slices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and not __import__("re").search(r"hashpartitioning\(video_id#\d+L, (f|frame)#", plan)
+
+
 def test_parameters_are_asked_for_or_preset(spark):
     rows = [("legacy", None, None, None), ("privacy", 9, False, 0), ("fast_review", 0, None, 2), ("legacy", None, True, 10)]
     d = spark.createDataFrame(rows, "mode string, interval int, mask_review boolean, mask_scale_divisor int")
