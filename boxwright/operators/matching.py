@@ -210,8 +210,15 @@ def assign_edges(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> np.
     return chosen
 
 
-def assignment(edges: DataFrame, group: str) -> DataFrame:
-    """The chosen edges (from_id, to_id, score) of each group: maximum total score, each end once."""
+#: Edges of a partition that is solved in one task: few bytes, much work, so bytes must not decide how many tasks there are.
+SOLVED = 2_000
+
+
+def assignment(edges: DataFrame, group: str, share: int = SOLVED) -> DataFrame:
+    """The chosen edges (from_id, to_id, score) of each group: maximum total score, each end once.
+
+    An edge alone in its group is taken as it is; the others are solved in a partition for each `share` of edges.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["from_id", "to_id"], kind="stable").reset_index(drop=True)
@@ -219,11 +226,17 @@ def assignment(edges: DataFrame, group: str) -> DataFrame:
         c = np.unique(pdf["to_id"], return_inverse=True)[1]
         return pdf[assign_edges(r, c, pdf["score"].to_numpy(float))]
 
-    return edges.groupBy(group).applyInPandas(run, edges.schema)
+    counted = cut(edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group))))
+    more = counted.filter("_n > 1").drop("_n")
+    solved = more.repartition(max(1, -(-more.count() // share)), group).groupBy(group).applyInPandas(run, edges.schema)
+    return counted.filter("_n = 1 and score > 0").drop("_n").unionByName(solved)
+
 
+def first_fit(members: DataFrame, group: str, slack: float = 0.05, few: int = 4 * FEW) -> DataFrame:
+    """members (group, id, start, end) with part: the first part whose latest end is at most start + slack.
 
-def first_fit(members: DataFrame, group: str, slack: float = 0.05) -> DataFrame:
-    """members (group, id, start, end) with part: the first part whose latest end is at most start + slack."""
+    Groups of `few` members at most are folded as rows, without a call of Python for each; the loop takes larger ones.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "id"], kind="stable")
@@ -235,8 +248,23 @@ def first_fit(members: DataFrame, group: str, slack: float = 0.05) -> DataFrame:
             part.append(k)
         return pdf.assign(part=part)
 
+    rest = [c for c in members.columns if c != group]
+    groups = members.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("_s"), F.col("id").alias("_i"), F.struct(*rest).alias("_m")))).alias("_all"))
+
+    def placed(acc, x):
+        free = F.array_position(F.transform(acc["ends"], lambda e: e - slack <= x["_s"]), True)
+        end = x["_m"]["end"].cast("double")
+        held = F.transform(acc["ends"], lambda e, i: F.when(i == free - 1, F.greatest(e, end)).otherwise(e))
+        part = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"]).cast("long"))
+        return F.struct(F.when(free > 0, held).otherwise(F.array_append(acc["ends"], end)).alias("ends"), F.array_append(acc["parts"], part).alias("parts"))
+
+    zero = F.struct(F.array().cast("array<double>").alias("ends"), F.array().cast("array<bigint>").alias("parts"))
+    parts = F.aggregate("_all", zero, placed, lambda acc: acc["parts"])
+    some = groups.filter(F.size("_all") <= few).select(group, F.explode(F.arrays_zip("_all", parts.alias("_p"))).alias("_x"))
+    some = some.select(group, F.col("_x")["_all"]["_m"].alias("_m"), F.col("_x")["_p"].alias("part")).select(group, "_m.*", "part").select(*members.columns, "part")
+    many = groups.filter(F.size("_all") > few).select(group, F.explode("_all").alias("_x")).select(group, "_x._m.*").select(*members.columns)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
-    return members.groupBy(group).applyInPandas(run, f"{fields}, part long")
+    return some.unionByName(many.groupBy(group).applyInPandas(run, f"{fields}, part long"))
 
 
 def rescue_singletons(chunks: DataFrame, track: str, gap: float) -> DataFrame:

@@ -51,6 +51,24 @@ def test_nms_is_the_same_by_rows_and_by_loop(spark, few):
     assert {r.event_id for r in got} == want and len(got) == len(want) < len(rows)
 
 
+def test_first_fit_is_the_same_by_rows_and_by_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), i, float(a) / 4, float(a + n) / 4, int(g) * 2) for i, (g, a, n) in enumerate(zip(rng.integers(0, 30, 200), rng.integers(0, 40, 200), rng.integers(0, 12, 200)))]
+    d = spark.createDataFrame(rows, "at long, id long, start double, end double, more long")
+    by_loop, mixed, by_rows = (sorted(tuple(r) for r in matching.first_fit(d, "at", few=few).collect()) for few in (0, 4, 128))
+    assert by_loop == mixed == by_rows and len(by_loop) == len(rows) and max(r[-1] for r in by_loop) > 1
+
+
+def test_assignment_takes_lone_edges_and_solves_the_rest_in_parts(spark):
+    rows = [(1, 1, 2, 0.5), (2, 3, 4, 0.0), (3, 5, 6, 0.9), (3, 5, 7, 0.8), (3, 8, 6, 0.7), (4, 9, 9, 0.1), (4, 9, 10, 0.2)]
+    d = spark.createDataFrame(rows, "part long, from_id long, to_id long, score double")
+    want = {(1, 2), (5, 7), (8, 6), (9, 10)}
+    for share in (1, 3, 100):
+        got = matching.assignment(d, "part", share)
+        assert {(r.from_id, r.to_id) for r in got.collect()} == want and got.columns == d.columns
+    assert matching.assignment(d, "part", 1).rdd.getNumPartitions() > matching.assignment(d, "part", 100).rdd.getNumPartitions()
+
+
 def test_merge_decisions_are_an_optimum_of_the_edges_that_pass(spark):
     e = identity.edges(spark, SF).collect()
     good = [(r.from_id, r.to_id, r.combined) for r in e if r.combined >= 0.72 and round(r.spatial, 4) >= 0.45 and round(r.motion, 4) >= 0.30]
