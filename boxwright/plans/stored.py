@@ -19,6 +19,8 @@ from .timeline import PROPOSAL_SQL, proposals
 #: How a video's document of each kind is stored, by video_id % 5 plus the kind's number: 3 is cut off, 4 has a list in
 #: place of its text, optional kinds have none at 1; 0 has a byte order mark, 2 is written over many lines.
 _ORDER = tuple(readers.KINDS)
+#: Documents that a task writes, each a file in a folder of its own.
+TASK_DOCUMENTS = 50
 
 
 def store(spark: SparkSession, sf_dir: str) -> str:
@@ -26,6 +28,8 @@ def store(spark: SparkSession, sf_dir: str) -> str:
     e = track_events(spark, sf_dir)
     e = cut(e.select("video_id", "num", "track_id", "tier", "start_frame", "end_frame"))
     root = new_path(spark)
+    # their number is asked for: adaptive execution joins partitions by bytes, and one task would write most of the files
+    tasks = max(1, -(-e.select("video_id").distinct().count() // TASK_DOCUMENTS))
     of = {
         "identity_clusters": F.struct(F.format_string("id_%04d", "num").alias("identity_id"), F.array("track_id").alias("track_ids"), r4(F.col("start_frame") / FPS, 3).alias("start_time"), r4(F.col("end_frame") / FPS, 3).alias("end_time")),
         "final_events": F.struct(F.format_string("evt_%04d", "num").alias("event_id"), "track_id", "tier", "start_frame", "end_frame"),
@@ -39,7 +43,8 @@ def store(spark: SparkSession, sf_dir: str) -> str:
         if kind not in readers.REQUIRED:
             docs = docs.filter(how != 1)
         value = F.when(how == 3, F.substring(text, 1, 40)).when(how == 4, F.regexp_replace(text, '"track_ids?":', '"track_id":"x","track_ids":"y","was":')).when(how == 0, F.concat(F.lit("﻿"), text)).when(how == 2, F.regexp_replace(text, r"\},\{", "},\n  {")).otherwise(text)
-        docs.select("video_id", value.alias("value")).repartition("video_id").write.partitionBy("video_id").text(f"{root}/{kind}")
+        out = docs.select("video_id", value.alias("value")).repartition(tasks, "video_id").write.partitionBy("video_id")
+        out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{root}/{kind}")  # tasks move their files, not the driver
     return root
 
 

@@ -6,6 +6,9 @@ ends the job. Where no file of a kind is there, an optional one is an empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,18 @@ def _files(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed in a few tasks for each core, while readers are made; Spark's default is a task for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def read_documents(spark: SparkSession, path: str, kind: str, keys: str = "video_id long", required: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, broken) of a kind below path, whose folders may name the columns of keys.
 
@@ -46,10 +61,12 @@ def read_documents(spark: SparkSession, path: str, kind: str, keys: str = "video
             raise FileNotFoundError(f"no {kind} below {path}")
         every = spark.createDataFrame([], schema + ", path string")
     else:
-        parsed = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+        with listing(spark):
+            parsed = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+            files = spark.read.format("binaryFile").load(path)
         # written once: the text of broken ones can't be read alone, and both results come from one parse
         every = cut(parsed.withColumn("path", F.col("_metadata.file_path")))
-        blank = spark.read.format("binaryFile").load(path).select(*[F.col(k) for k in names], F.col("_metadata.file_path").alias("path"))
+        blank = files.select(*[F.col(k) for k in names], F.col("_metadata.file_path").alias("path"))
         blank = blank.join(every.select("path").distinct(), "path", "left_anti")
         every = every.unionByName(blank.withColumn(_BAD, F.lit("")), allowMissingColumns=True)
     fields = [c for c in every.columns if c not in (*names, _BAD, "path")]

@@ -86,3 +86,20 @@ def test_counts_come_while_stages_run(spark):
     rows = [tuple(r) for r in run.report().orderBy("step").drop("seconds").collect()]
     assert rows == [(0, "events", 100, 30, 0, 10), (1, "plain", 7, None, None, None), (2, "empty", 0, 0, 0, 0)]
     assert set(run.seconds) == {"events", "plain", "empty"} and all(s > 0 for s in run.seconds.values())
+
+
+def test_documents_are_written_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    """Adaptive execution would join so few bytes to one task, which would write the file of each video in turn."""
+    from boxwright.plans import stored as plan
+
+    us = 1_704_067_200_000_000 + F.floor(F.col("id") / 120).cast("long") * 7_200_000_000
+    e = spark.range(1200).select(F.col("id").alias("event_id"), F.timestamp_micros(us).alias("ts"), (F.col("id") % 120).alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.95).alias("value"), F.lit('{"k": 7}').alias("props"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(plan, "TASK_DOCUMENTS", 2, raising=False)
+    from pathlib import Path
+
+    files = list(Path(plan.store(spark, str(tmp_path))).glob("final_events/video_id=*/*.txt"))
+    assert len(files) == 12 and len({f.name.split("-")[1] for f in files}) > 2
+    default = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    found = plan.stored_documents(spark, str(tmp_path)).groupBy("status").count().collect()
+    assert sum(r["count"] for r in found) == 48 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == default
