@@ -1,6 +1,8 @@
 """Table functions for SQL users: SELECT * FROM stand_frames(TABLE(detections), fill => 15, hold => 10).
 
 Plans use the expressions of plans/timeline.py, which stay in the JVM; this is the same rule for those who write SQL.
+stand_frames takes a table as it is, row by row; StandBatches takes one whose rows say what follows them, and computes on
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -60,6 +62,48 @@ class StandFrames:
                 yield (*key, f, *values)
 
 
+#: What a row of StandBatches' table says of its group: the next frame (null at the last row), and whether it is the first.
+NEXT, FIRST = "nf", "first"
+
+
+class StandBatches:
+    """As StandFrames over a table that has nf, first and n<value> too; each row gives its frames by itself, so rows come as they lie.
+
+    All its other columns are given back beside f and the values. A batch gives at most 2 * hold + fill frames a row.
+    """
+
+    def eval(self, rows, fill, hold):
+        import numpy as np
+        import pyarrow as pa
+
+        fill, hold = fill[0].as_py(), hold[0].as_py()
+        number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        frame, last = number("frame"), rows.column(NEXT).is_null().to_numpy(zero_copy_only=False)
+        then = rows.column(NEXT).fill_null(0).to_numpy(zero_copy_only=False)
+        lo = np.where(number(FIRST), np.maximum(0, frame - hold), frame)
+        hi = np.where(last, np.maximum(frame, np.minimum(number(LAST), frame + hold)), frame)
+        line = ~last & (then - frame > 1) & (then - frame <= fill)
+        n = np.where(line, then - 1, hi) - lo + 1
+        at = np.repeat(np.arange(len(n)), n)
+        f = lo[at] + np.arange(len(at)) - (np.cumsum(n) - n)[at]
+        drawn = f > hi[at]
+        share = (f - frame[at]) / np.where(line, then - frame, 1)[at]
+        columns = {c: rows.column(c).take(pa.array(at)) for c in rows.schema.names if c not in (*VALUES, *ORDER, LAST, NEXT, FIRST, *[f"n{v}" for v in VALUES])}
+        columns["f"] = pa.array(f)
+        for c in VALUES:
+            a = number(c)[at]
+            z = rows.column(f"n{c}").fill_null(0.0).to_numpy(zero_copy_only=False)[at]
+            columns[c] = pa.array(np.where(drawn, a + (z - a) * share, a))
+        yield pa.table(columns)
+
+
+def register_batches(spark: SparkSession, name: str, keys: str) -> None:
+    """StandBatches for tables of some key columns (names and types, in their order) as a table function of the session's SQL."""
+    from pyspark.sql.functions import arrow_udtf
+
+    spark.udtf.register(name, arrow_udtf(StandBatches, returnType=f"{keys}, f long, " + ", ".join(f"{c} double" for c in VALUES)))
+
+
 def register(spark: SparkSession) -> None:
     """Make the table functions known to the session's SQL."""
     from pyspark.sql.functions import udtf
