@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,26 +92,26 @@ class Chunks(StatefulProcessor):
 
     Rows wait in a list state until the watermark has passed them; a timer at the earliest one that waits (and one where
     the open chunk ends for want of detections) takes them out in order. What waits is bounded by the lateness allowed.
+    The state holds the rows that come together as one value, since each value is a conversion of its own.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            fresh = [tuple(x) for x in pdf[[f.split()[0] for f in WAITING.split(", ")]].itertuples(index=False, name=None)]
-            if fresh:
-                self.waiting.appendList(fresh)
-                self._wake(min(x[0] for x in fresh))
-        yield pd.DataFrame([], columns=NAMES)
+            if len(pdf):
+                self.waiting.appendValue((packed({c: pdf[c].to_numpy() for c in WAITING.names}, len(pdf)),))
+                self._wake(int(pdf["ms"].min()))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, done = timerValues.getCurrentWatermarkInMs(), []
-        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(r for (x,) in self.waiting.get() for r in np.frombuffer(x, WAITING).tolist())
         now, later = [x for x in rows if x[0] <= mark], [x for x in rows if x[0] > mark]
-        chunk = tuple(self.open.get()) if self.open.exists() else None
+        chunk = self.open.get()  # None before the first
         for ms, frame, event_id, t, conf, *box in now:
             if chunk is None:
                 chunk = (0, 1, ms, ms, t, conf, *box)
@@ -126,12 +127,16 @@ class Chunks(StatefulProcessor):
             chunk = (chunk[0] + 1, 0, *chunk[2:])
         if chunk is not None:
             self.open.update(chunk)
-        self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.waiting.put([(np.array(later, WAITING).tobytes(),)])
+        else:
+            self.waiting.clear()
         if later:
             self._wake(later[0][0])
         if chunk is not None and chunk[1]:
             self._wake(chunk[3] + GAP + 1)
-        yield pd.DataFrame(done, columns=NAMES)
+        if done:
+            yield pd.DataFrame(done, columns=NAMES)
 
     def _wake(self, at: int) -> None:
         if at not in set(self.handle.listTimers()):
@@ -141,7 +146,16 @@ class Chunks(StatefulProcessor):
         pass
 
 
-WAITING = "ms long, frame long, event_id long, t double, conf double, x1 double, y1 double, x2 double, y2 double"
+def packed(columns: dict, n: int) -> bytes:
+    """Rows of WAITING's columns as bytes."""
+    out = np.empty(n, WAITING)
+    for c, v in columns.items():
+        out[c] = v
+    return out.tobytes()
+
+
+#: A row that waits, in its order.
+WAITING = np.dtype([("ms", "i8"), ("frame", "i8"), ("event_id", "i8"), ("t", "f8"), ("conf", "f8"), *[(c, "f8") for c in BOX]])
 OPEN = "chunk long, n long, start_ms long, end_ms long, t double, conf double, x1 double, y1 double, x2 double, y2 double"
 NAMES = [f.split()[0] for f in CHUNK.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

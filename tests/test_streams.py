@@ -112,3 +112,48 @@ def test_a_batch_that_comes_again_changes_nothing(spark, rows, tmp_path):
         assert state() == before
     sinks.append_once(spark.createDataFrame(files[0], schema), 9, path, ["event_id"])
     assert state() == before
+
+
+def test_rows_that_come_together_wait_as_one_value(spark, monkeypatch):
+    """A value of the state is a conversion and a message of its own, so it holds all rows of a batch; no empty frames come out."""
+    import pandas as pd
+
+    kept, timers = {}, set()
+
+    class State:
+        def __init__(self, name):
+            self.name, self.calls = name, 0
+
+        def exists(self):
+            return self.name in kept
+
+        def get(self):
+            return iter(kept.get(self.name, [])) if self.name == "waiting" else kept.get(self.name)
+
+        def appendValue(self, v):
+            kept.setdefault(self.name, []).append(v)
+
+        def appendList(self, v):
+            kept.setdefault(self.name, []).extend(v)
+
+        put = update = lambda self, v: kept.__setitem__(self.name, v)
+        clear = lambda self: kept.pop(self.name, None)
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: State(name)
+        listTimers = lambda self: iter(timers)
+        registerTimer = lambda self, at: timers.add(at)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 2_500
+
+    p = streams.Chunks()
+    p.init(Handle())
+    d = pd.DataFrame([(1000 * i, 30 * i, 2**60 + i, float(i), 0.5, 0.0, 0.0, 10.0, 10.0) for i in (3, 1, 2, 0)], columns=["ms", "frame", "event_id", "t", "conf", *streams.BOX])
+    assert list(p.handleInputRows((7,), iter([d, d.iloc[:0]]), Now())) == [] and len(kept["waiting"]) == 1 and timers == {0}
+    assert list(p.handleExpiredTimer((7,), Now(), None)) == []
+    assert tuple(kept["open"])[:4] == (0, 3, 0, 2000)  # those the watermark has passed, in order
+    (left,) = kept["waiting"]
+    import numpy as np
+
+    assert np.frombuffer(left[0], streams.WAITING).tolist() == [(3000, 90, 2**60 + 3, 3.0, 0.5, 0.0, 0.0, 10.0, 10.0)]
