@@ -168,3 +168,43 @@ def test_keyframes_and_plan(spark):
     assert [tuple(r) for r in coverage.snapped(d, keys).collect()] == [(1, 0, 119)]
     plan = islands.complement(spark.createDataFrame([(1, 10, 19), (1, 40, 49)], d.schema), ["video_id"], F.lit(100))
     assert sorted((r.start_frame, r.end_frame, r.type) for r in plan.collect()) == [(0, 9, "copy"), (10, 19, "render"), (20, 39, "copy"), (40, 49, "render"), (50, 99, "copy")]
+
+
+def _crowded(n, more):
+    """Rows that are too many at one end, columns that are too many at the other: chains of links lead through all."""
+    rng = np.random.default_rng(12)
+    a = np.sort(np.concatenate([rng.uniform(0, n, n), rng.uniform(n - more, n, more)]))
+    b = np.sort(np.concatenate([rng.uniform(0, n, n), rng.uniform(0, more, more)]))
+    near = np.clip(np.searchsorted(b, a)[:, None] + np.arange(-6, 6), 0, len(b) - 1)
+    rows, cols = np.unique(np.stack([np.repeat(np.arange(len(a)), 12), near.ravel()]), axis=1)
+    return rows, cols, np.round(0.5 + 0.5 * np.exp(-np.abs(a[rows] - b[cols]) / 8), 4)
+
+
+def test_crowded_ends_need_no_path_through_the_whole_graph(monkeypatch):
+    """Paths alone push 3.3 columns for each edge, after steps 0.1; the sum stays the greatest."""
+    rows, cols, weights = _crowded(2500, 250)
+    pushed, push = [0], matching.heapq.heappush
+    monkeypatch.setattr(matching.heapq, "heappush", lambda heap, x: (pushed.__setitem__(0, pushed[0] + 1), push(heap, x)))
+    got = matching.assign_edges(rows, cols, weights)
+    assert len(set(rows[got])) == len(set(cols[got])) == got.sum() and pushed[0] < len(rows)
+    monkeypatch.setattr(matching, "STEPPED", 1 << 30, raising=False)
+    paths = matching.assign_edges(rows, cols, weights)
+    assert weights[got].sum() == pytest.approx(weights[paths].sum(), abs=1e-6)
+
+
+def test_steps_end_at_the_greatest_sum(monkeypatch):
+    """Few rows in steps too: against the dense solver, with ties, with whole and with broken weights."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(matching, "STEPPED", 0, raising=False)
+    for k in range(300):
+        n, m = (int(x) for x in rng.integers(1, 14, 2))
+        w = np.where(rng.random((n, m)) < 0.4, (rng.integers(0, 12, (n, m)) / 10, rng.integers(0, 10_000, (n, m)) / 10_000, rng.random((n, m)))[k % 3], 0)
+        r, c = np.nonzero(w)
+        if not len(r):
+            continue
+        r2 = np.unique(r, return_inverse=True)[1]
+        got = matching.assign_edges(r2, c, w[r, c])
+        whole = np.zeros((max(n, m),) * 2)
+        whole[:n, :m] = w
+        assert len(set(r[got])) == len(set(c[got])) == got.sum()
+        assert w[r, c][got].sum() == pytest.approx(whole[np.arange(len(whole)), matching.assign(whole)].sum(), abs=1e-6)
