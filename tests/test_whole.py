@@ -152,3 +152,20 @@ def test_sparse_assignment_equals_dense():
             x = matching.assign_edges(r2, c, w[r, c])
             assert len(set(r[x])) == len(set(c[x])) == x.sum()
             assert w[r, c][x].sum() == pytest.approx(w[np.arange(n), matching.assign(w)].sum())
+
+
+def test_time_ranges_held_by_several_orders_count_once(spark, tmp_path):
+    """Orders 28,000 apart have the same range: what is merged is the same with every range once and four times."""
+    from boxwright.plans import coverage
+
+    rng = np.random.default_rng(8)
+    keys = rng.choice(28_000, 600, replace=False).tolist()
+    own = {k: int(rng.integers(0, 40)) for k in keys}
+    found = []
+    for n in (1, 4):
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame([(k + 28_000 * i, own[k]) for k in keys for i in range(n)], "o_orderkey long, o_custkey long").repartition(3).write.parquet(f"{path}/orders.parquet")
+        found.append(sorted(map(tuple, coverage.merged_time_ranges(spark, path).collect())))
+    iv = [(own[k], a, round(a + (k % 7 - 1) * 0.7, 3)) for k in keys for a in [k * 131 % 4000 / 100]]
+    want = merged([x for x in iv if x[2] > x[1]], 0.001)
+    assert found[0] == found[1] == [(i, pytest.approx(a), pytest.approx(z)) for i, a, z in want] and len(want) < sum(x[2] > x[1] for x in iv)
